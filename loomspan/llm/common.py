@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +24,23 @@ def held_out(doc_id: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-stage-")
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) does a temporary folder stand in.
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it again.
+
+    This cuts the lineage: an executor lost later costs no recomputation of
+    what is written. The folder is the session's ``spark.checkpoint.dir``; only
+    where that is unset (tests on one machine) a temporary folder stands in.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -51,13 +60,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``component`` is the smallest node reachable. Each round takes the least
     label among a node's neighbours and then the label of that label, so long
-    chains shrink geometrically. Labels live in shared checkpoints; the driver
+    chains shrink geometrically. Labels live in shared staged tables; the driver
     sees only how many changed. Nodes without edges do not appear.
     """
-    both = checkpointed(
+    both = staged(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     )
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
     while True:
         near = (
             both.join(labels, both.b == labels.node)
@@ -66,7 +75,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         taken = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        moved = checkpointed(taken.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component")))
+        moved = staged(taken.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component")))
         changed = moved.where("component <> old").limit(1).count()
         labels = moved.select("node", "component")
         if not changed:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import knn, simhash
+from loomspan.llm import knn, packing, simhash, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": packing.op2_packing,
         "op8_simhash": simhash.op8_simhash,
+        "op9_token_counts": token_count.op9_token_counts,
         "op10_kdtree_topk": knn.op10_kdtree_topk,
     }
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import checkpointed, connected_components, in_small_batches
+from loomspan.llm.common import staged, connected_components, in_small_batches
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 TILE = 2048
@@ -165,8 +165,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null get the component of their fingerprint, null if no id is there.
     An empty table gives an empty result.
     """
-    rows = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
-    distinct = checkpointed(rows.groupBy("fingerprint").agg(F.min("id").alias("low")))
+    rows = staged(with_fingerprints(docs, id_col, text_col, shingle))
+    distinct = staged(rows.groupBy("fingerprint").agg(F.min("id").alias("low")))
     links = fingerprint_links(distinct.select("fingerprint"), radius)
     groups = connected_components(links).withColumnsRenamed({"node": "fingerprint"})
     named = distinct.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
