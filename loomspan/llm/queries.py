@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import knn, packing, simhash, token_count
+from loomspan.llm import chat_format, knn, language_id, packing, simhash, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_packing": packing.op2_packing,
+        "op6_language_id": language_id.op6_language_id,
+        "op7_chat_format": chat_format.op7_chat_format,
         "op8_simhash": simhash.op8_simhash,
         "op9_token_counts": token_count.op9_token_counts,
         "op10_kdtree_topk": knn.op10_kdtree_topk,
@@ -19,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_kdtree_topk": knn.OP10_SQL}
+    return {"op7_chat_format": chat_format.OP7_SQL, "op10_kdtree_topk": knn.OP10_SQL}
