@@ -80,3 +80,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
         if not changed:
             return labels
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]

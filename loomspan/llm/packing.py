@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import in_small_batches, texts_of
+from loomspan.llm.common import byte_letters, in_small_batches, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
@@ -27,8 +27,8 @@ GROUP_ROWS = 4096
 
 # Texts of these characters only are lower-cased and split here exactly as the
 # tokenizer's normalizer and pre-tokenizer would; all others go to the library whole.
-_PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_OTHER = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]")
+_WORDS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 class WordTokenizer:
@@ -42,22 +42,24 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
         self.memo_words = memo_words
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, as ``encode(text)`` gives them."""
-        if not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
+        if _OTHER.search(text) or any(x in text for x in self.special):
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
         words = _WORDS.findall(text.lower())
         memo = self.memo
-        new = list({x for x in words if x not in memo})
+        new = set(words).difference(memo)
         if new:
             if len(memo) + len(new) > self.memo_words:
                 memo.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                memo[word] = _packed(found.ids)
+                new = set(words)
+            tokenize = self.library.model.tokenize
+            for word in new:  # the pre-tokenizer's last step writes bytes as letters
+                memo[word] = _packed([x.id for x in tokenize(word if word.isascii() else "".join([self.letters[b] for b in word.encode()]))])
         return b"".join(map(memo.__getitem__, words))
 
 

@@ -18,22 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import in_small_batches, staged, texts_of
+from loomspan.llm.common import byte_letters, in_small_batches, staged, texts_of
 
 #: Documents whose pre-tokens may enter the broadcast table, and its most entries.
 SAMPLE_DOCS, HEAD_ENTRIES = 4096, 1 << 17
 
 # Texts of these characters only are split by the expression below just as the
 # library does; all others go through the library's own pre-tokenizer.
-_PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
-_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
-
-def _byte_letters() -> dict[str, int]:
-    """Bytes by the letter that byte-level vocabularies write for them."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+_OTHER = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]")
+_SPLIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 
 
 class PreTokens:
@@ -45,20 +38,22 @@ class PreTokens:
         self.library = Tokenizer.from_file(path)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
-        self.bytes = _byte_letters()
+        self.letters = byte_letters()
+        self.bytes = {x: b for b, x in enumerate(self.letters)}
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and how many special strings stood between them."""
         parts, out = self.special.split(text), []
         for part in parts:
-            if _PLAIN.fullmatch(part):
+            if not _OTHER.search(part):
                 out += _SPLIT.findall(part)
             else:
                 out += [bytes(map(self.bytes.__getitem__, x)).decode() for x, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
         return out, len(parts) - 1
 
     def pieces(self, tokens: list[str]) -> list[int]:
-        return [len(x) for x in self.library.encode_batch_fast(tokens, add_special_tokens=False)]
+        tokenize, letters = self.library.model.tokenize, self.letters
+        return [len(tokenize("".join([letters[b] for b in x.encode()]))) for x in tokens]
 
 
 @lru_cache(maxsize=2)
