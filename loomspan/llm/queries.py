@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import chat_format, knn, language_id, packing, simhash, token_count, toxicity
+from loomspan.llm import chat_format, knn, language_id, mixing, packing, quality_rules, simhash, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_packing": packing.op2_packing,
+        "op4_mixing": mixing.op4_mixing,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_language_id": language_id.op6_language_id,
         "op7_chat_format": chat_format.op7_chat_format,
         "op8_simhash": simhash.op8_simhash,
