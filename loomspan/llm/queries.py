@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import chat_format, knn, language_id, mixing, packing, quality_rules, simhash, token_count, toxicity
+from loomspan.llm import chat_format, knn, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_packing": packing.op2_packing,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_language_id": language_id.op6_language_id,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat_format.OP7_SQL, "op10_kdtree_topk": knn.OP10_SQL}
+    return {"op3_substring_dedup": substring_dedup.OP3_SQL, "op7_chat_format": chat_format.OP7_SQL, "op10_kdtree_topk": knn.OP10_SQL}
