@@ -1,8 +1,70 @@
-"""Corpus preparation as a chain of the training-data operators."""
+"""Corpus preparation as a chain of the training-data operators.
 
-STAGES = []
+Each stage takes the rows that its predecessor kept and decides on them all;
+``run`` writes every stage as Parquet and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.llm import mixing, packing, simhash, substring_dedup, toxicity
+from loomspan.llm.common import staged, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar, learned from the labels, doesn't reject."""
+    grammar, weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, grammar, weights, COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies.
+
+    Rows without id stay, as no group can name them.
+    """
+    groups = simhash.near_duplicates(docs)
+    first = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand earlier; those that are all repeats go."""
+    found = substring_dedup.dedup_substrings(docs, keep=["lang", "source"])
+    left = found.where("n_removed = 0 OR n_removed < n_words").withColumn("n_chars", F.char_length("text").cast("long"))
+    return left.withColumnRenamed("id", "doc_id").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as the mix takes them."""
+    keyed = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).dropDuplicates(["key"])
+    mixed = mixing.mixed_rows(keyed, mixing.mix(keyed, id_col="key"), id_col="key")
+    return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids with their places in sequences."""
+    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Learned scores, draws and a tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir))
+    return docs

@@ -114,8 +114,11 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAM
     if its share there is at least a third of its largest share anywhere.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("pick", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
-    picks = rows.select("lang", "pick").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "pick").distinct()
+    picks = rows.select("lang", "pick").withColumn("part", F.pmod("pick", F.lit(256)))
+    for by in (["lang", "part"], ["lang"]):  # a common language is thinned in parts before its rows meet
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("pick"))
+        picks = picks.withColumn("rank", rank).where(F.col("rank") <= sample_docs)
+    picks = picks.select("lang", "pick").distinct()
     sample = rows.join(F.broadcast(picks), ["lang", "pick"])  # at most 64 * sample_docs short rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ rather than all pairs, and components are joined on Spark.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -65,57 +66,90 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits between every row of ``a`` and every row of ``b``."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for x, y in zip(a.T, b.T):
+        out += np.bitwise_count(x[:, None] ^ y[None, :])
+    return out
+
+
 def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints.
+    """Spanning forest, as pairs of row numbers, of the links among fingerprints.
 
     ``left`` holds what no tree has reached, sorted by population count. Each
     tile of the frontier is compared with the tiles of ``left`` in reach of its
     population counts; what it reaches becomes the next frontier.
     """
     edges: list[tuple[int, int]] = []
-    counts = np.bitwise_count(prints)
-    order = np.argsort(counts, kind="stable")
-    left, left_counts = prints[order], counts[order].astype(np.int64)
+    counts = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+    left = np.argsort(counts, kind="stable")
     while len(left) > 1:
-        frontier, frontier_counts = left[:1], left_counts[:1]
-        left, left_counts = left[1:], left_counts[1:]
+        frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
-            tile, tile_counts = frontier[:TILE], frontier_counts[:TILE]
-            frontier, frontier_counts = frontier[TILE:], frontier_counts[TILE:]
-            low = np.searchsorted(left_counts, tile_counts.min() - radius)
-            high = np.searchsorted(left_counts, tile_counts.max() + radius, side="right")
+            tile, frontier = frontier[:TILE], frontier[TILE:]
+            low = np.searchsorted(counts[left], counts[tile].min() - radius)
+            high = np.searchsorted(counts[left], counts[tile].max() + radius, side="right")
             hit = np.zeros(len(left), bool)
             for at in range(low, high, TILE):
                 other = left[at : min(at + TILE, high)]
-                near = np.bitwise_count(tile[:, None] ^ other[None, :]) <= radius
+                near = _far(prints[tile], prints[other]) <= radius
                 reached = near.any(axis=0)
                 if reached.any():
-                    by = near.argmax(axis=0)[reached]
-                    edges += zip(tile[by].tolist(), other[reached].tolist())
+                    edges += zip(tile[near.argmax(axis=0)[reached]].tolist(), other[reached].tolist())
                     hit[at : at + len(other)] = reached
             if hit.any():
-                frontier = np.concatenate((frontier, left[hit]))
-                frontier_counts = np.concatenate((frontier_counts, left_counts[hit]))
-                left, left_counts = left[~hit], left_counts[~hit]
+                frontier, left = np.concatenate((frontier, left[hit])), left[~hit]
     return edges
 
 
 def _bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """Links of whole buckets, given rows sorted by bucket key."""
+    """Links, as pairs of row numbers, of whole buckets; rows are sorted by key."""
     bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(bounds)
     small = np.repeat(sizes <= 8, sizes)
     for lag in range(1, 8):
         if len(keys) <= lag:
             break
-        near = (keys[lag:] == keys[:-lag]) & small[lag:]
-        at = np.flatnonzero(near)
-        at = at[np.bitwise_count(prints[at] ^ prints[at + lag]) <= radius]
+        at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
+        at = at[np.bitwise_count(prints[at] ^ prints[at + lag]).sum(axis=1, dtype=np.int64) <= radius]
         if len(at):
-            yield np.stack((prints[at], prints[at + lag]), axis=1)
+            yield np.stack((at, at + lag), axis=1)
     for start, size in zip(bounds[:-1][sizes > 8].tolist(), sizes[sizes > 8].tolist()):
         if edges := _forest(prints[start : start + size], radius):
-            yield np.array(edges, dtype=np.uint64)
+            yield np.array(edges) + start
+
+
+def _linked(dealt: DataFrame, radius: int) -> DataFrame:
+    """Distinct links (a, b) between nodes that share a bucket and lie within the radius.
+
+    ``dealt`` has rows (bucket, node, print as array of longs). Buckets
+    stream through their task; one bucket is held at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, prints = np.empty(0, np.int64), np.empty(0, np.int64), None
+
+        def links(n: int) -> Iterator[pa.RecordBatch]:
+            for pairs in _bucket_links(keys[:n], prints[:n], radius):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
+            nodes = np.concatenate((nodes, batch.column(1).to_numpy(zero_copy_only=False)))
+            prints = fresh if prints is None else np.concatenate((prints, fresh))
+            whole = np.searchsorted(keys, keys[-1])  # the last bucket may go on in the next batch
+            if whole:
+                yield from links(whole)
+                keys, nodes, prints = keys[whole:], nodes[whole:], prints[whole:]
+        if len(keys):
+            yield from links(len(keys))
+
+    by_bucket = dealt.select("bucket", "node", "print").repartition("bucket").sortWithinPartitions("bucket")
+    return by_bucket.mapInArrow(run, "a long, b long").distinct()
 
 
 def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -132,27 +166,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
             key = F.shiftleft(key, width).bitwiseOR(part)
         bands.append(key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def links(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for pairs in _bucket_links(k, v, radius):
-                signed = np.ascontiguousarray(pairs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy())], names=["a", "b"])
-
-        for batch in batches:
-            keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
-            values = np.concatenate((values, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if len(keys) and keys[0] != keys[-1]:  # the last bucket may go on in the next batch
-                whole = np.searchsorted(keys, keys[-1])
-                yield from links(keys[:whole], values[:whole])
-                keys, values = keys[whole:], values[whole:]
-        if len(keys):
-            yield from links(keys, values)
-
-    dealt = prints.select(F.explode(F.array(*bands)).alias("bucket"), "fingerprint")
-    by_bucket = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(run, "a long, b long").distinct()
+    return _linked(prints.select(F.explode(F.array(*bands)).alias("bucket"), F.col("fingerprint").alias("node"), F.array("fingerprint").alias("print")), radius)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -175,6 +189,66 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(known, "fingerprint").select("id", "fingerprint", F.col("component_id").alias("component"))
 
 
+def wide_fingerprint(text: str | None, shingle: int, words: int, anchors: int) -> tuple[np.ndarray, list[int]]:
+    """A SimHash of ``words`` 64-bit words over distinct shingles, and anchor hashes.
+
+    An anchor is the least shingle hash under one of ``anchors`` orders.
+    """
+    parts = (text or "").encode().translate(_LOWER).split()
+    if not parts:
+        return np.zeros(words, np.uint64), []
+    k = min(shingle, len(parts))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array(sorted({digest(b" ".join(parts[i : i + k])) for i in range(len(parts) - k + 1)}), dtype=np.uint64)
+    out = np.empty(words, "<u8")
+    for w in range(words):
+        mixed, ones = _mixed(hashes, w), np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(mixed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out, [int(_mixed(hashes, words + i).min().view(np.int64)) for i in range(anchors)]
+
+
+def _mixed(hashes: np.ndarray, order: int) -> np.ndarray:
+    x = (hashes ^ np.uint64(order * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def similarity_radius(similarity: float, bits: int) -> int:
+    """Differing bits to expect at a Jaccard similarity, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, anchors: int = 8) -> DataFrame:
+    """(id, component) per row with an id: groups of documents of given similarity.
+
+    Documents whose distinct ``shingle``-word shingles have a Jaccard similarity
+    of ``similarity`` or more differ in few bits of a wide SimHash. Fingerprints
+    meet in the tiles of their anchors (at 0.8, two documents share none of
+    eight in three of a million cases) and are compared there bit by bit.
+    ``component`` is the smallest id reachable. Rows without id are left out;
+    all texts without words are one group; repeated rows stay repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_small_batches(batches):
+            found = [wide_fingerprint(x, shingle, words, anchors) for x in batch.column(1).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(p.tobytes()) for p, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["id", "node", "print", "anchors"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    rows = staged(source.mapInArrow(run, "id long, node long, print array<long>, anchors array<long>"))
+    distinct = staged(rows.groupBy("node").agg(F.min("id").alias("low"), F.min_by(F.struct("print", "anchors"), "id").alias("x")).select("node", "low", "x.*"))
+    dealt = distinct.select(F.posexplode("anchors").alias("i", "anchor"), "node", "print").withColumn("bucket", F.xxhash64("i", "anchor"))
+    groups = connected_components(_linked(dealt, similarity_radius(similarity, 64 * words)))
+    named = distinct.select("node", "low").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = named.join(lows, "component").select("node", "component_id")
+    return rows.select("id", "node").join(known, "node").select("id", F.col("component_id").alias("component"))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(

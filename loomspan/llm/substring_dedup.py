@@ -142,9 +142,11 @@ def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch.slice(start), texts
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text); a null id stands before all others."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.col(text_col).cast("string").alias("text"))
+def _documents(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
+    """(doc, text, kept as one struct); a null id stands before all others."""
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    kept = F.struct(F.lit(0).alias("_none"), *[F.col(c) for c in keep])
+    return docs.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text"), kept.alias("kept"))
 
 
 def _found_segments(docs: DataFrame, window: int) -> DataFrame:
@@ -160,20 +162,21 @@ def _found_segments(docs: DataFrame, window: int) -> DataFrame:
             place = (bits[text] << 39) | (start << 7) | size
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, doc[text], place)], names=["key", "content", "doc", "place"])
 
-    return docs.mapInArrow(run, "key long, content long, doc long, place long")
+    return docs.select("doc", "text").mapInArrow(run, "key long, content long, doc long, place long")
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, bits, packed): rows with their text compressed for the shuffle."""
+    """(doc, bits, packed, kept): rows with their text compressed for the shuffle."""
+    kept = docs.schema["kept"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch, texts in _small(batches, 1):
             bits = pa.array([_text_bits(t) for t in texts], pa.int64())
             packed = pa.array([pack(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), bits, packed], names=["doc", "bits", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), bits, packed, batch.column(2)], names=["doc", "bits", "packed", "kept"])
 
-    return docs.mapInArrow(run, "doc long, bits long, packed binary")
+    return docs.mapInArrow(run, f"doc long, bits long, packed binary, kept {kept}")
 
 
 def _sort_out(occurrences: DataFrame) -> DataFrame:
@@ -411,8 +414,8 @@ def repeated_places(docs: DataFrame, window: int = 20) -> DataFrame:
     return copies.union(hot_copies).union(windows).union(_indexed(fetched.where("words IS NOT NULL"), window))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256, text) per row.
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, keep: list[str] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256, text) per row, with the ``keep`` columns.
 
     A word goes if a window of ``window`` words that covers it also starts
     earlier: in a row of smaller id (null ids first; rows of one id by hash of
@@ -424,7 +427,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if not RUN < window < 128:
         raise ValueError(f"a window has more than {RUN} and less than 128 words")
-    source = _documents(docs, id_col, text_col)
+    source = _documents(docs, id_col, text_col, keep)
     places = repeated_places(source, window)
     lists = places.withColumn("bits", F.shiftrightunsigned("place", 39)).groupBy("doc", "bits").agg(F.collect_list(F.col("place").bitwiseAND((1 << 39) - 1)).alias("places"))
 
@@ -432,14 +435,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in in_small_batches(batches, 256):
             out = []
-            for doc, packed, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, packed, places in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 text = unpack(packed)
                 out.append((None if doc == -(1 << 63) else doc, *cut(text, places or [], window)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "n_words", "n_removed", "kept_sha256", "text"])
+            arrays = [*(pa.array(c, t) for c, t in zip(zip(*out), kinds)), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_words", "n_removed", "kept_sha256", "text", "kept"])
 
-    joined = _packed_texts(source).join(lists, ["doc", "bits"], "left").select("doc", "packed", "places")
-    return joined.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string, text string")
+    joined = _packed_texts(source).join(lists, ["doc", "bits"], "left").select("doc", "packed", "places", "kept")
+    kept = source.schema["kept"].dataType.simpleString()
+    done = joined.mapInArrow(run, f"id long, n_words long, n_removed long, kept_sha256 string, text string, kept {kept}")
+    return done.select("id", "n_words", "n_removed", "kept_sha256", "text", *[f"kept.{c}" for c in keep])
 
 
 def cut(text: bytes, places: list[int], window: int) -> tuple[int, int, str, str]:

@@ -194,7 +194,7 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -
 def _matched(docs: DataFrame, grammar: ClauseGrammar, weights: np.ndarray | None, keep: list[str]) -> DataFrame:
     """``keep`` columns with the pattern counts, and the score if there are weights."""
     shared = docs.sparkSession.sparkContext.broadcast((grammar, weights))
-    source = docs.select("text", *keep)
+    source = docs.select(F.col("text").cast("string").alias("scored_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w = shared.value
@@ -234,8 +234,7 @@ def score(docs: DataFrame, grammar: ClauseGrammar, weights: np.ndarray, keep: li
     Null and empty texts match nothing and get the score of the intercept.
     Every row is scored on its own; repeated rows get the same score.
     """
-    source = docs.withColumn("text", F.col("text").cast("string"))
-    return _matched(source, grammar, weights, keep).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return _matched(docs, grammar, weights, keep).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
