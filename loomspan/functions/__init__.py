@@ -1 +1 @@
-"""functions"""
+"""Column builders: addressed draws, samplers, strings, numbers and ids."""

@@ -1 +1 @@
-"""operators"""
+"""Operators over instance tables: blocks, references, timeline, packing."""

@@ -1,0 +1,51 @@
+"""Structure blocks as operations on instance tables.
+
+An instance table has one row per stamp of a block: ``trace_index``, ``path``
+(its address as text), ``ord_path`` (sibling positions and iterations from the
+root, the sort key of pre-order) and one column per enclosing draw.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def traces(keys: DataFrame, key: str) -> DataFrame:
+    """Root instances, one per row of ``keys``."""
+    return keys.select(F.col(key).cast("bigint").alias("trace_index"), F.lit("").alias("path"), F.expr("cast(array() as array<int>)").alias("ord_path"))
+
+
+def of_template(roots: DataFrame, template: int, templates: int) -> DataFrame:
+    """Traces take the templates in turn."""
+    return roots.where(F.pmod("trace_index", F.lit(templates)) == template)
+
+
+def span(parent: DataFrame, name: str, position: int) -> DataFrame:
+    """One child instance per parent instance."""
+    return parent.withColumns({"path": F.concat("path", F.lit(f"/{name}")), "ord_path": F.concat("ord_path", F.array(F.lit(position)))})
+
+
+def repeat(parent: DataFrame, name: str, position: int, count: Column) -> DataFrame:
+    """``count`` iterations per parent, none for 0; a negative count is an error.
+
+    Adds ``index_<name>`` and ``count_<name>``; the iteration is part of the
+    path, so what is drawn inside is drawn anew each time.
+    """
+    checked = F.when(count < 0, F.raise_error(F.lit("a count is negative")).cast("bigint")).otherwise(count.cast("bigint"))
+    counted = parent.withColumn(f"count_{name}", checked)
+    each = F.when(F.col(f"count_{name}") > 0, F.sequence(F.lit(0).cast("bigint"), F.col(f"count_{name}") - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    index = F.col(f"index_{name}")
+    return counted.withColumn(f"index_{name}", F.explode(each)).withColumns({"path": F.concat("path", F.lit(f"/{name}#"), index), "ord_path": F.concat("ord_path", F.array(F.lit(position), index.cast("int")))})
+
+
+def choose(parent: DataFrame, name: str, position: int, options: int, u: Column) -> DataFrame:
+    """Adds ``chosen_<name>``; a child of the choice keeps the rows that chose it."""
+    return parent.withColumns({f"chosen_{name}": F.floor(u * options), "path": F.concat("path", F.lit(f"/{name}")), "ord_path": F.concat("ord_path", F.array(F.lit(position)))})
+
+
+def maybe(parent: DataFrame, name: str, position: int, chance: Column | float, u: Column) -> DataFrame:
+    """Adds ``included_<name>``; children keep the rows where it is true."""
+    p = chance if isinstance(chance, Column) else F.lit(chance)
+    checked = F.when((p < 0) | (p > 1), F.raise_error(F.lit("a chance is not in 0..1")).cast("double")).otherwise(p)
+    return parent.withColumns({f"included_{name}": u < checked, "path": F.concat("path", F.lit(f"/{name}")), "ord_path": F.concat("ord_path", F.array(F.lit(position)))})

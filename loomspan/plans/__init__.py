@@ -1 +1 @@
-"""plans"""
+"""Shapes, and the registered queries of the trace engine."""

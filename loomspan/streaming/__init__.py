@@ -1 +1 @@
-"""streaming"""
+"""Traces from a stream of ticks."""
