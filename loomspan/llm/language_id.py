@@ -44,7 +44,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), lengths)
     hashes, owners = [], []
     for n in ORDERS:
-        last = len(codes) - n + 1
+        last = max(0, len(codes) - n + 1)
         inner = np.ones(last, bool)
         for i in range(1, n - 1):
             inner &= letter[i : i + last]
