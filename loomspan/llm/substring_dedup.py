@@ -374,6 +374,8 @@ def _indexed(contents: DataFrame, window: int) -> DataFrame:
                 if held >= SHARD_WORDS and key != keys[-1]:
                     yield closed(len(keys))
                     keys, docs, places, words, held = [], [], [], [], 0
+                if keys and (key, doc, place) == (keys[-1], docs[-1], places[-1]):  # from a repeated row
+                    continue
                 keys.append(key), docs.append(doc), places.append(place), words.append(word)
                 held += len(word) // WORD_BYTES
         if keys:
