@@ -12,6 +12,8 @@ by hash. Everything is DataFrame work; all draws are hashes, so reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS = 1.5, 2
 #: Documents a block, and most blocks a source (a larger source has larger blocks).
 BLOCK_DOCS, MOST_BLOCKS = 256, 1 << 16
-LEVELS = 4
+#: Documents an output shard, and most levels of the tree that splits the mix among shards.
+SHARD_DOCS, MOST_LEVELS = 16_384, 16
 
 
 def uniform(*address: Column) -> Column:
@@ -84,7 +87,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return free.select("source", "source_size", "docs", "place", target.alias("target"))
 
 
-def shard_quotas(draws: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFrame:
+def shard_quotas(draws: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     """(place, ends): for each source the running sum of its quotas over 2**levels shards.
 
     ``draws`` has (place, draws): exact numbers of blocks to deal. One row per
@@ -110,18 +113,21 @@ def shard_quotas(draws: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataF
     return in_order.groupBy("place").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["end"]).alias("ends"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = LEVELS, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int | None = None, seed: int = 0) -> DataFrame:
     """(id, source, size, source_size, target, draws) per input row.
 
     ``draws`` lists the document's places in the mix as (pass, shard, order,
     words): whole passes first, then what the last, partial pass takes of it
     (the document where that pass ends gives its first ``words`` words).
+    There are 2**levels shards, by default one for every SHARD_DOCS documents.
     Null texts and texts without words have size 0 and draws of 0 words; null
     sources are one source; repeated rows are documents of their own. An empty
     table gives an empty result.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size")))
+    if levels is None:
+        levels = min(MOST_LEVELS, max(1, math.ceil(math.log2(max(1, sized.count()) / SHARD_DOCS))))
     targets = source_targets(sized)
     blocks = F.least(F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(MOST_BLOCKS)).cast("long")
     quota = F.round("target").cast("long")
@@ -166,11 +172,12 @@ def mixed_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Dat
     Rows come in their shards, each in its own shuffled order, with ``text``
     cut to the words drawn where the mix ends inside a document.
     """
-    drawn = mixed.select("id", "size", F.explode("draws").alias("draw")).where("draw.words > 0")
+    drawn = mixed.select(F.col("id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.explode("draws").alias("__mix_draw")).where("__mix_draw.words > 0")
     words = F.filter(F.split("text", WORD_SPACE), lambda w: w != "")
-    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("draw.words").cast("int")), " ")).otherwise(F.col("text"))
-    kept = docs.join(drawn, docs[id_col] == drawn.id).withColumn("text", text)
-    shards = kept.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.order", "draw.pass")
+    count = F.col("__mix_draw.words")
+    text = F.when(count < F.col("__mix_size"), F.array_join(F.slice(words, 1, count.cast("int")), " ")).otherwise(F.col("text"))
+    kept = docs.join(drawn, F.col(id_col) == F.col("__mix_id")).withColumn("text", text)
+    shards = kept.repartition("__mix_draw.shard").sortWithinPartitions("__mix_draw.shard", "__mix_draw.order", "__mix_draw.pass")
     return shards.select(*docs.columns)
 
 
