@@ -103,6 +103,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _search_shard(k: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
+        right = right[~pd.DataFrame({"id": right["id"], "vec": right["vec"].map(lambda v: v.tobytes())}).duplicated()]  # repeated rows
         if len(left) and len(right):
             for dim, points in right.groupby(right["vec"].map(len)):
                 queries = left[left["vec"].map(len) == dim]
@@ -122,7 +123,7 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec as array of double) of the rows that take part.
 
     Null ids, null vectors and vectors with a null, NaN or infinite component
-    are left out. Repeated rows of one id and vector count once.
+    are left out.
     """
     vec = F.col(vec_col).cast("array<double>")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -130,7 +131,6 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
         .where(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
         .where(~bad)
-        .dropDuplicates(["id", "vec"])
     )
 
 
@@ -138,12 +138,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shards: int
     """(query_id, rank, vec_id, score) of each query's k best candidates.
 
     Score: inner product of the vectors floor(256 x). Ties go to the smaller
-    id. A query has fewer rows if fewer candidates exist. Vectors of another
-    dimension are no candidates. Shards hold about 16,384 candidates each, so
+    id. A query has fewer rows if fewer candidates exist. Repeated rows of one
+    id and vector count once; vectors of another dimension are no candidates. Shards hold about 16,384 candidates each, so
     that a task's memory stays the same at any size.
     """
     points = usable_vectors(vectors, id_col, vec_col)
-    asked = usable_vectors(queries, id_col, vec_col)
+    asked = usable_vectors(queries, id_col, vec_col).dropDuplicates(["id", "vec"])
     n = shards or max(1, -(-vectors.count() // 16384))
     home = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     placed = points.withColumn("shard", home)
