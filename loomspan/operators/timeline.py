@@ -39,17 +39,22 @@ def last_descendants(events: DataFrame, lengths: list[int]) -> DataFrame:
     return events.withColumn("last", found)
 
 
-def anchors(counts: DataFrame, now_micros: int, over_micros: int, spread=linear) -> DataFrame:
-    """(trace_index, anchor in micros) from (trace_index, place, events).
+def totals(events: DataFrame) -> DataFrame:
+    """One row: events of the longest trace, and traces. Reads no field of the events."""
+    counts = events.groupBy("trace_index").agg(F.count("*").alias("events"))
+    return counts.agg(F.max("events").alias("longest"), F.count("*").alias("traces"))
 
-    ``place`` numbers the traces from 0. The longest trace must fit the window.
+
+def anchored(rows: DataFrame, whole: DataFrame, place: Column, now_micros: int, over_micros: int, spread=linear) -> DataFrame:
+    """Adds ``anchor`` in micros, from each trace's place (from 0) among all.
+
+    ``whole`` is the one row of ``totals``. The longest trace must fit the window.
     """
-    whole = counts.agg(F.max("events").alias("longest"), F.count("*").alias("n"))
     usable = F.lit(over_micros) - F.col("longest") * SLOT_MICROS
     checked = F.when(usable < 0, F.raise_error(F.lit("the window is too short")).cast("bigint")).otherwise(usable)
-    ratio = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("place") / (F.col("n") - 1))
+    ratio = F.when(F.col("traces") == 1, F.lit(1.0)).otherwise(place / (F.col("traces") - 1))
     at = F.lit(now_micros - over_micros) + F.floor(checked * spread(ratio))
-    return counts.crossJoin(F.broadcast(whole)).select("trace_index", at.alias("anchor"))  # one row of totals
+    return rows.crossJoin(F.broadcast(whole)).withColumn("anchor", at).drop("longest", "traces")  # one row
 
 
 def slots(events: DataFrame) -> DataFrame:

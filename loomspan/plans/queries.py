@@ -481,14 +481,13 @@ def _ended(spark, d) -> DataFrame:
     return timeline.last_descendants(timeline.ordinals(_tree(spark, d)), [0, 1, 2, 3])
 
 
-def _anchored(spark, d) -> DataFrame:
-    counts = _tree(spark, d).groupBy("trace_index").agg(F.count("*").alias("events")).withColumn("place", _key())
-    return timeline.anchors(counts, NOW, OVER)
+def _anchored(spark, d, rows: DataFrame) -> DataFrame:
+    return timeline.anchored(rows, timeline.totals(_tree(spark, d)), _key(), NOW, OVER)
 
 
 @_add("time_anchor", f"WITH {_COUNTS} SELECT trace_index, anchor FROM anchors")
 def _(spark, d):
-    return _anchored(spark, d)
+    return _anchored(spark, d, _roots(spark, d)).select("trace_index", "anchor")
 
 
 _SLOTS = f"""{_COUNTS}, e AS (
@@ -502,7 +501,7 @@ s AS (SELECT l.trace_index, name, CAST(ordinal AS INTEGER) AS ordinal, anchor +
 
 
 def _slotted(spark, d) -> DataFrame:
-    return timeline.slots(_ended(spark, d).join(_anchored(spark, d), "trace_index"))
+    return timeline.slots(_anchored(spark, d, _ended(spark, d)))
 
 
 @_add("time_slots", f"WITH {_SLOTS} SELECT trace_index, name, ordinal, start_micros, end_micros FROM s")

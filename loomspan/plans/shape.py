@@ -146,12 +146,12 @@ def generate(roots: DataFrame, shape: Span, seed: int, now_micros: int, over_mic
 
     ``roots`` has one row a trace: trace_index (numbered from 0), path and
     ord_path as ``blocks.traces`` gives them, and any columns that fields use.
-    One shuffle by trace serves order, subtree ends and counts.
+    One shuffle by trace serves order and subtree ends; a second pass over the
+    structure alone, without any field, finds the longest trace.
     """
     events, lengths = compile_shape(roots, shape, seed)
     ended = timeline.last_descendants(timeline.ordinals(events), lengths)
-    counts = ended.groupBy("trace_index").agg(F.count("*").alias("events")).withColumn("place", F.col("trace_index"))
-    placed = ended.join(timeline.anchors(counts, now_micros, over_micros, spread), "trace_index")
+    placed = timeline.anchored(ended, timeline.totals(events), F.col("trace_index"), now_micros, over_micros, spread)
     timed = timeline.slots(placed).withColumn("created", timeline.created(F.col("start_micros")))
     stamps = F.create_map(F.lit("start"), F.col("start_micros") / 1e6, F.lit("end"), F.col("end_micros") / 1e6)
     return timeline.linked(timed.withColumn("metrics", F.map_concat("metrics", stamps)), salt)
