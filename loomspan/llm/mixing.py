@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.draws import draw
 from loomspan.llm.common import WORD_SPACE, staged
 
 WEIGHTS = (5, 2, 1)
@@ -27,11 +28,6 @@ BLOCK_DOCS, MOST_BLOCKS = 256, 1 << 16
 SHARD_DOCS, MOST_LEVELS = 16_384, 16
 
 
-def uniform(*address: Column) -> Column:
-    """A draw in [0, 1) that depends on its address only."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *address).cast("binary")), 1, 13), 16, 10).cast("double") / 2.0**52
-
-
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``marked`` among ``total`` fall in a draw of ``drawn``: inverse of u.
 
@@ -99,7 +95,7 @@ def shard_quotas(draws: DataFrame, levels: int, seed: int = 0) -> DataFrame:
         start = F.struct(size.alias("left"), F.floor(size / 2).alias("want"), F.expr("cast(array() as array<struct<place:int,n:bigint>>)").alias("out"))
 
         def split(acc: Column, x: Column) -> Column:
-            got = hypergeometric(acc["left"], x["n"], acc["want"], uniform(F.lit(seed), F.col("node"), x["place"]))
+            got = hypergeometric(acc["left"], x["n"], acc["want"], draw(seed, F.col("node"), x["place"]))
             out = F.concat(acc["out"], F.array(F.struct(x["place"].alias("place"), got.alias("n"))))
             return F.struct((acc["left"] - x["n"]).alias("left"), (acc["want"] - F.element_at(out, -1)["n"]).alias("want"), out.alias("out"))
 
@@ -157,12 +153,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ending = rows.where("ends_here").withColumn("ahead", F.coalesce(ahead, F.lit(0)))
     others = rows.where("ends_here IS NULL OR NOT ends_here").withColumn("ahead", F.lit(0).cast("long"))
 
-    def draw(x: Column) -> Column:
+    def place(x: Column) -> Column:
         part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), x["left"] - F.col("ahead")))
         count = F.when(x["left"].isNull(), F.col("size")).otherwise(part)
         return F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed), x["pass"], "id").alias("order"), count.alias("words"))
 
-    draws = F.coalesce(F.transform("plan", draw), F.expr("cast(array() as array<struct<pass:bigint,shard:int,order:bigint,words:bigint>>)"))
+    draws = F.coalesce(F.transform("plan", place), F.expr("cast(array() as array<struct<pass:bigint,shard:int,order:bigint,words:bigint>>)"))
     return ending.unionByName(others).select("id", "source", "size", "source_size", "target", draws.alias("draws"))
 
 

@@ -183,9 +183,10 @@ def repeating(seed, docs=60):
     return rows
 
 
-@pytest.mark.parametrize("hot, shard", [(4096, 1 << 17), (4, 200)])
-def test_substring_dedup_equals_brute_force(spark, monkeypatch, hot, shard):
+@pytest.mark.parametrize("hot, many, shard", [(1 << 20, 4096, 1 << 17), (1 << 20, 2, 200), (4, 4096, 200)])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, hot, many, shard):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "MANY", many)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     rows = repeating(3)
     got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), window=12)
@@ -266,7 +267,7 @@ def test_hypergeometric_draws(spark):
 
     total, marked, drawn, n = 40, 15, 12, 20_000
     args = [F.lit(x).cast("long") for x in (total, marked, drawn)]
-    got = Counter(r.x for r in spark.range(n).select(mixing.hypergeometric(*args, mixing.uniform(F.col("id"))).alias("x")).collect())
+    got = Counter(r.x for r in spark.range(n).select(mixing.hypergeometric(*args, mixing.draw(F.col("id"))).alias("x")).collect())
     for x in range(drawn + 1):
         assert abs(got[x] / n - comb(marked, x) * comb(total - marked, drawn - x) / comb(total, drawn)) < 0.015
 
