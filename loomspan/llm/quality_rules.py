@@ -36,14 +36,13 @@ def _count(text: Column, characters: str) -> Column:
     return (F.char_length(text) - F.char_length(_without(text, characters))).cast("long")
 
 
-def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its statistics added; the text column is dropped.
+def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with the statistics of the text; no others of ``docs``.
 
     Null texts count as empty: all counts and shares 0. Texts without repeated
     windows or lines never enter the sort that finds the repeats.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keep = [c for c in docs.columns if c != text_col]
     base = docs.select(*keep, text.alias("_t"))
     split = base.select("*", F.filter(F.split("_t", WORD_SPACE), lambda w: w != "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: _without(x, _SPACES) != "").alias("_l"))
     gram = F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)]))
@@ -203,17 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("bad"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
-    measured = staged(text_statistics(sample))  # a filter on what is computed would be pushed below it and compute it again
+    measured = staged(text_statistics(sample, keep=["doc_id", "bad"]))  # a filter on what is computed would be pushed below it and compute it again
     growing = F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0
     return learn(staged(measured.where(~base_failed()).select(*FEATURES, "bad", growing.alias("growing")).coalesce(1)))
 
 
-def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with statistics, ``base_failed`` and ``kept``.
+def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with statistics, ``base_failed`` and ``kept``.
 
     Repeated rows are judged alike; an empty table gives an empty result.
     """
-    measured = text_statistics(docs, text_col).withColumn("base_failed", base_failed())
+    measured = text_statistics(docs, text_col, keep).withColumn("base_failed", base_failed())
     return measured.withColumn("kept", ~F.col("base_failed") & decision_list(rules))
 
 
