@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import byte_letters, in_small_batches, staged, texts_of
 
-#: Documents whose pre-tokens may enter the broadcast table, and its most entries.
-SAMPLE_DOCS, HEAD_ENTRIES = 4096, 1 << 17
+#: Documents to expect in the sample that the broadcast table comes from, and its most entries.
+SAMPLE_DOCS, HEAD_ENTRIES = 12_288, 400_000
 
 # Texts of these characters only are split by the expression below just as the
 # library does; all others go through the library's own pre-tokenizer.
@@ -118,7 +118,8 @@ def head_pieces(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entr
                 found.update(own.split(text)[0])
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["token", "n"])
 
-    sample = docs.select("text").limit(sample_docs).repartition(8).mapInArrow(run, "token string, n long")
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    sample = docs.select("text").sample(share, seed=0).mapInArrow(run, "token string, n long")
     top = sample.groupBy("token").agg(F.sum("n").alias("n")).where("length(token) <= 64").orderBy(F.desc("n"), "token").limit(entries)
     return {r.token: r.pieces for r in _piece_counts(top.select("token"), path).collect()}
 
