@@ -31,7 +31,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 RUN = 5  # words of the short runs that make keys
-HOT = 4096  # segments a key from which on the key is split further
+HOT = 1 << 20  # segments of a key that one task takes (32 bytes each); beyond, copies meet by partial aggregation
+MANY = 4096  # different segments of a key that one index takes; beyond, the key parts by window
 SHARD_WORDS = 1 << 17  # words an FM-index, but for a key that has more
 WORD_BYTES = 6  # of a word's hash, kept in the index
 
@@ -184,7 +185,8 @@ def _sort_out(occurrences: DataFrame) -> DataFrame:
 
     Gives rows (key, doc, place, kind): kind 0, a later occurrence of the same
     content, repeats whole; kind 1, the first occurrence of a content whose key
-    has other contents, is for the index.
+    has other contents, is for the index; kind 2 is the same for a key of too
+    many contents, to be parted by window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +197,12 @@ def _sort_out(occurrences: DataFrame) -> DataFrame:
             new_key = np.concatenate(([True], key[1:] != key[:-1]))
             first = new_key | np.concatenate(([True], content[1:] != content[:-1]))
             of_key = np.cumsum(new_key) - 1
-            several = np.bincount(of_key, weights=first)[of_key] > 1
+            contents = np.bincount(of_key, weights=first)[of_key]
             lead = np.flatnonzero(first)[np.cumsum(first) - 1]
             later = (doc != doc[lead]) | (place != place[lead])  # not so for a repeated row
-            at = np.flatnonzero(later | (first & several))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], doc[at], place[at], first[at].astype(np.int64))], names=["key", "doc", "place", "kind"])
+            kind = np.where(first, np.where(contents > MANY, 2, 1), 0)
+            at = np.flatnonzero(later | (first & (contents > 1)))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], doc[at], place[at], kind[at])], names=["key", "doc", "place", "kind"])
 
         for batch in batches:
             held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])), axis=1)
@@ -408,7 +411,7 @@ def repeated_places(docs: DataFrame, window: int = 20) -> DataFrame:
     # copies of one content first; a hot key's distinct contents part by window
     firsts = staged(hot.groupBy("key", "content").agg(F.min(F.struct("doc", "place")).alias("first")))
     split = firsts.select("key", "first.doc", "first.place", F.lit(True).alias("split"))
-    wanted = cold.where("kind = 1").select("key", "doc", "place", F.lit(False).alias("split")).union(split)
+    wanted = cold.where("kind > 0").select("key", "doc", "place", (F.col("kind") == 2).alias("split")).union(split)
     fetched = staged(_extracted(docs, wanted, window))
     copies = cold.where("kind = 0").select("doc", "place")
     hot_copies = hot.join(firsts, ["key", "content"]).where("doc <> first.doc OR place <> first.place").select("doc", "place")
