@@ -13,12 +13,15 @@ rather than all pairs, and components are joined on Spark.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from loomspan.llm.common import staged, connected_components, in_small_batches
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 TILE = 2048
+HELD = 1 << 27  # bytes of shingle hashes that a task holds in memory; beyond, they lie in a temporary file
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -74,12 +78,53 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+class Exact:
+    """Test of Jaccard similarity on sorted distinct shingle hashes, one array a row.
+
+    ``reach`` has the radii of similarity_radius, beyond which no test is made.
+    """
+
+    def __init__(self, sets: list[np.ndarray], similarity: float, reach: tuple[int, int]):
+        self.sets, self.similarity, self.reach = sets, similarity, reach
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def part(self, start: int, end: int) -> Exact:
+        return Exact(self.sets[start:end], self.similarity, self.reach)
+
+    def similar(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` are as similar to ``row`` as is asked."""
+        own, sizes = self.sets[row], self.sizes[others]
+        least, most = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
+        out = np.zeros(len(others), bool)
+        todo = np.flatnonzero(least >= self.similarity * most - 1e-9)
+        while len(todo):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[todo]), 1 << 20)))
+            at, todo = todo[:n], todo[n:]
+            found = np.concatenate([self.sets[i] for i in others[at].tolist()])
+            same = own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
+            common = np.add.reduceat(same, np.cumsum(sizes[at]) - sizes[at], dtype=np.int64)
+            out[at] = common >= self.similarity * (sizes[at] + len(own) - common) - 1e-9
+        return out
+
+    def links(self, far: np.ndarray, tile: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``other`` some row of ``tile`` links, and the place of that row."""
+        tiny, wide = self.reach
+        near = far <= np.where(np.maximum(self.sizes[tile][:, None], self.sizes[other][None, :]) > TINY, wide, tiny)
+        reached, by = np.zeros(len(other), bool), np.zeros(len(other), np.int64)
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            at = np.flatnonzero(near[i] & ~reached)
+            at = at[self.similar(int(tile[i]), other[at])]
+            reached[at], by[at] = True, i
+        return reached, by
+
+
+def _forest(prints: np.ndarray, radius: int, exact: Exact | None = None) -> list[tuple[int, int]]:
     """Spanning forest, as pairs of row numbers, of the links among fingerprints.
 
     ``left`` holds what no tree has reached, sorted by population count. Each
     tile of the frontier is compared with the tiles of ``left`` in reach of its
-    population counts; what it reaches becomes the next frontier.
+    population counts; what it reaches becomes the next frontier. With
+    ``exact``, pairs within the radius are candidates that have to pass it.
     """
     edges: list[tuple[int, int]] = []
     counts = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
@@ -93,17 +138,21 @@ def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
             hit = np.zeros(len(left), bool)
             for at in range(low, high, TILE):
                 other = left[at : min(at + TILE, high)]
-                near = _far(prints[tile], prints[other]) <= radius
-                reached = near.any(axis=0)
+                far = _far(prints[tile], prints[other])
+                if exact is None:
+                    near = far <= radius
+                    reached, by = near.any(axis=0), near.argmax(axis=0)
+                else:
+                    reached, by = exact.links(far, tile, other)
                 if reached.any():
-                    edges += zip(tile[near.argmax(axis=0)[reached]].tolist(), other[reached].tolist())
+                    edges += zip(tile[by[reached]].tolist(), other[reached].tolist())
                     hit[at : at + len(other)] = reached
             if hit.any():
                 frontier, left = np.concatenate((frontier, left[hit])), left[~hit]
     return edges
 
 
-def _bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+def _bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int, exact: Exact | None = None) -> Iterator[np.ndarray]:
     """Links, as pairs of row numbers, of whole buckets; rows are sorted by key."""
     bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(bounds)
@@ -113,26 +162,45 @@ def _bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> Iterator
             break
         at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
         at = at[np.bitwise_count(prints[at] ^ prints[at + lag]).sum(axis=1, dtype=np.int64) <= radius]
+        if exact is not None:
+            at = at[[exact.similar(i, np.array([i + lag]))[0] for i in at.tolist()]] if len(at) else at
         if len(at):
             yield np.stack((at, at + lag), axis=1)
     for start, size in zip(bounds[:-1][sizes > 8].tolist(), sizes[sizes > 8].tolist()):
-        if edges := _forest(prints[start : start + size], radius):
+        if edges := _forest(prints[start : start + size], radius, exact and exact.part(start, start + size)):
             yield np.array(edges) + start
 
 
-def _linked(dealt: DataFrame, radius: int) -> DataFrame:
+def _on_disk(values: np.ndarray) -> np.ndarray:
+    with tempfile.TemporaryFile() as file:
+        file.write(values)
+        file.flush()
+        return np.memmap(file, values.dtype, "r")  # lives on without the file's name
+
+
+def _linked(dealt: DataFrame, radius: int, similar: tuple[float, tuple[int, int]] | None = None, grouped: bool = False) -> DataFrame:
     """Distinct links (a, b) between nodes that share a bucket and lie within the radius.
 
     ``dealt`` has rows (bucket, node, print as array of longs). Buckets
-    stream through their task; one bucket is held at a time.
+    stream through their task; one bucket is held at a time. With
+    ``similar``, a similarity and its radii, rows also have sorted distinct
+    shingle ``hashes`` (binary), and links pass the exact test. With ``grouped``, the result is (bucket,
+    node) of the trees of links; trees of the same nodes are one bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, prints = np.empty(0, np.int64), np.empty(0, np.int64), None
+        keys, nodes, prints, sets = np.empty(0, np.int64), np.empty(0, np.int64), None, []
 
         def links(n: int) -> Iterator[pa.RecordBatch]:
-            for pairs in _bucket_links(keys[:n], prints[:n], radius):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
+            exact = None if similar is None else Exact(sets[:n], *similar)
+            pairs = _bucket_links(keys[:n], prints[:n], radius, exact)
+            if grouped:
+                for members in _trees(pairs):
+                    found = np.sort(nodes[members])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), xxhash.xxh64_intdigest(found.tobytes()), np.uint64).view(np.int64)), pa.array(found)], names=["bucket", "node"])
+                return
+            for pair in pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[pair[:, 0]]), pa.array(nodes[pair[:, 1]])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -141,15 +209,40 @@ def _linked(dealt: DataFrame, radius: int) -> DataFrame:
             keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
             nodes = np.concatenate((nodes, batch.column(1).to_numpy(zero_copy_only=False)))
             prints = fresh if prints is None else np.concatenate((prints, fresh))
+            if similar is not None:
+                values = [np.frombuffer(x, "<u8") for x in batch.column(3).to_pylist()]
+                ends = np.cumsum([len(x) for x in values]).tolist()
+                values = np.concatenate(values)
+                if 8 * (sum(map(len, sets)) + len(values)) > HELD:
+                    values = _on_disk(values)
+                sets += [values[a:b] for a, b in zip([0, *ends], ends)]
             whole = np.searchsorted(keys, keys[-1])  # the last bucket may go on in the next batch
             if whole:
                 yield from links(whole)
-                keys, nodes, prints = keys[whole:], nodes[whole:], prints[whole:]
+                keys, nodes, prints, sets = keys[whole:], nodes[whole:], prints[whole:], sets[whole:]
         if len(keys):
             yield from links(len(keys))
 
-    by_bucket = dealt.select("bucket", "node", "print").repartition("bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(run, "a long, b long").distinct()
+    by_bucket = dealt.select("bucket", "node", "print", *(["hashes"] if similar else [])).repartition("bucket").sortWithinPartitions("bucket")
+    return by_bucket.mapInArrow(run, "bucket long, node long" if grouped else "a long, b long").distinct()
+
+
+def _trees(links: Iterator[np.ndarray]) -> Iterator[list[int]]:
+    """Row numbers of each tree of two or more that the links form."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above.setdefault(above[x], above[x])
+        return x
+
+    for pairs in links:
+        for a, b in pairs.tolist():
+            above[root(a)] = root(b)
+    members: dict[int, list[int]] = {}
+    for x in list(above):
+        members.setdefault(root(x), []).append(x)
+    yield from members.values()
 
 
 def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -189,17 +282,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(known, "fingerprint").select("id", "fingerprint", F.col("component_id").alias("component"))
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int, anchors: int) -> tuple[np.ndarray, list[int]]:
-    """A SimHash of ``words`` 64-bit words over distinct shingles, and anchor hashes.
-
-    An anchor is the least shingle hash under one of ``anchors`` orders.
-    """
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle."""
     parts = (text or "").encode().translate(_LOWER).split()
     if not parts:
-        return np.zeros(words, np.uint64), []
+        return np.empty(0, np.uint64)
     k = min(shingle, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(sorted({digest(b" ".join(parts[i : i + k])) for i in range(len(parts) - k + 1)}), dtype=np.uint64)
+    return np.array(sorted({digest(b" ".join(parts[i : i + k])) for i in range(len(parts) - k + 1)}), dtype=np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int, anchors: int) -> tuple[np.ndarray, list[int]]:
+    """A SimHash of ``words`` 64-bit words over distinct shingle hashes, and anchor hashes.
+
+    An anchor is the least shingle hash under one of ``anchors`` orders.
+    """
+    if not len(hashes):
+        return np.zeros(words, np.uint64), []
     out = np.empty(words, "<u8")
     for w in range(words):
         mixed, ones = _mixed(hashes, w), np.zeros(64, np.int64)
@@ -215,34 +314,71 @@ def _mixed(hashes: np.ndarray, order: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def similarity_radius(similarity: float, bits: int) -> int:
-    """Differing bits to expect at a Jaccard similarity, and one standard deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+TINY = 5  # shingles; with so few, a tied vote flips bits most often
+
+
+def _flips(common: int, a: int, b: int) -> float:
+    """Probability that a bit differs between sets of ``common`` shared and ``a`` and ``b`` other shingles."""
+    share = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    votes = lambda n: (2 * np.add.outer(np.arange(common + 1), np.arange(n + 1)) > common + n) @ share(n)
+    p, q = votes(a), votes(b)
+    return float(share(common) @ (p * (1 - q) + q * (1 - p)))
+
+
+@lru_cache
+def similarity_radius(similarity: float, bits: int) -> tuple[int, int]:
+    """Most differing bits, with four standard deviations to spare, at a Jaccard similarity.
+
+    The first is for sets of at most TINY shingles, the second for larger
+    ones: few shingles are counted out, for many there is a limit.
+    """
+    worst = {True: 0.0, False: math.acos(2 * similarity / (1 + similarity)) / math.pi}
+    for union in range(1, 65):
+        common = math.ceil(similarity * union - 1e-9)
+        for a in range(union - common + 1):
+            b = union - common - a
+            tiny = common + max(a, b) <= TINY
+            worst[tiny] = max(worst[tiny], _flips(common, a, b))
+    return tuple(int(bits * p + 4 * math.sqrt(bits * p * (1 - p))) for p in (worst[True], worst[False]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, anchors: int = 8) -> DataFrame:
     """(id, component) per row with an id: groups of documents of given similarity.
 
-    Documents whose distinct ``shingle``-word shingles have a Jaccard similarity
-    of ``similarity`` or more differ in few bits of a wide SimHash. Fingerprints
-    meet in the tiles of their anchors (at 0.8, two documents share none of
-    eight in three of a million cases) and are compared there bit by bit.
+    Documents are linked when their distinct ``shingle``-word shingles have a
+    Jaccard similarity of ``similarity`` or more. Fingerprints meet in the tiles
+    of their anchors (at 0.8, two documents share none of eight in three of a
+    million cases); those within a wide radius are candidates (at 0.8, under one
+    pair in ten thousand lies beyond). Each tile's candidates go on in groups,
+    equal groups once, and there the shingles themselves are compared.
     ``component`` is the smallest id reachable. Rows without id are left out;
     all texts without words are one group; repeated rows stay repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in in_small_batches(batches):
-            found = [wide_fingerprint(x, shingle, words, anchors) for x in batch.column(1).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(p.tobytes()) for p, _ in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["id", "node", "print", "anchors"])
+            texts = batch.column(1).to_pylist()
+            hashes = [shingle_hashes(x, shingle) for x in texts]
+            found = [wide_fingerprint(x, words, anchors) for x in hashes]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in hashes], np.uint64).view(np.int64)
+            packed = pa.array([pack((x or "").encode()) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int64())), packed], names=["id", "node", "print", "anchors", "packed"])
+
+    def with_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in in_small_batches(batches, 256):
+            hashes = [shingle_hashes(unpack(x).decode(), shingle).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), batch.column(3)], names=["node", "print", "hashes", "buckets"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    rows = staged(source.mapInArrow(run, "id long, node long, print array<long>, anchors array<long>"))
-    distinct = staged(rows.groupBy("node").agg(F.min("id").alias("low"), F.min_by(F.struct("print", "anchors"), "id").alias("x")).select("node", "low", "x.*"))
+    rows = staged(source.mapInArrow(run, "id long, node long, print array<long>, anchors array<long>, packed binary"))
+    distinct = staged(rows.groupBy("node").agg(F.min("id").alias("low"), F.min_by(F.struct("print", "anchors", "packed"), "id").alias("x")).select("node", "low", "x.*"))
     dealt = distinct.select(F.posexplode("anchors").alias("i", "anchor"), "node", "print").withColumn("bucket", F.xxhash64("i", "anchor"))
-    groups = connected_components(_linked(dealt, similarity_radius(similarity, 64 * words)))
+    reach = similarity_radius(similarity, 64 * words)
+    wanted = _linked(dealt, max(reach), grouped=True).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    candidates = distinct.join(wanted, "node").select("node", "print", "packed", "buckets").mapInArrow(with_hashes, "node long, print array<long>, hashes binary, buckets array<long>")
+    groups = connected_components(_linked(candidates.select(F.explode("buckets").alias("bucket"), "node", "print", "hashes"), max(reach), (similarity, reach)))
     named = distinct.select("node", "low").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     known = named.join(lows, "component").select("node", "component_id")

@@ -439,6 +439,50 @@ def test_near_duplicates(spark):
     assert sorted((r.id, r.component) for r in got if r.id >= 500) == [(500, 500), (501, 500), (502, 502), (502, 502)]
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_link_at_the_similarity_exactly(spark):
+    rows, texts = [], {}
+    for common in (156, 160, 164, 4):  # of 200 or, in tiny texts, of five shingles: 0.78, 0.80, 0.82 and 0.80
+        union = 200 if common > 4 else 5
+        for k in range(80):
+            word = lambda side, n: [f"{common}x{k}{side}{i}" for i in range(n)]
+            shared, more = word("s", common + 4), union - common
+            texts[common, k] = [" ".join(shared + word("a", more // 2)), " ".join(shared + word("b", more - more // 2))]
+            rows += [(len(rows) + i, t) for i, t in enumerate(texts[common, k])]
+    for (common, _), (a, b) in texts.items():
+        assert jaccard(a, b) == {156: 0.78, 160: 0.8, 164: 0.82, 4: 0.8}[common]
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = Counter(common for n, (common, _) in enumerate(texts) if got[2 * n + 1] == 2 * n)
+    assert linked == {160: 80, 164: 80, 4: 80}
+
+
+@pytest.mark.parametrize("held", [1 << 27, 1000])
+def test_near_duplicates_equal_brute_force_in_large_tiles(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD", held)
+    rng = random.Random(11)
+    texts = []
+    for g in range(4):  # many variants of one text, near the similarity and in one bucket
+        base = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(60):
+            text = list(base)
+            for _ in range(rng.randint(0, 7)):
+                text[rng.randrange(150)] = f"v{rng.randrange(10**9)}"
+            texts.append(" ".join(text))
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and i // 60 == j // 60 and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert len(set(want)) > 8
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ------------------------------------------------------------------ token counts
 
 
