@@ -31,7 +31,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 RUN = 5  # words of the short runs that make keys
-HOT = 1 << 20  # segments of a key that one task takes (32 bytes each); beyond, copies meet by partial aggregation
+HOT = 1 << 20  # segments of a key that one task takes (40 bytes each); beyond, copies meet by partial aggregation
 MANY = 4096  # different segments of a key that one index takes; beyond, the key parts by window
 SHARD_WORDS = 1 << 17  # words an FM-index, but for a key that has more
 WORD_BYTES = 6  # of a word's hash, kept in the index
@@ -121,12 +121,12 @@ def segments(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.nda
     return text[starts], at[starts] - firsts[text[starts]], sizes, keys[starts].view(np.int64), content.view(np.int64)
 
 
-# A place is one long: 24 bits of the text's hash, which tells rows of one id
-# apart, 32 bits of start word and 7 bits of window count.
+# A place is one long: 32 bits of start word and 7 bits of window count. It
+# holds within its document, which is an id (doc) and the text's hash (bits).
 
 
-def _text_bits(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) & 0xFFFFFF
+def _text_bits(texts: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
 
 
 def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -151,19 +151,18 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()
 
 
 def _found_segments(docs: DataFrame, window: int) -> DataFrame:
-    """(key, content, doc, place) of all segments."""
+    """(key, content, doc, bits, place) of all segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _small(batches, 1):
             text, start, size, key, content = segments(*word_hashes(texts), window)
             if not len(text):
                 continue
-            bits = np.fromiter(map(_text_bits, texts), np.int64, len(texts))
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            place = (bits[text] << 39) | (start << 7) | size
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, doc[text], place)], names=["key", "content", "doc", "place"])
+            place = (start << 7) | size
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, doc[text], _text_bits(texts)[text], place)], names=["key", "content", "doc", "bits", "place"])
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, content long, doc long, place long")
+    return docs.select("doc", "text").mapInArrow(run, "key long, content long, doc long, bits long, place long")
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
@@ -173,7 +172,7 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch, texts in _small(batches, 1):
-            bits = pa.array([_text_bits(t) for t in texts], pa.int64())
+            bits = pa.array(_text_bits(texts))
             packed = pa.array([pack(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), bits, packed, batch.column(2)], names=["doc", "bits", "packed", "kept"])
 
@@ -183,26 +182,26 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
 def _sort_out(occurrences: DataFrame) -> DataFrame:
     """Deal with the keys that are not hot, each whole in its task.
 
-    Gives rows (key, doc, place, kind): kind 0, a later occurrence of the same
+    Gives rows (key, doc, bits, place, kind): kind 0, a later occurrence of the same
     content, repeats whole; kind 1, the first occurrence of a content whose key
     has other contents, is for the index; kind 2 is the same for a key of too
     many contents, to be parted by window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((4, 0), np.int64)
+        held = np.empty((5, 0), np.int64)
 
         def decided(rows: np.ndarray) -> pa.RecordBatch:
-            key, content, doc, place = rows
+            key, content, doc, bits, place = rows
             new_key = np.concatenate(([True], key[1:] != key[:-1]))
             first = new_key | np.concatenate(([True], content[1:] != content[:-1]))
             of_key = np.cumsum(new_key) - 1
             contents = np.bincount(of_key, weights=first)[of_key]
             lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            later = (doc != doc[lead]) | (place != place[lead])  # not so for a repeated row
+            later = (doc != doc[lead]) | (bits != bits[lead]) | (place != place[lead])  # not so for a repeated row
             kind = np.where(first, np.where(contents > MANY, 2, 1), 0)
             at = np.flatnonzero(later | (first & (contents > 1)))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], doc[at], place[at], kind[at])], names=["key", "doc", "place", "kind"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], doc[at], bits[at], place[at], kind[at])], names=["key", "doc", "bits", "place", "kind"])
 
         for batch in batches:
             held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])), axis=1)
@@ -213,8 +212,8 @@ def _sort_out(occurrences: DataFrame) -> DataFrame:
         if held.shape[1]:
             yield decided(held)
 
-    ordered = occurrences.repartition("key").sortWithinPartitions("key", "content", "doc", "place")
-    return ordered.mapInArrow(run, "key long, doc long, place long, kind long")
+    ordered = occurrences.repartition("key").sortWithinPartitions("key", "content", "doc", "bits", "place")
+    return ordered.mapInArrow(run, "key long, doc long, bits long, place long, kind long")
 
 
 class WaveletTree:
@@ -291,7 +290,7 @@ def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return out
 
 
-def repeated_windows(words: list[np.ndarray], docs: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(words: list[np.ndarray], docs: np.ndarray, bits: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows that some other given segment holds earlier: (segment, offset).
 
     Segments are streamed through the index of all of them; a window's match
@@ -306,7 +305,7 @@ def repeated_windows(words: list[np.ndarray], docs: np.ndarray, places: np.ndarr
     segment = np.repeat(np.arange(len(words)), sizes - window + 1)
     offset = np.arange(len(segment)) - np.repeat(np.cumsum(sizes - window + 1) - (sizes - window + 1), sizes - window + 1)
     at = firsts[segment] + offset
-    order = np.lexsort((((places >> 7)[segment] + offset), docs[segment]))
+    order = np.lexsort((((places >> 7)[segment] + offset), bits[segment], docs[segment]))
     time = np.empty(len(order), np.int64)
     time[order] = np.arange(len(order))
     far = np.iinfo(np.int64).max
@@ -325,67 +324,68 @@ def repeated_windows(words: list[np.ndarray], docs: np.ndarray, places: np.ndarr
 
 
 def _extracted(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Fetch from the texts what the wanted segments (key, doc, place, split) hold.
+    """Fetch from the texts what the wanted segments (key, doc, bits, place, split) hold.
 
-    Segments to index give (key, doc, place, words); segments to split give one
+    Segments to index give (key, doc, bits, place, words); segments to split give one
     row per window with the window's hash as key and no words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in in_small_batches(batches, 64):
-            keys, ids, places, contents = [], [], [], []
-            for doc, packed, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            keys, ids, hashed, places, contents = [], [], [], [], []
+            for doc, bits, packed, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes, _ = word_hashes([unpack(packed)])
                 short = np.ascontiguousarray(hashes.view("<u2").reshape(-1, 4)[:, : WORD_BYTES // 2])
                 for row in rows:
                     place = row["place"]
-                    start, size = (place >> 7) & 0xFFFFFFFF, place & 127
+                    start, size = place >> 7, place & 127
                     if not row["split"]:
                         keys.append(row["key"]), places.append(place), contents.append(short[start : start + size + window - 1].tobytes())
                         continue
                     starts = np.arange(start, start + size)
                     keys += _spans(hashes[start : start + size + window], starts - start, starts - start + window).view(np.int64).tolist()
-                    places += ((place >> 39 << 39) | (starts << 7) | 1).tolist()
+                    places += ((starts << 7) | 1).tolist()
                     contents += [None] * size
                 ids += [doc] * (len(keys) - len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(contents, pa.binary())], names=["key", "doc", "place", "words"])
+                hashed += [bits] * (len(keys) - len(hashed))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(places, pa.int64()), pa.array(contents, pa.binary())], names=["key", "doc", "bits", "place", "words"])
 
-    lists = wanted.withColumn("bits", F.shiftrightunsigned("place", 39)).groupBy("doc", "bits").agg(F.collect_list(F.struct("key", "place", "split")).alias("rows"))
-    joined = _packed_texts(docs).join(lists, ["doc", "bits"]).select("doc", "packed", "rows")
-    return joined.mapInArrow(run, "key long, doc long, place long, words binary")
+    lists = wanted.groupBy("doc", "bits").agg(F.collect_list(F.struct("key", "place", "split")).alias("rows"))
+    joined = _packed_texts(docs).join(lists, ["doc", "bits"]).select("doc", "bits", "packed", "rows")
+    return joined.mapInArrow(run, "key long, doc long, bits long, place long, words binary")
 
 
 def _indexed(contents: DataFrame, window: int) -> DataFrame:
-    """Repeated windows (doc, place) among segments (key, doc, place, words) of equal key.
+    """Repeated windows (doc, bits, place) among segments (key, doc, bits, place, words) of equal key.
 
     A task's segments, sorted by key, fill one index after the other; a key is
     never parted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, places, words, held = [], [], [], [], 0
+        keys, docs, hashed, places, words, held = [], [], [], [], [], 0
 
         def closed(n: int) -> pa.RecordBatch:
-            d, p = np.array(docs[:n], np.int64), np.array(places[:n], np.int64)
-            segment, offset = repeated_windows([_wide(w) for w in words[:n]], d, p, window)
-            place = (p[segment] >> 39 << 39) | ((((p[segment] >> 7) & 0xFFFFFFFF) + offset) << 7) | 1
-            return pa.RecordBatch.from_arrays([pa.array(d[segment]), pa.array(place)], names=["doc", "place"])
+            d, b, p = (np.array(x[:n], np.int64) for x in (docs, hashed, places))
+            segment, offset = repeated_windows([_wide(w) for w in words[:n]], d, b, p, window)
+            place = (((p[segment] >> 7) + offset) << 7) | 1
+            return pa.RecordBatch.from_arrays([pa.array(d[segment]), pa.array(b[segment]), pa.array(place)], names=["doc", "bits", "place"])
 
         for batch in in_small_batches(batches):
-            for key, doc, place, word in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, doc, bits, place, word in zip(*(c.to_pylist() for c in batch.columns)):
                 if held >= SHARD_WORDS and key != keys[-1]:
                     yield closed(len(keys))
-                    keys, docs, places, words, held = [], [], [], [], 0
-                if keys and (key, doc, place) == (keys[-1], docs[-1], places[-1]):  # from a repeated row
+                    keys, docs, hashed, places, words, held = [], [], [], [], [], 0
+                if keys and (key, doc, bits, place) == (keys[-1], docs[-1], hashed[-1], places[-1]):  # from a repeated row
                     continue
-                keys.append(key), docs.append(doc), places.append(place), words.append(word)
+                keys.append(key), docs.append(doc), hashed.append(bits), places.append(place), words.append(word)
                 held += len(word) // WORD_BYTES
         if keys:
             yield closed(len(keys))
 
-    ordered = contents.select("key", "doc", "place", "words").repartition("key").sortWithinPartitions("key", "doc", "place")
-    return ordered.mapInArrow(run, "doc long, place long")
+    ordered = contents.select("key", "doc", "bits", "place", "words").repartition("key").sortWithinPartitions("key", "doc", "bits", "place")
+    return ordered.mapInArrow(run, "doc long, bits long, place long")
 
 
 def _wide(words: bytes) -> np.ndarray:
@@ -396,25 +396,25 @@ def _wide(words: bytes) -> np.ndarray:
 
 
 def _later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (doc, place) that are not the first of their group; groups may be of any size."""
-    first = rows.groupBy(*by).agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, by).where("doc <> first.doc OR place <> first.place").select("doc", "place")
+    """Rows (doc, bits, place) that are not the first of their group; groups may be of any size."""
+    first = rows.groupBy(*by).agg(F.min(F.struct("doc", "bits", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, by).where("doc <> first.doc OR bits <> first.bits OR place <> first.place").select("doc", "bits", "place")
 
 
 def repeated_places(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc, place) of segments all of whose windows occur earlier. ``docs``: (doc, text)."""
+    """(doc, bits, place) of segments all of whose windows occur earlier. ``docs``: (doc, text)."""
     found = _found_segments(docs, window)
     shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     occurrences = staged(found.join(shared, "key"))
-    cold = staged(_sort_out(occurrences.where(F.col("n") <= HOT).select("key", "content", "doc", "place")))
+    cold = staged(_sort_out(occurrences.where(F.col("n") <= HOT).select("key", "content", "doc", "bits", "place")))
     hot = occurrences.where(F.col("n") > HOT)
     # copies of one content first; a hot key's distinct contents part by window
-    firsts = staged(hot.groupBy("key", "content").agg(F.min(F.struct("doc", "place")).alias("first")))
-    split = firsts.select("key", "first.doc", "first.place", F.lit(True).alias("split"))
-    wanted = cold.where("kind > 0").select("key", "doc", "place", (F.col("kind") == 2).alias("split")).union(split)
+    firsts = staged(hot.groupBy("key", "content").agg(F.min(F.struct("doc", "bits", "place")).alias("first")))
+    split = firsts.select("key", "first.doc", "first.bits", "first.place", F.lit(True).alias("split"))
+    wanted = cold.where("kind > 0").select("key", "doc", "bits", "place", (F.col("kind") == 2).alias("split")).union(split)
     fetched = staged(_extracted(docs, wanted, window))
-    copies = cold.where("kind = 0").select("doc", "place")
-    hot_copies = hot.join(firsts, ["key", "content"]).where("doc <> first.doc OR place <> first.place").select("doc", "place")
+    copies = cold.where("kind = 0").select("doc", "bits", "place")
+    hot_copies = hot.join(firsts, ["key", "content"]).where("doc <> first.doc OR bits <> first.bits OR place <> first.place").select("doc", "bits", "place")
     windows = _later(fetched.where("words IS NULL"), ["key"])
     return copies.union(hot_copies).union(windows).union(_indexed(fetched.where("words IS NOT NULL"), window))
 
@@ -434,7 +434,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError(f"a window has more than {RUN} and less than 128 words")
     source = _documents(docs, id_col, text_col, keep)
     places = repeated_places(source, window)
-    lists = places.withColumn("bits", F.shiftrightunsigned("place", 39)).groupBy("doc", "bits").agg(F.collect_list(F.col("place").bitwiseAND((1 << 39) - 1)).alias("places"))
+    lists = places.groupBy("doc", "bits").agg(F.collect_list("place").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress

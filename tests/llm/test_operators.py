@@ -208,6 +208,21 @@ def test_substring_dedup_on_odd_rows(spark):
     assert len(rows) == 2 and rows[0] == rows[1] and 0 < rows[0].n_removed < rows[0].n_words
 
 
+def test_substring_dedup_tells_rows_without_id_apart(spark):
+    seen, pair = {}, None  # texts of one key that agree in the low 24 bits of their hash, of which one repeats itself
+    for i in range(40_000):
+        text = " ".join([*(f"p{i}x{k}" for k in range(25))] * (1 + i % 2))
+        other = seen.setdefault(xxhash.xxh3_64_intdigest(text.encode()) & 0xFFFFFF, (i, text))
+        if (other[0] + i) % 2:
+            pair = [other[1], text]
+            break
+    assert pair
+    docs = spark.createDataFrame([(None, t) for t in pair], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed, r.text) for r in substring_dedup.dedup_substrings(docs).collect())
+    once, twice = sorted(pair, key=len)
+    assert got == [(25, 0, once), (50, 25, " ".join(twice.split()[:25]))]
+
+
 def test_wavelet_tree_and_index():
     rng = np.random.default_rng(4)
     symbols = rng.integers(0, 37, 500)
