@@ -416,9 +416,16 @@ def _(spark, d):
     return _roots(spark, d).select("trace_index", samplers.poisson(2.5, _su()).alias("x"))
 
 
+def _trimmed() -> Column:
+    return strings.trim(F.concat(F.lit(" \t\n"), c("text"), F.lit("  ")))
+
+
 _simple("fn_upper", "part", {"x": (lambda: strings.upper("p_name"), "upper(p_name)")}, ["p_partkey"])
 _simple("fn_lower", "customer", {"x": (lambda: strings.lower("c_mktsegment"), "lower(c_mktsegment)")}, ["c_custkey"])
 _simple("fn_trim", "documents", {"x": (lambda: strings.trim(F.concat(F.lit(" \t\n"), F.substring("text", 1, 40), F.lit("  "))), "regexp_replace(' \t\n' || substr(text, 1, 40) || '  ', '^[\\s \u0085 ]+|[\\s \u0085 ]+$', '', 'g')")}, ["doc_id"])
+_SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_WHOLE = f"regexp_replace(' \t\n' || text || '  ', '^{_SPACES}|{_SPACES}$', '', 'g')"
+_simple("fn_trim_whole", "documents", {"chars": (lambda: strings.length(_trimmed()), f"CAST(length({_WHOLE}) AS BIGINT)"), "digest": (lambda: F.md5(_trimmed()), f"md5({_WHOLE})")}, ["doc_id"])
 _simple("fn_replace", "part", {"x": (lambda: strings.replace(c("p_type"), " ", "_"), "replace(p_type, ' ', '_')")}, ["p_partkey"])
 _simple("fn_split", "part", {"n": (lambda: strings.size(strings.split(c("p_type"), " ")), "CAST(len(string_split(p_type, ' ')) AS BIGINT)"), "last": (lambda: F.element_at(strings.split(c("p_type"), " "), -1), "string_split(p_type, ' ')[-1]")}, ["p_partkey"])
 _simple("fn_join", "part", {"x": (lambda: strings.join(F.array(c("p_brand"), c("p_type")), " | "), "p_brand || ' | ' || p_type")}, ["p_partkey"])
