@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +36,20 @@ def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it again.
 
     This cuts the lineage: an executor lost later costs no recomputation of
-    what is written. The folder is the session's ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary folder stands in.
+    what is written. The folder is the session's ``spark.checkpoint.dir``; where
+    that is unset, a master on this machine alone gets a temporary folder, and
+    any other is refused. The table goes when the application ends.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder()
     path = f"{folder}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,11 +58,37 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def in_small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, so that what a batch expands to stays small."""
+@lru_cache(maxsize=1)
+def _allocator():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _allocator():
+        _allocator()(0)
+
+
+def in_small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most ``rows`` rows and about ``size`` bytes of text.
+
+    A slice has one row at least, so what it expands to is bounded by the
+    parameters or by its one text. After the last slice, freed memory is
+    given back.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        held = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                held += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+        ends, start = np.cumsum(held), 0
+        while start < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
+            end = min(batch.num_rows, start + rows, max(start + 1, most))
+            yield batch.slice(start, end - start)
+            start = end
+    _give_back()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
