@@ -1,41 +1,53 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to symbols (insult, threat, target, negation, reported
-speech); small transducers rewrite the symbols of a clause in turn, and their
-composition is one table of states. What comes out of a clause is a matched
-pattern, such as an insult that is aimed at somebody, negated or only
-reported, never a single word. Documents are scored by the counts of their
-matched clauses. Insult words beyond the built-in seeds are learned from
-labelled rows as word beginnings, and so are the weights of the patterns.
+Words and marks become symbols (insult, harm, intent, target, negation, verb
+of speech, quotation mark, ...); small transducers rewrite the symbols in turn,
+and their composition is one table of states. The first reads phrases (an
+intent and a verb of harm make a threat), the next marks what is negated, the
+next what is only reported (after a verb of speech, and in the quotation it
+opens, even over sentences), and the last takes a clause together: it notes
+targets on either side and writes, where the clause ends, the one pattern that
+the clause matches. Documents are scored by their matched clauses, never by
+single words. Insult words beyond the built-in seeds are learned from labelled
+rows as word beginnings, and so are the weights of the patterns.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import held_out, in_small_batches, staged, table, texts_of
 
 #: Most labelled rows that are read to learn, and most learned word beginnings.
 SAMPLE_ROWS, LEARNED = 16_384, 4096
+#: Words that one worker keeps the symbols of.
+MEMO_WORDS = 65_536
 
 SEEDS = {
-    "THREAT": "kill hurt destroy burn stab shoot murder töten umbringen tuer frapper matar golpear".split(),
+    "HARM": "kill hurt destroy burn stab shoot murder strangle töten umbringen erschießen tuer frapper matar golpear".split(),
+    "INTENT": "will gonna shall ll going werde werden wird vais va allons voy vamos".split(),
     "TARGET": "you your yours u he she they them him her du dich dir euch ihr tu te toi vous tú usted ustedes".split(),
     "NEGATION": "not never no isn aren wasn don doesn nicht nie kein keine pas jamais nunca".split(),
     "REPORT": "said says say wrote quoted reported claimed alleged sagte schrieb berichtete dit écrit rapporté dijo escribió".split(),
+    "FIRST": "shut drop go rot".split(),
+    "LAST": "up dead hell".split(),
 }
 SEED_INSULTS = "idiot moron scum stupid loser worthless pathetic disgusting trash".split()
 
+_TOKEN = re.compile("[^\\W\\d_]+|[\"“”„«»]|[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
-SYMBOLS = ["OTHER", "INSULT", "THREAT", "TARGET", "NEGATION", "REPORT"]
+SYMBOLS = ["OTHER", "INSULT", "HARM", "INTENT", "TARGET", "NEGATION", "REPORT", "FIRST", "LAST", "QUOTE", "END"]
+_NUMBER = {s: i for i, s in enumerate(SYMBOLS)}
+#: What a clause can be found to hold, and the marks it can bear.
+KINDS = ["INSULT", "THREAT", "HARM"]
 
 
 class Transducer:
@@ -66,72 +78,110 @@ class Transducer:
         return Transducer(start, arcs)
 
 
+def _phrases(reach: int = 3) -> Transducer:
+    """An intent makes harm within ``reach`` words a threat; two-word phrases become insults."""
+    plain = ("OTHER", "TARGET", "NEGATION", "INTENT")
+    arcs = {("none", "INTENT"): ("OTHER", ("intent", reach)), ("none", "FIRST"): ("OTHER", ("first", 2)), ("none", "LAST"): ("OTHER", "none")}
+    for kind, most in (("intent", reach), ("first", 2)):
+        for n in range(1, most + 1):
+            after = (kind, n - 1) if n > 1 else "none"
+            arcs |= {((kind, n), x): (x if x != "INTENT" else "OTHER", ("intent", reach) if x == "INTENT" else after) for x in plain}
+            arcs |= {((kind, n), "FIRST"): ("OTHER", ("first", 2)), ((kind, n), "END"): ("END", "none")}
+            arcs[(kind, n), "LAST"] = ("INSULT" if kind == "first" else "OTHER", "none")
+            arcs[(kind, n), "HARM"] = ("THREAT" if kind == "intent" else "HARM", "none")
+    return Transducer("none", arcs)
+
+
 def _negation(reach: int = 3) -> Transducer:
-    """Marks insults and threats that follow a negation within ``reach`` words."""
+    """Marks what follows a negation within ``reach`` words of its clause."""
     arcs = {(n, "NEGATION"): ("OTHER", reach) for n in range(reach + 1)}
     for n in range(1, reach + 1):
         arcs |= {(n, x): (x, n - 1) for x in ("OTHER", "TARGET", "REPORT")}
-        arcs |= {(n, x): (f"{x}-", 0) for x in ("INSULT", "THREAT")}
+        arcs |= {(n, x): (f"{x}-", 0) for x in KINDS}
+        arcs[n, "END"] = ("END", 0)
     return Transducer(0, arcs)
 
 
 def _reported() -> Transducer:
-    """Marks what follows a verb of speech in the same clause."""
-    arcs = {("own", "REPORT"): ("OTHER", "reported"), ("reported", "REPORT"): ("OTHER", "reported")}
-    arcs |= {("reported", x): (f"{x}'", "reported") for x in ("INSULT", "THREAT", "INSULT-", "THREAT-")}
+    """Marks what follows a verb of speech in its clause, or stands in the quotation that it opens."""
+    arcs = {("own", "QUOTE"): ("OTHER", "own"), ("reported", "QUOTE"): ("OTHER", "quoted"), ("quoted", "QUOTE"): ("OTHER", "own"), ("reported", "END"): ("END", "own")}
+    arcs |= {(s, "REPORT"): ("OTHER", "reported" if s == "own" else s) for s in ("own", "reported", "quoted")}
+    arcs |= {(s, x): (f"{x}'", s) for s in ("reported", "quoted") for x in (*KINDS, *(f"{k}-" for k in KINDS))}
     return Transducer("own", arcs)
 
 
-def _target() -> Transducer:
-    """Marks insults and threats of a clause that names a target before them."""
-    arcs = {("none", "TARGET"): ("OTHER", "aimed"), ("aimed", "TARGET"): ("OTHER", "aimed")}
-    marks = [f"{x}{n}{r}" for x, n, r in product(("INSULT", "THREAT"), ("", "-"), ("", "'"))]
-    arcs |= {("aimed", x): (f"{x}>", "aimed") for x in marks}
-    return Transducer("none", arcs)
+#: Patterns that a clause can match: its kind, ``+`` if the kind stands there more than once, ``-`` if
+#: negated, ``'`` if reported, ``>`` if it names a target. A document's features are their counts.
+PATTERNS = [f"{k}{m}{n}{r}{t}" for k, m, n, r, t in product(KINDS, ("", "+"), ("", "-"), ("", "'"), ("", ">"))]
+
 
+def _clause() -> Transducer:
+    """Takes a clause together and writes its pattern in place of its END.
 
-#: Patterns that a clause can match; a document's features are their counts.
-PATTERNS = [f"{x}{n}{r}{t}" for x, n, r, t in product(("INSULT", "THREAT"), ("", "-"), ("", "'"), ("", ">"))]
+    What is neither negated nor reported outweighs what is, and a threat
+    outweighs an insult and that mere harm.
+    """
+    marks = [f"{k}{n}{r}" for k, n, r in product(KINDS, ("", "-"), ("", "'"))]
+    weight = {x: ("-" not in x and "'" not in x, "-" not in x, -("HARM", "INSULT", "THREAT")[::-1].index(x.rstrip("-'"))) for x in marks}
+    arcs = {}
+    for held, more, aimed in product([None, *marks], (False, True), (False, True)):
+        state = held, more, aimed
+        arcs[state, "TARGET"] = "OTHER", (held, more, True)
+        for x in marks:
+            best = x if held is None or weight[x] > weight[held] else held
+            arcs[state, x] = "OTHER", (best, best == held and (more or x == held), aimed)
+        kind = held and held.rstrip("-'")
+        arcs[state, "END"] = (f"{kind}{'+' if more else ''}{held[len(kind):]}{'>' if aimed else ''}" if held else "END"), (None, False, False)
+    return Transducer((None, False, False), arcs)
 
 
 class ClauseGrammar:
     """The composed transducers as one table over integer states."""
 
     def __init__(self, insults: list[str]):
-        whole = _negation().then(_reported(), SYMBOLS).then(_target(), SYMBOLS)
+        whole = _phrases().then(_negation(), SYMBOLS).then(_reported(), SYMBOLS).then(_clause(), SYMBOLS)
         names = {s: i for i, s in enumerate(dict.fromkeys([whole.start, *(s for s, _ in whole.arcs)]))}
         number = {p: i for i, p in enumerate(PATTERNS)}
         self.table = [[(0, -1)] * len(SYMBOLS) for _ in names]
         for (state, symbol), (out, after) in whole.arcs.items():
-            self.table[names[state]][SYMBOLS.index(symbol)] = names[after], number.get(out, -1)
+            self.table[names[state]][_NUMBER[symbol]] = names[after], number.get(out, -1)
         self.start = names[whole.start]
-        self.words = {w: SYMBOLS.index(kind) for kind, words in SEEDS.items() for w in words}
-        self.words |= {w: 1 for w in SEED_INSULTS}
+        self.words = {w: _NUMBER[kind] for kind, words in SEEDS.items() for w in words}
+        self.words |= {w: _NUMBER["INSULT"] for w in SEED_INSULTS}
         self.begins = set(insults)
         self.lengths = sorted({len(b) for b in insults})
         self.memo: dict[str, int] = {}
 
-    def symbol(self, word: str) -> int:
-        found = self.memo.get(word)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
+
+    def symbol(self, token: str) -> int:
+        found = self.memo.get(token)
         if found is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
-            found = 1 if any(word[:n] in self.begins for n in self.lengths) else self.words.get(word, 0)
-            self.memo[word] = found
+            if token[0].isalpha():
+                found = _NUMBER["INSULT"] if any(token[:n] in self.begins for n in self.lengths) else self.words.get(token, 0)
+            else:
+                found = _NUMBER["END" if token[0] in ".!?;\n" else "QUOTE"]
+            self.memo[token] = found
         return found
 
     def counts(self, text: str) -> list[int]:
-        """How many times each pattern is matched in the text's clauses."""
+        """How many of the text's clauses match each pattern."""
         out, symbol = [0] * len(PATTERNS), self.symbol
         text = text.lower()
-        if not {1, 2} & set(map(symbol, set(_WORD.findall(text)))):  # no clause can match
+        found = set(map(symbol, set(_WORD.findall(text))))
+        if not (found & {_NUMBER["INSULT"], _NUMBER["HARM"]} or found >= {_NUMBER["FIRST"], _NUMBER["LAST"]}):  # no clause can match
             return out
-        for clause in _CLAUSE.split(text):
-            state = self.start
-            for word in _WORD.findall(clause):
-                state, match = self.table[state][symbol(word)]
-                if match >= 0:
-                    out[match] += 1
+        state, table = self.start, self.table
+        for token in _TOKEN.finditer(text):
+            state, match = table[state][symbol(token[0])]
+            if match >= 0:
+                out[match] += 1
+        match = table[state][_NUMBER["END"]][1]  # the text's end closes its last clause
+        if match >= 0:
+            out[match] += 1
         return out
 
 
@@ -159,30 +209,49 @@ def learn_insults(sample: DataFrame, learned: int = LEARNED) -> list[str]:
     ratio = F.col("a") * F.log(F.col("a") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0)
     found = tested.withColumn("ratio", ratio).where("ratio >= 12").orderBy(F.desc("ratio"), "begin").limit(learned).collect()
     held = {r.begin: (r.a, r.c) for r in found}
-    kept: list[str] = []
+    longer = defaultdict(list)
+    for begin in sorted(held):
+        longer[begin[:-1]].append(begin)
+    kept: set[str] = set()
     for begin in sorted(held, key=lambda b: (len(b), b)):
-        if any(begin.startswith(k) for k in kept):
+        if any(begin[:n] in kept for n in range(3, len(begin) + 1)):
             continue
-        while longer := [b for b in held if len(b) == len(begin) + 1 and b.startswith(begin) and held[b][0] >= 0.8 * held[begin][0]]:
-            begin = longer[0]
-        kept.append(begin)
-    return kept
+        while more := [b for b in longer[begin] if held[b][0] >= 0.8 * held[begin][0]]:
+            begin = more[0]
+        kept.add(begin)
+    return sorted(kept)
+
+
+def prior_weights() -> np.ndarray:
+    """Built-in weights: what patterns count for where the labels say nothing of them.
+
+    A plain match is toxic by itself, more so if aimed or repeated; a negated
+    or reported one, and harm that nobody is to suffer, hardly count.
+    """
+    out = []
+    for p in PATTERNS:
+        if "-" in p or "'" in p or (p.startswith("HARM") and ">" not in p):
+            out.append(0.3)
+        else:
+            out.append(5.0 + 1.0 * (">" in p) + 1.0 * ("+" in p) + 1.0 * p.startswith("THREAT"))
+    return np.array([*out, -3.0])
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept.
+    """Logistic regression by Newton steps, drawn to the built-in weights; the last is the intercept.
 
-    Without both labels, built-in weights apply: one match is toxic, a negated
-    or reported one is not.
+    Patterns that the labelled rows don't hold keep their built-in weights;
+    without both labels all do.
     """
+    prior = prior_weights()
     if len(set(labels.tolist())) < 2:
-        return np.array([0.5 if "-" in p or "'" in p else 6.0 for p in PATTERNS] + [-3.0])
+        return prior
     x = np.hstack([np.log1p(features), np.ones((len(features), 1))])
-    w = np.zeros(x.shape[1])
+    w = prior.copy()
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(25):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - labels) + penalty @ w
+        slope = x.T @ (p - labels) + penalty @ (w - prior)
         bend = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
         w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
@@ -198,13 +267,14 @@ def _matched(docs: DataFrame, grammar: ClauseGrammar, weights: np.ndarray | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w = shared.value
-        for batch in in_small_batches(batches):
+        for batch in in_small_batches(batches, 256):
             counts = [own.counts(t) for t in texts_of(batch.column(0))]
             columns = [*batch.columns[1:], pa.array(counts, pa.list_(pa.int64()))]
             if w is not None:
                 x = np.log1p(np.array(counts, float).reshape(-1, len(PATTERNS))) @ w[:-1] + w[-1]
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(x, -500, 500)))))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.memo.clear()
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
     fields += ["matches array<long>"] + (["score double"] if weights is not None else [])
@@ -215,13 +285,14 @@ def _matched(docs: DataFrame, grammar: ClauseGrammar, weights: np.ndarray | None
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[ClauseGrammar, np.ndarray]:
     """Learn from the rows of ``docs`` (doc_id, text) that ``labels`` marks toxic 0 or 1.
 
-    At most ``sample_rows`` rows are read, chosen by hash of the id. Without
-    usable labels the built-in words and weights are used.
+    At most ``sample_rows`` rows are learned from, chosen by hash of the id, one
+    of each id (the least text). Without usable labels the built-in words and
+    weights are used.
     """
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(marks), "doc_id")
-    sample = staged(sample.select("text", "toxic"))
+    sample = staged(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
     grammar = ClauseGrammar(learn_insults(sample))
     rows = _matched(sample, grammar, None, ["toxic"]).collect()  # at most sample_rows rows of counts
     counts = np.array([r.matches for r in rows], float).reshape(-1, len(PATTERNS))
