@@ -1,10 +1,11 @@
 """Sequence packing by first-fit decreasing over a tournament tree of bins.
 
-Documents are tokenised where they are read and cut into full sequences plus a
-remainder; only the cut sizes travel. Pieces are dealt to randomised groups of
-bounded size, and each group is packed on its own: pieces in decreasing
-length, each into the first open bin with room, found in O(log n) by walking a
-tournament tree that keeps the largest free capacity below every node.
+Documents are tokenised where they are read and cut into full sequences plus at
+most one remainder. A full piece is a sequence of its own and moves no further.
+The documents' remainders are dealt to randomised groups of bounded size, and
+each group is packed on its own: pieces in decreasing length, each into the
+first open bin with room, found in O(log n) by walking a tournament tree that
+keeps the largest free capacity below every node.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import byte_letters, in_small_batches, texts_of
+from loomspan.llm.common import byte_letters, in_small_batches, staged, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
-GROUP_ROWS = 4096
+#: Documents to expect in a group.
+GROUP_DOCS = 4096
 
 # Texts of these characters only are lower-cased and split here exactly as the
 # tokenizer's normalizer and pre-tokenizer would; all others go to the library whole.
@@ -37,7 +39,7 @@ class WordTokenizer:
     The memo is emptied at ``memo_words`` entries, so memory stays bounded.
     """
 
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, memo_words: int = 65_536):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -84,7 +86,7 @@ def tokenized_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _tokenizer(tokenizer_path), end_id.to_bytes(4, "little")
-        for batch in in_small_batches(batches):
+        for batch in in_small_batches(batches, 256):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 ids = encode(text) + end
@@ -93,6 +95,7 @@ def tokenized_pieces(
                     piece = ids[4 * start : 4 * (start + sequence)]
                     out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, piece)[: 6 if keep_ids else 5])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+        encode.memo.clear()
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 if keep_ids else 5]
     kinds = [pa.int64()] * 5 + [pa.binary()]
@@ -138,11 +141,12 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
 
 
 def pack_pieces(pieces: DataFrame, groups: int, sequence: int = SEQUENCE, seed: int = 0) -> DataFrame:
-    """Add (sequence_id, offset) to pieces of at most ``sequence`` tokens.
+    """Add (sequence_id, offset) to pieces shorter than ``sequence`` tokens.
 
     Groups are drawn by hash of id, start and content, so a rerun agrees.
-    ``sequence_id`` is unique over all groups; offsets are gapless from 0.
-    Repeated rows are packed as often as they occur.
+    ``sequence_id`` is unique over all groups and not negative; offsets are
+    gapless from 0. Repeated rows are packed as often as they occur, and
+    ``copy`` numbers them from 0.
     """
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -150,24 +154,35 @@ def pack_pieces(pieces: DataFrame, groups: int, sequence: int = SEQUENCE, seed:
         placed = first_fit_decreasing(group["length"].tolist(), sequence)
         group["sequence_id"] = [key[0] * (1 << 32) + b for b, _ in placed]
         group["offset"] = [o for _, o in placed]
+        group["copy"] = group.groupby(["id", "start", "ids_crc32"], dropna=False).cumcount()
         return group
 
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32"), F.lit(groups)))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    packed = dealt.groupBy("pack_group").applyInPandas(run, ", ".join([*fields, "pack_group long", "sequence_id long", "offset long"]))
+    packed = dealt.groupBy("pack_group").applyInPandas(run, ", ".join([*fields, "pack_group long", "sequence_id long", "offset long", "copy long"]))
     return packed.drop("pack_group")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, keep_ids: bool = False, number_copies: bool = False) -> DataFrame:
     """Pack whole documents into sequences; one row per piece.
 
-    An empty table gives an empty result; a null text packs as an empty one.
+    A document has at most one piece that is not full, so a group of pieces is
+    a group of documents, about GROUP_DOCS of them however long they are. Full
+    pieces have negative sequence ids, numbered by partition and place in a
+    staged table. An empty table gives an empty result; a null text packs as an
+    empty one; repeated rows are packed as often as they occur.
     """
     import public_tokenizers
 
-    pieces = tokenized_pieces(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), id_col, text_col, sequence, keep_ids=keep_ids)
-    return pack_pieces(pieces, max(1, docs.count() // GROUP_ROWS), sequence)
+    pieces = staged(tokenized_pieces(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), id_col, text_col, sequence, keep_ids=keep_ids))
+    full, parts = pieces.where(F.col("length") == sequence), pieces.where(F.col("length") < sequence)
+    whole = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    if number_copies:
+        whole = whole.withColumn("copy", (F.row_number().over(Window.partitionBy("id", "start", "ids_crc32").orderBy(F.desc("sequence_id"))) - 1).cast("long"))
+    else:
+        whole = whole.withColumn("copy", F.lit(None).cast("long"))
+    return whole.unionByName(pack_pieces(parts, max(1, -(-parts.count() // GROUP_DOCS)), sequence))
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copy").withColumnRenamed("id", "doc_id")
