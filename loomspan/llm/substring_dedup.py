@@ -5,17 +5,22 @@ smaller document, or further up) are cut out. Windows are routed so that equal
 ones meet: a window's key is the least hash among its short word runs, so
 neighbouring windows mostly share a key and travel as one segment. Keys that
 occur once in the corpus cannot hide a repeat, and only segments of other keys
-go on. Equal segments are pre-aggregated to their first occurrence. A shard
-indexes its distinct segments in an FM-index over a wavelet tree and streams
-them back through it: backward search gives matching statistics, intervals of
-matches as long as a window are reported, and a range minimum over the
-interval names the earliest occurrence.
+go on. A shard's text is the different segments of its keys, each once, with
+the place where it stands first; a key of too many different segments parts
+into keys of single windows. The shard's FM-index keeps that text as a wavelet
+tree of its Burrows-Wheeler transform, the lengths that neighbouring suffixes
+share, and the earliest place of every class of suffixes that agree over a
+window. Segments stream through it: backward search computes their matching
+statistics, and stretches of matches as long as a window are reported with
+their earliest place. Every occurrence of a segment takes up the report and
+gives up what it holds later than that place.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +36,9 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 RUN = 5  # words of the short runs that make keys
-HOT = 1 << 20  # segments of a key that one task takes (40 bytes each); beyond, copies meet by partial aggregation
 MANY = 4096  # different segments of a key that one index takes; beyond, the key parts by window
-SHARD_WORDS = 1 << 17  # words an FM-index, but for a key that has more
+SHARD_WORDS = 1 << 18  # words of an FM-index, but for a key that has more
+CHUNK = 1 << 18  # bytes of text that are hashed at once, but for a longer word
 WORD_BYTES = 6  # of a word's hash, kept in the index
 
 
@@ -44,18 +49,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(CHUNK + 1)
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.full((2, n), np.array([[_BASE], [_INVERSE]]))
+    out[:, 0] = 1
+    return tuple(np.multiply.accumulate(out, axis=1))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(size, base, np.uint64)
-            grown[0] = 1
-            _POWERS[i] = np.multiply.accumulate(grown)
-    return _POWERS[0], _POWERS[1]
+    """Powers of the base and of its inverse, up to n; those of long texts are not kept."""
+    return _kept_powers() if n <= CHUNK else _new_powers(n + 1)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +71,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([1], space.view(np.int8), [1]))))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
-    hashes = _mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # whole words of about CHUNK bytes in turn
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, side="right")))
+        first, last = starts[at], ends[to - 1]
+        up, down = _powers(int(last - first))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * up[: last - first])))
+        hashes[at:to] = _mix((sums[ends[at:to] - first] - sums[starts[at:to] - first]) * down[starts[at:to] - first] ^ (ends[at:to] - starts[at:to]).astype(np.uint64))
+        at = to
     bounds = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, bounds))))
     return hashes, counts
@@ -130,17 +143,9 @@ def _text_bits(texts: list[bytes]) -> np.ndarray:
 
 
 def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of rows whose texts, of which at least one, hold about a megabyte."""
+    """Slices of few rows with the bytes of their texts, null as empty."""
     for batch in in_small_batches(batches, 256):
-        texts, start, size = [], 0, 0
-        for i, text in enumerate(batch.column(column).cast(pa.binary()).to_pylist()):
-            texts.append(text or b"")
-            size += len(texts[-1])
-            if size >= 1 << 20:
-                yield batch.slice(start, i + 1 - start), texts
-                texts, start, size = [], i + 1, 0
-        if texts:
-            yield batch.slice(start), texts
+        yield batch, [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
@@ -179,43 +184,6 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc long, bits long, packed binary, kept {kept}")
 
 
-def _sort_out(occurrences: DataFrame) -> DataFrame:
-    """Deal with the keys that are not hot, each whole in its task.
-
-    Gives rows (key, doc, bits, place, kind): kind 0, a later occurrence of the same
-    content, repeats whole; kind 1, the first occurrence of a content whose key
-    has other contents, is for the index; kind 2 is the same for a key of too
-    many contents, to be parted by window.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((5, 0), np.int64)
-
-        def decided(rows: np.ndarray) -> pa.RecordBatch:
-            key, content, doc, bits, place = rows
-            new_key = np.concatenate(([True], key[1:] != key[:-1]))
-            first = new_key | np.concatenate(([True], content[1:] != content[:-1]))
-            of_key = np.cumsum(new_key) - 1
-            contents = np.bincount(of_key, weights=first)[of_key]
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            later = (doc != doc[lead]) | (bits != bits[lead]) | (place != place[lead])  # not so for a repeated row
-            kind = np.where(first, np.where(contents > MANY, 2, 1), 0)
-            at = np.flatnonzero(later | (first & (contents > 1)))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], doc[at], bits[at], place[at], kind[at])], names=["key", "doc", "bits", "place", "kind"])
-
-        for batch in batches:
-            held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])), axis=1)
-            whole = np.searchsorted(held[0], held[0, -1]) if held.shape[1] else 0
-            if whole:
-                yield decided(held[:, :whole])
-                held = held[:, whole:]
-        if held.shape[1]:
-            yield decided(held)
-
-    ordered = occurrences.repartition("key").sortWithinPartitions("key", "content", "doc", "bits", "place")
-    return ordered.mapInArrow(run, "key long, doc long, bits long, place long, kind long")
-
-
 class WaveletTree:
     """Pointerless wavelet tree (levels as bit rows) over symbols below 2**levels."""
 
@@ -226,14 +194,14 @@ class WaveletTree:
             bit = (symbols >> level) & 1
             words = np.packbits(np.concatenate((bit, np.zeros(-len(bit) % 64 + 64, bit.dtype))).astype(np.uint8), bitorder="little").view("<u8")
             self.bits.append(words)
-            self.ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))))
+            self.ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))).astype(np.uint32))
             self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate((symbols[bit == 0], symbols[bit == 1]))
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         word = at >> 6
         below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ranks[level][word] + np.bitwise_count(self.bits[level][word] & below)
+        return self.ranks[level][word].astype(np.int64) + np.bitwise_count(self.bits[level][word] & below)
 
     def bottom(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where position ``at`` ends up on the last level on the way of ``symbols``."""
@@ -245,13 +213,17 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Backward search over concatenated segments of word codes.
+    """Compressed index of segments of word codes for matches up to ``depth`` words.
 
-    Symbols are ranks of words from 1; 0 separates segments.
+    Symbols are ranks of words from 1; 0 separates segments. The text and its
+    suffix array are not kept: beside the wavelet tree there is a byte a row,
+    the words that it shares with the row before (up to ``depth``), and for each
+    class of rows that share ``depth`` words the least of ``values``.
     """
 
-    def __init__(self, text: np.ndarray, longest: int):
-        n = len(text)
+    def __init__(self, text: np.ndarray, depth: int, values: np.ndarray | None = None):
+        n = self.size = len(text)
+        self.depth = depth
         rank, reach = text.astype(np.int64), 1
         while True:  # prefix doubling, as far as matches can reach
             after = np.concatenate((rank[reach:], np.full(min(reach, n), -1)))[:n]
@@ -261,79 +233,113 @@ class FMIndex:
             fresh = np.empty(n, np.int64)
             fresh[order] = np.cumsum(step)
             rank, reach = fresh, 2 * reach
-            if reach >= longest or rank[order[-1]] == n - 1:
+            if reach >= depth or rank[order[-1]] == n - 1:
                 break
         # what agrees over the reach keeps its order of text; later words play no part
-        self.suffixes = order
+        self.common = np.zeros(n + 1, np.uint8)
+        same, padded = np.ones(n - 1, bool), np.concatenate((text, np.full(depth, -1)))
+        for i in range(depth):  # a separator equals no other
+            here = padded[order + i]
+            same = same & (here[1:] == here[:-1]) & (here[1:] > 0)
+            self.common[1:n] += same
         self.counts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))))
         self.tree = WaveletTree(text[order - 1])
         alphabet = np.arange(len(self.counts) - 1)
         self.starts = self.tree.bottom(alphabet, np.zeros(len(alphabet), np.int64))
+        self.heads = np.flatnonzero(self.common[:n] < depth)  # first row of each class
+        self.least = None if values is None else np.minimum.reduceat(values[order], self.heads)
+        self._bounds: dict[int, np.ndarray] = {}
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals after one more word to the left."""
         base = self.counts[symbols] - self.starts[symbols]
         return base + self.tree.bottom(symbols, low), base + self.tree.bottom(symbols, high)
 
-
-def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least of values[low:high] for each pair, by a sparse table."""
-    table = [values]
-    while 1 << len(table) <= len(values):
-        half = 1 << (len(table) - 1)
-        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-    level = np.frexp((high - low).astype(float))[1] - 1
-    out = np.empty(len(low), values.dtype)
-    for k in np.unique(level):
-        at = level == k
-        out[at] = np.minimum(table[k][low[at]], table[k][high[at] - (1 << int(k))])
-    return out
-
-
-def repeated_windows(words: list[np.ndarray], docs: np.ndarray, bits: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that some other given segment holds earlier: (segment, offset).
-
-    Segments are streamed through the index of all of them; a window's match
-    is given up as soon as only the window itself is left.
+    def widen(self, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of all rows that share their first ``length`` words with row ``low``."""
+        out = np.zeros(len(low), np.int64), np.full(len(low), self.size)
+        for n in np.unique(length[length > 0]).tolist():
+            if n not in self._bounds:
+                self._bounds[n] = np.concatenate((np.flatnonzero(self.common[: self.size] < n), [self.size]))
+            at = length == n
+            place = np.searchsorted(self._bounds[n], low[at], side="right")
+            out[0][at], out[1][at] = self._bounds[n][place - 1], self._bounds[n][place]
+        return out
+
+    def matching_statistics(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of streams of given sizes: the longest match that starts there, up to ``depth``, and its first row.
+
+        Streams go from right to left, all in step: a match grows by a word to
+        the left, or is shortened to the next length at which more rows agree.
+        Code 0 is a word that the index lacks.
+        """
+        lengths, rows = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        begin = np.cumsum(sizes) - sizes
+        live = np.flatnonzero(sizes > 0)
+        begin, at = begin[live], (begin + sizes - 1)[live]
+        low, high, length = np.zeros(len(live), np.int64), np.full(len(live), self.size), np.zeros(len(live), np.int64)
+        while len(at):
+            symbol = codes[at]
+            below, above = self.extend(symbol, low, high)
+            grown = (above > below) & (symbol > 0)
+            low, high, length = np.where(grown, below, low), np.where(grown, above, high), length + grown
+            if (over := length > self.depth).any():
+                length[over] = self.depth
+                low[over], high[over] = self.widen(low[over], length[over])
+            if (stuck := ~grown & (length > 0)).any():
+                length[stuck] = np.maximum(self.common[low[stuck]], self.common[high[stuck]])
+                low[stuck], high[stuck] = self.widen(low[stuck], length[stuck])
+            known = ~stuck
+            lengths[at[known]], rows[at[known]] = length[known], low[known]
+            at = at - known
+            more = at >= begin
+            begin, at, low, high, length = begin[more], at[more], low[more], high[more], length[more]
+        return lengths, rows
+
+
+def reported_spans(words: list[np.ndarray], docs: np.ndarray, bits: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Stretches of windows of each segment, and where they stand earliest: (segment, offset, size, of, start).
+
+    ``of`` is the segment that holds the earliest occurrence of the
+    stretch's first window and ``start`` that window's word in its document;
+    the stretch's other windows follow there. Every window of every segment is
+    in one stretch, if only in its own place.
     """
     sizes = np.array([len(w) for w in words])
     firsts = np.cumsum(sizes + 1) - sizes - 1
     codes = np.unique(np.concatenate(words), return_inverse=True)[1] + 1
     text = np.zeros(int((sizes + 1).sum()), np.int64)
     text[np.arange(len(codes)) + np.repeat(np.arange(len(words)), sizes)] = codes
-    index = FMIndex(text, window)
-    segment = np.repeat(np.arange(len(words)), sizes - window + 1)
-    offset = np.arange(len(segment)) - np.repeat(np.cumsum(sizes - window + 1) - (sizes - window + 1), sizes - window + 1)
-    at = firsts[segment] + offset
-    order = np.lexsort((((places >> 7)[segment] + offset), bits[segment], docs[segment]))
-    time = np.empty(len(order), np.int64)
-    time[order] = np.arange(len(order))
-    far = np.iinfo(np.int64).max
-    by_position = np.full(len(text), far)
-    by_position[at] = time
-    low, high, live = np.zeros(len(at), np.int64), np.full(len(at), len(text)), np.arange(len(at))
-    for back in range(window - 1, -1, -1):
-        low, high = index.extend(text[at[live] + back], low, high)
-        more = high - low > 1
-        live, low, high = live[more], low[more], high[more]
-    if not len(live):
-        return live, live
-    earliest = _range_minimum(by_position[index.suffixes], low, high)
-    hit = live[earliest < time[live]]
-    return segment[hit], offset[hit]
+    windows = sizes - window + 1
+    segment = np.repeat(np.arange(len(words)), windows)
+    offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = (places >> 7)[segment] + offset
+    order = np.lexsort((start, bits[segment], docs[segment]))
+    time = np.full(len(text), np.iinfo(np.int64).max)
+    time[(firsts[segment] + offset)[order]] = np.arange(len(order))
+    index = FMIndex(text, window, time)
+    lengths, rows = index.matching_statistics(codes, sizes)
+    here = np.flatnonzero(lengths >= window)  # of the words as they stream: where a window starts
+    found = order[index.least[np.searchsorted(index.heads, rows[here], side="right") - 1]]
+    own = np.repeat(np.arange(len(words)), sizes)[here]
+    at = here - (firsts - np.arange(len(words)))[own]
+    fresh = np.ones(len(here), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (segment[found[1:]] != segment[found[:-1]]) | (start[found[1:]] != start[found[:-1]] + 1)
+    heads = np.flatnonzero(fresh)
+    return own[heads], at[heads], np.diff(np.concatenate((heads, [len(here)]))), segment[found[heads]], start[found[heads]]
 
 
 def _extracted(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Fetch from the texts what the wanted segments (key, doc, bits, place, split) hold.
+    """Fetch from the texts what the wanted segments (key, content, doc, bits, place, split) hold.
 
-    Segments to index give (key, doc, bits, place, words); segments to split give one
-    row per window with the window's hash as key and no words.
+    Gives (key, content, doc, bits, place, split, words); of segments to split
+    one row per window, with the window's hash as key and content.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in in_small_batches(batches, 64):
-            keys, ids, hashed, places, contents = [], [], [], [], []
+            out: list[tuple] = []
             for doc, bits, packed, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes, _ = word_hashes([unpack(packed)])
                 short = np.ascontiguousarray(hashes.view("<u2").reshape(-1, 4)[:, : WORD_BYTES // 2])
@@ -341,51 +347,56 @@ def _extracted(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     place = row["place"]
                     start, size = place >> 7, place & 127
                     if not row["split"]:
-                        keys.append(row["key"]), places.append(place), contents.append(short[start : start + size + window - 1].tobytes())
+                        out.append((row["key"], row["content"], doc, bits, place, False, short[start : start + size + window - 1].tobytes()))
                         continue
-                    starts = np.arange(start, start + size)
-                    keys += _spans(hashes[start : start + size + window], starts - start, starts - start + window).view(np.int64).tolist()
-                    places += ((starts << 7) | 1).tolist()
-                    contents += [None] * size
-                ids += [doc] * (len(keys) - len(ids))
-                hashed += [bits] * (len(keys) - len(hashed))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(places, pa.int64()), pa.array(contents, pa.binary())], names=["key", "doc", "bits", "place", "words"])
-
-    lists = wanted.groupBy("doc", "bits").agg(F.collect_list(F.struct("key", "place", "split")).alias("rows"))
+                    starts = np.arange(size)
+                    found = _spans(hashes[start : start + size + window - 1], starts, starts + window).view(np.int64).tolist()
+                    out += [(h, h, doc, bits, ((start + i) << 7) | 1, True, short[start + i : start + i + window].tobytes()) for i, h in enumerate(found)]
+                    if len(out) >= 1 << 14:
+                        yield rows_of(out)
+                        out = []
+            if out:
+                yield rows_of(out)
+
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["key", "content", "doc", "bits", "place", "split", "words"])
+
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
+    lists = wanted.groupBy("doc", "bits").agg(F.collect_list(F.struct("key", "content", "place", "split")).alias("rows"))
     joined = _packed_texts(docs).join(lists, ["doc", "bits"]).select("doc", "bits", "packed", "rows")
-    return joined.mapInArrow(run, "key long, doc long, bits long, place long, words binary")
+    return joined.mapInArrow(run, "key long, content long, doc long, bits long, place long, split boolean, words binary")
 
 
 def _indexed(contents: DataFrame, window: int) -> DataFrame:
-    """Repeated windows (doc, bits, place) among segments (key, doc, bits, place, words) of equal key.
+    """(key, content, spans) of different segments (key, content, doc, bits, place, words), from one FM-index a shard.
 
     A task's segments, sorted by key, fill one index after the other; a key is
-    never parted.
+    never parted. ``spans`` are the segment's stretches (offset, size, doc, bits,
+    start) with their earliest places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, hashed, places, words, held = [], [], [], [], [], 0
-
-        def closed(n: int) -> pa.RecordBatch:
-            d, b, p = (np.array(x[:n], np.int64) for x in (docs, hashed, places))
-            segment, offset = repeated_windows([_wide(w) for w in words[:n]], d, b, p, window)
-            place = (((p[segment] >> 7) + offset) << 7) | 1
-            return pa.RecordBatch.from_arrays([pa.array(d[segment]), pa.array(b[segment]), pa.array(place)], names=["doc", "bits", "place"])
-
-        for batch in in_small_batches(batches):
-            for key, doc, bits, place, word in zip(*(c.to_pylist() for c in batch.columns)):
-                if held >= SHARD_WORDS and key != keys[-1]:
-                    yield closed(len(keys))
-                    keys, docs, hashed, places, words, held = [], [], [], [], [], 0
-                if keys and (key, doc, bits, place) == (keys[-1], docs[-1], hashed[-1], places[-1]):  # from a repeated row
-                    continue
-                keys.append(key), docs.append(doc), hashed.append(bits), places.append(place), words.append(word)
-                held += len(word) // WORD_BYTES
-        if keys:
-            yield closed(len(keys))
-
-    ordered = contents.select("key", "doc", "bits", "place", "words").repartition("key").sortWithinPartitions("key", "doc", "bits", "place")
-    return ordered.mapInArrow(run, "doc long, bits long, place long")
+        rows, held = [], 0
+
+        def closed() -> pa.RecordBatch:
+            key, content, doc, bits, place = (np.array(x, np.int64) for x in list(zip(*rows))[:5])
+            segment, offset, size, of, start = reported_spans([_wide(r[5]) for r in rows], doc, bits, place, window)
+            spans = pa.StructArray.from_arrays([pa.array(x) for x in (offset, size, doc[of], bits[of], start)], names=["offset", "size", "doc", "bits", "start"])
+            ends = pa.array(np.searchsorted(segment, np.arange(len(rows) + 1)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.ListArray.from_arrays(ends, spans)], names=["key", "content", "spans"])
+
+        for batch in in_small_batches(batches, 4096):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held >= SHARD_WORDS and row[0] != rows[-1][0]:
+                    yield closed()
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[5]) // WORD_BYTES
+        if rows:
+            yield closed()
+
+    ordered = contents.select("key", "content", "doc", "bits", "place", "words").repartition("key").sortWithinPartitions("key", "doc", "bits", "place")
+    return ordered.mapInArrow(run, "key long, content long, spans array<struct<offset: long, size: long, doc: long, bits: long, start: long>>")
 
 
 def _wide(words: bytes) -> np.ndarray:
@@ -395,28 +406,28 @@ def _wide(words: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (doc, bits, place) that are not the first of their group; groups may be of any size."""
-    first = rows.groupBy(*by).agg(F.min(F.struct("doc", "bits", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, by).where("doc <> first.doc OR bits <> first.bits OR place <> first.place").select("doc", "bits", "place")
-
-
 def repeated_places(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc, bits, place) of segments all of whose windows occur earlier. ``docs``: (doc, text)."""
+    """(doc, bits, place) of segments all of whose windows occur earlier. ``docs``: (doc, text).
+
+    Keys, contents and words are compared by hash: 64 bits of a run, 64 of a
+    segment, 48 of each of a window's words.
+    """
     found = _found_segments(docs, window)
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     occurrences = staged(found.join(shared, "key"))
-    cold = staged(_sort_out(occurrences.where(F.col("n") <= HOT).select("key", "content", "doc", "bits", "place")))
-    hot = occurrences.where(F.col("n") > HOT)
-    # copies of one content first; a hot key's distinct contents part by window
-    firsts = staged(hot.groupBy("key", "content").agg(F.min(F.struct("doc", "bits", "place")).alias("first")))
-    split = firsts.select("key", "first.doc", "first.bits", "first.place", F.lit(True).alias("split"))
-    wanted = cold.where("kind > 0").select("key", "doc", "bits", "place", (F.col("kind") == 2).alias("split")).union(split)
-    fetched = staged(_extracted(docs, wanted, window))
-    copies = cold.where("kind = 0").select("doc", "bits", "place")
-    hot_copies = hot.join(firsts, ["key", "content"]).where("doc <> first.doc OR bits <> first.bits OR place <> first.place").select("doc", "bits", "place")
-    windows = _later(fetched.where("words IS NULL"), ["key"])
-    return copies.union(hot_copies).union(windows).union(_indexed(fetched.where("words IS NOT NULL"), window))
+    contents = staged(occurrences.groupBy("key", "content").agg(F.min(F.struct("doc", "bits", "place")).alias("first")))
+    crowded = staged(contents.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"))
+    firsts = contents.join(crowded, "key", "left_anti").select("key", "content", "first.*", F.lit(False).alias("split"))
+    to_part = occurrences.join(crowded, "key", "left_semi").select("key", "content", "doc", "bits", "place", F.lit(True))
+    fetched = staged(_extracted(docs, firsts.union(to_part), window))
+    once = fetched.where("split").groupBy("key", "content").agg(F.min(F.struct("doc", "bits", "place", "words")).alias("first")).select("key", "content", "first.*")
+    spans = _indexed(fetched.where("NOT split").drop("split").union(once), window)
+    whole = occurrences.join(crowded, "key", "left_anti").select("key", "content", "doc", "bits", "place")
+    every = whole.union(fetched.where("split").select("key", "content", "doc", "bits", "place"))
+    reported = every.join(spans, ["key", "content"]).select("doc", "bits", F.shiftright("place", 7).alias("start"), F.explode("spans").alias("x"))
+    own = F.col("start") + F.col("x.offset")
+    later = F.struct("x.doc", "x.bits", "x.start") < F.struct("doc", "bits", own.alias("start"))
+    return reported.where(later).select("doc", "bits", F.shiftleft(own, 7).bitwiseOR(F.col("x.size")).alias("place"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, keep: list[str] = ()) -> DataFrame:
