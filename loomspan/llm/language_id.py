@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import held_out, in_small_batches, texts_of
+from loomspan.llm.common import held_out, in_small_batches, staged, texts_of
 
 ORDERS = (2, 3, 4)
 #: Most training documents and n-grams per language.
 SAMPLE_DOCS, GRAMS = 2000, 20_000
+#: Most picked texts, of 16 bytes and a language's name each, that are broadcast; more are joined by a shuffle.
+BROADCAST_PICKS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,30 +63,32 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageFilter:
-    """Bit-sliced Bloom filters of up to 64 languages."""
+    """Bit-sliced Bloom filters; a slot has as many words as its languages need."""
 
     def __init__(self, languages: list[str], grams: list[np.ndarray], covers: list[float]):
-        if len(languages) > 64:
-            raise ValueError("a slot has bits for 64 languages")
         self.languages, self.covers = languages, np.array(covers)
         most = max([len(g) for g in grams], default=1)
         self.bits = max(12, int(np.ceil(np.log2(16 * max(1, most)))))
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-        self.slots = np.zeros(1 << self.bits, kind)
+        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 1 << 30)) if len(languages) <= n)
+        self.width = 8 * np.dtype(kind).itemsize
+        self.slots = np.zeros((max(1, -(-len(languages) // self.width)), 1 << self.bits), kind)
         for i, g in enumerate(grams):
             for at in self._places(g.view(np.uint64)):
-                np.bitwise_or.at(self.slots, at, kind(1 << i))
-        filled = np.array([np.mean((self.slots >> kind(i)) & kind(1)) for i in range(len(languages))])
-        self.false_rate = filled**2
+                np.bitwise_or.at(self.slots[i // self.width], at, kind(1 << i % self.width))
+        self.false_rate = np.array([np.mean(self._bit(self.slots, i)) for i in range(len(languages))]) ** 2
+
+    def _bit(self, masks: np.ndarray, language: int) -> np.ndarray:
+        kind = masks.dtype.type
+        return (masks[language // self.width] >> kind(language % self.width)) & kind(1)
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of each n-gram under the two hash functions: its top and its low bits."""
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64), (hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def languages_of(self, hashes: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that contain each n-gram."""
+        """Bitmasks, one row a word of languages, of those that contain each n-gram."""
         first, second = self._places(hashes)
-        return self.slots[first] & self.slots[second]
+        return self.slots[:, first] & self.slots[:, second]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; ``und`` and 0 where no letter is."""
@@ -95,7 +99,7 @@ class LanguageFilter:
         masks = self.languages_of(hashes)
         rates = np.zeros((len(texts), len(self.languages)))
         for i in range(len(self.languages)):
-            hit = owners[(masks >> masks.dtype.type(i)) & masks.dtype.type(1) == 1]
+            hit = owners[self._bit(masks, i) == 1]
             hits = np.bincount(hit, minlength=len(texts))
             wrong = self.false_rate[i]
             rates[:, i] = np.maximum(hits - wrong * totals, 0) / (1 - min(wrong, 0.999)) / max(self.covers[i], 1e-9)
@@ -109,20 +113,24 @@ class LanguageFilter:
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS) -> LanguageFilter:
     """Learn filters from (text, lang) rows; null languages are left out.
 
-    At most ``sample_docs`` documents a language are read, chosen by hash, and
-    at most ``grams`` n-grams a language kept. An n-gram belongs to a language
-    if its share there is at least a third of its largest share anywhere.
+    At most ``sample_docs`` different texts a language are learned from, chosen
+    by hash, each once however many copies it has, and at most ``grams``
+    n-grams a language kept. An n-gram belongs to a language if its share
+    there is at least a third of its largest share anywhere.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("pick", F.xxhash64("text"))
-    picks = rows.select("lang", "pick").withColumn("part", F.pmod("pick", F.lit(256)))
-    for by in (["lang", "part"], ["lang"]):  # a common language is thinned in parts before its rows meet
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("pick"))
-        picks = picks.withColumn("rank", rank).where(F.col("rank") <= sample_docs)
-    picks = picks.select("lang", "pick").distinct()
-    sample = rows.join(F.broadcast(picks), ["lang", "pick"])  # at most 64 * sample_docs short rows
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("pick", F.xxhash64("text"))
+    picks = staged(rows.select("lang", "pick").distinct())
+    # a common language is thinned by hash before its picks meet for their ranks; two times what is wanted leaves too few in no real case
+    share = F.ceil(float((2 * sample_docs + 100) << 20) / F.col("n"))
+    thin = picks.join(picks.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.pmod("pick", F.lit(1 << 20)) < share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
+    picks = staged(thin.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "pick"))
+    if picks.count() <= BROADCAST_PICKS:
+        picks = F.broadcast(picks)
+    sample = rows.join(picks, ["lang", "pick"]).groupBy("lang", "pick").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_small_batches(batches, 512):
+        for batch in in_small_batches(batches, 256):
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             texts = texts_of(batch.column(1))
             for lang in sorted(set(langs)):
