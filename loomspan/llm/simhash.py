@@ -4,10 +4,12 @@ Fingerprints are 64-bit majority votes over hashed word shingles. Copies meet
 first: one row per distinct fingerprint goes on. Distinct fingerprints are
 dealt to buckets by every pair of six equal bit blocks (two fingerprints that
 differ in at most four bits agree in two blocks at least). Inside a bucket,
-fingerprints sorted by population count are compared tile by tile with
-exclusive-or and bit counts; tiles whose population counts differ by more than
-the radius are skipped. Each bucket emits a spanning forest of its links
-rather than all pairs, and components are joined on Spark.
+fingerprints sorted by population count are cut into tiles, and tile is
+compared with tile by exclusive-or and bit counts; tile pairs whose population
+counts differ by more than the radius are skipped. A bucket of more than MOST
+fingerprints is never held: its tiles are dealt out, each pair in reach as a
+task's group of its own. Tiles emit a spanning forest of their links rather
+than all pairs, and components are joined on Spark.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import staged, connected_components, in_small_batches
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-TILE = 2048
+TILE = 1024
+MOST = 8 * TILE  # rows of a bucket that are compared where they stream by; beyond, tile pairs are dealt out
 HELD = 1 << 27  # bytes of shingle hashes that a task holds in memory; beyond, they lie in a temporary file
 
 
@@ -55,7 +58,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, fingerprint as signed 64-bit long) per row; null text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_small_batches(batches):
+        for batch in in_small_batches(batches, 256):
             prints = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fingerprint"])
 
@@ -106,49 +109,45 @@ class Exact:
             out[at] = common >= self.similarity * (sizes[at] + len(own) - common) - 1e-9
         return out
 
-    def links(self, far: np.ndarray, tile: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``other`` some row of ``tile`` links, and the place of that row."""
+    def near(self, far: np.ndarray, tile: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Which pairs of rows are candidates: those within the radius for their sizes."""
         tiny, wide = self.reach
-        near = far <= np.where(np.maximum(self.sizes[tile][:, None], self.sizes[other][None, :]) > TINY, wide, tiny)
-        reached, by = np.zeros(len(other), bool), np.zeros(len(other), np.int64)
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            at = np.flatnonzero(near[i] & ~reached)
-            at = at[self.similar(int(tile[i]), other[at])]
-            reached[at], by[at] = True, i
-        return reached, by
+        return far <= np.where(np.maximum(self.sizes[tile][:, None], self.sizes[other][None, :]) > TINY, wide, tiny)
 
 
-def _forest(prints: np.ndarray, radius: int, exact: Exact | None = None) -> list[tuple[int, int]]:
+def _forest(prints: np.ndarray, radius: int, exact: Exact | None = None, split: int = 0) -> list[tuple[int, int]]:
     """Spanning forest, as pairs of row numbers, of the links among fingerprints.
 
-    ``left`` holds what no tree has reached, sorted by population count. Each
-    tile of the frontier is compared with the tiles of ``left`` in reach of its
-    population counts; what it reaches becomes the next frontier. With
-    ``exact``, pairs within the radius are candidates that have to pass it.
+    With ``split``, only links between the rows before it and those from it on
+    are looked for. With ``exact``, pairs within the radius are candidates that
+    have to pass it, unless one tree holds both already.
     """
     edges: list[tuple[int, int]] = []
     counts = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
-    left = np.argsort(counts, kind="stable")
-    while len(left) > 1:
-        frontier, left = left[:1], left[1:]
-        while len(frontier) and len(left):
-            tile, frontier = frontier[:TILE], frontier[TILE:]
-            low = np.searchsorted(counts[left], counts[tile].min() - radius)
-            high = np.searchsorted(counts[left], counts[tile].max() + radius, side="right")
-            hit = np.zeros(len(left), bool)
-            for at in range(low, high, TILE):
-                other = left[at : min(at + TILE, high)]
-                far = _far(prints[tile], prints[other])
-                if exact is None:
-                    near = far <= radius
-                    reached, by = near.any(axis=0), near.argmax(axis=0)
-                else:
-                    reached, by = exact.links(far, tile, other)
-                if reached.any():
-                    edges += zip(tile[by[reached]].tolist(), other[reached].tolist())
-                    hit[at : at + len(other)] = reached
-            if hit.any():
-                frontier, left = np.concatenate((frontier, left[hit])), left[~hit]
+    label = np.arange(len(prints))
+    order = np.argsort(counts[: split or None], kind="stable")
+    others = split + np.argsort(counts[split:], kind="stable") if split else order
+    for i in range(0, len(order), TILE):
+        tile = order[i : i + TILE]
+        for j in range(0 if split else i, len(others), TILE):
+            other = others[j : j + TILE]
+            if counts[other[0]] - counts[tile[-1]] > radius:
+                break
+            if counts[tile[0]] - counts[other[-1]] > radius:
+                continue
+            far = _far(prints[tile], prints[other])
+            near = far <= radius if exact is None else exact.near(far, tile, other)
+            if not split and i == j:
+                near = np.triu(near, 1)
+            for row in np.flatnonzero(near.any(axis=1)).tolist():
+                at, to = int(tile[row]), other[near[row]]
+                to = to[label[to] != label[at]]
+                if exact is not None and len(to):
+                    to = to[exact.similar(at, to)]
+                if len(to):
+                    trees, first = np.unique(label[to], return_index=True)
+                    edges += [(at, x) for x in to[first].tolist()]
+                    label[np.isin(label, trees)] = label[at]
     return edges
 
 
@@ -178,53 +177,141 @@ def _on_disk(values: np.ndarray) -> np.ndarray:
         return np.memmap(file, values.dtype, "r")  # lives on without the file's name
 
 
+def _rows_of(batch: pa.RecordBatch, sets: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, nodes and prints of a batch; its shingle sets, if any, are added to ``sets``."""
+    prints = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+    if sets is not None:
+        values = [np.frombuffer(x, "<u8") for x in batch.column(3).to_pylist()]
+        ends = np.cumsum([len(x) for x in values]).tolist()
+        values = np.concatenate(values)
+        if 8 * (sum(map(len, sets)) + len(values)) > HELD:
+            values = _on_disk(values)
+        sets += [values[a:b] for a, b in zip([0, *ends], ends)]
+    return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), prints
+
+
 def _linked(dealt: DataFrame, radius: int, similar: tuple[float, tuple[int, int]] | None = None, grouped: bool = False) -> DataFrame:
     """Distinct links (a, b) between nodes that share a bucket and lie within the radius.
 
     ``dealt`` has rows (bucket, node, print as array of longs). Buckets
-    stream through their task; one bucket is held at a time. With
+    stream through their task, sorted by population count. One of at most MOST
+    rows is compared there; of a larger one only tiles are cut, and every pair
+    of tiles in reach of their population counts becomes a group of two tiles,
+    so that no task holds more however large a bucket is. With
     ``similar``, a similarity and its radii, rows also have sorted distinct
-    shingle ``hashes`` (binary), and links pass the exact test. With ``grouped``, the result is (bucket,
-    node) of the trees of links; trees of the same nodes are one bucket.
+    shingle ``hashes`` (binary), and links pass the exact test. With
+    ``grouped``, the result is (bucket, node) of the trees of links; trees of
+    the same nodes are one bucket.
     """
+    payload = ["print", *(["hashes"] if similar else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    names = ["a", "b", "bucket", "tile", "low", "high", "print", "hashes"]
+    schema = "a long, b long, bucket long, tile int, low int, high int, print array<long>, hashes binary"
+
+    def links(pairs: Iterator[np.ndarray], nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), k) for k in kinds[2:])], names=names)
+
+        if grouped:
+            for members in _trees(pairs):
+                found = np.sort(nodes[members])
+                yield rows(np.full(len(found), xxhash.xxh64_intdigest(found.tobytes()), np.uint64).view(np.int64), found)
+            return
+        for pair in pairs:
+            yield rows(nodes[pair[:, 0]], nodes[pair[:, 1]])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, prints, sets = np.empty(0, np.int64), np.empty(0, np.int64), None, [] if similar else None
+        large, tiles = None, 0  # the bucket whose tiles are being cut, and how many there are
+
+        def cut(n: int) -> None:
+            nonlocal keys, nodes, prints, sets
+            keys, nodes, prints, sets = keys[n:], nodes[n:], prints[n:], sets and sets[n:]
+
+        def tile(n: int) -> pa.RecordBatch:
+            counts = np.bitwise_count(prints[:n]).sum(axis=1, dtype=np.int32)
+            fixed = [pa.array(np.full(n, x, np.int32)) for x in (tiles, counts.min(), counts.max())]
+            hashes = pa.array([x.tobytes() for x in sets[:n]], pa.binary()) if similar else pa.nulls(n, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(nodes[:n]), pa.array(keys[:n]), *fixed, pa.array(list(prints[:n].view(np.int64)), kinds[6]), hashes], names=names)
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            """Deal with what is known whole."""
+            nonlocal large, tiles
+            while len(keys):
+                if large is not None:
+                    end = int(np.searchsorted(keys, large, side="right"))
+                    over = last or end < len(keys)
+                    if end >= TILE or end and over:
+                        yield tile(min(end, TILE))
+                        tiles += 1
+                        cut(min(end, TILE))
+                        continue
+                    if not over:
+                        return
+                    large = None
+                whole = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+                if last and len(keys) >= MOST:
+                    whole = int(np.searchsorted(keys, keys[-1]))
+                if whole:
+                    exact = Exact(sets[:whole], *similar) if similar else None
+                    yield from links(_bucket_links(keys[:whole], prints[:whole], radius, exact), nodes)
+                    cut(whole)
+                elif len(keys) >= MOST:
+                    large, tiles = int(keys[0]), 0
+                else:
+                    return
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, prints, sets = np.empty(0, np.int64), np.empty(0, np.int64), None, []
-
-        def links(n: int) -> Iterator[pa.RecordBatch]:
-            exact = None if similar is None else Exact(sets[:n], *similar)
-            pairs = _bucket_links(keys[:n], prints[:n], radius, exact)
-            if grouped:
-                for members in _trees(pairs):
-                    found = np.sort(nodes[members])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), xxhash.xxh64_intdigest(found.tobytes()), np.uint64).view(np.int64)), pa.array(found)], names=["bucket", "node"])
-                return
-            for pair in pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[pair[:, 0]]), pa.array(nodes[pair[:, 1]])], names=["a", "b"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = _rows_of(batch, sets)
+            keys, nodes = np.concatenate((keys, fresh[0])), np.concatenate((nodes, fresh[1]))
+            prints = fresh[2] if prints is None else np.concatenate((prints, fresh[2]))
+            yield from settled(False)
+        yield from settled(True)
+
+    def compared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, prints, sets = np.empty(0, np.int64), np.empty(0, np.int64), None, [] if similar else None
+
+        def settled(n: int) -> Iterator[pa.RecordBatch]:
+            """Groups, each of the rows of one tile or of two; the lowest bit of a key tells them apart."""
+            bounds = np.flatnonzero(np.concatenate(([True], keys[1:n] >> 1 != keys[: n - 1] >> 1, [True])))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                exact = Exact(sets[a:b], *similar) if similar else None
+                if pairs := _forest(prints[a:b], radius, exact, int(np.searchsorted(keys[a:b], keys[a], side="right")) % (b - a)):
+                    yield from links(iter([np.array(pairs)]), nodes[a:b])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fresh = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
-            nodes = np.concatenate((nodes, batch.column(1).to_numpy(zero_copy_only=False)))
-            prints = fresh if prints is None else np.concatenate((prints, fresh))
-            if similar is not None:
-                values = [np.frombuffer(x, "<u8") for x in batch.column(3).to_pylist()]
-                ends = np.cumsum([len(x) for x in values]).tolist()
-                values = np.concatenate(values)
-                if 8 * (sum(map(len, sets)) + len(values)) > HELD:
-                    values = _on_disk(values)
-                sets += [values[a:b] for a, b in zip([0, *ends], ends)]
-            whole = np.searchsorted(keys, keys[-1])  # the last bucket may go on in the next batch
+            fresh = _rows_of(batch, sets)
+            keys, nodes = np.concatenate((keys, fresh[0])), np.concatenate((nodes, fresh[1]))
+            prints = fresh[2] if prints is None else np.concatenate((prints, fresh[2]))
+            whole = int(np.searchsorted(keys >> 1, keys[-1] >> 1))
             if whole:
-                yield from links(whole)
-                keys, nodes, prints, sets = keys[whole:], nodes[whole:], prints[whole:], sets[whole:]
+                yield from settled(whole)
+                keys, nodes, prints, sets = keys[whole:], nodes[whole:], prints[whole:], sets and sets[whole:]
         if len(keys):
-            yield from links(len(keys))
-
-    by_bucket = dealt.select("bucket", "node", "print", *(["hashes"] if similar else [])).repartition("bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(run, "bucket long, node long" if grouped else "a long, b long").distinct()
+            yield from settled(len(keys))
+
+    ones = F.aggregate("print", F.lit(0), lambda n, x: n + F.bit_count(x))
+    by_bucket = dealt.select("bucket", "node", *payload, ones.alias("ones")).repartition("bucket").sortWithinPartitions("bucket", "ones", "node").drop("ones")
+    found = staged(by_bucket.mapInArrow(compared, schema))
+    done = found.where("tile IS NULL").select("a", "b")
+    later = found.where("tile IS NOT NULL").select("bucket", "tile", "low", "high", F.col("b").alias("node"), *payload)
+    if not later.isEmpty():
+        tiles = later.groupBy("bucket", "tile").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+        right = tiles.select("bucket", F.col("tile").alias("other"), F.col("low").alias("from"))
+        pairs = tiles.join(right, "bucket").where((F.col("tile") <= F.col("other")) & (F.col("from") - F.col("high") <= radius))
+        group = F.shiftleft(F.shiftright(F.xxhash64("bucket", "tile", "other"), 2), 1)
+        sides = F.when(F.col("tile") == F.col("other"), F.array(F.struct(F.col("tile").alias("tile"), group.alias("group")))).otherwise(
+            F.array(F.struct(F.col("tile").alias("tile"), group.alias("group")), F.struct(F.col("other").alias("tile"), (group + 1).alias("group")))
+        )
+        dealt_out = staged(pairs.select("bucket", F.explode(sides).alias("x")).select("bucket", "x.tile", "x.group"))
+        members = later.join(dealt_out, ["bucket", "tile"]).select("group", "node", *payload, F.shiftright("group", 1).alias("pair"))
+        ordered = members.repartition("pair").sortWithinPartitions("group", "node").drop("pair")
+        done = done.union(ordered.mapInArrow(compared_tiles, schema).select("a", "b"))
+    return (done.toDF("bucket", "node") if grouped else done).distinct()
 
 
 def _trees(links: Iterator[np.ndarray]) -> Iterator[list[int]]:
@@ -342,47 +429,65 @@ def similarity_radius(similarity: float, bits: int) -> tuple[int, int]:
     return tuple(int(bits * p + 4 * math.sqrt(bits * p * (1 - p))) for p in (worst[True], worst[False]))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, anchors: int = 8) -> DataFrame:
-    """(id, component) per row with an id: groups of documents of given similarity.
-
-    Documents are linked when their distinct ``shingle``-word shingles have a
-    Jaccard similarity of ``similarity`` or more. Fingerprints meet in the tiles
-    of their anchors (at 0.8, two documents share none of eight in three of a
-    million cases); those within a wide radius are candidates (at 0.8, under one
-    pair in ten thousand lies beyond). Each tile's candidates go on in groups,
-    equal groups once, and there the shingles themselves are compared.
-    ``component`` is the smallest id reachable. Rows without id are left out;
-    all texts without words are one group; repeated rows stay repeated.
-    """
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words: int, anchors: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All rows, numbered (row, node, id, text, kept), and (node, component, lead): each text's group and its first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in in_small_batches(batches):
-            texts = batch.column(1).to_pylist()
-            hashes = [shingle_hashes(x, shingle) for x in texts]
+        row = TaskContext.get().partitionId() << 40
+        for batch in in_small_batches(batches, 256):
+            hashes = [shingle_hashes(x, shingle) for x in batch.column(1).to_pylist()]
             found = [wide_fingerprint(x, words, anchors) for x in hashes]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in hashes], np.uint64).view(np.int64)
-            packed = pa.array([pack((x or "").encode()) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int64())), packed], names=["id", "node", "print", "anchors", "packed"])
+            prints, least = pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), pa.array(nodes), prints, least, *batch.columns], names=["row", "node", "print", "anchors", "id", "text", "kept"])
+            row += batch.num_rows
 
     def with_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in in_small_batches(batches, 256):
-            hashes = [shingle_hashes(unpack(x).decode(), shingle).tobytes() for x in batch.column(2).to_pylist()]
+            hashes = [shingle_hashes(x, shingle).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), batch.column(3)], names=["node", "print", "hashes", "buckets"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    rows = staged(source.mapInArrow(run, "id long, node long, print array<long>, anchors array<long>, packed binary"))
-    distinct = staged(rows.groupBy("node").agg(F.min("id").alias("low"), F.min_by(F.struct("print", "anchors", "packed"), "id").alias("x")).select("node", "low", "x.*"))
+    kept = F.struct(F.lit(0).alias("_none"), *[F.col(c) for c in keep])
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), kept.alias("kept"))
+    rows = staged(source.mapInArrow(run, f"row long, node long, print array<long>, anchors array<long>, id long, text string, kept {source.schema['kept'].dataType.simpleString()}"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    distinct = staged(rows.groupBy("node").agg(F.min(order).alias("least"), F.first("print").alias("print"), F.first("anchors").alias("anchors")))
     dealt = distinct.select(F.posexplode("anchors").alias("i", "anchor"), "node", "print").withColumn("bucket", F.xxhash64("i", "anchor"))
     reach = similarity_radius(similarity, 64 * words)
     wanted = _linked(dealt, max(reach), grouped=True).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-    candidates = distinct.join(wanted, "node").select("node", "print", "packed", "buckets").mapInArrow(with_hashes, "node long, print array<long>, hashes binary, buckets array<long>")
+    asked = distinct.join(wanted, "node").select("node", "print", F.col("least.row").alias("row"), "buckets")
+    candidates = rows.select("row", "text").join(asked, "row").select("node", "print", "text", "buckets").mapInArrow(with_hashes, "node long, print array<long>, hashes binary, buckets array<long>")
     groups = connected_components(_linked(candidates.select(F.explode("buckets").alias("bucket"), "node", "print", "hashes"), max(reach), (similarity, reach)))
-    named = distinct.select("node", "low").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = named.join(lows, "component").select("node", "component_id")
-    return rows.select("id", "node").join(known, "node").select("id", F.col("component_id").alias("component"))
+    named = distinct.select("node", "least").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    firsts = named.groupBy("group").agg(F.min("least").alias("lowest"))
+    return rows, staged(named.join(firsts, "group").select("node", F.col("lowest.id").alias("component"), F.col("lowest.row").alias("lead")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, anchors: int = 8, keep: list[str] = ()) -> DataFrame:
+    """(id, text, ``keep`` columns, component, first) per row: groups of documents of given similarity.
+
+    Documents are linked when their distinct ``shingle``-word shingles have a
+    Jaccard similarity of ``similarity`` or more. Fingerprints meet in the tiles
+    of their anchors (at 0.8, two documents share none of eight in three of a
+    million cases); those within a wide radius are candidates (at 0.8, under one
+    pair in ten thousand lies beyond). Each tile's candidates go on in groups,
+    equal groups once, and there the shingles themselves are compared.
+    Rows are told apart by their place, so rows of one id may be in different
+    groups. ``component`` is the smallest id reachable, null where a group has
+    no id. ``first`` is true for one row of each group: that of the smallest
+    id, or without any id the first row. All texts without words are one
+    group; repeated rows stay repeated and are of one group. An empty table
+    gives an empty result.
+    """
+    rows, known = _near_groups(docs, id_col, text_col, shingle, similarity, words, anchors, keep)
+    return rows.join(known, "node").select("id", "text", *[f"kept.{c}" for c in keep], "component", (F.col("row") == F.col("lead")).alias("first"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, anchors: int = 8, keep: list[str] = ()) -> DataFrame:
+    """(id, text, ``keep`` columns) of the first row of each group of ``near_duplicates``."""
+    rows, known = _near_groups(docs, id_col, text_col, shingle, similarity, words, anchors, keep)
+    leads = known.select(F.col("lead").alias("row")).distinct()
+    return rows.join(leads, "row", "left_semi").select("id", "text", *[f"kept.{c}" for c in keep])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
