@@ -111,7 +111,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_small_batches(batches, 4096):
+        for batch in in_small_batches(batches, 4096):  # and at most about a megabyte of text
             formatted, starts, lengths = assemble(batch.column(2), batch.column(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), formatted, pa.array(starts), pa.array(lengths)], names=["conv_id", "turn", "formatted", "loss_start", "loss_length"])
 

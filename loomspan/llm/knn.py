@@ -1,9 +1,11 @@
 """Exact top-k inner-product search with one KD-tree per shard.
 
-Candidates are dealt to shards by id; each shard builds a KD-tree by median
-splits with tight bounding boxes. A query first meets its home shard, which
-gives it a k-th best score; that score travels with the query to all other
-shards, where best-first traversal stops as soon as no box can beat it.
+Candidates are dealt to shards by id; a task reads a shard's candidates, builds
+a KD-tree by median splits with tight bounding boxes, and then streams the
+queries past it, so it holds one shard and one batch of queries. A query first
+meets its home shard, which gives it a k-th best score; the score travels with
+the query to other shards in rounds, tightened from round to round, and
+best-first traversal stops as soon as no box can beat it.
 """
 
 from __future__ import annotations
@@ -12,18 +14,23 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import staged
+
 LEAF = 256
+#: Candidates to expect in a shard, and by how much more shards each round takes.
+SHARD, ROUNDS = 16_384, 16
 
 
 class KDTree:
-    """Median-split tree over integer vectors; rows keep their ids.
+    """Median-split tree over vectors of whole numbers; rows keep their ids.
 
     Scores are exact: float64 sums of integers below 2**53, or Python integers
-    where components are too large for that.
+    where components are too large for that; a score has to fit 64 bits.
     """
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
@@ -53,6 +60,7 @@ class KDTree:
             split = np.argpartition(part[:, axis], half)
             todo += [(rows[split[:half]], node, 0), (rows[split[half:]], node, 1)]
         self.lows, self.highs = np.array(self.low), np.array(self.high)
+        self.largest = float(max(np.abs(self.lows[0]).max(initial=0), np.abs(self.highs[0]).max(initial=0)))
 
     def search(self, query: np.ndarray, own: int, k: int, bound: int | None) -> list[tuple[int, int]]:
         """Up to k best (score, id) that are no worse than ``bound``.
@@ -62,6 +70,9 @@ class KDTree:
         """
         up, down = np.maximum(query, 0), np.minimum(query, 0)
         bounds = self.highs @ up + self.lows @ down
+        exact = len(query) * self.largest * float(np.abs(query).max(initial=0)) < 2**53
+        if not exact:  # what rounding could take from a bound is added to it
+            bounds = bounds + 1e-12 * (np.maximum(np.abs(self.highs), np.abs(self.lows)) @ np.abs(query))
         best: list[tuple[int, int]] = []  # min-heap of (score, -id)
         floor = bound
         queue = [(-bounds[0], 0)]
@@ -75,13 +86,12 @@ class KDTree:
                         heapq.heappush(queue, (-bounds[child], child))
                 continue
             ids, points = self.leaves[node]
-            scores = points @ query
-            at = np.flatnonzero(scores >= floor) if floor is not None else np.arange(len(scores))
-            if len(at) > 4 * k:  # a leaf can give no more than its own best k (and the query itself)
-                at = at[np.lexsort((ids[at], -scores[at]))[: k + 1]]
+            scores = points @ query if exact else np.array([sum(int(a) * int(b) for a, b in zip(p, query)) for p in points], object)
+            other = ids != own
+            at = np.flatnonzero(other & (scores >= floor)) if floor is not None else np.flatnonzero(other)
+            if len(at) > 4 * k:  # a leaf can give no more than its own best k
+                at = at[np.lexsort((ids[at], -scores[at]))[:k]]
             for i in at.tolist():
-                if ids[i] == own:
-                    continue
                 item = (int(scores[i]), -int(ids[i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
@@ -92,29 +102,42 @@ class KDTree:
         return [(s, -i) for s, i in best]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    points = np.stack([np.asarray(x, dtype=np.float64) for x in column])
-    scaled = np.floor(points * 256.0)
-    if points.size and points.shape[1] * float(np.abs(scaled).max()) ** 2 >= 2**53:
-        return np.array([[int(x) for x in row] for row in scaled], dtype=object)
-    return scaled
-
-
-def _search_shard(k: int):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        right = right[~pd.DataFrame({"id": right["id"], "vec": right["vec"].map(lambda v: v.tobytes())}).duplicated()]  # repeated rows
-        if len(left) and len(right):
-            for dim, points in right.groupby(right["vec"].map(len)):
-                queries = left[left["vec"].map(len) == dim]
-                if not len(queries):
+def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and floor(256 x) of the vectors of each dimension."""
+    sizes = np.asarray(pc.list_value_length(column))
+    values, starts = np.asarray(column.flatten()), np.cumsum(sizes) - sizes
+    out = []
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        out.append((rows, np.floor(values[starts[rows][:, None] + np.arange(dim)] * 256.0)))
+    return out
+
+
+def _searched(k: int):
+    """Streams rows (shard, query, id, vec, bound), sorted, a shard's candidates before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, trees = None, {}, None
+        for batch in batches:
+            shards, asks, ids, bounds = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1, 2, 4))
+            edges = np.flatnonzero(np.concatenate(([True], (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1]), [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if shards[a] != shard:
+                    shard, held, trees = shards[a], {}, None
+                found = _matrices(batch.column(3).slice(a, b - a))
+                if not asks[a]:
+                    for rows, points in found:
+                        held.setdefault(points.shape[1], []).append((ids[a:b][rows], points))
                     continue
-                both = _matrix(pd.concat((points["vec"], queries["vec"])))
-                tree = KDTree(points["id"].to_numpy(), both[: len(points)])
-                for q, own, bound in zip(both[len(points) :], queries["id"], queries["bound"]):
-                    floor = None if pd.isna(bound) else int(bound)
-                    out += [(own, i, s) for s, i in tree.search(q, own, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                if trees is None:
+                    trees = {dim: KDTree(np.concatenate([i for i, _ in x]), np.concatenate([p for _, p in x])) for dim, x in held.items()}
+                    held = {}
+                out: list[tuple[int, int, int]] = []
+                for rows, queries in found:
+                    if tree := trees.get(queries.shape[1]):
+                        for query, own, bound in zip(queries, ids[a:b][rows].tolist(), bounds[a:b][rows].tolist()):
+                            out += [(own, i, s) for s, i in tree.search(query, own, k, None if bound is None or bound != bound else int(bound))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] or [pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -137,35 +160,33 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shards: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates.
 
-    Score: inner product of the vectors floor(256 x). Ties go to the smaller
-    id. A query has fewer rows if fewer candidates exist. Repeated rows of one
-    id and vector count once; vectors of another dimension are no candidates. Shards hold about 16,384 candidates each, so
-    that a task's memory stays the same at any size.
+    Score: inner product of the vectors floor(256 x). Candidates are rows:
+    rows that repeat an id and a vector count as often as they are there, but
+    rows of the query's own id are no candidates for it, nor are vectors of
+    another dimension. A query row that is given twice is asked once. Ties go
+    to the smaller id. A query has fewer rows if fewer candidates exist; an
+    empty table gives an empty result. A shard has about SHARD candidates.
     """
     points = usable_vectors(vectors, id_col, vec_col)
-    asked = usable_vectors(queries, id_col, vec_col).dropDuplicates(["id", "vec"])
-    n = shards or max(1, -(-vectors.count() // 16384))
+    n = shards or max(1, -(-vectors.count() // SHARD))
     home = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    placed = points.withColumn("shard", home)
-    output, run = "query_id long, vec_id long, score long", _search_shard(k)
-
-    def visit(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(run, output)
-
-    start = asked.withColumns({"bound": F.lit(None).cast("long"), "shard": home})
-    first = visit(start)
-    if n > 1:
-        kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-        elsewhere = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: s != F.col("home")))
-        onward = asked.withColumn("home", home).join(kth, asked.id == kth.query_id, "left")
-        first = first.unionByName(visit(onward.select("id", "vec", "bound", elsewhere.alias("shard"))))
-    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("loss"), F.col("vec_id"))))  # k rows a shard at most
-    top = F.slice(best, 1, k)
-    return (
-        first.groupBy("query_id").agg(top.alias("top"))
-        .select("query_id", F.posexplode("top").alias("at", "hit"))
-        .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.loss")).alias("score"))
-    )
+    placed = points.select(home.alias("shard"), F.lit(False).alias("query"), "id", "vec", F.lit(None).cast("long").alias("bound"))
+    asked = usable_vectors(queries, id_col, vec_col).dropDuplicates(["id", "vec"]).withColumns({"home": home, "bound": F.lit(None).cast("long")})
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found, first = None, 0
+    while first < n:
+        last = min(n, max(1, first * ROUNDS)) if first else 1
+        visits = F.explode(F.transform(F.sequence(F.lit(first), F.lit(last - 1)), lambda i: F.pmod(F.col("home") + i, F.lit(n)).cast("int")))
+        onward = asked if found is None else asked.drop("bound").join(
+            found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("bound")), "id", "left"
+        )
+        both = placed.unionByName(onward.select(visits.alias("shard"), F.lit(True).alias("query"), "id", "vec", "bound"))
+        ordered = both.repartition("shard").sortWithinPartitions("shard", "query", "id")
+        fresh = ordered.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+        whole = fresh if found is None else found.unionByName(fresh)
+        found = staged(whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+        first = last
+    return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_kdtree_topk(spark, sf_dir: str) -> DataFrame:
