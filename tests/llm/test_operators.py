@@ -87,13 +87,67 @@ def test_clauses_are_matched_not_words():
     grammar = toxicity.ClauseGrammar(["zork"])
     count = lambda text: {toxicity.PATTERNS[i]: n for i, n in enumerate(grammar.counts(text)) if n}
     assert count("You are a zorker. A zork.") == {"INSULT>": 1, "INSULT": 1}
-    assert count("She is not a zork") == {"INSULT->": 1}
-    assert count("they said: zork") == {"INSULT": 1} and count("he said zork") == {"INSULT'>": 1}
+    assert count("zork, you") == {"INSULT>": 1} and count("A zork and zork!") == {"INSULT+": 1}
+    assert count("She is not a zork") == {"INSULT->": 1} and count("not at all, yes. zork") == {"INSULT": 1}
+    assert count("they said: zork") == count("he said zork") == {"INSULT'>": 1}
     assert count("never said you zork") == {"INSULT-'>": 1}
-    assert count("I will kill you") == {"THREAT": 1} and count("you, kill") == {"THREAT>": 1}
+    assert count('he wrote "A zork. Zork you." Zork.') == {"INSULT'>": 2, "INSULT": 1} and count('a "zork" of words') == {"INSULT": 1}
+    assert count("I will kill you") == {"THREAT>": 1} and count("kill you") == {"HARM>": 1} and count("I will not kill you") == {"THREAT->": 1}
+    assert count("kill the process") == {"HARM": 1} and count("shut up") == {"INSULT": 1} and count("what the hell") == {}
     assert count("") == {} and count("fine words only") == {}
 
 
+def brute_clauses(symbols):
+    """The grammar, clause by clause, without transducers."""
+    symbols, quoted, out = [*symbols, "END"], False, Counter()
+    while symbols:
+        end = symbols.index("END")
+        clause, symbols = symbols[:end], symbols[end + 1 :]
+        found, aimed, reported, denied, waiting = [], False, quoted, 0, (None, 0)
+        for x in clause:
+            kind = x
+            if x == "INTENT":
+                kind, waiting = "OTHER", ("intent", 4)
+            elif x == "FIRST":
+                kind, waiting = "OTHER", ("first", 3)
+            elif x == "LAST":
+                kind, waiting = ("INSULT" if waiting[0] == "first" else "OTHER"), (None, 0)
+            elif x == "HARM":
+                kind, waiting = ("THREAT" if waiting[0] == "intent" else "HARM"), (None, 0)
+            if x in ("INTENT", "FIRST", "OTHER", "TARGET", "NEGATION") and waiting[0]:
+                waiting = (waiting[0], waiting[1] - 1) if waiting[1] > 1 else (None, 0)
+            if kind == "NEGATION":
+                denied = 3
+                continue
+            mark = ""
+            if kind in toxicity.KINDS:
+                mark, denied = "-" * bool(denied), 0
+                found.append((kind, mark + "'" * reported))
+            elif kind in ("OTHER", "TARGET", "REPORT") and denied:
+                denied -= 1
+            if kind == "REPORT":
+                reported = True
+            elif kind == "QUOTE":
+                quoted = reported and not quoted
+                reported = quoted
+            aimed |= kind == "TARGET"
+        if found:
+            rank = lambda x: (x[1] == "", "-" not in x[1], ["HARM", "INSULT", "THREAT"].index(x[0]))
+            best = max(found, key=rank)
+            out[best[0] + "+" * (found.count(best) > 1) + best[1] + ">" * aimed] += 1
+    return out
+
+
+def test_grammar_equals_brute_force_on_random_clauses():
+    grammar = toxicity.ClauseGrammar([])
+    words = {"OTHER": "fine", "INSULT": "idiot", "HARM": "kill", "INTENT": "will", "TARGET": "you", "NEGATION": "not", "REPORT": "said", "FIRST": "shut", "LAST": "up", "QUOTE": '"', "END": "."}
+    rng = random.Random(12)
+    for _ in range(3000):
+        symbols = rng.choices(list(words), k=rng.randint(1, 14))
+        got = grammar.counts(" ".join(words[x] for x in symbols))
+        assert Counter({toxicity.PATTERNS[i]: n for i, n in enumerate(got) if n}) == brute_clauses(symbols), symbols
+
+
 def test_composition_is_the_transducers_in_turn():
     one, two = toxicity._negation(), toxicity._reported()
     both = one.then(two, toxicity.SYMBOLS)
@@ -107,6 +161,28 @@ def test_composition_is_the_transducers_in_turn():
             assert got == out
 
 
+def test_the_clause_decides_not_the_number_of_insults(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    grammar, weights = toxicity.train(frame(spark), none)
+    texts = ["You idiot.", "They said you are an idiot and a moron.", "She is not an idiot, never a moron.", "I will kill you.", "Kill the process.", 'He wrote: "Idiot. Moron. Loser."', "idiot"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, grammar, weights, ["doc_id"]).collect()}
+    assert [got[i] for i in range(len(texts))] == [1, 0, 0, 1, 0, 0, 1]
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.learn_insults
+    try:
+        toxicity.learn_insults = lambda sample: seen.extend(sample.collect()) or []
+        toxicity.train(docs, labels)
+    finally:
+        toxicity.learn_insults = real
+    assert sorted((r.text, r.toxic) for r in seen) == [("a", 1), ("c", 0)]
+
+
 def test_toxicity_without_labels_and_on_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     grammar, weights = toxicity.train(frame(spark), none)
@@ -183,9 +259,8 @@ def repeating(seed, docs=60):
     return rows
 
 
-@pytest.mark.parametrize("hot, many, shard", [(1 << 20, 4096, 1 << 17), (1 << 20, 2, 200), (4, 4096, 200)])
-def test_substring_dedup_equals_brute_force(spark, monkeypatch, hot, many, shard):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("many, shard", [(4096, 1 << 17), (2, 200), (8, 4000)])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, many, shard):
     monkeypatch.setattr(substring_dedup, "MANY", many)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     rows = repeating(3)
@@ -231,14 +306,31 @@ def test_wavelet_tree_and_index():
         for at in (0, 1, 63, 64, 65, 500):
             low, high = (tree.bottom(np.array([c]), np.array([x]))[0] for x in (0, at))
             assert high - low == (symbols[:at] == c).sum()
-    text = np.concatenate((rng.integers(1, 4, 300), [0]))
-    index = substring_dedup.FMIndex(text, 6)
-    for start in range(0, 290, 7):
-        low, high = np.array([0]), np.array([301])
-        for s in text[start : start + 6][::-1]:
-            low, high = index.extend(np.array([s]), low, high)
-        want = [i for i in range(295) if (text[i : i + 6] == text[start : start + 6]).all()]
-        assert sorted(index.suffixes[low[0] : high[0]].tolist()) == want
+    text = np.concatenate((rng.integers(1, 4, 150), [0], rng.integers(1, 4, 149), [0]))
+    values = rng.permutation(len(text))
+    index = substring_dedup.FMIndex(text, 6, values)
+    sizes = np.array([40, 0, 1, 300])
+    codes = np.concatenate((text[30:70], [9], rng.integers(0, 4, 300)))
+    codes[40] = 0
+    lengths, rows = index.matching_statistics(codes, sizes)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    for at, (length, row) in enumerate(zip(lengths.tolist(), rows.tolist())):
+        held = lambda n: [i for i in range(len(text) - n + 1) if (text[i : i + n] == codes[at : at + n]).all() and (codes[at : at + n] > 0).all()]  # noqa: B023, E731
+        want = max(n for n in range(min(6, ends[at] - at) + 1) if n == 0 or held(n))
+        assert length == want
+        if length == 6:
+            assert index.least[np.searchsorted(index.heads, row, side="right") - 1] == values[held(6)].min()
+
+
+def test_long_texts_hash_as_short_ones_do(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abé", k=rng.randint(1, 30))) for _ in range(400)).encode(), b"", b" x " * 300]
+    want = substring_dedup.word_hashes(texts)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 16)
+    substring_dedup._kept_powers.cache_clear()
+    got = substring_dedup.word_hashes(texts)
+    substring_dedup._kept_powers.cache_clear()
+    assert np.array_equal(got[0], want[0]) and got[1].tolist() == want[1].tolist() == [400, 0, 300]
 
 
 # ------------------------------------------------------------------ mixing
@@ -347,11 +439,40 @@ def test_filters_return_every_language_of_a_gram():
     grams[1][:50] = grams[0][:50]
     model = language_id.LanguageFilter(list("abcde"), grams, [1.0] * 5)
     for i, g in enumerate(grams):
-        assert (model.languages_of(g.view(np.uint64)) >> i & 1).all()
-    assert (model.languages_of(grams[0][:50].view(np.uint64)) & 3 == 3).all()
+        assert (model.languages_of(g.view(np.uint64))[0] >> i & 1).all()
+    assert (model.languages_of(grams[0][:50].view(np.uint64))[0] & 3 == 3).all()
     other = np.random.default_rng(9).integers(-(2**62), 2**62, 20_000).view(np.uint64)
     for i in range(5):
-        assert abs((model.languages_of(other) >> i & 1).mean() - model.false_rate[i]) < 0.01
+        assert abs((model.languages_of(other)[0] >> i & 1).mean() - model.false_rate[i]) < 0.01
+
+
+def test_filters_have_room_for_many_languages():
+    grams = [np.random.default_rng(i).integers(-(2**62), 2**62, 400) for i in range(150)]
+    model = language_id.LanguageFilter([str(i) for i in range(150)], grams, [1.0] * 150)
+    for i, g in enumerate(grams):
+        masks = model.languages_of(g.view(np.uint64))
+        assert masks.shape[0] == 3 and (masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).all()
+
+
+def test_filters_agree_with_exact_sets_of_grams(spark):
+    rows = [r for r in small(spark).select("text", "lang").collect() if r.text][:150]
+    langs = sorted({r.lang for r in rows if r.lang})
+    sets = [np.unique(language_id._grams([r.text for r in rows if r.lang == lang][:20])[0]).view(np.int64) for lang in langs]
+    model = language_id.LanguageFilter(langs, sets, [1.0] * len(langs))
+    got, _ = model.predict([r.text for r in rows])
+    same = 0
+    for r, lang in zip(rows, got):
+        grams = language_id._grams([r.text])[0].view(np.int64)
+        same += langs[int(np.argmax([np.isin(grams, s).sum() for s in sets]))] == lang
+    assert same >= 0.98 * len(rows)
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    rows = [("aaa bbb ccc", "x")] * 3000 + [(f"text number {i} q{i}", "x") for i in range(40)] + [("zzz yyy", "y")]
+    data = spark.createDataFrame(rows, "text string, lang string")
+    want = language_id.train(data.distinct())
+    got = language_id.train(data)
+    assert got.languages == want.languages and np.array_equal(got.slots, want.slots) and np.allclose(got.covers, want.covers)
 
 
 def test_languages_on_odd_rows(spark):
@@ -410,7 +531,10 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
 
 
-def test_links_connect_all_in_reach(spark):
+@pytest.mark.parametrize("most", [8192, 16])
+def test_links_connect_all_in_reach(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "TILE", most // 8)
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 30, dtype=np.uint64)
     prints = set()
@@ -449,9 +573,17 @@ def test_near_duplicates(spark):
             group[4 * g + k] = g
             rows.append((4 * g + k, " ".join(text)))
     rows += [(500, None), (501, ""), (502, "one"), (502, "one")]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(r.component == 4 * group[r.id] for r in got if r.id < 500)
-    assert sorted((r.id, r.component) for r in got if r.id >= 500) == [(500, 500), (501, 500), (502, 502), (502, 502)]
+    rows += [(None, rows[0][1]), (None, "none has an id"), (None, "none has an id"), (502, "another of the id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "row", "node", "print", "kept", "component", "first")})
+    got = simhash.near_duplicates(docs, keep=["row"]).collect()
+    assert len(got) == len(rows) and all(r.row == "clash" for r in got)
+    assert all(r.component == 4 * group[r.id] for r in got if r.id is not None and r.id < 500)
+    assert sorted((r.id, r.component) for r in got if r.id is not None and r.id >= 500) == [(500, 500), (501, 500), (502, 502), (502, 502), (502, 502)]
+    assert sorted(str(r.component) for r in got if r.id is None) == ["0", "None", "None"]
+    assert sum(r["first"] for r in got) == 40 + 4 and all(r.id == r.component for r in got if r["first"] and r.component is not None)
+    left = simhash.without_near_duplicates(docs, keep=["row"]).collect()
+    assert Counter((r.id, r.text) for r in left) == Counter((r.id, r.text) for r in got if r["first"])
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
 def jaccard(a, b):
@@ -475,9 +607,11 @@ def test_near_duplicates_link_at_the_similarity_exactly(spark):
     assert linked == {160: 80, 164: 80, 4: 80}
 
 
-@pytest.mark.parametrize("held", [1 << 27, 1000])
-def test_near_duplicates_equal_brute_force_in_large_tiles(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, most", [(1 << 27, 8192), (1000, 8192), (1 << 27, 24)])
+def test_near_duplicates_equal_brute_force_in_large_tiles(spark, monkeypatch, held, most):
     monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "TILE", most // 8)
     rng = random.Random(11)
     texts = []
     for g in range(4):  # many variants of one text, near the similarity and in one bucket
@@ -520,21 +654,21 @@ def test_head_table_changes_nothing(spark, monkeypatch):
 
 
 def brute_top(rows, k=5):
-    good = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in good:
-        if q % 50 == 0:
-            best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for q, x in {(i, tuple(v.tolist())) for i, v in good if i % 50 == 0}:
+        best = sorted((-int(np.array(x) @ v), i) for i, v in good if i != q and len(v) == len(x))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shards", [1, 3])
+@pytest.mark.parametrize("shards", [1, 3, 40])
 def test_top_k_equals_brute_force(spark, shards):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(700)]
     rows += [(1000, None), (1050, [1.0, None] + [0.0] * 6), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (1200, []), (None, [1.0] * 8), (350, rows[350][1]), (2000, [1.0, 2.0])]
     rows += [(3000 + i, [1.5] * 8) for i in range(40)]  # ties
+    rows += [(351, rows[351][1]), (4000, [2.0] * 8), (4000, [2.0] * 8), (4001, [-(2.0**20)] * 8)]  # repeated rows, and one of large components
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash"))
     got = knn.exact_top_k(data, data.where("vec_id % 50 = 0"), shards=shards)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows)

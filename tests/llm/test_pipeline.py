@@ -1,9 +1,12 @@
 """The pipeline's stages, each against what its own input holds."""
 
 import hashlib
+import zlib
+from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm.common import staged, table
 
@@ -67,3 +70,34 @@ def test_all_is_packed(stages):
     assert pieces.groupby("sequence_id").length.sum().max() <= 2048
     starts = pieces[pieces.start == 0].groupby("doc_id").size()
     assert (starts == stages[4].groupby("doc_id").size()).all()
+    assert (pieces.ids.map(len) == 4 * pieces.length).all() and (pieces.ids.map(zlib.crc32) == pieces.ids_crc32).all()
+    assert not pieces.duplicated(["doc_id", "start", "ids_crc32", "copy"]).any() and pieces["copy"].max() == 1
+
+
+ODD_ROWS = [
+    (1, "some words of one id", "en", "a", 1), (1, "quite another text under that id", "en", "a", 1), (2, None, "en", None, 0), (3, "", None, "b", 0),
+    (None, "no id here at all", "en", "b", 1), (None, "nor is there one here", "en", "b", 1), (4, "the same row", "en", "a", 1), (4, "the same row", "en", "a", 1), (5, "x " * 6000, "en", "c", 1),
+]
+
+
+def test_stages_on_odd_rows(spark):
+    docs = spark.createDataFrame(ODD_ROWS, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("id", "row", "kept", "key", "mix_key", "component", "score", "sequence_id")})
+    texts = lambda df: Counter((r.doc_id, (r.text or "").strip()) for r in df.collect())
+    whole = texts(docs)
+    assert texts(corpus_pipeline.drop_toxic(spark, docs, SMALL)) == whole
+    first = texts(corpus_pipeline.drop_near_copies(spark, docs, SMALL))
+    assert first == Counter({k: 1 for k in whole if k[0] != 3})  # the texts without words are one group
+    cut = texts(corpus_pipeline.cut_repeats(spark, docs, SMALL))
+    assert sum(cut.values()) == len(ODD_ROWS) and cut[(1, "quite another text under that id")] == 1
+    mixed = texts(corpus_pipeline.mix_sources(spark, docs, SMALL))
+    assert {k for k in mixed if k[0] in (1, 4, None)} <= set(whole) and sum(n for k, n in mixed.items() if k[0] == 1) >= 2
+    packed = corpus_pipeline.pack(spark, docs, SMALL).toPandas()
+    assert len(packed[(packed.doc_id == 4) & (packed.start == 0)]) == 2 and sorted(packed[packed.doc_id == 4]["copy"]) == [0, 1]
+    assert packed.doc_id.isna().sum() == 2
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = table(spark, SMALL, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SMALL))
+        assert docs.count() == 0
