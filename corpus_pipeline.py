@@ -10,45 +10,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import mixing, packing, simhash, substring_dedup, toxicity
-from loomspan.llm.common import staged, table
+from loomspan.llm.common import held_out, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar, learned from the labels, doesn't reject."""
-    grammar, weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    """Documents that the toxicity grammar, learned from the labels of rows that aren't held out, doesn't reject.
+
+    Each row is judged by its own text; null and empty texts stay.
+    """
+    grammar, weights = toxicity.train(docs.where(~held_out("doc_id")), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, grammar, weights, COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies.
+    """One row of each group of near copies: that of the smallest id, or without any id the first.
 
-    Rows without id stay, as no group can name them.
+    Rows are told apart by their place, so of two texts under one id both stay
+    unless they are near copies; of a repeated row one stays.
     """
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    first = simhash.without_near_duplicates(docs, keep=["lang", "source", "n_chars"])
+    return first.withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand earlier; those that are all repeats go."""
+    """Documents without the passages that stand earlier; those that are all repeats go.
+
+    Rows without words stay, null texts as empty ones.
+    """
     found = substring_dedup.dedup_substrings(docs, keep=["lang", "source"])
     left = found.where("n_removed = 0 OR n_removed < n_words").withColumn("n_chars", F.char_length("text").cast("long"))
     return left.withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mix takes them."""
-    keyed = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).dropDuplicates(["key"])
-    mixed = mixing.mixed_rows(keyed, mixing.mix(keyed, id_col="key"), id_col="key")
+    """Documents as often, and as far, as the mix takes them.
+
+    Every row is dealt on its own, whatever its id; rows without words are
+    never taken.
+    """
+    keyed = staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("mix_key")))
+    mixed = mixing.mixed_rows(keyed, mixing.mix(keyed, id_col="mix_key"), id_col="mix_key")
     return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids with their places in sequences."""
-    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
+    """Pieces of the documents' token ids with their places in sequences.
+
+    ``ids`` holds the ids, little-endian and 32 bits each; ``copy`` tells the
+    pieces of a document that the mix takes more than once apart.
+    """
+    return packing.pack_documents(docs, keep_ids=True, number_copies=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
