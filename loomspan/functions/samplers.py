@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Means up to which a Poisson draw is inverted step by step in the JVM.
 POISSON_STEPS = 500
+#: Most uniforms that a beta draw of whole parameters takes.
+BETA_DRAWS = 64
 
 
 def finite(x: Column) -> Column:
@@ -91,46 +95,45 @@ def chance(p: float, u: Column) -> Column:
 
 
 def poisson(mean: float, u: Column) -> Column:
-    """Count by inversion of u, up to a mean of POISSON_STEPS."""
-    if not 0 < mean <= POISSON_STEPS:
-        raise ValueError("use poisson_by_address above POISSON_STEPS")
+    """Count for means below 1e15: by inversion of u in the JVM up to POISSON_STEPS, on Arrow batches above."""
+    if not 0 < mean < 1e15:
+        raise ValueError("poisson needs 0 < mean < 1e15")
+    if mean > POISSON_STEPS:
+        return _by_generator(u, "bigint", lambda g: int(g.poisson(mean)))
     most = math.ceil(mean + 12 * math.sqrt(mean) + 20)
-    start = F.struct(F.lit(math.exp(-mean)).alias("p"), F.lit(math.exp(-mean)).alias("sum"), F.lit(0).cast("bigint").alias("k"))
+    start = F.struct(F.lit(math.exp(-mean)).alias("p"), F.lit(math.exp(-mean)).alias("sum"), F.lit(0).cast("bigint").alias("k"), u.alias("u"))  # u is drawn once
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * mean / k
-        return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.when(u >= acc["sum"], k.cast("bigint")).otherwise(acc["k"]).alias("k"))
+        return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.when(acc["u"] >= acc["sum"], k.cast("bigint")).otherwise(acc["k"]).alias("k"), acc["u"].alias("u"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"]
 
 
-def _generator(address: str):
-    import hashlib
-
-    import numpy as np
-
-    return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.md5(address.encode()).digest(), "little")))
-
+def beta(a: float, b: float, u: Callable[[int], Column]) -> Column:
+    """Draw in 0..1 from uniforms u(0), u(1), ...
 
-def beta_by_address(a: float, b: float, address: Column) -> Column:
-    """Beta draw in 0..1; the JVM has no quantile for it, so it runs on Arrow batches."""
+    For whole a and b it is the a-th least of a + b - 1 uniforms, in the JVM;
+    else it runs on Arrow batches.
+    """
     if a <= 0 or b <= 0:
         raise ValueError("beta needs positive parameters")
+    if a == int(a) and b == int(b) and a + b <= BETA_DRAWS:
+        return F.element_at(F.array_sort(F.array(*map(u, range(int(a + b) - 1)))), int(a))
+    return _by_generator(u(0), "double", lambda g: float(g.beta(a, b)))
 
-    @F.pandas_udf("double")
-    def draw(addresses: pd.Series) -> pd.Series:
-        return addresses.map(lambda x: _generator(x).beta(a, b))
 
-    return draw(address)
-
-
-def poisson_by_address(mean: float, address: Column) -> Column:
-    """Poisson draw for means below 1e15, on Arrow batches."""
-    if not 0 < mean < 1e15:
-        raise ValueError("poisson needs 0 < mean < 1e15")
+def _by_generator(u: Column, kind: str, drawn: Callable) -> Column:
+    """What ``drawn`` gets from a generator that each row's u seeds."""
 
-    @F.pandas_udf("bigint")
-    def draw(addresses: pd.Series) -> pd.Series:
-        return addresses.map(lambda x: int(_generator(x).poisson(mean)))
+    @F.pandas_udf(kind)
+    def draw(us: pd.Series) -> pd.Series:
+        bits = np.random.Philox(key=0)
+        generator, state, out = np.random.Generator(bits), bits.state, []
+        for key in (us.to_numpy() * (1 << 52)).astype(np.uint64):
+            state["state"]["key"][0], state["state"]["counter"][:], state["buffer_pos"], state["has_uint32"] = key, 0, 4, 0
+            bits.state = state
+            out.append(drawn(generator))
+        return pd.Series(out, dtype="int64" if kind == "bigint" else "float64")
 
-    return draw(address)
+    return draw(u)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,20 +75,32 @@ def format(pattern: str, *values: Column) -> Column:  # noqa: A001
 
 
 def tokens(s: Column, vocabulary: str, pattern: str) -> Column:
-    """Byte-pair tokens of a text under the ranks in ``vocabulary``, on Arrow batches.
+    """Byte-pair tokens of a text, or of a container's JSON text, under the ranks in ``vocabulary``; null for null.
 
-    The file holds base64 tokens and ranks, one a line; a missing file is an error.
+    The file holds base64 tokens and ranks, one a line; a missing file is an
+    error. Runs on Arrow batches; a worker reads the file once.
     """
 
     @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        import base64
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = _encoding(vocabulary, pattern)
+        for texts in batches:
+            yield pd.Series([None if x is None else len(own.encode_ordinary(x)) for x in texts], dtype="Int64")
+
+    return count(s)
 
-        import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return pd.Series([len(own.encode_ordinary(x or "")) for x in texts])
+def container_tokens(x: Column, vocabulary: str, pattern: str) -> Column:
+    """Tokens of an array, struct, map or VARIANT as its JSON text."""
+    return tokens(F.to_json(x), vocabulary, pattern)
 
-    return count(s)
+
+@lru_cache(maxsize=2)
+def _encoding(vocabulary: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -41,8 +41,14 @@ def last_descendants(events: DataFrame, lengths: list[int]) -> DataFrame:
 
 def totals(events: DataFrame) -> DataFrame:
     """One row: events of the longest trace, and traces. Reads no field of the events."""
-    counts = events.groupBy("trace_index").agg(F.count("*").alias("events"))
-    return counts.agg(F.max("events").alias("longest"), F.count("*").alias("traces"))
+    return checked_totals(events.groupBy("trace_index").agg(F.count("*").alias("events")))
+
+
+def checked_totals(counts: DataFrame) -> DataFrame:
+    """One row, longest and traces, of (trace_index, events); indices have to run from 0 without a gap."""
+    found = counts.agg(F.max("events").alias("longest"), F.count("*").alias("traces"), F.min("trace_index").alias("low"), F.max("trace_index").alias("high"))
+    dense = (F.col("traces") == 0) | ((F.col("low") == 0) & (F.col("high") == F.col("traces") - 1))
+    return found.select("longest", F.when(dense, F.col("traces")).otherwise(F.raise_error(F.lit("trace indices have to run from 0 without a gap")).cast("bigint")).alias("traces"))
 
 
 def anchored(rows: DataFrame, whole: DataFrame, place: Column, now_micros: int, over_micros: int, spread=linear) -> DataFrame:
@@ -68,12 +74,9 @@ def created(micros: Column) -> Column:
 
 
 def linked(events: DataFrame, salt: str) -> DataFrame:
-    """Ids by address: the own, the root's and the parents' span ids, without a join."""
+    """Ids by address: the own and the parents' span ids, without a join.
 
-    def span_id(path: Column) -> Column:
-        return uuid(salt, F.col("trace_index"), F.array_join(path.cast("array<string>"), "."))
-
-    parent = F.slice("ord_path", 1, F.col("parent_length"))
-    parents = F.when(F.col("parent_length") >= 0, F.array(span_id(parent))).otherwise(F.expr("cast(array() as array<string>)"))
-    none = F.expr("cast(array() as array<int>)")
-    return events.withColumns({"id": uuid(f"{salt}/event", F.col("trace_index"), F.array_join(F.col("ord_path").cast("array<string>"), ".")), "span_id": span_id(F.col("ord_path")), "root_span_id": span_id(none), "span_parents": parents})
+    ``place`` and ``parent`` are the addresses of the event's span and of the span above it.
+    """
+    parents = F.when(F.col("parent").isNotNull(), F.array(uuid(salt, F.col("trace_index"), F.col("parent")))).otherwise(F.expr("cast(array() as array<string>)"))
+    return events.withColumns({"id": uuid(f"{salt}/event", F.col("trace_index"), F.col("place")), "span_id": uuid(salt, F.col("trace_index"), F.col("place")), "span_parents": parents})

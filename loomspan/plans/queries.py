@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import ids, numbers, samplers, strings
+from loomspan.functions import ids, numbers, objects, samplers, strings
 from loomspan.functions.draws import draw
 from loomspan.operators import blocks, payloads, timeline
-from loomspan.plans.shape import Choice, Maybe, Repeat, Span, generate
+from loomspan.plans.shape import Choice, Maybe, Repeat, Span, generate, shape_events
+from loomspan.sources import inputs, sinks
 
 SEED = 7
 NOW, OVER = 1_750_000_000_000_000, 86_400_000_000
@@ -44,6 +45,20 @@ def _roots(spark: SparkSession, d: str) -> DataFrame:
     return blocks.traces(_table(spark, d, "orders"), "o_orderkey")
 
 
+def _rooted(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
+    """A trace for each row of a table, whose columns the fields can read."""
+    return _table(spark, d, table).withColumn("trace_index", F.col(key).cast("bigint"))
+
+
+def _shaped(name: str, table: str, key: str, shape: Span, columns: dict[str, tuple[Callable[[], Column], str]], sql_from: str | None = None, where: str = "ordinal = 0") -> None:
+    """Columns of the events that a shape gives over a table, and their SQL."""
+    sql = f"{sql_from or ''} SELECT {', '.join(f'{x} AS {c}' for c, (_, x) in columns.items())} FROM {table if sql_from is None else 'x'}"
+
+    @_add(name, sql)
+    def _(spark, d):
+        return shape_events(_rooted(spark, d, table, key), shape, SEED).where(where).select(*[f().alias(c) for c, (f, _) in columns.items()])
+
+
 def _key() -> Column:
     return F.col("trace_index")
 
@@ -85,19 +100,35 @@ def _(spark, d):
 
 @_add("scan_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, d):
-    return _table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return inputs.parsed(_table(spark, d, "events").select("event_id", F.col("props").alias("value")), "k bigint")
 
 
 # ---------------------------------------------------------------- sinks
 
 
-@_add("sink_event_json", """SELECT c_custkey, '{"id":' || c_custkey || ',"attributes":{"name":"' || c_name || '","segment":"' || c_mktsegment || '"}}' AS json FROM customer""")
+def _uuid_sql(*parts: str) -> str:
+    h = f"md5(concat_ws('|', {', '.join(parts)}))"
+    variant = f"substr('89ab', CAST(('0x' || substr({h}, 17, 1)) AS INTEGER) % 4 + 1, 1)"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-4' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+_ORDER = Span(
+    "task", "order", {"input": lambda x: F.struct(F.col("o_custkey").alias("customer"), F.array(F.lit("a"), F.lit(None).cast("string")).alias("items")), "output": lambda x: F.when(F.col("o_orderstatus") == "F", F.upper("o_orderpriority"))},
+    {"tokens": lambda x: F.col("o_custkey") * 2}, ["synthetic", lambda x: F.lower("o_orderstatus")], metadata={"status": lambda x: F.col("o_orderstatus")},
+)
+
+
+@_add("sink_event_json", f"""WITH p AS (SELECT *, {NOW - OVER} + CAST(floor(({OVER} - 100000) * (CAST(o_orderkey AS DOUBLE) / ((SELECT count(*) FROM orders) - 1))) AS BIGINT) AS anchor FROM orders)
+SELECT o_orderkey AS trace_index, '{{"id":"' || {_uuid_sql("'run/event'", "o_orderkey", "''")} || '","span_id":"' || {_uuid_sql("'run'", "o_orderkey", "''")} || '","root_span_id":"' || {_uuid_sql("'run'", "o_orderkey", "''")}
+  || '","span_parents":[],"created":"' || strftime(make_timestamp(anchor), '%Y-%m-%dT%H:%M:%S.%fZ') || '","span_attributes":{{"name":"order","type":"task"}},"input":{{"customer":' || o_custkey || ',"items":["a",null]}},"output":'
+  || CASE WHEN o_orderstatus = 'F' THEN '"' || upper(o_orderpriority) || '"' ELSE 'null' END || ',"metadata":{{"status":"' || o_orderstatus || '"}},"metrics":{{"tokens":' || o_custkey * 2 || ',"start":0,"end":0}},"tags":["synthetic","' || lower(o_orderstatus) || '"]}}' AS json FROM p""")
 def _(spark, d):
-    attributes = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("attributes")
-    return _table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("id"), attributes)).alias("json"))
+    events = generate(_rooted(spark, d, "orders", "o_orderkey"), _ORDER, SEED, NOW, OVER)
+    # how many digits a double is written with differs between engines
+    return sinks.event_json(events).select("trace_index", F.regexp_replace("json", '"(start|end)":[-0-9.E]+', '"$1":0').alias("json"))
 
 
-_LANES, _LIMIT = 64, 262_144
+_LANES, _LIMIT = 2, payloads.PAYLOAD_LIMIT
 _PACKED = f"""RECURSIVE src AS (
   SELECT CAST(doc_id % {_LANES} AS BIGINT) AS lane, CAST(doc_id AS BIGINT) AS seq, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes,
     row_number() OVER (PARTITION BY doc_id % {_LANES} ORDER BY doc_id) AS n FROM documents
@@ -125,11 +156,6 @@ def _(spark, d):
     return payloads.pack_stats(_packed(spark, d))
 
 
-@_add("sink_run_summary", "SELECT count(DISTINCT conv_id) AS traces, count(*) AS events FROM conversations")
-def _(spark, d):
-    return _table(spark, d, "conversations").agg(F.countDistinct("conv_id").alias("traces"), F.count("*").alias("events"))
-
-
 # ---------------------------------------------------------------- blocks
 
 
@@ -166,12 +192,27 @@ def _(spark, d):
     return blocks.maybe(_roots(spark, d), "aside", 0, 0.25, _dr("/aside", "chance")).where("included_aside").select("trace_index")
 
 
-@_add("blk_vars_scoped", f"""WITH {_TURNS}, v AS (SELECT *, 1 + CAST(floor({_u('trace_index', "''", "'var:size'")} * 9) AS BIGINT) AS size FROM turns)
-SELECT trace_index, index_turn, size, size * 10 + CAST(floor({_u('trace_index', "'/turn#' || index_turn", "'var:step'")} * 5) AS BIGINT) AS step FROM v""")
-def _(spark, d):
-    # a variable of the trace is drawn once, one of the repeat once an iteration
-    rows = _turns(spark, d).withColumn("size", samplers.range_int(1, 9, _dr("", "var:size")))
-    return rows.select("trace_index", "index_turn", "size", (F.col("size") * 10 + samplers.range_int(0, 4, _dr(F.col("path"), "var:step"))).alias("step"))
+_TURNS0 = f"""turns AS (SELECT *, unnest(range(n)) AS i FROM (SELECT o_orderkey AS t, *, CAST(floor({_u('o_orderkey', "'/turn'", "'count'", "'0'")} * 4) AS BIGINT) AS n FROM orders))"""
+
+
+def _turn(*children, **more) -> Repeat:
+    return Repeat("turn", lambda x: samplers.range_int(0, 3, x.draw("count")), list(children), **more)
+
+
+_INPUT, _TOKENS = (lambda: F.col("input").cast("string")), (lambda: F.col("metrics")["tokens"].cast("bigint"))
+_TRACE_INDEX = (lambda: F.col("trace_index"))
+
+
+# a variable of the trace is drawn once, one of the repeat once an iteration
+_shaped(
+    "blk_vars_scoped", "orders", "o_orderkey",
+    Span("task", "root", vars={"size": lambda x: samplers.range_int(1, 9, x.draw("var:size"))}, children=[
+        _turn(Span("llm", "call", {"input": lambda x: x.var("step"), "output": lambda x: x.var("size")}, {"tokens": lambda x: x.index("turn")}),
+              vars={"step": lambda x: x.var("size") * 10 + samplers.range_int(0, 4, x.draw("var:step"))}),
+    ]),
+    {"trace_index": (_TRACE_INDEX, "t"), "index_turn": (_TOKENS, "i"), "size": (lambda: F.col("output").cast("bigint"), "size"), "step": (lambda: F.col("input").cast("bigint"), f"""size * 10 + CAST(floor({_u('t', "'/turn#' || i", "'var:step'", "'0'")} * 5) AS BIGINT)""")},
+    f"""WITH {_TURNS0}, x AS (SELECT *, 1 + CAST(floor({_u('t', "''", "'var:size'", "'0'")} * 9) AS BIGINT) AS size FROM turns)""", "name = 'call'",
+)
 
 
 @_add("blk_nested_redraw", f"""WITH {_TURNS} SELECT trace_index, index_turn, unnest(range(CAST(floor({_u('trace_index', "'/turn#' || index_turn || '/call'", "'count'")} * 3) AS BIGINT))) AS index_call FROM turns""")
@@ -210,13 +251,24 @@ def _simple(name: str, table: str, columns: dict[str, tuple[Callable[[], Column]
 
 
 c = F.col
-_simple("fld_input", "orders", {"input": (lambda: strings.template("Order ", c("o_orderkey"), " of ", c("o_custkey")), "'Order ' || o_orderkey || ' of ' || o_custkey")}, ["o_orderkey"])
-_simple("fld_output", "orders", {"output": (lambda: F.when(c("o_orderstatus") == "F", F.upper("o_orderpriority")), "CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) END")}, ["o_orderkey"])
-_simple("fld_expected", "orders", {"expected": (lambda: F.when(c("o_totalprice") > 1000, F.lit("large")).otherwise("small"), "CASE WHEN o_totalprice > 1000 THEN 'large' ELSE 'small' END")}, ["o_orderkey"])
-_simple("fld_error", "orders", {"error": (lambda: F.when(c("o_orderkey") % 14 == 0, F.lit("timeout")), "CASE WHEN o_orderkey % 14 = 0 THEN 'timeout' END")}, ["o_orderkey"])
-_simple("fld_metadata", "customer", {"metadata": (lambda: F.to_json(F.struct(c("c_mktsegment").alias("segment"), c("c_nationkey").alias("site"))), """'{"segment":"' || c_mktsegment || '","site":' || c_nationkey || '}'""")}, ["c_custkey"])
-_simple("fld_metrics_sum", "part", {"prompt": (lambda: c("p_size").cast("bigint") * 3, "CAST(p_size AS BIGINT) * 3"), "total": (lambda: c("p_size").cast("bigint") * 3 + 11, "CAST(p_size AS BIGINT) * 3 + 11")}, ["p_partkey"])
-_simple("fld_tags", "customer", {"tags": (lambda: F.array_join(F.array(F.lit("synthetic"), F.lower("c_mktsegment")), ","), "'synthetic,' || lower(c_mktsegment)")}, ["c_custkey"])
+_STATE = lambda f: (lambda: F.when(F.col(f).isNull(), F.lit("unset")).when(F.is_variant_null(f), F.lit("null")).otherwise(F.schema_of_variant(f)))
+
+
+def _field_query(name: str, field: str, value: Callable, value_sql: str, kind_sql: str) -> None:
+    columns = {"trace_index": (_TRACE_INDEX, "o_orderkey"), field: (lambda: F.col(field).cast("string"), value_sql), "kind": (_STATE(field), kind_sql), "other": (_STATE("error" if field != "error" else "input"), "'unset'")}
+    _shaped(name, "orders", "o_orderkey", Span("task", "order", {field: value}), columns)
+
+
+_field_query("fld_input", "input", lambda x: strings.template("Order ", c("o_orderkey"), " of ", c("o_custkey")), "'Order ' || o_orderkey || ' of ' || o_custkey", "'STRING'")
+_field_query("fld_output", "output", lambda x: F.when(c("o_orderstatus") == "F", F.upper("o_orderpriority")), "CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) END", "CASE WHEN o_orderstatus = 'F' THEN 'STRING' ELSE 'null' END")
+_field_query("fld_expected", "expected", lambda x: c("o_totalprice") > 1000, "CASE WHEN o_totalprice > 1000 THEN 'true' ELSE 'false' END", "'BOOLEAN'")
+_field_query("fld_error", "error", lambda x: F.when(c("o_orderkey") % 14 == 0, c("o_orderkey")), "CASE WHEN o_orderkey % 14 = 0 THEN CAST(o_orderkey AS VARCHAR) END", "CASE WHEN o_orderkey % 14 = 0 THEN 'BIGINT' ELSE 'null' END")
+_shaped("fld_metadata", "customer", "c_custkey", Span("task", "account", metadata={"segment": lambda x: c("c_mktsegment"), "site": lambda x: c("c_nationkey"), "again": lambda x: x.field("metadata.site") + 1}),
+        {"c_custkey": (_TRACE_INDEX, "c_custkey"), "metadata": (lambda: F.to_json("metadata"), """'{"segment":"' || c_mktsegment || '","site":' || c_nationkey || ',"again":' || (c_nationkey + 1) || '}'""")})
+_shaped("fld_metrics_sum", "part", "p_partkey", Span("task", "part", metrics={"prompt": lambda x: c("p_size").cast("bigint") * 3, "total": lambda x: x.field("prompt") + 11, "cost": lambda x: x.field("metrics.total") * 0.5}),
+        {"p_partkey": (_TRACE_INDEX, "p_partkey"), "prompt": (lambda: c("metrics")["prompt"].cast("bigint"), "CAST(p_size AS BIGINT) * 3"), "total": (lambda: c("metrics")["total"].cast("bigint"), "CAST(p_size AS BIGINT) * 3 + 11"),
+         "cost": (lambda: c("metrics")["cost"].cast("double"), "(CAST(p_size AS BIGINT) * 3 + 11) * 0.5::DOUBLE"), "kind": (lambda: F.schema_of_variant(c("metrics")["total"]), "'BIGINT'")})
+_shaped("fld_tags", "customer", "c_custkey", Span("task", "account", tags=["synthetic", lambda x: F.lower("c_mktsegment")]), {"c_custkey": (_TRACE_INDEX, "c_custkey"), "tags": (lambda: F.array_join("tags", ","), "'synthetic,' || lower(c_mktsegment)")})
 _simple("expr_object", "nation", {"json": (lambda: F.to_json(F.struct(c("n_name").alias("name"), F.struct(c("n_regionkey").alias("key")).alias("region"))), """'{"name":"' || n_name || '","region":{"key":' || n_regionkey || '}}'""")}, ["n_nationkey"])
 _simple("expr_array", "nation", {"items": (lambda: strings.join(F.array(c("n_nationkey"), c("n_regionkey"), F.lit(5)), "-"), "n_nationkey || '-' || n_regionkey || '-5'")}, ["n_nationkey"])
 _simple("expr_literals", "region", {"whole": (lambda: F.lit(7).cast("bigint"), "CAST(7 AS BIGINT)"), "part": (lambda: F.lit(7.5), "CAST(7.5 AS DOUBLE)"), "yes": (lambda: F.lit(True), "true"), "nothing": (lambda: F.lit(None).cast("string"), "CAST(NULL AS VARCHAR)"), "text": (lambda: F.lit("${kept}"), "'${kept}'")}, ["r_regionkey"])
@@ -231,10 +283,10 @@ _simple(
         "mixed": (lambda: c("l_extendedprice") * 2 - c("l_partkey"), "l_extendedprice * 2 - l_partkey"),
     }, ["l_orderkey", "l_linenumber"],
 )
-_simple("expr_index", "part", {"third": (lambda: F.element_at(strings.split(c("p_name"), " "), 2), "string_split(p_name, ' ')[2]")}, ["p_partkey"])
-_simple("expr_slice", "documents", {"words": (lambda: F.array_join(F.slice(strings.split(c("text"), " "), 2, 3), "_"), "array_to_string(string_split(text, ' ')[2:4], '_')")}, ["doc_id"])
+_simple("expr_index", "part", {"third": (lambda: objects.index(strings.split(c("p_name"), " "), 1), "string_split(p_name, ' ')[2]")}, ["p_partkey"])
+_simple("expr_slice", "documents", {"words": (lambda: F.array_join(objects.part(strings.split(c("text"), " "), 1, 4), "_"), "array_to_string(string_split(text, ' ')[2:4], '_')")}, ["doc_id"])
 _simple("expr_array_spread", "part", {"all": (lambda: strings.join(F.concat(F.array(c("p_brand")), strings.split(c("p_type"), " "), F.array(F.lit("end"))), "/"), "p_brand || '/' || replace(p_type, ' ', '/') || '/end'")}, ["p_partkey"])
-_simple("expr_object_spread", "supplier", {"json": (lambda: F.to_json(F.struct(c("s_name").alias("name"), (c("s_nationkey") + 1).alias("site"))), """'{"name":"' || s_name || '","site":' || (s_nationkey + 1) || '}'""")}, ["s_suppkey"])
+_simple("expr_object_spread", "supplier", {"json": (lambda: F.to_json(objects.spread({"name": c("s_name"), "site": c("s_nationkey")}, {"site": c("s_nationkey") + 1}, {"more": F.lit("x")})), """'{"name":"' || s_name || '","site":' || (s_nationkey + 1) || ',"more":"x"}'""")}, ["s_suppkey"])
 _simple("expr_for_array", "part", {"doubled": (lambda: F.array_join(F.transform(F.sequence(F.lit(0), c("p_size") % 4), lambda x: (x * 2 + c("p_size")).cast("string")), ","), "array_to_string(list_transform(range(p_size % 4 + 1), lambda x: x * 2 + p_size), ',')")}, ["p_partkey"])
 _simple("expr_for_filter", "part", {"kept": (lambda: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), c("p_size") % 9), lambda x: x % 2 == 0), lambda x: x.cast("string")), ","), "array_to_string(list_filter(range(p_size % 9 + 1), lambda x: x % 2 = 0), ',')")}, ["p_partkey"])
 _simple("expr_for_object", "region", {"json": (lambda: F.to_json(F.map_from_entries(F.transform(F.array(F.lit("a"), F.lit("b")), lambda k: F.struct(k, F.concat(k, F.lit("-"), c("r_name")))))), """'{"a":"a-' || r_name || '","b":"b-' || r_name || '"}'""")}, ["r_regionkey"])
@@ -245,73 +297,58 @@ _simple("pred_not", "customer", {"other": (lambda: ~(c("c_mktsegment") == "BUILD
 
 # ---------------------------------------------------------------- references
 
-_simple("ref_self", "part", {"own": (lambda: c("p_size").cast("bigint") * 2, "CAST(p_size AS BIGINT) * 2"), "read": (lambda: c("p_size").cast("bigint") * 2 + 1, "CAST(p_size AS BIGINT) * 2 + 1")}, ["p_partkey"])
-
-
-@_add("ref_trace", "SELECT l_orderkey, l_linenumber, o_orderpriority || '/' || l_linenumber AS input FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def _(spark, d):
-    lines = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    roots = _table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return lines.join(roots, lines.l_orderkey == roots.o_orderkey).select("l_orderkey", "l_linenumber", strings.template(c("o_orderpriority"), "/", c("l_linenumber")).alias("input"))
-
-
-@_add("ref_block", f"""WITH {_TURNS} SELECT trace_index, index_turn, 'v' || CAST(floor({_u('trace_index', "'/turn#' || index_turn || '/search'", "'output'")} * 100) AS BIGINT) AS seen FROM turns""")
-def _(spark, d):
-    # the sibling's slot, evaluated at the sibling's address
-    return _turns(spark, d).select("trace_index", "index_turn", strings.template("v", samplers.range_int(0, 99, _dr(F.concat("path", F.lit("/search")), "output"))).alias("seen"))
-
-
-@_add("ref_descend", f"""WITH {_TURNS} SELECT trace_index, index_turn, CAST(floor({_u('trace_index', "'/turn#' || index_turn || '/plan/step'", "'tokens'")} * 50) AS BIGINT) + 1 AS tokens FROM turns""")
-def _(spark, d):
-    return _turns(spark, d).select("trace_index", "index_turn", (samplers.range_int(0, 49, _dr(F.concat("path", F.lit("/plan/step")), "tokens")) + 1).alias("tokens"))
-
-
-@_add("ref_position", "SELECT l_orderkey, l_linenumber, first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS first_part, l_partkey FROM lineitem")
-def _(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.first("l_partkey").over(w).alias("first_part"), "l_partkey")
-
+_shaped("ref_self", "part", "p_partkey", Span("task", "part", metrics={"own": lambda x: c("p_size").cast("bigint") * 2, "read": lambda x: x.this.field("own") + 1}),
+        {"p_partkey": (_TRACE_INDEX, "p_partkey"), "own": (lambda: c("metrics")["own"].cast("bigint"), "CAST(p_size AS BIGINT) * 2"), "read": (lambda: c("metrics")["read"].cast("bigint"), "CAST(p_size AS BIGINT) * 2 + 1")})
+_X = f"WITH {_TURNS0}, x AS (SELECT * FROM turns)"
 
-@_add("ref_prev_iteration", "SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
-def _(spark, d):
-    return _table(spark, d, "conversations").select("conv_id", "turn", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
 
+def _ref(name: str, shape: Span, sql: str, where: str, sql_from: str = _X, index: bool = True) -> None:
+    """The input that events of a shape over the orders read, by trace and iteration."""
+    columns = {"trace_index": (_TRACE_INDEX, "t"), "input": (_INPUT, sql)} | ({"i": (_TOKENS, "i")} if index else {})
+    _shaped(name, "orders", "o_orderkey", shape, columns, sql_from, where)
 
-@_add("ref_history_window", "SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM conversations")
-def _(spark, d):
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return _table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("role").over(before), ">").alias("history"))
 
+def _reader(read: Callable, kind: str = "llm", name: str = "reader") -> Span:
+    return Span(kind, name, {"input": read}, {"tokens": lambda x: x.index()})
 
-@_add("ref_named_index", f"WITH {_TURNS} SELECT trace_index, index_turn + 1 || ' of ' || count_turn AS place FROM turns")
-def _(spark, d):
-    return _turns(spark, d).select("trace_index", strings.template(c("index_turn") + 1, " of ", c("count_turn")).alias("place"))
 
+def _drawn(path: str, slot: str = "'output'", most: int = 100, trace: str = "t") -> str:
+    return f"CAST(floor({_u(trace, path, slot, chr(39) + '0' + chr(39))} * {most}) AS BIGINT)"
 
-_WAY = f"""CAST(floor({_u('o_orderkey', "'/way'", "'pick'")} * 2) AS BIGINT)"""
-_ASIDE = f"""({_u('o_orderkey', "'/aside'", "'chance'")} < 0.4)"""
 
+_OUT = {"output": lambda x: samplers.range_int(0, 99, x.draw("output"))}
+_ref("ref_trace", Span("task", "root", {"input": lambda x: c("o_orderpriority")}, children=[_turn(_reader(lambda x: strings.template(x.trace.field("input"), "/", x.index("turn"))))]), "o_orderpriority || '/' || i", "name = 'reader'")
+_ref("ref_block", Span("task", "root", children=[_turn(Span("tool", "search", _OUT), _reader(lambda x: strings.template("v", x.child("search", "tool").field("output"))))]), f"""'v' || {_drawn("'/turn#' || i || '/search'")}""", "name = 'reader'")
+_ref("ref_descend", Span("task", "root", children=[_turn(Span("task", "plan", children=[Span("llm", "step", metrics={"tokens": lambda x: samplers.range_int(1, 50, x.draw("tokens"))})]), _reader(lambda x: x.child("plan").child("step").field("tokens")))]),
+     f"""CAST(1 + {_drawn("'/turn#' || i || '/plan/step'", "'tokens'", 50)} AS VARCHAR)""", "name = 'reader'")
+_ref("ref_position", Span("task", "root", children=[_turn(Span("tool", "probe", _OUT), Span("tool", "probe", _OUT), _reader(lambda x: strings.template(x.child("probe", position=1).field("output"), ",", x.child("probe", position=x.index() % 2).field("output"))))]),
+     f"""{_drawn("'/turn#' || i || '/probe[1]'")} || ',' || CASE i % 2 WHEN 0 THEN {_drawn("'/turn#' || i || '/probe'")} ELSE {_drawn("'/turn#' || i || '/probe[1]'")} END""", "name = 'reader'")
+_ref("ref_prev_iteration", Span("task", "root", children=[_turn(Span("llm", "reply", _OUT), _reader(lambda x: F.when(x.index() > 0, x.child("turn", "repeat").iteration(x.index() - 1).child("reply").field("output"))))]),
+     f"""CASE WHEN i > 0 THEN CAST({_drawn("'/turn#' || (i - 1) || '/reply'")} AS VARCHAR) END""", "name = 'reader'")
+_ref("ref_history_window", Span("task", "root", children=[_turn(Span("llm", "reply", _OUT), _reader(lambda x: F.array_join(x.child("turn").iterations(0, x.index()).child("reply").field("output").cast("array<string>"), ">")))]),
+     f"""coalesce((SELECT string_agg({_drawn("'/turn#' || h.i || '/reply'", trace='x.t')}, '>' ORDER BY h.i) FROM (SELECT unnest(range(3)) AS i) h WHERE h.i < x.i), '')""", "name = 'reader'")
+_ref("ref_named_index", Span("task", "root", children=[_turn(_reader(lambda x: strings.template(x.index("turn") + 1, " of ", x.count("turn"))))]), "(i + 1) || ' of ' || n", "name = 'reader'")
 
-@_add("ref_chosen", f"SELECT o_orderkey AS trace_index, {_WAY} AS chosen, CASE WHEN {_WAY} = 0 THEN 'short' ELSE 'long' END AS read FROM orders")
-def _(spark, d):
-    rows = blocks.choose(_roots(spark, d), "way", 0, 2, _dr("/way", "pick"))
-    return rows.select("trace_index", c("chosen_way").alias("chosen"), F.when(c("chosen_way") == 0, F.lit("short")).otherwise("long").alias("read"))
+_WAY = f"""CAST(floor({_u('o_orderkey', "'/way'", "'pick'", "'0'")} * 2) AS BIGINT)"""
+_ASIDE = f"""({_u('o_orderkey', "'/aside'", "'chance'", "'0'")} < 0.4)"""
+_FORKED = [Choice("way", [Span("tool", "short", _OUT), Span("tool", "long", _OUT)]), Maybe("aside", [Span("task", "note", _OUT)], 0.4)]
+_FORK = f"WITH x AS (SELECT o_orderkey AS t, {_WAY} AS way, {_ASIDE} AS aside FROM orders)"
 
 
-@_add("ref_included", f"SELECT o_orderkey AS trace_index, {_ASIDE} AS included FROM orders")
-def _(spark, d):
-    return blocks.maybe(_roots(spark, d), "aside", 0, 0.4, _dr("/aside", "chance")).select("trace_index", c("included_aside").alias("included"))
+def _fork(name: str, read: Callable, sql: str) -> None:
+    _ref(name, Span("task", "root", children=[*_FORKED, Span("llm", "reader", {"input": read})]), sql, "name = 'reader'", _FORK, index=False)
 
 
-@_add("ref_outer_null", f"""SELECT o_orderkey AS trace_index, CASE WHEN {_ASIDE} THEN CAST(floor({_u('o_orderkey', "'/aside/note'", "'output'")} * 10) AS BIGINT) END AS read FROM orders""")
-def _(spark, d):
-    rows = blocks.maybe(_roots(spark, d), "aside", 0, 0.4, _dr("/aside", "chance"))
-    return rows.select("trace_index", F.when(c("included_aside"), samplers.range_int(0, 9, _dr("/aside/note", "output"))).alias("read"))
+_fork("ref_chosen", lambda x: strings.template(x.child("way").chosen, F.when(x.child("way").chosen == 0, F.lit("short")).otherwise("long")), "way || CASE way WHEN 0 THEN 'short' ELSE 'long' END")
+_fork("ref_included", lambda x: x.child("aside").included, "CAST(aside AS VARCHAR)")
+# null across a branch that was not taken
+_fork("ref_outer_null", lambda x: x.child("aside").child("note").field("output"), f"""CASE WHEN aside THEN CAST({_drawn("'/aside/note'")} AS VARCHAR) END""")
+_fork("ref_unpicked", lambda x: F.coalesce(x.child("way").child("short").field("output"), F.lit(-1)), f"""CAST(CASE WHEN way = 0 THEN {_drawn("'/way/short'")} ELSE -1 END AS VARCHAR)""")
 
 
 @_add("ref_drill", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS next FROM events")
 def _(spark, d):
-    return _table(spark, d, "events").select("event_id", (F.variant_get(F.parse_json("props"), "$.k", "bigint") + 1).alias("next"))
+    return _table(spark, d, "events").select("event_id", (objects.drill(F.parse_json("props"), "k", kind="bigint") + 1).alias("next"))
 
 
 # ---------------------------------------------------------------- aggregates, order, context
@@ -328,43 +365,31 @@ def _(spark, d):
     return timeline.last_descendants(timeline.ordinals(_tree(spark, d)), [0, 1, 2, 3]).select("trace_index", "name", "ordinal", "last")
 
 
-@_add("agg_max_trace_len", "SELECT max(n) AS longest FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
-def _(spark, d):
-    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"))
-
-
-@_add("agg_counts", "SELECT l_orderkey, count(*) AS children, count(DISTINCT l_suppkey) AS kinds FROM lineitem GROUP BY l_orderkey")
-def _(spark, d):
-    return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("children"), F.countDistinct("l_suppkey").alias("kinds"))
-
-
 @_add("agg_perf_report", "SELECT event_type AS path, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, min(event_id) AS first_seen FROM events GROUP BY event_type")
 def _(spark, d):
-    return _table(spark, d, "events").groupBy(c("event_type").alias("path")).agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.min("event_id").alias("first_seen"))
+    return inputs.perf_report(_table(spark, d, "events"), "event_type", "value", "event_id").withColumn("mean", F.round("mean", 6))
 
 
-@_add("agg_last_error", "SELECT user_id AS run, coalesce(substr(arg_max(props, event_id) FILTER (WHERE event_type = 'error'), 1, 80), 'ok') AS verdict FROM events GROUP BY user_id")
+@_add("agg_last_error", "WITH l AS (SELECT user_id AS run, arg_max(props, event_id) FILTER (WHERE event_type = 'error') AS last FROM (SELECT user_id, event_id, event_type, 'at ' || props || repeat(' again ' || props, CAST(event_id % 5 AS INTEGER)) AS props FROM events) GROUP BY 1) SELECT run, CASE WHEN last IS NULL THEN 'ok' ELSE 'failed: ' || substr(last, 1, 80) || CASE WHEN length(last) > 80 THEN '…' ELSE '' END END AS verdict FROM l")
 def _(spark, d):
-    error = c("event_type") == "error"
-    last = F.max_by(F.when(error, c("props")), F.when(error, c("event_id")))
-    return _table(spark, d, "events").groupBy(c("user_id").alias("run")).agg(F.coalesce(F.substring(last, 1, 80), F.lit("ok")).alias("verdict"))
+    text = F.concat(F.lit("at "), c("props"), F.repeat(F.concat(F.lit(" again "), c("props")), (c("event_id") % 5).cast("int")), F.lit("\nsecond line"))
+    fields = F.struct(F.lit("message").alias("message"), text.alias("error"))
+    return inputs.verdicts(_table(spark, d, "events").select(c("user_id").alias("run"), F.upper("event_type").alias("level"), c("event_id").alias("line"), fields.alias("fields")))
 
 
 @_add("sort_runs_desc", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS newest FROM events")
 def _(spark, d):
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return _table(spark, d, "events").select("event_id", F.row_number().over(newest).cast("bigint").alias("newest"))
+    return inputs.ranked(_table(spark, d, "events"), "ts", "event_id", ["user_id"]).select("event_id", "newest")
 
 
 @_add("topk_last_run", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def _(spark, d):
-    return _table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "user_id")
+    return inputs.last_run(_table(spark, d, "events"), "ts", "event_id").select("event_id", "user_id")
 
 
 @_add("topk_retention", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 19")
 def _(spark, d):
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return _table(spark, d, "events").withColumn("n", F.row_number().over(newest)).where("n <= 19").select("event_id", "user_id")
+    return inputs.retained(_table(spark, d, "events"), "ts", "event_id", 20, ["user_id"]).select("event_id", "user_id")
 
 
 @_add("ctx_trace_index", "SELECT o_orderkey AS trace_index, 'trace ' || o_orderkey AS input FROM orders")
@@ -407,7 +432,8 @@ _sampler("fn_exponential", lambda: F.round(samplers.exponential(4, _su()), 6), f
 _sampler("fn_pareto", lambda: F.round(samplers.pareto(1.5, 3, _su()), 6), f"round(1.5::DOUBLE * pow(1 - {_SU[0]}, -1.0::DOUBLE / 3), 6)")
 _sampler("fn_chance", lambda: samplers.chance(0.3, _su()), f"{_SU[0]} < 0.3")
 _TERMS = "exp(-2.5::DOUBLE)" + "".join(f", exp(-2.5::DOUBLE) * {' * '.join(f'2.5::DOUBLE / {j}' for j in range(1, k + 1))}" for k in range(1, 12))
-_sampler("fn_beta", lambda: samplers.beta_by_address(2, 5, F.concat_ws("|", F.lit(SEED), _key(), F.lit("input"))), None)
+_UNIFORMS = ", ".join(_u("o_orderkey", "''", "'input'", f"'{i}'") for i in range(6))
+_sampler("fn_beta", lambda: samplers.beta(2, 5, _su), f"list_sort([{_UNIFORMS}])[2]")
 
 
 @_add("fn_poisson", f"""WITH p AS (SELECT [{_TERMS}] AS t), k AS (SELECT list_transform(range(1, 13), lambda i: list_sum(t[1:i])) AS cum FROM p)
@@ -422,10 +448,9 @@ def _trimmed() -> Column:
 
 _simple("fn_upper", "part", {"x": (lambda: strings.upper("p_name"), "upper(p_name)")}, ["p_partkey"])
 _simple("fn_lower", "customer", {"x": (lambda: strings.lower("c_mktsegment"), "lower(c_mktsegment)")}, ["c_custkey"])
-_simple("fn_trim", "documents", {"x": (lambda: strings.trim(F.concat(F.lit(" \t\n"), F.substring("text", 1, 40), F.lit("  "))), "regexp_replace(' \t\n' || substr(text, 1, 40) || '  ', '^[\\s \u0085 ]+|[\\s \u0085 ]+$', '', 'g')")}, ["doc_id"])
 _SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _WHOLE = f"regexp_replace(' \t\n' || text || '  ', '^{_SPACES}|{_SPACES}$', '', 'g')"
-_simple("fn_trim_whole", "documents", {"chars": (lambda: strings.length(_trimmed()), f"CAST(length({_WHOLE}) AS BIGINT)"), "digest": (lambda: F.md5(_trimmed()), f"md5({_WHOLE})")}, ["doc_id"])
+_simple("fn_trim", "documents", {"chars": (lambda: strings.length(_trimmed()), f"CAST(length({_WHOLE}) AS BIGINT)"), "digest": (lambda: F.md5(_trimmed()), f"md5({_WHOLE})")}, ["doc_id"])
 _simple("fn_replace", "part", {"x": (lambda: strings.replace(c("p_type"), " ", "_"), "replace(p_type, ' ', '_')")}, ["p_partkey"])
 _simple("fn_split", "part", {"n": (lambda: strings.size(strings.split(c("p_type"), " ")), "CAST(len(string_split(p_type, ' ')) AS BIGINT)"), "last": (lambda: F.element_at(strings.split(c("p_type"), " "), -1), "string_split(p_type, ' ')[-1]")}, ["p_partkey"])
 _simple("fn_join", "part", {"x": (lambda: strings.join(F.array(c("p_brand"), c("p_type")), " | "), "p_brand || ' | ' || p_type")}, ["p_partkey"])
@@ -571,15 +596,40 @@ x AS (SELECT *, CASE name WHEN 'session' THEN max(ordinal) OVER (PARTITION BY tr
 
 @_add("trace_events", _TRACE + """ SELECT trace_index, CAST(ordinal AS INTEGER) AS ordinal, name, type, input, output, total, anchor + ordinal * 100000 AS start_micros, anchor + (last + 1) * 100000 AS end_micros FROM x""")
 def _(spark, d):
-    return trace_events(spark, d).select("trace_index", "ordinal", "name", "type", "input", "output", c("metrics")["total"].alias("total"), "start_micros", "end_micros")
+    return trace_events(spark, d).select("trace_index", "ordinal", "name", "type", "input", "output", c("metrics")["total"].cast("double").alias("total"), "start_micros", "end_micros").withColumns({f: c(f).cast("string") for f in ("input", "output")})
+
+
+@_add("link_parents", _TRACE + """, k AS (SELECT trace_index, array_to_string(p, '.') AS at, array_to_string(p[1:parent_length], '.') AS above, parent_length, name FROM x)
+SELECT a.trace_index, a.name, b.name AS parent FROM k a JOIN k b ON a.trace_index = b.trace_index AND a.above = b.at WHERE a.parent_length >= 0""")
+def _(spark, d):
+    # spans of a trace meet once; parents are looked up by span id among them
+    spans = trace_events(spark, d).groupBy("trace_index").agg(F.collect_list(F.struct("span_id", "name", F.get("span_parents", F.lit(0)).alias("above"))).alias("spans"))
+    names = F.map_from_entries(F.transform("spans", lambda x: F.struct(x["span_id"], x["name"])))
+    linked = spans.select("trace_index", names.alias("names"), F.explode(F.filter("spans", lambda x: x["above"].isNotNull())).alias("x"))
+    return linked.select("trace_index", "x.name", F.element_at("names", c("x.above")).alias("parent"))
+
+
+@_add("agg_max_trace_len", _TRACE + " SELECT max(longest) AS longest, max(traces) AS traces FROM w")
+def _(spark, d):
+    return timeline.totals(shape_events(_roots(spark, d), SHAPE, SEED))
+
+
+@_add("agg_counts", _TRACE + " SELECT trace_index, count(*) AS events, count(DISTINCT name) AS names, sum(CASE WHEN parent_length = 0 THEN 1 ELSE 0 END)::BIGINT AS children FROM o GROUP BY trace_index")
+def _(spark, d):
+    below_root = F.count_if(c("parent") == "")
+    return shape_events(_roots(spark, d), SHAPE, SEED).groupBy("trace_index").agg(F.count("*").alias("events"), F.countDistinct("name").alias("names"), below_root.alias("children"))
+
+
+@_add("sink_run_summary", _TRACE + f" SELECT CAST({SEED} AS BIGINT) AS seed, count(DISTINCT trace_index) AS traces, count(*) AS events, CAST(12 AS BIGINT) AS rows, 'mine' AS project, CAST(34 AS BIGINT) AS ms, 'a.jsonl' AS log FROM o")
+def _(spark, d):
+    return sinks.summary(shape_events(_roots(spark, d), SHAPE, SEED), SEED, "mine", 12, 34, "a.jsonl")
 
 
-@_add("link_parents", _TRACE + """ SELECT a.trace_index, a.name, b.name AS parent FROM x a JOIN x b ON a.trace_index = b.trace_index AND a.parent_length >= 0 AND b.p = a.p[1:a.parent_length]""")
+@_add("src_template_turns", f"""SELECT o_orderkey AS trace_index, CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS name,
+  CASE o_orderkey % 3 WHEN 0 THEN CAST({_u('o_orderkey', "''", "'input'", "'0'")} * 10 AS BIGINT) END IS NOT NULL AS has_input FROM orders""")
 def _(spark, d):
-    events = trace_events(spark, d).select("trace_index", "name", "span_id", "span_parents")
-    children = events.select("trace_index", "name", F.explode("span_parents").alias("parent_id"))
-    parents = events.select(c("span_id").alias("parent_id"), c("name").alias("parent"))
-    return children.join(parents, "parent_id").select("trace_index", "name", "parent")
+    shapes = [Span("task", "a", {"input": lambda x: samplers.range_int(0, 9, x.draw("input"))}), Span("task", "b"), Span("task", "c")]
+    return shape_events(_roots(spark, d), shapes, SEED).select("trace_index", "name", c("input").isNotNull().alias("has_input"))
 
 
 def queries() -> dict[str, Query]:

@@ -1,157 +1,538 @@
 """Shapes: declarative trace templates that compile to one events DataFrame.
 
-A shape is a tree of Python objects. Every block becomes an instance table; a
-field is a function of a context that gives its Column. References need no
-join: the context of another block evaluates that block's field at its own
-address, so a value comes out the same wherever it is read.
+A shape is a tree of Python objects; a field is a function of a context that
+gives its Column. Every value that is read elsewhere becomes one column of the
+roots, computed once a trace: a plain value where its block stands once, an
+array over the iterations where it stands in a repeat. A reference is then a
+column, an element or a slice of one: no join, no shuffle. The events of a
+trace are one array in pre-order, exploded with their ordinals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.draws import draw
-from loomspan.operators import blocks, timeline
+from loomspan.functions.ids import uuid
+from loomspan.functions.strings import template
+from loomspan.operators import timeline
 
 FIELDS = ["input", "output", "expected", "error"]
+KINDS = ["task", "llm", "tool", "function"]
+#: Metrics that the timeline writes.
+RESERVED = ["start", "end"]
+_EVENT = "struct<name:string,type:string,place:string,parent:string,size:bigint,input:variant,output:variant,expected:variant,error:variant,metadata:map<string,variant>,metrics:map<string,variant>,tags:array<string>>"
+
+Slot = Callable[["Context"], Column]
 
 
 @dataclass
 class Span:
-    """A span block; ``kind`` is task, llm, tool or function."""
+    """A span block; ``kind`` is task, llm, tool or function.
+
+    ``fields`` may set input, output, expected and error; an unset one is SQL
+    NULL in the events, a null value (a Column of some type) a VARIANT null. ``metadata`` and
+    ``metrics`` have one value a key, ``tags`` are texts or functions, and
+    ``vars`` are values drawn once an instance, for this block and those below.
+    """
 
     kind: str
     name: str
-    fields: dict[str, Callable[[Context], Column]] = field(default_factory=dict)
-    metrics: dict[str, Callable[[Context], Column]] = field(default_factory=dict)
-    tags: list[str] = field(default_factory=list)
+    fields: dict[str, Slot] = field(default_factory=dict)
+    metrics: dict[str, Slot] = field(default_factory=dict)
+    tags: list[str | Slot] = field(default_factory=list)
     children: list = field(default_factory=list)
+    metadata: dict[str, Slot] | None = None
+    vars: dict[str, Slot] = field(default_factory=dict)
 
 
 @dataclass
 class Repeat:
+    """Its children ``count`` times, none for 0; ``vars`` are drawn anew each iteration."""
+
     name: str
-    count: Callable[[Context], Column]
+    count: Slot
     children: list
+    vars: dict[str, Slot] = field(default_factory=dict)
 
 
 @dataclass
 class Choice:
+    """One of its children, all alike."""
+
     name: str
     children: list
+    vars: dict[str, Slot] = field(default_factory=dict)
 
 
 @dataclass
 class Maybe:
+    """All its children or none."""
+
     name: str
     children: list
-    chance: float = 0.5
+    chance: float | Slot = 0.5
+    vars: dict[str, Slot] = field(default_factory=dict)
+
+
+def check_shape(shape: Span) -> None:
+    """Refuse what no run could make sense of, before anything runs."""
+    if not isinstance(shape, Span) or shape.kind != "task":
+        raise ValueError("a trace is a span of kind task")
+    seen: set[str] = set()
+
+    def walk(block) -> None:
+        for name in block.vars:
+            if name in seen:
+                raise ValueError(f"the variable {name} is declared twice")
+            seen.add(name)
+        if isinstance(block, Span):
+            if block.kind not in KINDS:
+                raise ValueError(f"{block.name}: no span kind {block.kind}")
+            if unknown := set(block.fields) - set(FIELDS):
+                raise ValueError(f"{block.name}: no field {min(unknown)}")
+            if taken := set(block.metrics) & set(RESERVED):
+                raise ValueError(f"{block.name}: the metric {min(taken)} is reserved")
+        elif not block.children:
+            raise ValueError(f"{block.name} holds no block")
+        for child in block.children:
+            if not isinstance(child, (Span, Repeat, Choice, Maybe)):
+                raise ValueError(f"{block.name}: not a block: {child!r}")
+            walk(child)
+
+    walk(shape)
+
+
+class _Node:
+    """A block in its place: what is known of it without any trace."""
+
+    def __init__(self, block, above: _Node | None = None, position: int = 0, segment: str = ""):
+        self.block, self.above, self.position, self.segment = block, above, position, segment
+        self.address: tuple[int, ...] = (*above.address, position) if above else ()
+        self.outer: list[_Node] = above.inner if above else []  # enclosing repeats
+        self.inner = [*self.outer, self] if isinstance(block, Repeat) else self.outer
+        names: Counter = Counter()
+        self.children = []
+        for i, child in enumerate(block.children):
+            again = names[child.name]
+            names[child.name] += 1
+            self.children.append(_Node(child, self, i, f"/{child.name}" + (f"[{again}]" if again else "")))
+
+    def chain(self) -> list[_Node]:
+        return [*(self.above.chain() if self.above else []), self]
+
+
+def as_variant(x: Column) -> Column:
+    """Any value as VARIANT of its own kind; NULL as VARIANT null."""
+    return F.variant_get(F.to_variant_object(F.struct(x.alias("v"))), "$.v", "variant")
+
+
+def _each(count: Column) -> Column:
+    """0 to count - 1; no element for 0."""
+    return F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _failed(message: str, kind: str = "bigint") -> Column:
+    return F.raise_error(F.lit(message)).cast(kind)
+
+
+def _text(parts: list[Column | str]) -> Column:
+    """Concatenation, with neighbouring literals joined."""
+    out: list[Column | str] = []
+    for p in parts:
+        if isinstance(p, str) and out and isinstance(out[-1], str):
+            out[-1] += p
+        else:
+            out.append(p)
+    columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in out] or [F.lit("")]
+    return columns[0] if len(columns) == 1 else F.concat(*columns)
+
+
+class _Shared:
+    """Values of one shape that become columns of the roots, each after those it reads."""
+
+    def __init__(self, seed: int, prefix: str, wanted: set | None = None):
+        self.seed, self.prefix, self.wanted = seed, prefix, wanted
+        self.names: dict[tuple, str] = {}
+        self.layers: list[tuple[str, Column]] = []
+        self.read: set[tuple] = set()
+        self.busy: set[tuple] = set()
+
+    def column(self, key: tuple, build: Slot, context: Context) -> str:
+        if key in self.busy:
+            raise ValueError(f"{context.block.name}: {key[-1]} refers to itself")
+        if key not in self.names:
+            self.busy.add(key)
+            node, loops = context.node, (context.node.outer, context.node.inner)[context.iterating]
+
+            def nested(bound: tuple[Column, ...]) -> Column:
+                if len(bound) < len(loops):
+                    repeat = Context(self, loops[len(bound)], bound)
+                    return F.transform(_each(repeat.times()), lambda i: nested((*bound, i)))
+                return Context(self, node, bound, context.iterating).guarded(build)
+
+            made = nested(())
+            self.busy.discard(key)
+            self.names[key] = f"{self.prefix}{len(self.names)}"
+            self.layers.append((self.names[key], made))
+        return self.names[key]
 
 
-@dataclass
 class Context:
-    """Where a field is evaluated: a block's address and the blocks above it."""
+    """Where a value is evaluated: a block of one trace, in given iterations.
+
+    What a field's function gets is its own block's context; references start
+    from it. ``strict`` contexts were reached by a reference, and look for
+    blocks only below themselves.
+    """
+
+    def __init__(self, shared: _Shared, node: _Node, indices: tuple[Column, ...] = (), iterating: bool = False, strict: bool = False):
+        self.shared, self.node, self.indices, self.iterating, self.strict = shared, node, tuple(indices), iterating, strict
 
-    seed: int
-    block: object
-    path: Column
-    above: Context | None = None
+    @property
+    def block(self):
+        return self.node.block
+
+    @property
+    def path(self) -> Column:
+        """The block's address, which all its draws take in."""
+        return _text(self._pieces(lambda n: n.segment, "#"))
+
+    @property
+    def place(self) -> Column:
+        """Sibling positions and iterations from the root."""
+        return _text(self._pieces(lambda n: f".{n.position}" if n.above and n.above.above else str(n.position) if n.above else "", "."))
+
+    def _pieces(self, piece: Callable[[_Node], str], between: str) -> list[Column | str]:
+        out: list[Column | str] = []
+        for n in self.node.chain():
+            out.append(piece(n))
+            level = len(n.outer)
+            if isinstance(n.block, Repeat) and (n is not self.node or self.iterating):
+                out += [between, self.indices[level]]
+        return out
+
+    # ------------------------------------------------------------ values
 
     def draw(self, slot: str, call: int = 0) -> Column:
-        return draw(self.seed, F.col("trace_index"), self.path, slot, call)
+        return draw(self.shared.seed, F.col("trace_index"), self.path, slot, call)
+
+    def value(self, slot: str, build: Slot) -> Column:
+        """A value of this block, computed once for all that read it."""
+        key = (self.node.address, self.iterating, slot)
+        self.shared.read.add(key)
+        out = F.col(self.shared.column(key, build, self))
+        for i in self.indices:
+            out = F.get(out, i.cast("int"))
+        return out
+
+    def own(self, slot: str, build: Slot) -> Column:
+        """A value of this block for its own event: a column only if others read it."""
+        if self.shared.wanted is None or (self.node.address, self.iterating, slot) in self.shared.wanted:
+            kept = self.shared.read.copy()
+            out = self.value(slot, build)
+            self.shared.read = kept | (self.shared.read - {(self.node.address, self.iterating, slot)})
+            return out
+        return build(self)
+
+    def guarded(self, build: Slot) -> Column:
+        """The value where every choice and maybe above lets the block be, else null."""
+        whether: Column | None = None
+        for n, below in zip(self.node.chain(), self.node.chain()[1:]):
+            at = Context(self.shared, n, self.indices[: len(n.inner)])
+            if isinstance(n.block, Choice):
+                here = at.chosen == below.position
+            elif isinstance(n.block, Maybe):
+                here = at.included
+            else:
+                continue
+            whether = here if whether is None else whether & here
+        made = build(self)
+        return made if whether is None else F.when(whether, made)
 
     def field(self, name: str) -> Column:
-        """A field or metric of this block, by its own address."""
-        found = self.block.fields.get(name) or self.block.metrics.get(name)
-        if found is None:
-            raise KeyError(f"{self.block.name} has no field {name}")
-        return found(self)
+        """A field, metric or metadata key (``name`` or ``metrics.name``, ``metadata.name``) of this span."""
+        self._must(Span, "fields")
+        block = self.block
+        where, _, key = name.partition(".")
+        if not key and name in block.fields:
+            return self.value(name, block.fields[name])
+        for kind, values in (("metrics", block.metrics), ("metadata", block.metadata or {})):
+            found = key if where == kind else name
+            if (key == "" or where == kind) and found in values:
+                return self.value(f"{kind}.{found}", values[found])
+        raise KeyError(f"{block.name} has no field {name}")
+
+    def var(self, name: str) -> Column:
+        """A variable of the nearest block above that declares it, this one included."""
+        for n in reversed(self.node.chain()):
+            if name in n.block.vars:
+                return Context(self.shared, n, self.indices[: len(n.inner)], isinstance(n.block, Repeat)).value(f"var:{name}", n.block.vars[name])
+        raise KeyError(f"no variable {name} is in reach")
+
+    def times(self) -> Column:
+        """How often this repeat runs; a negative count is an error."""
+        def checked(x: Context) -> Column:
+            count = x.block.count(x).cast("bigint")
+            return F.when(count < 0, _failed("a count is negative")).otherwise(count)
+
+        return self.value("count", checked)
+
+    @property
+    def chosen(self) -> Column:
+        """Which child this choice takes, from 0."""
+        self._must(Choice, "chosen")
+        return self.value("pick", lambda x: F.floor(x.draw("pick") * len(x.block.children)))
+
+    @property
+    def included(self) -> Column:
+        """Whether this maybe takes place."""
+        self._must(Maybe, "included")
+
+        def taken(x: Context) -> Column:
+            chance = x.block.chance
+            p = chance(x) if callable(chance) else F.lit(float(chance))
+            return x.draw("chance") < F.when((p < 0) | (p > 1), _failed("a chance is not in 0..1", "double")).otherwise(p)
+
+        return self.value("chance", taken)
+
+    def _must(self, kind: type, what: str) -> None:
+        if not isinstance(self.block, kind):
+            raise KeyError(f"{self.block.name} is no {kind.__name__.lower()} and has no {what}")
+
+    # ------------------------------------------------------------ references
 
     @property
     def trace(self) -> Context:
-        return self if self.above is None else self.above.trace
+        return Context(self.shared, self.node.chain()[0])
 
-    def child(self, name: str) -> Context:
-        """The nearest block of that name: below this one, or below one above it."""
-        for block in self.block.children:
-            if block.name == name:
-                return Context(self.seed, block, F.concat(self.path, F.lit(f"/{name}")), self)
-        if self.above is None:
-            raise KeyError(f"no block {name} is in reach")
-        return self.above.child(name)
+    @property
+    def this(self) -> Context:
+        """The innermost span around, past choices, maybes and repeats."""
+        n = next(n for n in reversed(self.node.chain()) if isinstance(n.block, Span))
+        return Context(self.shared, n, self.indices[: len(n.inner)])
+
+    def child(self, name: str, kind: str | None = None, position: int | Column | None = None) -> Context | Several:
+        """The block of that name (and kind) below the nearest block above that has one.
+
+        Of several, ``position`` (from 0) takes one; a Column as position
+        leaves that to each trace, and only fields can follow.
+        """
+        for n in reversed(self.node.chain()):
+            found = [c for c in n.children if c.block.name == name and (kind is None or kind == (c.block.kind if isinstance(c.block, Span) else type(c.block).__name__.lower()))]
+            if found:
+                if len(self.indices) < len(n.inner):
+                    raise ValueError(f"{n.block.name} is repeated: name an iteration or a slice of it")
+                each = [Context(self.shared, c, self.indices[: len(c.outer)], strict=True) for c in found]
+                if isinstance(position, Column):
+                    return Several(each, position)
+                if position is None and len(found) > 1:
+                    raise ValueError(f"there are {len(found)} blocks {name}: name a position")
+                if not 0 <= (position or 0) < len(found):
+                    raise IndexError(f"there is no block {name} in position {position}")
+                return each[position or 0]
+            if self.strict:
+                break
+        raise KeyError(f"no block {name} is in reach")
+
+    def iteration(self, i: int | Column) -> Context:
+        """One iteration of this repeat, from 0; beyond its count is an error."""
+        self._collection()
+        index = (i if isinstance(i, Column) else F.lit(i)).cast("bigint")
+        checked = F.when((index >= 0) & (index < self.times()), index).otherwise(_failed("an iteration is out of bounds"))
+        return Context(self.shared, self.node, (*self.indices, checked), iterating=True, strict=True)
+
+    def iterations(self, start: int | Column | None = None, end: int | Column | None = None) -> Slice:
+        """Iterations from ``start`` to before ``end`` of this repeat; bounds beyond its count are cut to it, negative ones are errors."""
+        self._collection()
+
+        def bound(x: int | Column | None, default: Column) -> Column:
+            if x is None:
+                return default
+            at = (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
+            return F.when(at < 0, _failed("a slice bound is negative")).otherwise(F.least(at, self.times()))
+
+        low, high = bound(start, F.lit(0).cast("bigint")), bound(end, self.times())
+        return Slice(F.transform(_each(high - low), lambda i: i + low), lambda i: Context(self.shared, self.node, (*self.indices, i), iterating=True, strict=True))
+
+    def _collection(self) -> None:
+        self._must(Repeat, "iterations")
+        if len(self.indices) != len(self.node.outer):
+            raise ValueError(f"{self.block.name} is an iteration already")
+
+    def index(self, repeat: str | None = None) -> Column:
+        """The current iteration, from 0, of the named or else the innermost repeat around."""
+        return self.indices[self._level(repeat)]
+
+    def count(self, repeat: str | None = None) -> Column:
+        level = self._level(repeat)
+        return Context(self.shared, self._loops()[level], self.indices[:level]).times()
+
+    def _loops(self) -> list[_Node]:
+        return self.node.inner if self.iterating else self.node.outer
+
+    def _level(self, repeat: str | None) -> int:
+        for level in reversed(range(len(self._loops()))):
+            if repeat is None or self._loops()[level].block.name == repeat:
+                return level
+        raise KeyError(f"no repeat {repeat or ''} is around")
+
+    # ------------------------------------------------------------ events
+
+    def below(self) -> Iterator[Context]:
+        for c in self.node.children:
+            yield Context(self.shared, c, self.indices)
+
+    def size(self) -> int | Column:
+        """Events of this block and all below."""
+        if isinstance(self.block, Repeat):
+            once = sum((x.size() for x in Context(self.shared, self.node, (*self.indices, F.lit(0).cast("bigint")), True).below()), 0)
+            if isinstance(once, int):
+                return self.times() * once
+            each = F.transform(_each(self.times()), lambda i: sum((x.size() for x in Context(self.shared, self.node, (*self.indices, i), True).below()), 0))
+            return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        sizes = [x.size() for x in self.below()]
+        if isinstance(self.block, Choice):
+            if len(set(map(str, sizes))) == 1 and isinstance(sizes[0], int):
+                return sizes[0]
+            return F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x).cast("bigint") for x in sizes]), (self.chosen + 1).cast("int"))
+        if isinstance(self.block, Maybe):
+            return F.when(self.included, sum(sizes, 0)).otherwise(0).cast("bigint")
+        return sum(sizes, 1)
+
+    def events(self, parent: Column | None) -> Column:
+        """Array of this block's events and all below, in pre-order."""
+        none = F.expr(f"cast(array() as array<{_EVENT}>)")
+
+        def joined(context: Context, above: Column) -> Column:
+            parts = [x.events(above) for x in context.below()]
+            return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+        if isinstance(self.block, Repeat):
+            return F.flatten(F.transform(_each(self.times()), lambda i: joined(Context(self.shared, self.node, (*self.indices, i), True), parent)))
+        if isinstance(self.block, Choice):
+            options, chosen = [x.events(parent) for x in self.below()], self.chosen
+            picked = F.when(chosen == 0, options[0])
+            for i, x in enumerate(options[1:], 1):
+                picked = picked.when(chosen == i, x)
+            return F.coalesce(picked, none)
+        if isinstance(self.block, Maybe):
+            return F.when(self.included, joined(self, parent)).otherwise(none)
+        own = F.array(self.event(parent))
+        return F.concat(own, joined(self, self.place)) if self.node.children else own
+
+    def event(self, parent: Column | None) -> Column:
+        block, unset = self.block, F.lit(None).cast("variant")
+
+        def keyed(kind: str, values: dict[str, Slot]) -> Column:
+            pairs = [x for k, f in values.items() for x in (F.lit(k), as_variant(self.own(f"{kind}.{k}", f)))]
+            return (F.create_map(*pairs) if pairs else F.expr("map()")).cast("map<string,variant>")
+
+        fields = [(as_variant(self.own(f, block.fields[f])) if f in block.fields else unset).alias(f) for f in FIELDS]
+        tags = [F.lit(t) if isinstance(t, str) else template(self.own(f"tag:{i}", t)) for i, t in enumerate(block.tags)]
+        size = self.size()
+        return F.struct(
+            F.lit(block.name).alias("name"), F.lit(block.kind).alias("type"), self.place.alias("place"), (F.lit(None).cast("string") if parent is None else parent).alias("parent"),
+            (F.lit(size) if isinstance(size, int) else size).cast("bigint").alias("size"), *fields,
+            (F.lit(None).cast("map<string,variant>") if block.metadata is None else keyed("metadata", block.metadata)).alias("metadata"),
+            keyed("metrics", block.metrics).alias("metrics"), (F.array(*tags) if tags else F.lit(None).cast("array<string>")).alias("tags"),
+        )
+
+
+class Several:
+    """Blocks of one name, of which a position known in each trace takes one."""
+
+    def __init__(self, each: list[Context], position: Column):
+        self.each, self.position = each, position
 
-    def index(self, repeat: str) -> Column:
-        return F.col(f"index_{repeat}")
+    def field(self, name: str) -> Column:
+        picked = F.when(self.position == 0, self.each[0].field(name))
+        for i, x in enumerate(self.each[1:], 1):
+            picked = picked.when(self.position == i, x.field(name))
+        return F.when((self.position >= 0) & (self.position < len(self.each)), picked).otherwise(F.raise_error(F.lit("a position is out of bounds")))
 
-    def count(self, repeat: str) -> Column:
-        return F.col(f"count_{repeat}")
 
+class Slice:
+    """Iterations of a repeat; what follows is read in each, into an array."""
 
-def compile_shape(roots: DataFrame, shape: Span, seed: int) -> tuple[DataFrame, list[int]]:
-    """Events (one row a span) of all root instances, and their path lengths."""
-    tables: list[DataFrame] = []
-    lengths: set[int] = set()
+    def __init__(self, indices: Column, at: Callable[[Column], Context]):
+        self.indices, self.at = indices, at
 
-    def emit(instances: DataFrame, block: Span, context: Context, depth: int, parent: int) -> None:
-        lengths.add(depth)
-        values = [(block.fields[f](context).cast("string") if f in block.fields else F.lit(None).cast("string")).alias(f) for f in FIELDS]
-        metrics = F.create_map(*[x for k, f in sorted(block.metrics.items()) for x in (F.lit(k), f(context).cast("double"))]) if block.metrics else F.expr("cast(map() as map<string,double>)")
-        tags = F.array(*map(F.lit, block.tags)) if block.tags else F.lit(None).cast("array<string>")
-        tables.append(instances.select("trace_index", "ord_path", F.lit(block.name).alias("name"), F.lit(block.kind).alias("type"), *values, metrics.alias("metrics"), tags.alias("tags"), F.lit(parent).alias("parent_length")))
+    def child(self, name: str, kind: str | None = None, position: int | Column | None = None) -> Slice:
+        return Slice(self.indices, lambda i: self.at(i).child(name, kind, position))
 
-    def walk(instances: DataFrame, block, context: Context, depth: int, parent: int) -> None:
-        for i, child in enumerate(block.children):
-            below = Context(context.seed, child, F.concat(context.path, F.lit(f"/{child.name}")), context)
-            if isinstance(child, Span):
-                rows = blocks.span(instances, child.name, i)
-                here = Context(seed, child, F.col("path"), context)
-                emit(rows, child, here, depth + 1, parent)
-                walk(_named(rows, depth + 1), child, Context(seed, child, F.col(f"path_{depth + 1}"), context), depth + 1, depth + 1)
-            elif isinstance(child, Repeat):
-                rows = blocks.repeat(instances, child.name, i, child.count(below))
-                walk(_named(rows, depth + 2), child, Context(seed, child, F.col(f"path_{depth + 2}"), context), depth + 2, parent)
-            else:
-                choosing = isinstance(child, Choice)
-                u = below.draw("pick" if choosing else "chance")
-                rows = blocks.choose(instances, child.name, i, len(child.children), u) if choosing else blocks.maybe(instances, child.name, i, child.chance, u)
-                rows = _named(rows, depth + 1)
-                inside = Context(seed, child, F.col(f"path_{depth + 1}"), context)
-                if not choosing:
-                    walk(rows.where(f"included_{child.name}"), child, inside, depth + 1, parent)
-                    continue
-                for k, option in enumerate(child.children):
-                    walk(rows.where(F.col(f"chosen_{child.name}") == k), type(child)(child.name, [option]), inside, depth + 1, parent)
-
-    start = _named(roots, 0)
-    top = Context(seed, shape, F.col("path_0"))
-    emit(start, shape, top, 0, -1)
-    walk(start, shape, top, 0, 0)
-    whole = tables[0]
-    for more in tables[1:]:
-        whole = whole.unionByName(more)
-    return whole, sorted(lengths)
-
-
-def _named(rows: DataFrame, depth: int) -> DataFrame:
-    """Keep a block's path under a name that deeper blocks do not overwrite."""
-    return rows.withColumn(f"path_{depth}", F.col("path"))
-
-
-def generate(roots: DataFrame, shape: Span, seed: int, now_micros: int, over_micros: int, spread=timeline.linear, salt: str = "run") -> DataFrame:
+    def iteration(self, i: int | Column) -> Slice:
+        return Slice(self.indices, lambda j: self.at(j).iteration(i))
+
+    def field(self, name: str) -> Column:
+        return F.transform(self.indices, lambda i: self.at(i).field(name))
+
+    @property
+    def chosen(self) -> Column:
+        return F.transform(self.indices, lambda i: self.at(i).chosen)
+
+    @property
+    def included(self) -> Column:
+        return F.transform(self.indices, lambda i: self.at(i).included)
+
+
+def _compiled(shapes: Sequence[Span], seed: int) -> tuple[list[tuple[str, Column]], Column, Column]:
+    """Columns to add to the roots in turn, the array of a trace's events, and their number."""
+    layers, events, sizes = [], [], []
+    for t, shape in enumerate(shapes):
+        check_shape(shape)
+        node = _Node(shape)
+        first = _Shared(seed, f"slot_{t}_")
+        Context(first, node).events(None)  # finds out what is read elsewhere
+        shared = _Shared(seed, f"slot_{t}_", first.read)
+        events.append(Context(shared, node).events(None))
+        size = Context(shared, node).size()
+        sizes.append((F.lit(size) if isinstance(size, int) else size).cast("bigint"))
+        layers += shared.layers
+    turn = F.pmod("trace_index", F.lit(len(shapes)))
+    event, size = events[0], sizes[0]
+    if len(shapes) > 1:  # traces take the shapes in turn
+        event, size = F.when(turn == 0, events[0]), F.when(turn == 0, sizes[0])
+        for t in range(1, len(shapes)):
+            event, size = event.when(turn == t, events[t]), size.when(turn == t, sizes[t])
+    return layers, event, size
+
+
+def _with_slots(roots: DataFrame, layers: list[tuple[str, Column]]) -> DataFrame:
+    for name, made in layers:
+        roots = roots.withColumn(name, made)
+    return roots
+
+
+def _exploded(traces: DataFrame, events: Column, keep: list[str]) -> DataFrame:
+    rows = traces.select("trace_index", *keep, F.posexplode(events).alias("ordinal", "e"))
+    return rows.select("trace_index", *keep, "ordinal", "e.*").withColumn("last", (F.col("ordinal") + F.col("size") - 1).cast("int")).drop("size")
+
+
+def shape_events(roots: DataFrame, shapes: Span | Sequence[Span], seed: int) -> DataFrame:
+    """Events of all traces with their pre-order ordinals and last descendants: one narrow pass, fit for streams."""
+    layers, events, _ = _compiled([shapes] if isinstance(shapes, Span) else shapes, seed)
+    return _exploded(_with_slots(roots, layers), events, [])
+
+
+def generate(roots: DataFrame, shapes: Span | Sequence[Span], seed: int, now_micros: int, over_micros: int, spread=timeline.linear, salt: str = "run") -> DataFrame:
     """Events with order, times, ids and links.
 
-    ``roots`` has one row a trace: trace_index (numbered from 0), path and
-    ord_path as ``blocks.traces`` gives them, and any columns that fields use.
-    One shuffle by trace serves order and subtree ends; a second pass over the
-    structure alone, without any field, finds the longest trace.
+    ``roots`` has one row a trace: trace_index, numbered from 0 without a gap
+    (which is checked), and any columns that fields use. Of several shapes
+    traces take one each in turn. Nothing is shuffled: a first pass over the
+    counts and picks alone finds the longest trace, a second writes the events.
     """
-    events, lengths = compile_shape(roots, shape, seed)
-    ended = timeline.last_descendants(timeline.ordinals(events), lengths)
-    placed = timeline.anchored(ended, timeline.totals(events), F.col("trace_index"), now_micros, over_micros, spread)
-    timed = timeline.slots(placed).withColumn("created", timeline.created(F.col("start_micros")))
-    stamps = F.create_map(F.lit("start"), F.col("start_micros") / 1e6, F.lit("end"), F.col("end_micros") / 1e6)
+    layers, events, size = _compiled([shapes] if isinstance(shapes, Span) else shapes, seed)
+    traces = _with_slots(roots, layers)
+    whole = timeline.checked_totals(traces.select("trace_index", size.alias("events")))
+    placed = timeline.anchored(traces, whole, F.col("trace_index"), now_micros, over_micros, spread)
+    rooted = placed.withColumn("root_span_id", uuid(salt, F.col("trace_index"), F.lit("")))
+    timed = timeline.slots(_exploded(rooted, events, ["anchor", "root_span_id"])).withColumn("created", timeline.created(F.col("start_micros")))
+    stamps = F.create_map(F.lit("start"), as_variant(F.col("start_micros") / 1e6), F.lit("end"), as_variant(F.col("end_micros") / 1e6))
     return timeline.linked(timed.withColumn("metrics", F.map_concat("metrics", stamps)), salt)

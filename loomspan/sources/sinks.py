@@ -9,6 +9,7 @@ import urllib.request
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,9 @@ ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 4, 0.5, 30.0
 
 
 def event_json(events: DataFrame) -> DataFrame:
-    """(trace_index, ordinal, json): events as JSON objects without what is unset."""
+    """(trace_index, ordinal, json): events as JSON objects without what is unset; a null that is set stays."""
     attributes = F.struct("name", "type").alias("span_attributes")
-    fields = ["id", "span_id", "root_span_id", "span_parents", "created", attributes, "input", "output", "expected", "error", "metrics", "tags"]
+    fields = ["id", "span_id", "root_span_id", "span_parents", "created", attributes, "input", "output", "expected", "error", "metadata", "metrics", "tags"]
     return events.select("trace_index", "ordinal", F.to_json(F.struct(*fields)).alias("json"))
 
 
@@ -59,33 +60,50 @@ def send_payload(url: str, key: str, events: list[bytes], timeout: float) -> int
     return done
 
 
-def write_http(events: DataFrame, url: str, key: str, workers: int = 8, timeout: float = 30.0, limit: int = PAYLOAD_LIMIT) -> int:
-    """Send events, each partition in payloads under ``limit``; returns rows written.
+def write_files(events: DataFrame, folder: str) -> None:
+    """A dry run: the events as files of JSON lines."""
+    event_json(events).select("json").write.text(folder)
+
 
-    ``workers`` partitions send at a time. Ids come from addresses, so a task
-    that runs again sends the same events.
+def sent_payloads(events: DataFrame, url: str, key: str, workers: int = 8, timeout: float = 30.0, limit: int = PAYLOAD_LIMIT) -> DataFrame:
+    """Sends the events when it is evaluated: (worker, payload, events), each payload as it is acknowledged.
+
+    ``workers`` partitions send at a time, each its range of traces in order of
+    trace and event, so that order by worker and payload is the order of
+    submission. The first payload that fails for good fails the job. Ids come
+    from addresses, so a task that runs again sends the same events.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent, held, used = 0, [], ENVELOPE
+        number, held, used = 0, [], ENVELOPE
+
+        def send() -> pa.RecordBatch:
+            done = send_payload(url, key, held, timeout)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), number, done)], names=["worker", "payload", "events"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 event = text.encode()
                 if ENVELOPE + len(event) > limit:
                     raise ValueError(f"an event of {len(event)} bytes exceeds the payload limit")
                 if held and used + 1 + len(event) > limit:
-                    sent += send_payload(url, key, held, timeout)
-                    held, used = [], ENVELOPE
+                    yield send()
+                    number, held, used = number + 1, [], ENVELOPE
                 used += len(event) + (1 if held else 0)
                 held.append(event)
         if held:
-            sent += send_payload(url, key, held, timeout)
-        yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64())], names=["rows"])
+            yield send()
 
     rows = event_json(events).repartitionByRange(workers, "trace_index").sortWithinPartitions("trace_index", "ordinal").select("json")
-    return rows.mapInArrow(run, "rows bigint").agg(F.sum("rows")).first()[0] or 0
+    return rows.mapInArrow(run, "worker bigint, payload bigint, events bigint")
+
+
+def write_http(events: DataFrame, url: str, key: str, workers: int = 8, timeout: float = 30.0, limit: int = PAYLOAD_LIMIT) -> int:
+    """Send events in payloads under ``limit``; returns rows written."""
+    return sent_payloads(events, url, key, workers, timeout, limit).agg(F.sum("events")).first()[0] or 0
 
 
-def summary(events: DataFrame) -> DataFrame:
-    """One row: traces and events."""
-    return events.agg(F.countDistinct("trace_index").alias("traces"), F.count("*").alias("events"))
+def summary(events: DataFrame, seed: int, project: str | None = None, rows: int | None = None, millis: int | None = None, log: str | None = None) -> DataFrame:
+    """One row: seed, traces, events, rows written, project, milliseconds and the run's log."""
+    given = [F.lit(x).cast(kind).alias(name) for name, x, kind in (("rows", rows, "bigint"), ("project", project, "string"), ("ms", millis, "bigint"), ("log", log, "string"))]
+    return events.agg(F.count_if(F.col("ordinal") == 0).alias("traces"), F.count("*").alias("events")).select(F.lit(seed).cast("bigint").alias("seed"), "traces", "events", *given)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomspan.operators.blocks import traces
-from loomspan.plans.shape import Span, compile_shape
+from loomspan.plans.shape import Span, shape_events
 
 
 def streamed_events(spark: SparkSession, shape: Span, seed: int, rows_per_second: int = 10) -> DataFrame:
     """Streaming events of one trace per tick; stateless, so it appends and restarts cleanly."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return compile_shape(traces(ticks, "value"), shape, seed)[0].withColumn("ordinal_path", F.array_join(F.col("ord_path").cast("array<string>"), "."))
+    return shape_events(traces(ticks, "value"), shape, seed)

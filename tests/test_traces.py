@@ -1,14 +1,15 @@
 import json
+import re
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.functions import draws, ids, numbers, samplers, strings
+from loomspan.functions import draws, ids, numbers, objects, samplers, strings
 from loomspan.operators import blocks, payloads, timeline
 from loomspan.plans.queries import NOW, OVER, SHAPE
-from loomspan.plans.shape import Choice, Maybe, Repeat, Span, generate
+from loomspan.plans.shape import Choice, Maybe, Repeat, Span, generate, shape_events
 from loomspan.sources import inputs, sinks
 
 
@@ -34,10 +35,14 @@ def test_samplers_keep_their_bounds(spark):
     assert not x.never.any() and x.always.all() and abs((x.w == "c").mean() - 0.75) < 0.05
 
 
-def test_samplers_by_address(spark):
-    at = F.concat(F.lit("s|"), F.col("id"))
-    x = spark.range(2000).select(samplers.beta_by_address(2, 5, at).alias("b"), samplers.poisson_by_address(900, at).alias("p")).toPandas()
-    assert x.b.between(0, 1).all() and abs(x.b.mean() - 2 / 7) < 0.02 and abs(x.p.mean() - 900) < 5
+def test_samplers_beyond_the_jvm(spark):
+    u = lambda i: draws.draw("s", F.col("id"), i)
+    made = spark.range(2000).select(samplers.beta(2, 5, u).alias("whole"), samplers.beta(2.0001, 5, u).alias("b"), samplers.poisson(900, u(0)).alias("p"), samplers.poisson(1e12, u(0)).alias("large"))
+    x = made.toPandas()
+    for b in (x.whole, x.b):
+        assert b.between(0, 1).all() and abs(b.mean() - 2 / 7) < 0.02 and abs(b.var() - 10 / 49 / 8) < 0.004
+    assert abs(x.p.mean() - 900) < 5 and abs(x.p.var() - 900) < 150 and abs(x.large.mean() / 1e12 - 1) < 1e-6
+    assert x.equals(made.repartition(5).orderBy("p", "b").toPandas().pipe(lambda y: y.set_index("b").loc[x.b].reset_index()[x.columns]))
 
 
 @pytest.mark.parametrize("wrong", [lambda u: samplers.range_int(2, 1, u), lambda u: samplers.choice([], u), lambda u: samplers.weighted([(F.lit(1), 0)], u), lambda u: samplers.chance(1.5, u), lambda u: samplers.poisson(0, u), lambda u: samplers.pareto(0, 1, u), lambda u: samplers.exponential(0, u)])
@@ -82,7 +87,8 @@ def test_repeat_of_zero_and_below(spark):
 
 
 def events(spark, shape=SHAPE, n=40, seed=3, **more):
-    return generate(inputs.trace_range(spark, n), shape, seed, NOW, OVER, **more)
+    made = generate(inputs.trace_range(spark, n), shape, seed, NOW, OVER, **more)
+    return made.withColumns({f: F.col(f).cast("string") for f in ("input", "output", "expected", "error")})
 
 
 def test_events_are_linked_and_timed(spark):
@@ -196,21 +202,215 @@ def test_settings_and_durations(tmp_path):
 
 
 def test_run_logs(spark, tmp_path):
-    lines = {"a.jsonl": [("1", "INFO", "fine", None), ("2", "ERROR", "broke", "first\nsecond"), ("3", "INFO", "end", None)], "b.jsonl": [("1", "INFO", "fine", None)]}
+    lines = {"a.jsonl": [("1", "INFO", "fine", None), ("2", "ERROR", "broke", "first\nsecond"), ("3", "INFO", "end", None)], "b.jsonl": [("1", "INFO", "fine", None)], "c.jsonl": [("9", "ERROR", "x" * 90, None), ("1", "ERROR", "x" * 81, None)], "d.jsonl": [("1", "ERROR", None, None)]}
     for name, rows in lines.items():
         (tmp_path / name).write_text("\n".join(json.dumps({"timestamp": t, "level": level, "fields": {"message": m, "error": e}, "target": "x"}) for t, level, m, e in rows))
     got = {r.run: r.verdict for r in inputs.verdicts(inputs.run_logs(spark, str(tmp_path))).collect()}
-    assert got == {"a.jsonl": "first", "b.jsonl": "ok"}
+    assert got == {"a.jsonl": "failed: first", "b.jsonl": "ok", "c.jsonl": "failed: " + "x" * 80 + "…", "d.jsonl": "failed: unknown error"}
+    assert [r.fields.message for r in inputs.run_logs(spark, str(tmp_path)).where("run = 'a.jsonl'").orderBy("line").collect()] == ["fine", "broke", "end"]
 
 
 def test_streamed_events_equal_the_batch(spark, tmp_path):
-    from loomspan.plans.shape import compile_shape
-
     spark.range(20).write.parquet(str(tmp_path / "ticks"))
     ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "ticks"))
-    stream = compile_shape(blocks.traces(ticks, "id"), SHAPE, 5)[0].select("trace_index", "name", "input", "output")
+    stream = shape_events(blocks.traces(ticks, "id"), SHAPE, 5).select("trace_index", "ordinal", "name", F.col("input").cast("string"), F.col("output").cast("string"))
     query = stream.writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "state")).start()
     query.processAllAvailable()
     query.stop()
-    batch = compile_shape(inputs.trace_range(spark, 20), SHAPE, 5)[0].select("trace_index", "name", "input", "output")
+    batch = shape_events(inputs.trace_range(spark, 20), SHAPE, 5).select("trace_index", "ordinal", "name", F.col("input").cast("string"), F.col("output").cast("string"))
     assert sorted(map(str, spark.table("streamed").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_run_log_keeps_the_newest_and_logs_errors(spark, tmp_path):
+    folder = tmp_path / "logs"
+    for i in range(4):
+        with inputs.RunLog(folder, keep=3) as log, log.phase("plan"):
+            log.write("info", f"run {i}")
+            log.write("debug", "too fine")
+    with pytest.raises(ValueError), inputs.RunLog(folder, keep=3) as log:
+        raise ValueError("first line\nsecond")
+    found = inputs.run_logs(spark, str(folder))
+    assert found.select("run").distinct().count() == 3 and (folder / ".gitignore").read_text() == "*\n"
+    got = inputs.verdicts(found).join(found.select("run", "modified").distinct(), "run")
+    assert inputs.last_run(got, "modified", "run").first().verdict == "failed: first line"
+    assert inputs.retained(got, "modified", "run", 3).count() == 2
+    assert inputs.ranked(got, "modified", "run").where("newest = 1").first().verdict == "failed: first line"
+    times = found.where("fields.phase IS NOT NULL").select(F.col("fields.phase").alias("phase"), F.col("fields.micros").alias("micros"), "line")
+    report = inputs.perf_report(times, "phase", "micros", "line").first()
+    assert report.path == "plan" and 0 <= report.least <= report["mean"] <= report.most
+
+
+def test_environment_and_project_root(tmp_path):
+    given = {"X_API_KEY": "k", "X_PROJECT_ID": "12345678-1234-5678-1234-567812345678", "X_URL": "", "X_LOG_LEVEL": "WARN"}
+    assert inputs.environment("X", given) == {"api_key": "k", "project_id": given["X_PROJECT_ID"], "url": None, "log_level": "WARN"}
+    for wrong in ({"X_PROJECT_ID": "7"}, {"X_LOG_LEVEL": "loud"}):
+        with pytest.raises(ValueError):
+            inputs.environment("X", wrong)
+    (tmp_path / ".own").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert inputs.project_root(tmp_path / "a" / "b", ".own") == tmp_path.resolve() and inputs.project_root("/", ".own-not-there") is None
+
+
+def test_sinks_keep_the_order_and_sum_up(spark, tmp_path):
+    rows = events(spark, n=6)
+    sinks.write_files(rows, str(tmp_path / "dry"))
+    assert spark.read.text(str(tmp_path / "dry")).count() == rows.count()
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Stub.seen, Stub.failures, Stub.most = [], 0, 10**9
+    sent = sinks.sent_payloads(rows, f"http://127.0.0.1:{server.server_port}", "key", workers=1, timeout=5, limit=3000).orderBy("worker", "payload").collect()
+    server.shutdown()
+    assert [r.payload for r in sent] == list(range(len(sent))) and len(sent) > 1 and sum(r.events for r in sent) == rows.count()
+    want = [r.id for r in rows.orderBy("trace_index", "ordinal").select("id").collect()]
+    assert [e["id"] for e in Stub.seen] == want
+    done = sinks.summary(rows, 3, "p", len(want), 12).first()
+    assert (done.seed, done.traces, done.events, done.rows, done.project, done.ms, done.log) == (3, 6, len(want), len(want), "p", 12, None)
+
+
+# ------------------------------------------------------------------ shapes
+
+
+def read(spark, *children, n=200, name="reader", **root):
+    shape = Span("task", "root", children=list(children), **root)
+    rows = shape_events(inputs.trace_range(spark, n), shape, 9).withColumns({f: F.col(f).cast("string") for f in ("input", "output")})
+    return rows.where(F.col("name") == name).orderBy("trace_index", "ordinal").collect(), rows
+
+
+OUT = {"output": lambda x: samplers.range_int(0, 999, x.draw("output"))}
+
+
+def test_a_branch_that_is_not_taken_reads_as_null(spark):
+    way = Choice("way", [Span("tool", "search", {"output": lambda x: F.lit("found")}), Span("tool", "other", {"output": lambda x: F.lit("else")})])
+    got, rows = read(spark, way, Span("llm", "reader", {"input": lambda x: x.child("way").child("search").field("output")}), n=200)
+    taken = {r.trace_index for r in rows.select("trace_index", "name").where("name = 'search'").collect()}
+    assert 60 < len(taken) < 140 and {r.trace_index for r in got if r.input == "found"} == taken and all(r.input in (None, "found") for r in got)
+
+
+def test_siblings_of_one_name_draw_apart_and_need_a_position(spark):
+    two = [Span("llm", "a", OUT), Span("llm", "a", OUT)]
+    got, _ = read(spark, *two, name="a")
+    assert len({(r.trace_index, r.output) for r in got}) > 390
+    got, rows = read(spark, *two, Span("tool", "a", {"output": lambda x: F.lit("tool")}), Span("llm", "reader", {"input": lambda x: x.child("a", "llm", 1).field("output"), "output": lambda x: x.child("a", "tool").field("output")}))
+    second = {r.trace_index: r.output for r in rows.where("name = 'a' AND ordinal = 2").collect()}
+    assert all(r.input == second[r.trace_index] and r.output == "tool" for r in got)
+    with pytest.raises(ValueError, match="name a position"):
+        read(spark, *two, Span("llm", "reader", {"input": lambda x: x.child("a").field("output")}))
+    with pytest.raises(IndexError):
+        read(spark, *two, Span("llm", "reader", {"input": lambda x: x.child("a", position=2).field("output")}))
+    with pytest.raises(Exception, match="out of bounds"):
+        read(spark, *two, Span("llm", "reader", {"input": lambda x: x.child("a", position=F.lit(5)).field("output")}))
+
+
+def turns(*children, count=3):
+    return Repeat("turn", lambda x: F.lit(count), list(children))
+
+
+def test_iterations(spark):
+    with pytest.raises(ValueError, match="name an iteration"):
+        read(spark, turns(Span("llm", "reply", OUT)), Span("llm", "reader", {"input": lambda x: x.child("turn").child("reply").field("output")}))
+    with pytest.raises(Exception, match="out of bounds"):
+        read(spark, turns(Span("llm", "reply", OUT)), Span("llm", "reader", {"input": lambda x: x.child("turn").iteration(3).child("reply").field("output")}))
+    with pytest.raises(Exception, match="negative"):
+        read(spark, turns(Span("llm", "reply", OUT)), Span("llm", "reader", {"input": lambda x: x.child("turn").iterations(-1).child("reply").field("output")}))
+    slices = {"input": lambda x: F.to_json(x.child("turn").iterations(1, 9).child("reply").field("output")), "output": lambda x: F.to_json(x.child("turn").iterations(2, 1).child("reply").field("output"))}
+    got, rows = read(spark, turns(Span("llm", "reply", OUT)), Span("llm", "reader", slices), n=20)
+    replies = {}
+    for r in rows.where("name = 'reply'").orderBy("ordinal").collect():
+        replies.setdefault(r.trace_index, []).append(int(r.output))
+    assert all(json.loads(r.input) == replies[r.trace_index][1:] and json.loads(r.output) == [] for r in got)
+
+
+def test_a_growing_history(spark):
+    said = lambda x: x.child("turn").iterations(0, x.index()).child("reply").field("output")
+    reply = Span("llm", "reply", {"input": lambda x: F.to_json(said(x))} | OUT, {"seen": lambda x: F.size(said(x))})
+    _, rows = read(spark, turns(reply), n=10)
+    before = {}
+    for r in rows.where("name = 'reply'").orderBy("trace_index", "ordinal").collect():
+        history = before.setdefault(r.trace_index, [])
+        assert json.loads(r.input) == history and r.metrics["seen"].toPython() == len(history)
+        history.append(int(r.output))
+
+
+def test_references_in_nested_repeats(spark):
+    inner = Repeat("call", lambda x: x.index("turn") + 1, [Span("tool", "use", OUT), Span("llm", "reader", {"input": lambda x: x.child("use").field("output"), "output": lambda x: F.to_json(x.child("call").iterations().child("use").field("output"))}, {"at": lambda x: x.index("turn") * 10 + x.index(), "of": lambda x: x.count("call")})])
+    got, rows = read(spark, turns(inner), n=15)
+    uses = {}
+    for r in rows.where("name = 'use'").collect():
+        turn, call = map(int, re.fullmatch(r"0\.(\d)\.0\.(\d)\.0", r.place).groups())
+        uses[r.trace_index, turn, call] = int(r.output)
+    assert len(got) == 15 * 6
+    for r in got:
+        turn, call = divmod(r.metrics["at"].toPython(), 10)
+        assert int(r.input) == uses[r.trace_index, turn, call] and json.loads(r.output) == [uses[r.trace_index, turn, k] for k in range(turn + 1)] and r.metrics["of"].toPython() == turn + 1
+
+
+def test_variables(spark):
+    shape = [Repeat("turn", lambda x: F.lit(2), [Span("llm", "reader", {"input": lambda x: x.var("once"), "output": lambda x: x.var("each")})], {"each": lambda x: samplers.range_int(0, 999, x.draw("v"))})]
+    got, _ = read(spark, *shape, n=50, vars={"once": lambda x: samplers.range_int(0, 999, x.draw("v"))})
+    by = {}
+    for r in got:
+        by.setdefault(r.trace_index, []).append((r.input, r.output))
+    assert all(a[0] == b[0] for a, b in by.values()) and sum(a[1] != b[1] for a, b in by.values()) > 45
+    with pytest.raises(KeyError):
+        read(spark, Span("llm", "reader", {"input": lambda x: x.var("nowhere")}))
+
+
+def test_values_keep_their_kinds(spark):
+    fields = {"input": lambda x: F.struct(F.lit(1).alias("a"), F.array(F.lit("x")).alias("b")), "output": lambda x: F.lit(None).cast("string")}
+    span = Span("llm", "reader", fields, {"n": lambda x: F.lit(3), "half": lambda x: F.lit(0.5)}, metadata={})
+    rows = generate(inputs.trace_range(spark, 2), Span("task", "root", children=[span]), 1, NOW, OVER).where("name = 'reader'")
+    got = json.loads(sinks.event_json(rows).first().json)
+    assert got["input"] == {"a": 1, "b": ["x"]} and got["output"] is None and "expected" not in got and got["metadata"] == {} and "tags" not in got
+    assert got["metrics"]["n"] == 3 and isinstance(got["metrics"]["n"], int) and got["metrics"]["half"] == 0.5 and got["metrics"]["end"] > got["metrics"]["start"]
+
+
+@pytest.mark.parametrize("wrong", [
+    Span("llm", "root"), Span("task", "root", {"inputs": lambda x: F.lit(1)}), Span("task", "root", metrics={"start": lambda x: F.lit(1)}), Span("task", "root", children=[Repeat("r", lambda x: F.lit(1), [])]),
+    Span("task", "root", children=[Span("other", "a")]), Span("task", "root", children=["a"]), Span("task", "root", vars={"v": lambda x: F.lit(1)}, children=[Span("llm", "a", vars={"v": lambda x: F.lit(1)})]),
+    Span("task", "root", {"input": lambda x: x.field("output"), "output": lambda x: x.field("input")}),
+])
+def test_shapes_that_make_no_sense_are_refused(spark, wrong):
+    with pytest.raises(ValueError):
+        shape_events(inputs.trace_range(spark, 1), wrong, 1)
+
+
+def test_unknown_references_are_refused(spark):
+    for field in (lambda x: x.child("none").field("output"), lambda x: x.field("none"), lambda x: x.trace.child("reader").child("reader"), lambda x: x.index("turn"), lambda x: x.chosen):
+        with pytest.raises(KeyError):
+            read(spark, Span("llm", "reader", {"input": field}))
+
+
+def test_templates_take_turns_and_indices_must_be_dense(spark):
+    shapes = [Span("task", "a"), Span("task", "b", children=[Span("llm", "c")])]
+    rows = events(spark, shapes, n=5).orderBy("trace_index", "ordinal").collect()
+    assert [(r.trace_index, r.name) for r in rows] == [(0, "a"), (1, "b"), (1, "c"), (2, "a"), (3, "b"), (3, "c"), (4, "a")]
+    with pytest.raises(Exception, match="without a gap"):
+        generate(blocks.traces(spark.range(3, 9), "id"), shapes, 1, NOW, OVER).select("created").collect()
+
+
+def test_a_chain_of_references_does_not_grow(spark):
+    metrics = {"m0": lambda x: samplers.range_int(0, 3, x.draw("m0"))}
+    for i in range(1, 30):
+        metrics[f"m{i}"] = lambda x, i=i: x.field(f"m{i - 1}") + x.field(f"m{i - 1}")
+    rows = shape_events(inputs.trace_range(spark, 3), Span("task", "root", metrics=metrics), 1).collect()
+    assert all(r.metrics["m29"].toPython() == 2**29 * r.metrics["m0"].toPython() for r in rows)
+
+
+def test_objects_indexes_and_slices(spark):
+    array = F.array(*map(F.lit, range(5)))
+    assert one(spark, objects.index(array, 0)) == 0 and one(spark, objects.index(array, 4)) == 4
+    assert [one(spark, objects.part(array, a, b)) for a, b in ((1, 3), (None, 2), (3, None), (4, 9), (7, 9), (3, 1))] == [[1, 2], [0, 1], [3, 4], [4], [], []]
+    for wrong in (objects.index(array, -1), objects.index(array, 5), objects.part(array, -1), objects.key(F.create_map(F.lit("a"), F.lit(1)), "b"), objects.drill(F.parse_json(F.lit('{"a": [1]}')), "a", 1)):
+        with pytest.raises(Exception, match="out of bounds|negative|no key"):
+            one(spark, wrong)
+    assert one(spark, objects.spread({"a": F.lit(1), "b": F.lit(2)}, {"a": F.lit(3)})).asDict() == {"a": 3, "b": 2}
+    assert one(spark, objects.drill(F.parse_json(F.lit('{"a": [1, {"b": "x"}]}')), "a", 1, "b", kind="string")) == "x"
+
+
+def test_tokens_of_texts_and_containers(spark, tmp_path):
+    import base64
+
+    (tmp_path / "v").write_text("\n".join(f"{base64.b64encode(bytes([i])).decode()} {i}" for i in range(256)))
+    count = lambda x: one(spark, strings.tokens(x, str(tmp_path / "v"), r"\w+|\W"))
+    assert count(F.lit("ab c")) == 4 and count(F.lit("")) == 0 and count(F.lit(None).cast("string")) is None
+    assert one(spark, strings.container_tokens(F.array(F.lit("a"), F.lit(1).cast("string")), str(tmp_path / "v"), r"\w+|\W")) == len('["a","1"]')
