@@ -49,7 +49,7 @@ def test_oracles_belong_to_queries():
 def test_trim_takes_whole_texts_and_their_own_white_space(spark, tmp_path):
     texts = ["x" * 50 + " \u2003\u00a0\n", "\u3000\x0b" + "long text " * 20 + "\x85", " \t ", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.chars for r in traces.queries()["fn_trim_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.chars for r in traces.queries()["fn_trim"](spark, str(tmp_path)).collect()}
     assert got == {0: 50, 1: 199, 2: 0, 3: 0, 4: None}
-    want = duckdb.sql(traces.oracle_sql()["fn_trim_whole"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    want = duckdb.sql(traces.oracle_sql()["fn_trim"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
     assert {r[0]: r[1] for r in want.select("doc_id, chars").fetchall()} == got
