@@ -47,10 +47,24 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folder()
     path = f"{folder}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
+
+
+def _files(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing still to be evaluated reads."""
+    for table in tables:
+        files, where = _files(table.sparkSession, table.__dict__.pop("_staged_at"))
+        files.delete(where, True)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -103,7 +117,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     )
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
+    held = labels
     while True:
+        # both sides are shuffled for the join alone, so adaptive execution can split a node of very many edges
         near = (
             both.join(labels, both.b == labels.node)
             .groupBy("a")
@@ -113,8 +129,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
         moved = staged(taken.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component")))
         changed = moved.where("component <> old").limit(1).count()
-        labels = moved.select("node", "component")
+        unstaged(held)
+        labels, held = moved.select("node", "component"), moved
         if not changed:
+            unstaged(both)
             return labels
 
 

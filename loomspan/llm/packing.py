@@ -39,7 +39,7 @@ class WordTokenizer:
     The memo is emptied at ``memo_words`` entries, so memory stays bounded.
     """
 
-    def __init__(self, path: str, memo_words: int = 65_536):
+    def __init__(self, path: str, memo_words: int = 262_144):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -95,7 +95,6 @@ def tokenized_pieces(
                     piece = ids[4 * start : 4 * (start + sequence)]
                     out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, piece)[: 6 if keep_ids else 5])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-        encode.memo.clear()
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 if keep_ids else 5]
     kinds = [pa.int64()] * 5 + [pa.binary()]

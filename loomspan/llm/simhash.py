@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import staged, connected_components, in_small_batches
+from loomspan.llm.common import connected_components, in_small_batches, staged, unstaged
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 TILE = 1024
@@ -297,7 +297,7 @@ def _linked(dealt: DataFrame, radius: int, similar: tuple[float, tuple[int, int]
     ones = F.aggregate("print", F.lit(0), lambda n, x: n + F.bit_count(x))
     by_bucket = dealt.select("bucket", "node", *payload, ones.alias("ones")).repartition("bucket").sortWithinPartitions("bucket", "ones", "node").drop("ones")
     found = staged(by_bucket.mapInArrow(compared, schema))
-    done = found.where("tile IS NULL").select("a", "b")
+    done, held = found.where("tile IS NULL").select("a", "b"), []
     later = found.where("tile IS NOT NULL").select("bucket", "tile", "low", "high", F.col("b").alias("node"), *payload)
     if not later.isEmpty():
         tiles = later.groupBy("bucket", "tile").agg(F.first("low").alias("low"), F.first("high").alias("high"))
@@ -308,10 +308,13 @@ def _linked(dealt: DataFrame, radius: int, similar: tuple[float, tuple[int, int]
             F.array(F.struct(F.col("tile").alias("tile"), group.alias("group")), F.struct(F.col("other").alias("tile"), (group + 1).alias("group")))
         )
         dealt_out = staged(pairs.select("bucket", F.explode(sides).alias("x")).select("bucket", "x.tile", "x.group"))
+        held.append(dealt_out)
         members = later.join(dealt_out, ["bucket", "tile"]).select("group", "node", *payload, F.shiftright("group", 1).alias("pair"))
         ordered = members.repartition("pair").sortWithinPartitions("group", "node").drop("pair")
         done = done.union(ordered.mapInArrow(compared_tiles, schema).select("a", "b"))
-    return (done.toDF("bucket", "node") if grouped else done).distinct()
+    out = staged((done.toDF("bucket", "node") if grouped else done).distinct())
+    unstaged(found, *held)
+    return out
 
 
 def _trees(links: Iterator[np.ndarray]) -> Iterator[list[int]]:
@@ -454,13 +457,17 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, simi
     distinct = staged(rows.groupBy("node").agg(F.min(order).alias("least"), F.first("print").alias("print"), F.first("anchors").alias("anchors")))
     dealt = distinct.select(F.posexplode("anchors").alias("i", "anchor"), "node", "print").withColumn("bucket", F.xxhash64("i", "anchor"))
     reach = similarity_radius(similarity, 64 * words)
-    wanted = _linked(dealt, max(reach), grouped=True).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    grouped = _linked(dealt, max(reach), grouped=True)
+    wanted = grouped.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
     asked = distinct.join(wanted, "node").select("node", "print", F.col("least.row").alias("row"), "buckets")
     candidates = rows.select("row", "text").join(asked, "row").select("node", "print", "text", "buckets").mapInArrow(with_hashes, "node long, print array<long>, hashes binary, buckets array<long>")
-    groups = connected_components(_linked(candidates.select(F.explode("buckets").alias("bucket"), "node", "print", "hashes"), max(reach), (similarity, reach)))
+    links = _linked(candidates.select(F.explode("buckets").alias("bucket"), "node", "print", "hashes"), max(reach), (similarity, reach))
+    groups = connected_components(links)
     named = distinct.select("node", "least").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     firsts = named.groupBy("group").agg(F.min("least").alias("lowest"))
-    return rows, staged(named.join(firsts, "group").select("node", F.col("lowest.id").alias("component"), F.col("lowest.row").alias("lead")))
+    known = staged(named.join(firsts, "group").select("node", F.col("lowest.id").alias("component"), F.col("lowest.row").alias("lead")))
+    unstaged(distinct, grouped, links)
+    return rows, known
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, anchors: int = 8, keep: list[str] = ()) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import in_small_batches, staged
+from loomspan.llm.common import in_small_batches, staged, unstaged
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -427,7 +427,9 @@ def repeated_places(docs: DataFrame, window: int = 20) -> DataFrame:
     reported = every.join(spans, ["key", "content"]).select("doc", "bits", F.shiftright("place", 7).alias("start"), F.explode("spans").alias("x"))
     own = F.col("start") + F.col("x.offset")
     later = F.struct("x.doc", "x.bits", "x.start") < F.struct("doc", "bits", own.alias("start"))
-    return reported.where(later).select("doc", "bits", F.shiftleft(own, 7).bitwiseOR(F.col("x.size")).alias("place"))
+    out = staged(reported.where(later).select("doc", "bits", F.shiftleft(own, 7).bitwiseOR(F.col("x.size")).alias("place")))
+    unstaged(shared, occurrences, contents, crowded, fetched)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, keep: list[str] = ()) -> DataFrame:

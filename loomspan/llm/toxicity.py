@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import held_out, in_small_batches, staged, table, texts_of
+from loomspan.llm.common import held_out, in_small_batches, staged, table, texts_of, unstaged
 
 #: Most labelled rows that are read to learn, and most learned word beginnings.
 SAMPLE_ROWS, LEARNED = 16_384, 4096
 #: Words that one worker keeps the symbols of.
-MEMO_WORDS = 65_536
+MEMO_WORDS = 131_072
 
 SEEDS = {
     "HARM": "kill hurt destroy burn stab shoot murder strangle töten umbringen erschießen tuer frapper matar golpear".split(),
@@ -201,6 +201,7 @@ def learn_insults(sample: DataFrame, learned: int = LEARNED) -> list[str]:
     by_word = staged(by_word)
     total = by_word.agg(F.sum("a").alias("a"), F.sum("c").alias("c")).first()
     if not total.a or not total.c:
+        unstaged(by_word)
         return []
     share = total.a / (total.a + total.c)
     begins = by_word.where("length(word) >= 3").select(F.explode(F.expr("transform(sequence(3, least(length(word), 10)), n -> substr(word, 1, n))")).alias("begin"), "a", "c")
@@ -208,6 +209,7 @@ def learn_insults(sample: DataFrame, learned: int = LEARNED) -> list[str]:
     n = F.col("a") + F.col("c")
     ratio = F.col("a") * F.log(F.col("a") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0)
     found = tested.withColumn("ratio", ratio).where("ratio >= 12").orderBy(F.desc("ratio"), "begin").limit(learned).collect()
+    unstaged(by_word)
     held = {r.begin: (r.a, r.c) for r in found}
     longer = defaultdict(list)
     for begin in sorted(held):
@@ -295,6 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = staged(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
     grammar = ClauseGrammar(learn_insults(sample))
     rows = _matched(sample, grammar, None, ["toxic"]).collect()  # at most sample_rows rows of counts
+    unstaged(sample)
     counts = np.array([r.matches for r in rows], float).reshape(-1, len(PATTERNS))
     return grammar, fit_weights(counts, np.array([r.toxic for r in rows], float))
 
