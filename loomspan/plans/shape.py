@@ -4,8 +4,9 @@ A shape is a tree of Python objects; a field is a function of a context that
 gives its Column. Every value that is read elsewhere becomes one column of the
 roots, computed once a trace: a plain value where its block stands once, an
 array over the iterations where it stands in a repeat. A reference is then a
-column, an element or a slice of one: no join, no shuffle. The events of a
-trace are one array in pre-order, exploded with their ordinals.
+column, an element or a slice of one: no join, no shuffle. The layout of a
+trace, which block in which iterations, is one array in pre-order, exploded with
+its ordinals; only then are fields computed, those that are asked for.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ FIELDS = ["input", "output", "expected", "error"]
 KINDS = ["task", "llm", "tool", "function"]
 #: Metrics that the timeline writes.
 RESERVED = ["start", "end"]
-_EVENT = "struct<name:string,type:string,place:string,parent:string,size:bigint,input:variant,output:variant,expected:variant,error:variant,metadata:map<string,variant>,metrics:map<string,variant>,tags:array<string>>"
-
 Slot = Callable[["Context"], Column]
 
 
@@ -405,43 +404,62 @@ class Context:
             return F.when(self.included, sum(sizes, 0)).otherwise(0).cast("bigint")
         return sum(sizes, 1)
 
-    def events(self, parent: Column | None) -> Column:
-        """Array of this block's events and all below, in pre-order."""
-        none = F.expr(f"cast(array() as array<{_EVENT}>)")
+    def layout(self, numbers: dict[tuple, int], depth: int) -> list[Column | list[Column]]:
+        """This block's events and all below in pre-order, each by its block's number and its iterations: lists of one event each, and arrays."""
+        none = F.expr(f"cast(array() as array<struct<_b:int{''.join(f',_i{k}:bigint' for k in range(depth))}>>)")
 
-        def joined(context: Context, above: Column) -> Column:
-            parts = [x.events(above) for x in context.below()]
-            return parts[0] if len(parts) == 1 else F.concat(*parts)
+        def joined(context: Context) -> Column:
+            return _joined([part for x in context.below() for part in x.layout(numbers, depth)], none)
 
         if isinstance(self.block, Repeat):
-            return F.flatten(F.transform(_each(self.times()), lambda i: joined(Context(self.shared, self.node, (*self.indices, i), True), parent)))
+            return [F.flatten(F.transform(_each(self.times()), lambda i: joined(Context(self.shared, self.node, (*self.indices, i), True))))]
         if isinstance(self.block, Choice):
-            options, chosen = [x.events(parent) for x in self.below()], self.chosen
+            options, chosen = [_joined(x.layout(numbers, depth), none) for x in self.below()], self.chosen
             picked = F.when(chosen == 0, options[0])
             for i, x in enumerate(options[1:], 1):
                 picked = picked.when(chosen == i, x)
-            return F.coalesce(picked, none)
+            return [F.coalesce(picked, none)]
         if isinstance(self.block, Maybe):
-            return F.when(self.included, joined(self, parent)).otherwise(none)
-        own = F.array(self.event(parent))
-        return F.concat(own, joined(self, self.place)) if self.node.children else own
+            return [F.when(self.included, joined(self)).otherwise(none)]
+        indices = [*self.indices, *[F.lit(0)] * (depth - len(self.indices))]
+        own = F.struct(F.lit(numbers[self.node.address]).alias("_b"), *[i.cast("bigint").alias(f"_i{k}") for k, i in enumerate(indices)])
+        return [[own], *[part for x in self.below() for part in x.layout(numbers, depth)]]
 
-    def event(self, parent: Column | None) -> Column:
-        block, unset = self.block, F.lit(None).cast("variant")
+    def event(self) -> dict[str, Column]:
+        """What this span's event says, in its iterations; unset fields are not in it."""
+        block, size = self.block, self.size()
 
         def keyed(kind: str, values: dict[str, Slot]) -> Column:
-            pairs = [x for k, f in values.items() for x in (F.lit(k), as_variant(self.own(f"{kind}.{k}", f)))]
-            return (F.create_map(*pairs) if pairs else F.expr("map()")).cast("map<string,variant>")
+            return F.create_map(*[x for k, f in values.items() for x in (F.lit(k), as_variant(self.own(f"{kind}.{k}", f)))]).cast("map<string,variant>")
+
+        above = next((n for n in reversed(self.node.chain()[:-1]) if isinstance(n.block, Span)), None)
+        out = {"place": self.place, "size": (F.lit(size) if isinstance(size, int) else size).cast("bigint")}
+        if above is not None:
+            out["parent"] = Context(self.shared, above, self.indices[: len(above.inner)]).place
+        out |= {f: as_variant(self.own(f, block.fields[f])) for f in FIELDS if f in block.fields}
+        if block.metadata is not None:
+            out["metadata"] = keyed("metadata", block.metadata) if block.metadata else _no_keys()
+        if block.metrics:
+            out["metrics"] = keyed("metrics", block.metrics)
+        if block.tags:
+            out["tags"] = F.array(*[F.lit(t) if isinstance(t, str) else template(self.own(f"tag:{i}", t)) for i, t in enumerate(block.tags)])
+        return out
+
 
-        fields = [(as_variant(self.own(f, block.fields[f])) if f in block.fields else unset).alias(f) for f in FIELDS]
-        tags = [F.lit(t) if isinstance(t, str) else template(self.own(f"tag:{i}", t)) for i, t in enumerate(block.tags)]
-        size = self.size()
-        return F.struct(
-            F.lit(block.name).alias("name"), F.lit(block.kind).alias("type"), self.place.alias("place"), (F.lit(None).cast("string") if parent is None else parent).alias("parent"),
-            (F.lit(size) if isinstance(size, int) else size).cast("bigint").alias("size"), *fields,
-            (F.lit(None).cast("map<string,variant>") if block.metadata is None else keyed("metadata", block.metadata)).alias("metadata"),
-            keyed("metrics", block.metrics).alias("metrics"), (F.array(*tags) if tags else F.lit(None).cast("array<string>")).alias("tags"),
-        )
+def _joined(parts: list[Column | list[Column]], none: Column) -> Column:
+    """One array of the parts; events that follow each other are one part of it."""
+    arrays: list[Column | list[Column]] = []
+    for part in parts:
+        if isinstance(part, list) and arrays and isinstance(arrays[-1], list):
+            arrays[-1] = arrays[-1] + part
+        else:
+            arrays.append(part)
+    columns = [F.array(*x) if isinstance(x, list) else x for x in arrays] or [none]
+    return columns[0] if len(columns) == 1 else F.concat(*columns)
+
+
+def _no_keys() -> Column:
+    return F.expr("cast(map() as map<string,variant>)")
 
 
 class Several:
@@ -481,26 +499,58 @@ class Slice:
         return F.transform(self.indices, lambda i: self.at(i).included)
 
 
-def _compiled(shapes: Sequence[Span], seed: int) -> tuple[list[tuple[str, Column]], Column, Column]:
-    """Columns to add to the roots in turn, the array of a trace's events, and their number."""
-    layers, events, sizes = [], [], []
-    for t, shape in enumerate(shapes):
+_UNSET = {f: "variant" for f in FIELDS} | {"place": "string", "parent": "string", "size": "bigint", "metadata": "map<string,variant>", "tags": "array<string>"}
+
+
+@dataclass
+class _Compiled:
+    """Columns to add to the roots in turn, the layout of a trace and its size, and what each block's events say."""
+
+    layers: list[tuple[str, Column]]
+    layout: Column
+    size: Column
+    spans: list[Span]
+    events: list[dict[str, Column]]
+
+
+def _compiled(shapes: Span | Sequence[Span], seed: int) -> _Compiled:
+    shapes = [shapes] if isinstance(shapes, Span) else list(shapes)
+    nodes: list[_Node] = []
+
+    def below(node: _Node) -> Iterator[_Node]:
+        yield node
+        for child in node.children:
+            yield from below(child)
+
+    for shape in shapes:
         check_shape(shape)
-        node = _Node(shape)
-        first = _Shared(seed, f"slot_{t}_")
-        Context(first, node).events(None)  # finds out what is read elsewhere
-        shared = _Shared(seed, f"slot_{t}_", first.read)
-        events.append(Context(shared, node).events(None))
-        size = Context(shared, node).size()
-        sizes.append((F.lit(size) if isinstance(size, int) else size).cast("bigint"))
-        layers += shared.layers
+        nodes.append(_Node(shape))
+    depth = max(len(n.inner) for node in nodes for n in below(node))
+    columns = tuple(F.col(f"_i{k}") for k in range(depth))
+    out, layouts, sizes = _Compiled([], F.lit(0), F.lit(0), [], []), [], []
+    for t, node in enumerate(nodes):
+        spans = [n for n in below(node) if isinstance(n.block, Span)]
+        numbers = {n.address: len(out.spans) + i for i, n in enumerate(spans)}
+
+        def made(shared: _Shared) -> tuple[Column, int | Column, list[dict[str, Column]]]:
+            top = Context(shared, node)
+            return _joined(top.layout(numbers, depth), F.lit(None)), top.size(), [Context(shared, n, columns[: len(n.outer)]).event() for n in spans]
+
+        first = _Shared(seed, f"_slot_{t}_")
+        made(first)  # finds out what is read elsewhere
+        shared = _Shared(seed, f"_slot_{t}_", first.read)
+        layout, size, events = made(shared)
+        layouts.append(layout), sizes.append((F.lit(size) if isinstance(size, int) else size).cast("bigint"))
+        out.layers += shared.layers
+        out.spans += [n.block for n in spans]
+        out.events += events
     turn = F.pmod("trace_index", F.lit(len(shapes)))
-    event, size = events[0], sizes[0]
+    out.layout, out.size = layouts[0], sizes[0]
     if len(shapes) > 1:  # traces take the shapes in turn
-        event, size = F.when(turn == 0, events[0]), F.when(turn == 0, sizes[0])
+        out.layout, out.size = F.when(turn == 0, layouts[0]), F.when(turn == 0, sizes[0])
         for t in range(1, len(shapes)):
-            event, size = event.when(turn == t, events[t]), size.when(turn == t, sizes[t])
-    return layers, event, size
+            out.layout, out.size = out.layout.when(turn == t, layouts[t]), out.size.when(turn == t, sizes[t])
+    return out
 
 
 def _with_slots(roots: DataFrame, layers: list[tuple[str, Column]]) -> DataFrame:
@@ -509,15 +559,30 @@ def _with_slots(roots: DataFrame, layers: list[tuple[str, Column]]) -> DataFrame
     return roots
 
 
-def _exploded(traces: DataFrame, events: Column, keep: list[str]) -> DataFrame:
-    rows = traces.select("trace_index", *keep, F.posexplode(events).alias("ordinal", "e"))
-    return rows.select("trace_index", *keep, "ordinal", "e.*").withColumn("last", (F.col("ordinal") + F.col("size") - 1).cast("int")).drop("size")
+def _exploded(traces: DataFrame, shape: _Compiled, keep: list[str]) -> DataFrame:
+    """The events of all traces, with the ``keep`` columns of their roots."""
+    rows = traces.select("*", F.posexplode(shape.layout).alias("ordinal", "_e")).select("*", "_e.*")
+
+    def of_block(name: str) -> Column:
+        picked = None
+        for b, event in enumerate(shape.events):
+            if name in event:
+                here = F.col("_b") == b
+                picked = F.when(here, event[name]) if picked is None else picked.when(here, event[name])
+        if name == "metrics":
+            return _no_keys() if picked is None else picked.otherwise(_no_keys())
+        return F.lit(None).cast(_UNSET[name]) if picked is None else picked
+
+    names, kinds = (F.get(F.array(*[F.lit(getattr(x, f)) for x in shape.spans]), F.col("_b")) for f in ("name", "kind"))
+    columns = {f: of_block(f) for f in ("place", "parent", "size", *FIELDS, "metadata", "metrics", "tags")}
+    events = rows.select("trace_index", *keep, "ordinal", names.alias("name"), kinds.alias("type"), *[x.alias(f) for f, x in columns.items()])
+    return events.withColumn("last", (F.col("ordinal") + F.col("size") - 1).cast("int")).drop("size")
 
 
 def shape_events(roots: DataFrame, shapes: Span | Sequence[Span], seed: int) -> DataFrame:
     """Events of all traces with their pre-order ordinals and last descendants: one narrow pass, fit for streams."""
-    layers, events, _ = _compiled([shapes] if isinstance(shapes, Span) else shapes, seed)
-    return _exploded(_with_slots(roots, layers), events, [])
+    shape = _compiled(shapes, seed)
+    return _exploded(_with_slots(roots, shape.layers), shape, [])
 
 
 def generate(roots: DataFrame, shapes: Span | Sequence[Span], seed: int, now_micros: int, over_micros: int, spread=timeline.linear, salt: str = "run") -> DataFrame:
@@ -528,11 +593,11 @@ def generate(roots: DataFrame, shapes: Span | Sequence[Span], seed: int, now_mic
     traces take one each in turn. Nothing is shuffled: a first pass over the
     counts and picks alone finds the longest trace, a second writes the events.
     """
-    layers, events, size = _compiled([shapes] if isinstance(shapes, Span) else shapes, seed)
-    traces = _with_slots(roots, layers)
-    whole = timeline.checked_totals(traces.select("trace_index", size.alias("events")))
+    shape = _compiled(shapes, seed)
+    traces = _with_slots(roots, shape.layers)
+    whole = timeline.checked_totals(traces.select("trace_index", shape.size.alias("events")))
     placed = timeline.anchored(traces, whole, F.col("trace_index"), now_micros, over_micros, spread)
     rooted = placed.withColumn("root_span_id", uuid(salt, F.col("trace_index"), F.lit("")))
-    timed = timeline.slots(_exploded(rooted, events, ["anchor", "root_span_id"])).withColumn("created", timeline.created(F.col("start_micros")))
-    stamps = F.create_map(F.lit("start"), as_variant(F.col("start_micros") / 1e6), F.lit("end"), as_variant(F.col("end_micros") / 1e6))
+    timed = timeline.slots(_exploded(rooted, shape, ["anchor", "root_span_id"])).withColumn("created", timeline.created(F.col("start_micros")))
+    stamps = F.create_map(F.lit("start"), (F.col("start_micros") / 1e6).cast("variant"), F.lit("end"), (F.col("end_micros") / 1e6).cast("variant"))
     return timeline.linked(timed.withColumn("metrics", F.map_concat("metrics", stamps)), salt)
