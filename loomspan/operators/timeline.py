@@ -78,5 +78,6 @@ def linked(events: DataFrame, salt: str) -> DataFrame:
 
     ``place`` and ``parent`` are the addresses of the event's span and of the span above it.
     """
-    parents = F.when(F.col("parent").isNotNull(), F.array(uuid(salt, F.col("trace_index"), F.col("parent")))).otherwise(F.expr("cast(array() as array<string>)"))
+    # a lambda also keeps the wide projection out of one generated method, which would be too long for the JVM to compile
+    parents = F.transform(F.array_compact(F.array("parent")), lambda x: uuid(salt, F.col("trace_index"), x))
     return events.withColumns({"id": uuid(f"{salt}/event", F.col("trace_index"), F.col("place")), "span_id": uuid(salt, F.col("trace_index"), F.col("place")), "span_parents": parents})

@@ -425,12 +425,12 @@ class Context:
         own = F.struct(F.lit(numbers[self.node.address]).alias("_b"), *[i.cast("bigint").alias(f"_i{k}") for k, i in enumerate(indices)])
         return [[own], *[part for x in self.below() for part in x.layout(numbers, depth)]]
 
-    def event(self) -> dict[str, Column]:
-        """What this span's event says, in its iterations; unset fields are not in it."""
+    def event(self) -> dict[str, Column | list[Column]]:
+        """What this span's event says, in its iterations; unset fields are not in it, metrics are keys and values."""
         block, size = self.block, self.size()
 
-        def keyed(kind: str, values: dict[str, Slot]) -> Column:
-            return F.create_map(*[x for k, f in values.items() for x in (F.lit(k), as_variant(self.own(f"{kind}.{k}", f)))]).cast("map<string,variant>")
+        def keyed(kind: str, values: dict[str, Slot]) -> list[Column]:
+            return [x for k, f in values.items() for x in (F.lit(k), as_variant(self.own(f"{kind}.{k}", f)))]
 
         above = next((n for n in reversed(self.node.chain()[:-1]) if isinstance(n.block, Span)), None)
         out = {"place": self.place, "size": (F.lit(size) if isinstance(size, int) else size).cast("bigint")}
@@ -438,7 +438,7 @@ class Context:
             out["parent"] = Context(self.shared, above, self.indices[: len(above.inner)]).place
         out |= {f: as_variant(self.own(f, block.fields[f])) for f in FIELDS if f in block.fields}
         if block.metadata is not None:
-            out["metadata"] = keyed("metadata", block.metadata) if block.metadata else _no_keys()
+            out["metadata"] = F.create_map(*keyed("metadata", block.metadata)).cast("map<string,variant>") if block.metadata else _no_keys()
         if block.metrics:
             out["metrics"] = keyed("metrics", block.metrics)
         if block.tags:
@@ -510,7 +510,7 @@ class _Compiled:
     layout: Column
     size: Column
     spans: list[Span]
-    events: list[dict[str, Column]]
+    events: list[dict[str, Column | list[Column]]]
 
 
 def _compiled(shapes: Span | Sequence[Span], seed: int) -> _Compiled:
@@ -532,7 +532,7 @@ def _compiled(shapes: Span | Sequence[Span], seed: int) -> _Compiled:
         spans = [n for n in below(node) if isinstance(n.block, Span)]
         numbers = {n.address: len(out.spans) + i for i, n in enumerate(spans)}
 
-        def made(shared: _Shared) -> tuple[Column, int | Column, list[dict[str, Column]]]:
+        def made(shared: _Shared) -> tuple[Column, int | Column, list[dict]]:
             top = Context(shared, node)
             return _joined(top.layout(numbers, depth), F.lit(None)), top.size(), [Context(shared, n, columns[: len(n.outer)]).event() for n in spans]
 
@@ -559,24 +559,28 @@ def _with_slots(roots: DataFrame, layers: list[tuple[str, Column]]) -> DataFrame
     return roots
 
 
-def _exploded(traces: DataFrame, shape: _Compiled, keep: list[str]) -> DataFrame:
-    """The events of all traces, with the ``keep`` columns of their roots."""
+def _exploded(traces: DataFrame, shape: _Compiled, keep: list[str], stamps: list[Column] = ()) -> DataFrame:
+    """The events of all traces, with the ``keep`` columns of their roots; ``stamps`` are keys and values that every event's metrics get."""
     rows = traces.select("*", F.posexplode(shape.layout).alias("ordinal", "_e")).select("*", "_e.*")
 
     def of_block(name: str) -> Column:
         picked = None
         for b, event in enumerate(shape.events):
             if name in event:
-                here = F.col("_b") == b
-                picked = F.when(here, event[name]) if picked is None else picked.when(here, event[name])
+                here, value = F.col("_b") == b, event[name]
+                if name == "metrics":
+                    value = F.create_map(*value, *stamps).cast("map<string,variant>")
+                picked = F.when(here, value) if picked is None else picked.when(here, value)
         if name == "metrics":
-            return _no_keys() if picked is None else picked.otherwise(_no_keys())
+            rest = F.create_map(*stamps).cast("map<string,variant>") if stamps else _no_keys()
+            return rest if picked is None else picked.otherwise(rest)
         return F.lit(None).cast(_UNSET[name]) if picked is None else picked
 
     names, kinds = (F.get(F.array(*[F.lit(getattr(x, f)) for x in shape.spans]), F.col("_b")) for f in ("name", "kind"))
-    columns = {f: of_block(f) for f in ("place", "parent", "size", *FIELDS, "metadata", "metrics", "tags")}
-    events = rows.select("trace_index", *keep, "ordinal", names.alias("name"), kinds.alias("type"), *[x.alias(f) for f, x in columns.items()])
-    return events.withColumn("last", (F.col("ordinal") + F.col("size") - 1).cast("int")).drop("size")
+    rows = rows.withColumn("_size", of_block("size"))
+    columns = {f: of_block(f) for f in ("place", "parent", *FIELDS, "metadata", "metrics", "tags")}
+    last = (F.col("ordinal") + F.col("_size") - 1).cast("int").alias("last")
+    return rows.select("trace_index", *keep, "ordinal", names.alias("name"), kinds.alias("type"), *[x.alias(f) for f, x in columns.items()], last)
 
 
 def shape_events(roots: DataFrame, shapes: Span | Sequence[Span], seed: int) -> DataFrame:
@@ -598,6 +602,7 @@ def generate(roots: DataFrame, shapes: Span | Sequence[Span], seed: int, now_mic
     whole = timeline.checked_totals(traces.select("trace_index", shape.size.alias("events")))
     placed = timeline.anchored(traces, whole, F.col("trace_index"), now_micros, over_micros, spread)
     rooted = placed.withColumn("root_span_id", uuid(salt, F.col("trace_index"), F.lit("")))
-    timed = timeline.slots(_exploded(rooted, shape, ["anchor", "root_span_id"])).withColumn("created", timeline.created(F.col("start_micros")))
-    stamps = F.create_map(F.lit("start"), (F.col("start_micros") / 1e6).cast("variant"), F.lit("end"), (F.col("end_micros") / 1e6).cast("variant"))
-    return timeline.linked(timed.withColumn("metrics", F.map_concat("metrics", stamps)), salt)
+    start, end = (F.col("anchor") + x.cast("bigint") * timeline.SLOT_MICROS for x in (F.col("ordinal"), F.col("ordinal") + F.col("_size")))
+    stamps = [F.lit("start"), (start / 1e6).cast("variant"), F.lit("end"), (end / 1e6).cast("variant")]
+    timed = timeline.slots(_exploded(rooted, shape, ["anchor", "root_span_id"], stamps)).withColumn("created", timeline.created(F.col("start_micros")))
+    return timeline.linked(timed, salt)
