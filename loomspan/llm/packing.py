@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import byte_letters, in_small_batches, staged, texts_of
@@ -79,25 +80,27 @@ def tokenized_pieces(
 ) -> DataFrame:
     """Cut every document's ids, with ``end_id`` appended, at multiples of ``sequence``.
 
-    Returns (id, start, length, ids_crc32, doc_tokens) per piece, and the ids as
-    little-endian 32-bit binary in ``ids`` if ``keep_ids``. Null and empty texts
+    Returns (row, id, start, length, ids_crc32, doc_tokens) per piece, and the ids
+    as little-endian 32-bit binary in ``ids`` if ``keep_ids``. ``row`` numbers
+    documents by partition and place, the same in a rerun. Null and empty texts
     give one piece that holds ``end_id`` alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _tokenizer(tokenizer_path), end_id.to_bytes(4, "little")
+        row = (TaskContext.get().partitionId() << 40) - 1
         for batch in in_small_batches(batches, 256):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids = encode(text) + end
+                ids, row = encode(text) + end, row + 1
                 total = len(ids) // 4
                 for start in range(0, total, sequence):
                     piece = ids[4 * start : 4 * (start + sequence)]
-                    out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, piece)[: 6 if keep_ids else 5])
+                    out.append((row, doc, start, len(piece) // 4, zlib.crc32(piece), total, piece)[: 7 if keep_ids else 6])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 if keep_ids else 5]
-    kinds = [pa.int64()] * 5 + [pa.binary()]
+    names = ["row", "id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 7 if keep_ids else 6]
+    kinds = [pa.int64()] * 6 + [pa.binary()]
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, schema)
@@ -144,31 +147,29 @@ def pack_pieces(pieces: DataFrame, groups: int, sequence: int = SEQUENCE, seed:
 
     Groups are drawn by hash of id, start and content, so a rerun agrees.
     ``sequence_id`` is unique over all groups and not negative; offsets are
-    gapless from 0. Repeated rows are packed as often as they occur, and
-    ``copy`` numbers them from 0.
+    gapless from 0. Repeated rows are packed as often as they occur.
     """
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["length", "id", "start", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable")
         placed = first_fit_decreasing(group["length"].tolist(), sequence)
         group["sequence_id"] = [key[0] * (1 << 32) + b for b, _ in placed]
         group["offset"] = [o for _, o in placed]
-        group["copy"] = group.groupby(["id", "start", "ids_crc32"], dropna=False).cumcount()
         return group
 
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32"), F.lit(groups)))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    packed = dealt.groupBy("pack_group").applyInPandas(run, ", ".join([*fields, "pack_group long", "sequence_id long", "offset long", "copy long"]))
+    packed = dealt.groupBy("pack_group").applyInPandas(run, ", ".join([*fields, "pack_group long", "sequence_id long", "offset long"]))
     return packed.drop("pack_group")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, keep_ids: bool = False, number_copies: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """Pack whole documents into sequences; one row per piece.
 
     A document has at most one piece that is not full, so a group of pieces is
     a group of documents, about GROUP_DOCS of them however long they are. Full
     pieces have negative sequence ids, numbered by partition and place in a
-    staged table. An empty table gives an empty result; a null text packs as an
+    staged table; ``row`` tells the pieces of a repeated row apart. An empty table gives an empty result; a null text packs as an
     empty one; repeated rows are packed as often as they occur.
     """
     import public_tokenizers
@@ -176,12 +177,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
     pieces = staged(tokenized_pieces(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), id_col, text_col, sequence, keep_ids=keep_ids))
     full, parts = pieces.where(F.col("length") == sequence), pieces.where(F.col("length") < sequence)
     whole = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    if number_copies:
-        whole = whole.withColumn("copy", (F.row_number().over(Window.partitionBy("id", "start", "ids_crc32").orderBy(F.desc("sequence_id"))) - 1).cast("long"))
-    else:
-        whole = whole.withColumn("copy", F.lit(None).cast("long"))
     return whole.unionByName(pack_pieces(parts, max(1, -(-parts.count() // GROUP_DOCS)), sequence))
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copy").withColumnRenamed("id", "doc_id")
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
