@@ -28,6 +28,8 @@ from loomspan.llm.common import held_out, in_small_batches, staged, table, texts
 
 #: Most labelled rows that are read to learn, and most learned word beginnings.
 SAMPLE_ROWS, LEARNED = 16_384, 4096
+#: Clauses of one pattern up to which each adds to the score.
+MOST_CLAUSES = 8
 #: Words that one worker keeps the symbols of.
 MEMO_WORDS = 131_072
 
@@ -248,7 +250,7 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -
     prior = prior_weights()
     if len(set(labels.tolist())) < 2:
         return prior
-    x = np.hstack([np.log1p(features), np.ones((len(features), 1))])
+    x = np.hstack([np.minimum(features, MOST_CLAUSES), np.ones((len(features), 1))])
     w = prior.copy()
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
@@ -273,7 +275,7 @@ def _matched(docs: DataFrame, grammar: ClauseGrammar, weights: np.ndarray | None
             counts = [own.counts(t) for t in texts_of(batch.column(0))]
             columns = [*batch.columns[1:], pa.array(counts, pa.list_(pa.int64()))]
             if w is not None:
-                x = np.log1p(np.array(counts, float).reshape(-1, len(PATTERNS))) @ w[:-1] + w[-1]
+                x = np.minimum(np.array(counts, float).reshape(-1, len(PATTERNS)), MOST_CLAUSES) @ w[:-1] + w[-1]
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(x, -500, 500)))))
             yield pa.RecordBatch.from_arrays(columns, names=names)
         own.memo.clear()

@@ -503,6 +503,17 @@ def test_chat_round_trip(spark):
     assert chat_format.digest_conversations(chat_format.format_turns(small(spark, "conversations").limit(0))).count() == 0
 
 
+def test_chat_formatting_on_odd_rows(spark):
+    rows = [(None, 1, "user", "no id"), (None, 1, "user", "no id"), (1, None, None, None), (1, None, "assistant", ""), (2, 0, "assistant", "x" * 3_000_000), (3, 1, "b", "tie"), (3, 1, "a", "tie")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("formatted", "loss_start", "n_turns", "id")})
+    got = {r.conv_id: r for r in chat_format.digest_conversations(chat_format.format_turns(turns)).collect()}
+    digest = lambda *pairs: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in pairs).encode()).hexdigest()
+    assert got[None].n_turns == 2 and got[None].turns_sha256 == digest(*[("user", "no id")] * 2)
+    assert got[1].turns_sha256 == digest(("", ""), ("assistant", "")) and got[1].loss_chars == 0
+    assert got[2].loss_chars == 3_000_000 and got[3].turns_sha256 == digest(("a", "tie"), ("b", "tie"))
+    assert chat_format.format_turns(turns.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ SimHash
 
 

@@ -71,7 +71,9 @@ def test_all_is_packed(stages):
     starts = pieces[pieces.start == 0].groupby("doc_id").size()
     assert (starts == stages[4].groupby("doc_id").size()).all()
     assert (pieces.ids.map(len) == 4 * pieces.length).all() and (pieces.ids.map(zlib.crc32) == pieces.ids_crc32).all()
-    assert not pieces.duplicated(["doc_id", "start", "ids_crc32", "copy"]).any() and pieces["copy"].max() == 1
+    assert not pieces.duplicated(["row", "start"]).any() and pieces["row"].nunique() == len(stages[4])
+    by_row = pieces.groupby("row").agg(n=("length", "sum"), told=("doc_tokens", "first"), ids=("doc_id", "nunique"))
+    assert (by_row.n == by_row.told).all() and (by_row.ids == 1).all()
 
 
 ODD_ROWS = [
@@ -92,7 +94,7 @@ def test_stages_on_odd_rows(spark):
     mixed = texts(corpus_pipeline.mix_sources(spark, docs, SMALL))
     assert {k for k in mixed if k[0] in (1, 4, None)} <= set(whole) and sum(n for k, n in mixed.items() if k[0] == 1) >= 2
     packed = corpus_pipeline.pack(spark, docs, SMALL).toPandas()
-    assert len(packed[(packed.doc_id == 4) & (packed.start == 0)]) == 2 and sorted(packed[packed.doc_id == 4]["copy"]) == [0, 1]
+    assert len(packed[(packed.doc_id == 4) & (packed.start == 0)]) == 2 and packed[packed.doc_id == 4]["row"].nunique() == 2
     assert packed.doc_id.isna().sum() == 2
 
 
