@@ -59,10 +59,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids with their places in sequences.
 
-    ``ids`` holds the ids, little-endian and 32 bits each; ``copy`` tells the
-    pieces of a document that the mix takes more than once apart.
+    ``ids`` holds the ids, little-endian and 32 bits each; pieces of one ``row``
+    come from one row of the mix, which may take a document more than once.
     """
-    return packing.pack_documents(docs, keep_ids=True, number_copies=True).withColumnRenamed("id", "doc_id")
+    return packing.pack_documents(docs, keep_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
