@@ -155,11 +155,11 @@ def _text(parts: list[Column | str]) -> Column:
 class _Shared:
     """Values of one shape that become columns of the roots, each after those it reads."""
 
-    def __init__(self, seed: int, prefix: str, wanted: set | None = None):
-        self.seed, self.prefix, self.wanted = seed, prefix, wanted
+    def __init__(self, seed: int, prefix: str):
+        self.seed, self.prefix = seed, prefix
         self.names: dict[tuple, str] = {}
         self.layers: list[tuple[str, Column]] = []
-        self.read: set[tuple] = set()
+        self.inlined: list[tuple] = []
         self.busy: set[tuple] = set()
 
     def column(self, key: tuple, build: Slot, context: Context) -> str:
@@ -223,20 +223,17 @@ class Context:
 
     def value(self, slot: str, build: Slot) -> Column:
         """A value of this block, computed once for all that read it."""
-        key = (self.node.address, self.iterating, slot)
-        self.shared.read.add(key)
-        out = F.col(self.shared.column(key, build, self))
+        out = F.col(self.shared.column((self.node.address, self.iterating, slot), build, self))
         for i in self.indices:
             out = F.get(out, i.cast("int"))
         return out
 
     def own(self, slot: str, build: Slot) -> Column:
-        """A value of this block for its own event: a column only if others read it."""
-        if self.shared.wanted is None or (self.node.address, self.iterating, slot) in self.shared.wanted:
-            kept = self.shared.read.copy()
-            out = self.value(slot, build)
-            self.shared.read = kept | (self.shared.read - {(self.node.address, self.iterating, slot)})
-            return out
+        """A value of this block for its own event: that of the column, if others have read it so far."""
+        key = (self.node.address, self.iterating, slot)
+        if key in self.shared.names:
+            return self.value(slot, build)
+        self.shared.inlined.append(key)
         return build(self)
 
     def guarded(self, build: Slot) -> Column:
@@ -532,14 +529,17 @@ def _compiled(shapes: Span | Sequence[Span], seed: int) -> _Compiled:
         spans = [n for n in below(node) if isinstance(n.block, Span)]
         numbers = {n.address: len(out.spans) + i for i, n in enumerate(spans)}
 
-        def made(shared: _Shared) -> tuple[Column, int | Column, list[dict]]:
-            top = Context(shared, node)
-            return _joined(top.layout(numbers, depth), F.lit(None)), top.size(), [Context(shared, n, columns[: len(n.outer)]).event() for n in spans]
+        shared = _Shared(seed, f"_slot_{t}_")
+        top = Context(shared, node)
+        layout, size = _joined(top.layout(numbers, depth), F.lit(None)), top.size()
+
+        def event(n: _Node) -> tuple[dict, list[tuple]]:
+            shared.inlined = []
+            return Context(shared, n, columns[: len(n.outer)]).event(), shared.inlined
 
-        first = _Shared(seed, f"_slot_{t}_")
-        made(first)  # finds out what is read elsewhere
-        shared = _Shared(seed, f"_slot_{t}_", first.read)
-        layout, size, events = made(shared)
+        found = [event(n) for n in spans]
+        # what a later block turned out to read is a column by now
+        events = [event(n)[0] if any(k in shared.names for k in inlined) else made for n, (made, inlined) in zip(spans, found)]
         layouts.append(layout), sizes.append((F.lit(size) if isinstance(size, int) else size).cast("bigint"))
         out.layers += shared.layers
         out.spans += [n.block for n in spans]
