@@ -122,7 +122,10 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAM
     picks = staged(rows.select("lang", "pick").distinct())
     # a common language is thinned by hash before its picks meet for their ranks; two times what is wanted leaves too few in no real case
     share = F.ceil(float((2 * sample_docs + 100) << 20) / F.col("n"))
-    thin = picks.join(picks.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.pmod("pick", F.lit(1 << 20)) < share)
+    sizes = staged(picks.groupBy("lang").agg(F.count("*").alias("n")))
+    if sizes.count() <= BROADCAST_PICKS:  # so that thinning comes before any shuffle by language
+        sizes = F.broadcast(sizes)
+    thin = picks.join(sizes, "lang").where(F.pmod("pick", F.lit(1 << 20)) < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
     picks = staged(thin.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "pick"))
     if picks.count() <= BROADCAST_PICKS:
