@@ -109,6 +109,16 @@ def shard_quotas(draws: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     return in_order.groupBy("place").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["end"]).alias("ends"))
 
 
+def in_blocks(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """Rows (source, id, size, row) with what is known of their source and the ``block`` of it that a hash deals them to.
+
+    ``row`` is the row's place, so rows that share source, id and size part too.
+    """
+    known = targets.withColumnRenamed("source", "its_source")
+    placed = sized.join(known, sized.source.eqNullSafe(known.its_source))
+    return placed.withColumn("hash", F.xxhash64(F.lit(seed), "id", "size", "row")).withColumn("block", F.pmod("hash", "blocks"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int | None = None, seed: int = 0) -> DataFrame:
     """(id, source, size, source_size, target, draws) per input row.
 
@@ -121,7 +131,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table gives an empty result.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size")))
+    row = F.monotonically_increasing_id().alias("row")  # parts rows that share an id and a size
+    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), row))
     if levels is None:
         levels = min(MOST_LEVELS, max(1, math.ceil(math.log2(max(1, sized.count()) / SHARD_DOCS))))
     targets = source_targets(sized)
@@ -129,8 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quota = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0)
     targets = staged(targets.withColumns({"blocks": blocks, "quota": quota, "passes": passes}).withColumn("part", F.col("quota") - F.col("passes") * F.col("source_size")))
-    known = targets.withColumnRenamed("source", "its_source")
-    placed = sized.join(known, sized.source.eqNullSafe(known.its_source)).withColumn("hash", F.xxhash64(F.lit(seed), "id", "size")).withColumn("block", F.pmod("hash", "blocks"))
+    placed = in_blocks(sized, targets, seed)
 
     whole = placed.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("part").alias("part"), F.first("blocks").alias("blocks"))
     turns = whole.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
@@ -148,7 +158,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = staged(plan.withColumn("ends_here", F.exists("plan", lambda x: x["left"].isNotNull())))
 
     rows = placed.join(plan, ["place", "block"], "left")
-    inside = Window.partitionBy("place", "block").orderBy("hash", "id", "size")
+    inside = Window.partitionBy("place", "block").orderBy("hash", "row")
     ahead = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     ending = rows.where("ends_here").withColumn("ahead", F.coalesce(ahead, F.lit(0)))
     others = rows.where("ends_here IS NULL OR NOT ends_here").withColumn("ahead", F.lit(0).cast("long"))
@@ -156,7 +166,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def place(x: Column) -> Column:
         part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), x["left"] - F.col("ahead")))
         count = F.when(x["left"].isNull(), F.col("size")).otherwise(part)
-        return F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed), x["pass"], "id").alias("order"), count.alias("words"))
+        return F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed), x["pass"], "id", "row").alias("order"), count.alias("words"))
 
     draws = F.coalesce(F.transform("plan", place), F.expr("cast(array() as array<struct<pass:bigint,shard:int,order:bigint,words:bigint>>)"))
     return ending.unionByName(others).select("id", "source", "size", "source_size", "target", draws.alias("draws"))

@@ -145,7 +145,8 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
 def pack_pieces(pieces: DataFrame, groups: int, sequence: int = SEQUENCE, seed: int = 0) -> DataFrame:
     """Add (sequence_id, offset) to pieces shorter than ``sequence`` tokens.
 
-    Groups are drawn by hash of id, start and content, so a rerun agrees.
+    Groups are drawn by hash of id, start, content and ``row``, so that equal
+    rows part too; a rerun on the same table agrees.
     ``sequence_id`` is unique over all groups and not negative; offsets are
     gapless from 0. Repeated rows are packed as often as they occur.
     """
@@ -157,7 +158,7 @@ def pack_pieces(pieces: DataFrame, groups: int, sequence: int = SEQUENCE, seed:
         group["offset"] = [o for _, o in placed]
         return group
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32", "row"), F.lit(groups)))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
     packed = dealt.groupBy("pack_group").applyInPandas(run, ", ".join([*fields, "pack_group long", "sequence_id long", "offset long"]))
     return packed.drop("pack_group")

@@ -226,6 +226,13 @@ def test_packing_keeps_every_id_once(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_packing_parts_equal_rows(spark):
+    one = F.when(F.col("i") >= 30_000, F.col("i"))
+    docs = spark.range(40_000).withColumnRenamed("id", "i").select(one.alias("doc_id"), F.when(one.isNotNull(), F.concat(F.lit("word "), one)).alias("text"))
+    got = packing.pack_documents(docs).groupBy(F.shiftright("sequence_id", 32).alias("g")).count().toPandas()
+    assert got["count"].sum() == 40_000 and len(got) == 10 and got["count"].max() < 2 * packing.GROUP_DOCS
+
+
 # ------------------------------------------------------------------ substring dedup
 
 
@@ -355,6 +362,17 @@ def test_mixing_hits_its_targets_to_the_word(spark):
     assert got.equals(got) and sorted(map(str, mixing.op4_mixing(spark, SMALL).collect())) == sorted(map(str, mixing.op4_mixing(spark, SMALL).collect()))
 
 
+def test_mixing_parts_equal_rows(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") >= 15_000, F.col("id")).alias("id"), F.lit("a").alias("source"), F.lit(7).cast("long").alias("size"), F.col("id").alias("row"))
+    targets = mixing.source_targets(rows).withColumn("blocks", F.lit(79).cast("long"))
+    held = [r["count"] for r in mixing.in_blocks(rows, targets).groupBy("block").count().collect()]
+    assert len(held) == 79 and max(held) < 2 * 20_000 / 79
+    docs = rows.select(F.col("id").alias("doc_id"), F.lit("a b c d e f g").alias("text"), "source")
+    got = mixing.mix(docs).toPandas()
+    taken = got.draws.map(lambda draws: sum(d["words"] for d in draws))
+    assert len(got) == 20_000 and taken.sum() == 210_000 and taken.max() <= 14
+
+
 def test_mixed_rows_and_odd_rows(spark):
     docs = small(spark)
     mixed = mixing.mix(docs)
