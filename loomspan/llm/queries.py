@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import chat_format, knn, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_count, toxicity
+from loomspan.llm import chat_format, compression_quality, knn, language_id, mixing, packing, quality_rules, ranked_search, simhash, substring_dedup, token_count, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_token_counts": token_count.op9_token_counts,
         "op10_kdtree_topk": knn.op10_kdtree_topk,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_compression_quality": compression_quality.op12_compression_quality,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring_dedup.OP3_SQL, "op7_chat_format": chat_format.OP7_SQL, "op10_kdtree_topk": knn.OP10_SQL}
+    return {
+        "op3_substring_dedup": substring_dedup.OP3_SQL,
+        "op7_chat_format": chat_format.OP7_SQL,
+        "op10_kdtree_topk": knn.OP10_SQL,
+        "op13_ranked_search": ranked_search.OP13_SQL,
+    }
