@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions.errors import fail
+
 
 def clamp(x: Column, low: Column, high: Column) -> Column:
-    return F.when(low > high, F.raise_error(F.lit("clamp needs low <= high")).cast("double")).otherwise(F.greatest(low, F.least(high, x)))
+    return F.when(low > high, fail("ClampBoundsOutOfOrder", "clamp needs low <= high", "double")).otherwise(F.greatest(low, F.least(high, x)))
 
 
 def clamp_int(x: Column, low: int, high: int) -> Column:

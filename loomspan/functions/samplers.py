@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions.errors import fail
+
 #: Means up to which a Poisson draw is inverted step by step in the JVM.
 POISSON_STEPS = 500
 #: Most uniforms that a beta draw of whole parameters takes.
@@ -19,7 +22,7 @@ BETA_DRAWS = 64
 def finite(x: Column) -> Column:
     """``x``, or an error where it is not finite."""
     bad = F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.raise_error(F.lit("a sample is not finite")).cast("double")).otherwise(x)
+    return F.when(bad, fail("NonFiniteResult", "a sample is not finite", "double")).otherwise(x)
 
 
 def choice(options: list[Column], u: Column) -> Column:
@@ -33,11 +36,29 @@ def choice(options: list[Column], u: Column) -> Column:
     return picked
 
 
-def range_int(low: int, high: int, u: Column) -> Column:
-    """Integer from low to high, both included."""
+def range_int(low: int, high: int, u: Column, v: Column | None = None) -> Column:
+    """Integer from low to high, both included and within 64 bits.
+
+    A draw has 52 bits; a range of more numbers takes a second one, ``v``, and
+    every number in it can come up.
+    """
     if low > high:
         raise ValueError("range needs low <= high")
-    return (F.lit(low) + F.floor(u * (high - low + 1))).cast("bigint")
+    if low < -(1 << 63) or high >= 1 << 63:
+        raise ValueError("range needs bounds of 64 bits")
+    span = high - low + 1
+    if span <= 1 << 52:
+        return (F.lit(low) + F.floor(u * span)).cast("bigint")
+    if v is None:
+        raise ValueError("a range of more than 2**52 numbers needs a second draw")
+    # low + floor((u * 2**52 + v) * span / 2**52), in whole numbers: no product has more than 36 digits
+    size, part = F.lit(Decimal(span)).cast("decimal(20,0)"), F.lit(Decimal(1 << 52)).cast("decimal(16,0)")
+    first, second = ((x * float(1 << 52)).cast("decimal(16,0)") for x in (u, v))
+
+    def quotient(x: Column) -> Column:
+        return ((x - x % part) / part).cast("decimal(37,0)")
+
+    return (quotient((first * size + quotient(second * size)).cast("decimal(38,0)")) + F.lit(Decimal(low)).cast("decimal(20,0)")).cast("bigint")
 
 
 def range_float(low: float, high: float, u: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions.errors import fail
+
 upper, lower = F.upper, F.lower
 
 
@@ -31,7 +33,7 @@ def split(s: Column, separator: str) -> Column:
 
 def join(parts: Column, separator: str) -> Column:
     """Elements with the separator between; a null element is an error."""
-    checked = F.transform(parts, lambda x: F.when(x.isNull(), F.raise_error(F.lit("join has a null element")).cast("string")).otherwise(x.cast("string")))
+    checked = F.transform(parts, lambda x: F.when(x.isNull(), fail("JoinElementNotScalar", "join has a null element", "string")).otherwise(x.cast("string")))
     return F.array_join(checked, separator)
 
 

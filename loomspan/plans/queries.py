@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions import ids, numbers, objects, samplers, strings
+from loomspan.functions import ids, numbers, objects, samplers, strings, values
 from loomspan.functions.draws import draw
-from loomspan.operators import blocks, payloads, timeline
+from loomspan.operators import payloads, timeline
 from loomspan.plans.shape import Choice, Maybe, Repeat, Span, generate, shape_events
 from loomspan.sources import inputs, sinks
 
@@ -42,7 +42,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _roots(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.traces(_table(spark, d, "orders"), "o_orderkey")
+    return _rooted(spark, d, "orders", "o_orderkey").select("trace_index")
 
 
 def _rooted(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
@@ -67,13 +67,29 @@ def _dr(*parts) -> Column:
     return draw(SEED, _key(), *parts)
 
 
-def _turns(spark: SparkSession, d: str) -> DataFrame:
-    count = samplers.range_int(0, 3, _dr("/turn", "count"))
-    return blocks.repeat(_roots(spark, d), "turn", 0, count)
+_TURNS = f"""turns AS (SELECT trace_index, n AS count_turn, unnest(range(n)) AS index_turn FROM
+  (SELECT o_orderkey AS trace_index, CAST(floor({_u('o_orderkey', "'/turn'", "'count'", "'0'")} * 4) AS BIGINT) AS n FROM orders))"""
 
 
-_TURNS = f"""turns AS (SELECT trace_index, n AS count_turn, unnest(range(n)) AS index_turn FROM
-  (SELECT o_orderkey AS trace_index, CAST(floor({_u('o_orderkey', "'/turn'", "'count'")} * 4) AS BIGINT) AS n FROM orders))"""
+def _turn(*children, **more) -> Repeat:
+    return Repeat("turn", lambda x: samplers.range_int(0, 3, x.draw("count")), list(children), **more)
+
+
+def _told(spark: SparkSession, d: str, *children, **fields) -> DataFrame:
+    """Events of a shape over the orders."""
+    return shape_events(_roots(spark, d), Span("task", "root", fields, children=list(children)), SEED)
+
+
+def _path() -> dict:
+    return {"input": lambda x: x.path}
+
+
+def _text(name: str) -> Column:
+    return F.col(name).cast("string")
+
+
+def _metric(name: str) -> Column:
+    return F.col("metrics")[name].cast("bigint")
 
 
 # ---------------------------------------------------------------- sources
@@ -81,21 +97,19 @@ _TURNS = f"""turns AS (SELECT trace_index, n AS count_turn, unnest(range(n)) AS
 
 @_add("src_trace_range", "SELECT o_orderkey AS trace_index, 0 AS depth FROM orders")
 def _(spark, d):
-    return _roots(spark, d).select("trace_index", F.size("ord_path").alias("depth"))
+    return _told(spark, d).select("trace_index", F.char_length("place").alias("depth"))
 
 
 @_add("src_template_cycle", "SELECT o_orderkey AS trace_index, CAST(o_orderkey % 3 AS INTEGER) AS template FROM orders")
 def _(spark, d):
-    roots = _roots(spark, d)
-    parts = [blocks.of_template(roots, t, 3).select("trace_index", F.lit(t).alias("template")) for t in range(3)]
-    return parts[0].union(parts[1]).union(parts[2])
+    shapes = [Span("task", str(t)) for t in range(3)]
+    return shape_events(_roots(spark, d), shapes, SEED).select("trace_index", c("name").cast("int").alias("template"))
 
 
 @_add("set_union_templates", "SELECT CAST(o_orderkey % 2 AS INTEGER) AS template, count(*) AS traces FROM orders GROUP BY 1")
 def _(spark, d):
-    roots = _roots(spark, d)
-    both = blocks.of_template(roots, 0, 2).withColumn("template", F.lit(0)).unionByName(blocks.of_template(roots, 1, 2).withColumn("template", F.lit(1)))
-    return both.groupBy("template").agg(F.count("*").alias("traces"))
+    shapes = [Span("task", str(t)) for t in range(2)]
+    return shape_events(_roots(spark, d), shapes, SEED).groupBy(c("name").cast("int").alias("template")).agg(F.count("*").alias("traces"))
 
 
 @_add("scan_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -161,42 +175,41 @@ def _(spark, d):
 
 @_add("blk_trace_root", "SELECT o_orderkey AS trace_index, '' AS path, 'task' AS type FROM orders")
 def _(spark, d):
-    return _roots(spark, d).select("trace_index", "path", F.lit("task").alias("type"))
+    return _told(spark, d, **_path()).select("trace_index", _text("input").alias("path"), "type")
 
 
 def _span_query(kind: str) -> None:
     @_add(f"blk_span_{kind}", f"SELECT o_orderkey AS trace_index, '/step/inner' AS path, '2.0' AS place, '{kind}' AS type FROM orders")
     def _(spark, d):
-        rows = blocks.span(blocks.span(_roots(spark, d), "step", 2), "inner", 0)
-        return rows.select("trace_index", "path", F.array_join(F.col("ord_path").cast("array<string>"), ".").alias("place"), F.lit(kind).alias("type"))
+        events = _told(spark, d, Span("llm", "a"), Span("llm", "b"), Span("task", "step", children=[Span(kind, "inner", _path())]))
+        return events.where("name = 'inner'").select("trace_index", _text("input").alias("path"), "place", "type")
 
 
 for _kind in ("task", "llm", "tool", "function"):
     _span_query(_kind)
 
 
-@_add("blk_repeat", f"WITH {_TURNS} SELECT trace_index, index_turn, count_turn, '/turn#' || index_turn AS path FROM turns")
+@_add("blk_repeat", f"WITH {_TURNS} SELECT trace_index, index_turn, count_turn, '/turn#' || index_turn || '/reply' AS path FROM turns")
 def _(spark, d):
-    return _turns(spark, d).select("trace_index", "index_turn", "count_turn", "path")
+    reply = Span("llm", "reply", _path(), {"i": lambda x: x.index(), "n": lambda x: x.count()})
+    return _told(spark, d, _turn(reply)).where("name = 'reply'").select("trace_index", _metric("i").alias("index_turn"), _metric("n").alias("count_turn"), _text("input").alias("path"))
 
 
-@_add("blk_choice", f"SELECT o_orderkey AS trace_index, CAST(floor({_u('o_orderkey', chr(39) + '/way' + chr(39), chr(39) + 'pick' + chr(39))} * 3) AS BIGINT) AS chosen, ['a', 'b', 'c'][CAST(floor({_u('o_orderkey', chr(39) + '/way' + chr(39), chr(39) + 'pick' + chr(39))} * 3) AS BIGINT) + 1] AS child FROM orders")
-def _(spark, d):
-    rows = blocks.choose(_roots(spark, d), "way", 0, 3, _dr("/way", "pick"))
-    parts = [rows.where(F.col("chosen_way") == i).select("trace_index", F.col("chosen_way").alias("chosen"), F.lit(x).alias("child")) for i, x in enumerate("abc")]
-    return parts[0].union(parts[1]).union(parts[2])
+_PICK = f"""CAST(floor({_u('o_orderkey', "'/way'", "'pick'", "'0'")} * 3) AS BIGINT)"""
 
 
-@_add("blk_maybe", f"""SELECT o_orderkey AS trace_index FROM orders WHERE {_u('o_orderkey', "'/aside'", "'chance'")} < 0.25""")
+@_add("blk_choice", f"SELECT o_orderkey AS trace_index, {_PICK} AS chosen, ['a', 'b', 'c'][{_PICK} + 1] AS child FROM orders")
 def _(spark, d):
-    return blocks.maybe(_roots(spark, d), "aside", 0, 0.25, _dr("/aside", "chance")).where("included_aside").select("trace_index")
+    events = _told(spark, d, Choice("way", [Span("tool", n, {"input": lambda x: x.trace.child("way").chosen}) for n in "abc"]))
+    return events.where("name <> 'root'").select("trace_index", c("input").cast("bigint").alias("chosen"), c("name").alias("child"))
 
 
-_TURNS0 = f"""turns AS (SELECT *, unnest(range(n)) AS i FROM (SELECT o_orderkey AS t, *, CAST(floor({_u('o_orderkey', "'/turn'", "'count'", "'0'")} * 4) AS BIGINT) AS n FROM orders))"""
+@_add("blk_maybe", f"""SELECT o_orderkey AS trace_index FROM orders WHERE {_u('o_orderkey', "'/aside'", "'chance'", "'0'")} < 0.25""")
+def _(spark, d):
+    return _told(spark, d, Maybe("aside", [Span("task", "note")], 0.25)).where("name = 'note'").select("trace_index")
 
 
-def _turn(*children, **more) -> Repeat:
-    return Repeat("turn", lambda x: samplers.range_int(0, 3, x.draw("count")), list(children), **more)
+_TURNS0 = f"""turns AS (SELECT *, unnest(range(n)) AS i FROM (SELECT o_orderkey AS t, *, CAST(floor({_u('o_orderkey', "'/turn'", "'count'", "'0'")} * 4) AS BIGINT) AS n FROM orders))"""
 
 
 _INPUT, _TOKENS = (lambda: F.col("input").cast("string")), (lambda: F.col("metrics")["tokens"].cast("bigint"))
@@ -215,10 +228,10 @@ _shaped(
 )
 
 
-@_add("blk_nested_redraw", f"""WITH {_TURNS} SELECT trace_index, index_turn, unnest(range(CAST(floor({_u('trace_index', "'/turn#' || index_turn || '/call'", "'count'")} * 3) AS BIGINT))) AS index_call FROM turns""")
+@_add("blk_nested_redraw", f"""WITH {_TURNS} SELECT trace_index, index_turn, unnest(range(CAST(floor({_u('trace_index', "'/turn#' || index_turn || '/call'", "'count'", "'0'")} * 3) AS BIGINT))) AS index_call FROM turns""")
 def _(spark, d):
-    count = samplers.range_int(0, 2, _dr(F.concat("path", F.lit("/call")), "count"))
-    return blocks.repeat(_turns(spark, d), "call", 0, count).select("trace_index", "index_turn", "index_call")
+    call = Repeat("call", lambda x: samplers.range_int(0, 2, x.draw("count")), [Span("tool", "use", {}, {"i": lambda x: x.index("turn"), "j": lambda x: x.index("call")})])
+    return _told(spark, d, _turn(call)).where("name = 'use'").select("trace_index", _metric("i").alias("index_turn"), _metric("j").alias("index_call"))
 
 
 @_add("blk_preorder", f"""WITH {_TURNS}, e AS (
@@ -228,14 +241,10 @@ def _(spark, d):
   UNION ALL SELECT o_orderkey, 'close', [1] FROM orders
 ) SELECT trace_index, name, CAST(row_number() OVER (PARTITION BY trace_index ORDER BY p) - 1 AS INTEGER) AS ordinal FROM e""")
 def _(spark, d):
-    return timeline.ordinals(_tree(spark, d)).select("trace_index", "name", "ordinal")
+    return shape_events(_roots(spark, d), _TREE, SEED).select("trace_index", "name", "ordinal")
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    roots, turns = _roots(spark, d), _turns(spark, d)
-    parts = [(roots, "root"), (turns, "turn"), (blocks.span(turns, "reply", 0), "reply"), (blocks.span(roots, "close", 1), "close")]
-    rows = [x.select("trace_index", "ord_path", F.lit(n).alias("name")) for x, n in parts]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+_TREE = Span("task", "root", children=[_turn(Span("task", "turn", children=[Span("llm", "reply")])), Span("llm", "close")])
 
 
 # ---------------------------------------------------------------- fields and expressions
@@ -329,6 +338,77 @@ _ref("ref_history_window", Span("task", "root", children=[_turn(Span("llm", "rep
      f"""coalesce((SELECT string_agg({_drawn("'/turn#' || h.i || '/reply'", trace='x.t')}, '>' ORDER BY h.i) FROM (SELECT unnest(range(3)) AS i) h WHERE h.i < x.i), '')""", "name = 'reader'")
 _ref("ref_named_index", Span("task", "root", children=[_turn(_reader(lambda x: strings.template(x.index("turn") + 1, " of ", x.count("turn"))))]), "(i + 1) || ' of ' || n", "name = 'reader'")
 
+# values that read themselves through earlier iterations
+_SUMMED = Span("llm", "reader", {"input": lambda x: F.when(x.index() > 0, x.child("turn").iteration(x.index() - 1).child("reader").field("input") * 2).otherwise(F.lit(0).cast("bigint")) + samplers.range_int(0, 99, x.draw("input"))}, {"tokens": lambda x: x.index()})
+_ref("ref_recurrence", Span("task", "root", children=[_turn(_SUMMED)]), "CAST(total AS VARCHAR)", "name = 'reader'", f"""WITH RECURSIVE {_TURNS0}, x AS (
+  SELECT t, i, n, {_drawn("'/turn#0/reader'", "'input'")} AS total FROM turns WHERE i = 0
+  UNION ALL SELECT t, i + 1, n, 2 * total + {_drawn("'/turn#' || (i + 1) || '/reader'", "'input'")} FROM x WHERE i + 1 < n
+)""")
+_SAID = lambda x: F.array_join(x.child("turn").iterations(0, x.index()).child("reader").field("output"), ";")
+_ref(
+    "ref_mutual_history",
+    Span("task", "root", children=[_turn(Span("llm", "reader", {"input": lambda x: F.concat(F.lit("so far "), _SAID(x)), "output": lambda x: strings.template(samplers.range_int(0, 99, x.draw("output")), " after ", F.char_length(x.field("input")))}, {"tokens": lambda x: x.index()}))]),
+    "'so far ' || said", "name = 'reader'", f"""WITH RECURSIVE {_TURNS0}, x AS (
+  SELECT t, i, n, '' AS said FROM turns WHERE i = 0
+  UNION ALL SELECT t, i + 1, n, said || CASE WHEN i > 0 THEN ';' ELSE '' END || {_drawn("'/turn#' || i || '/reader'")} || ' after ' || (7 + length(said)) FROM x WHERE i + 1 < n
+)""",
+)
+_STEPS = Repeat("step", lambda x: x.index("turn") + 1, [Span("tool", "use", _OUT)])
+_ref("ref_nested_slice", Span("task", "root", children=[_turn(_STEPS), Span("llm", "reader", {"input": lambda x: F.to_json(x.child("turn").iterations().child("step").iterations(1).child("use").field("output"))})]),
+     f"""replace(CAST(to_json(list_transform(range(n), lambda i: list_transform(range(1, i + 1), lambda j: {_drawn("'/turn#' || i || '/step#' || j || '/use'")}))) AS VARCHAR), ' ', '')""", "name = 'reader'",
+     f"""WITH x AS (SELECT o_orderkey AS t, CAST(floor({_u('o_orderkey', "'/turn'", "'count'", "'0'")} * 4) AS BIGINT) AS n FROM orders)""", index=False)
+
+_FACTS = Span("tool", "facts", {"output": lambda x: F.struct(F.array(*[F.struct((c("o_custkey") + i).alias("id"), F.array(F.lit("a"), c("o_orderstatus"), F.lit("z")).alias("marks")) for i in range(3)]).alias("items"), c("o_orderpriority").alias("x"), F.lit(None).cast("string").alias("y"))},
+              {"cost": lambda x: c("o_custkey") * 2}, ["kept", lambda x: F.lower("o_orderstatus")], metadata={"who": lambda x: c("o_custkey"), "how": lambda x: c("o_orderstatus"), "none": lambda x: F.lit(None)})
+
+
+def _facts(name: str, columns: dict[str, tuple[Callable, str]]) -> None:
+    """What a reader gets of one tool's values, each column one of its metadata."""
+    shape = Span("task", "root", children=[_FACTS, Span("llm", "reader", metadata={k: f for k, (f, _) in columns.items()})])
+    _shaped(name, "orders", "o_orderkey", shape, {"trace_index": (_TRACE_INDEX, "o_orderkey")} | {k: ((lambda k=k: F.to_json(F.col("metadata")[k])), s) for k, (_, s) in columns.items()}, where="name = 'reader'")
+
+
+_output = lambda *steps: (lambda x: x.child("facts").field("output", *[f() if callable(f) else f for f in steps]))
+_facts("ref_drill_slice", {"mark": (_output("items", slice(1, None), 0, "marks", 1), "'\"' || o_orderstatus || '\"'"), "some": (_output("items", 2, "marks", slice(0, 9)), "'[\"a\",\"' || o_orderstatus || '\",\"z\"]'"), "none": (_output("items", slice(2, 1)), "'[]'"), "null": (_output("y"), "'null'")})
+_facts("ref_drill_dynamic", {
+    "mark": (_output("items", lambda: c("o_orderkey") % 3, "marks", lambda: c("o_custkey") % 2), "'\"' || CASE o_custkey % 2 WHEN 0 THEN 'a' ELSE o_orderstatus END || '\"'"),
+    "id": (_output("items", lambda: c("o_orderkey") % 3, lambda: F.concat(F.lit("i"), F.lit("d"))), "CAST(o_custkey + o_orderkey % 3 AS VARCHAR)"),
+    "key": (_output(lambda: F.when(c("o_orderkey") % 2 == 0, "x").otherwise("y")), "CASE o_orderkey % 2 WHEN 0 THEN '\"' || o_orderpriority || '\"' ELSE 'null' END"),
+    "part": (_output("items", 0, "marks", lambda: slice(c("o_orderkey") % 4, c("o_orderkey") % 4 + 1)), "CASE o_orderkey % 4 WHEN 0 THEN '[\"a\"]' WHEN 1 THEN '[\"' || o_orderstatus || '\"]' WHEN 2 THEN '[\"z\"]' ELSE '[]' END"),
+})
+_whole = lambda name, *steps: (lambda x: x.child("facts").field(name, *steps))
+_facts("ref_whole_metadata", {
+    "metadata": (_whole("metadata"), """'{"how":"' || o_orderstatus || '","none":null,"who":' || o_custkey || '}'"""), "metrics": (_whole("metrics"), """'{"cost":' || o_custkey * 2 || '}'"""),
+    "tags": (_whole("tags"), """'["kept","' || lower(o_orderstatus) || '"]'"""), "one": (_whole("metadata", "how"), "'\"' || o_orderstatus || '\"'"), "last": (_whole("tags", slice(1, None)), """'["' || lower(o_orderstatus) || '"]'"""),
+})
+
+# values of a kind that only the trace tells
+_MIXED = Span("tool", "facts", {"output": lambda x: F.when(c("o_orderkey") % 4 == 0, values.as_variant(c("o_custkey"))).when(c("o_orderkey") % 4 == 1, values.as_variant(c("o_custkey").cast("double"))).when(c("o_orderkey") % 4 == 2, values.as_variant(c("o_orderstatus"))).otherwise(values.as_variant(None))})
+_OTHER = lambda: F.when(c("o_orderkey") % 4 < 2, values.as_variant(c("o_custkey") + c("o_orderkey") % 3 - 1)).when(c("o_orderkey") % 4 == 2, values.as_variant("O")).otherwise(values.as_variant("any"))
+_shaped("pred_variant_equality", "orders", "o_orderkey", Span("task", "root", children=[_MIXED, Span("llm", "reader", metadata={
+    "same": lambda x: values.equal(x.child("facts").field("output"), _OTHER()), "unlike": lambda x: values.differ(_OTHER(), x.child("facts").field("output")), "absent": lambda x: values.equal(x.child("facts").field("output"), None),
+})]), {"trace_index": (_TRACE_INDEX, "o_orderkey")} | {k: ((lambda k=k: c("metadata")[k].cast("boolean")), s) for k, s in {
+    "same": "CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 3 = 1 WHEN o_orderkey % 4 = 2 THEN o_orderstatus = 'O' ELSE false END", "unlike": "CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 3 <> 1 WHEN o_orderkey % 4 = 2 THEN o_orderstatus <> 'O' ELSE true END", "absent": "o_orderkey % 4 = 3",
+}.items()}, where="name = 'reader'")
+_NUMBER = Span("tool", "facts", {"output": lambda x: F.when(c("o_orderkey") % 2 == 0, values.as_variant(c("o_custkey") - 700)).otherwise(values.as_variant((c("o_custkey") - 700).cast("double")))})
+_fact = lambda x: x.child("facts").field("output")
+_INT, _REAL = "(o_custkey - 700)", "CAST(o_custkey - 700 AS DOUBLE)"
+
+
+def _either(whole: str, real: str) -> str:
+    return f"CASE o_orderkey % 2 WHEN 0 THEN CAST({whole} AS VARCHAR) ELSE CAST({real} AS VARCHAR) END"
+
+
+_shaped("expr_variant_arithmetic", "orders", "o_orderkey", Span("task", "root", children=[_NUMBER, Span("llm", "reader", metadata={
+    "sum": lambda x: values.text(values.add(values.multiply(_fact(x), 3), 1)), "half": lambda x: values.text(values.divide(_fact(x), 2)), "rest": lambda x: values.text(values.remainder(_fact(x), 7)), "less": lambda x: values.text(values.subtract(values.negate(_fact(x)), 0.5)),
+    "below": lambda x: values.text(values.less(_fact(x), 10)), "kind": lambda x: values.kind(values.add(_fact(x), 1)),
+})]), {"trace_index": (_TRACE_INDEX, "o_orderkey")} | {k: ((lambda k=k: c("metadata")[k].cast("string")), s) for k, s in {
+    "sum": _either(f"{_INT} * 3 + 1", f"{_REAL} * 3 + 1"), "half": _either(f"CAST(trunc({_INT} / 2) AS BIGINT)", f"{_REAL} / 2"), "rest": _either(f"{_INT} % 7", f"{_REAL} % 7"), "less": f"CAST(-{_REAL} - 0.5::DOUBLE AS VARCHAR)",
+    "below": f"CAST({_INT} < 10 AS VARCHAR)", "kind": "CASE o_orderkey % 2 WHEN 0 THEN 'int' ELSE 'float' END",
+}.items()}, where="name = 'reader'")
+_shaped("fld_plain_null", "orders", "o_orderkey", Span("task", "order", {"error": lambda x: F.lit(None), "output": lambda x: None}, metadata={"none": lambda x: F.lit(None)}),
+        {"trace_index": (_TRACE_INDEX, "o_orderkey"), "error": (_STATE("error"), "'null'"), "output": (_STATE("output"), "'null'"), "input": (_STATE("input"), "'unset'"), "metadata": (lambda: F.to_json("metadata"), """'{"none":null}'""")})
+
 _WAY = f"""CAST(floor({_u('o_orderkey', "'/way'", "'pick'", "'0'")} * 2) AS BIGINT)"""
 _ASIDE = f"""({_u('o_orderkey', "'/aside'", "'chance'", "'0'")} < 0.4)"""
 _FORKED = [Choice("way", [Span("tool", "short", _OUT), Span("tool", "long", _OUT)]), Maybe("aside", [Span("task", "note", _OUT)], 0.4)]
@@ -362,7 +442,7 @@ def _(spark, d):
 ), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_index ORDER BY p) - 1 AS INTEGER) AS ordinal FROM e)
 SELECT a.trace_index, a.name, a.ordinal, max(b.ordinal) AS last FROM o a JOIN o b ON a.trace_index = b.trace_index AND b.p[1:len(a.p)] = a.p GROUP BY ALL""")
 def _(spark, d):
-    return timeline.last_descendants(timeline.ordinals(_tree(spark, d)), [0, 1, 2, 3]).select("trace_index", "name", "ordinal", "last")
+    return shape_events(_roots(spark, d), _TREE, SEED).select("trace_index", "name", "ordinal", "last")
 
 
 @_add("agg_perf_report", "SELECT event_type AS path, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, min(event_id) AS first_seen FROM events GROUP BY event_type")
@@ -394,17 +474,18 @@ def _(spark, d):
 
 @_add("ctx_trace_index", "SELECT o_orderkey AS trace_index, 'trace ' || o_orderkey AS input FROM orders")
 def _(spark, d):
-    return _roots(spark, d).select("trace_index", strings.template("trace ", _key()).alias("input"))
+    return _told(spark, d, input=lambda x: strings.template("trace ", _key())).select("trace_index", _text("input").alias("input"))
 
 
 @_add("ctx_repeat_index", f"WITH {_TURNS} SELECT trace_index, index_turn AS i FROM turns")
 def _(spark, d):
-    return _turns(spark, d).select("trace_index", c("index_turn").alias("i"))
+    return _told(spark, d, _turn(Span("llm", "reply", {}, {"i": lambda x: x.index()}))).where("name = 'reply'").select("trace_index", _metric("i").alias("i"))
 
 
 @_add("ctx_repeat_count", f"WITH {_TURNS} SELECT trace_index, index_turn, count_turn - index_turn AS left_over FROM turns")
 def _(spark, d):
-    return _turns(spark, d).select("trace_index", "index_turn", (c("count_turn") - c("index_turn")).alias("left_over"))
+    reply = Span("llm", "reply", {}, {"i": lambda x: x.index(), "left": lambda x: x.count() - x.index()})
+    return _told(spark, d, _turn(reply)).where("name = 'reply'").select("trace_index", _metric("i").alias("index_turn"), _metric("left").alias("left_over"))
 
 
 # ---------------------------------------------------------------- functions
@@ -424,6 +505,16 @@ _SU = [_u("o_orderkey", "''", "'input'", f"'{i}'") for i in range(3)]
 _Z = f"(sqrt(-2 * ln(1 - {_SU[0]})) * cos(2 * pi() * {_SU[1]}))"
 _sampler("fn_choice", lambda: samplers.choice([F.lit("x"), F.lit("y"), F.lit("z")], _su()), f"['x', 'y', 'z'][CAST(floor({_SU[0]} * 3) AS BIGINT) + 1]")
 _sampler("fn_range_int", lambda: samplers.range_int(-3, 12, _su()), f"CAST(-3 + floor({_SU[0]} * 16) AS BIGINT)")
+_WIDE = f"CAST({_SU[0]} * 4503599627370496 AS HUGEINT)", f"CAST({_SU[1]} * 4503599627370496 AS HUGEINT)"
+_wide_sql = lambda low, span: f"CAST(({_WIDE[0]} * {span}::HUGEINT + ({_WIDE[1]} * {span}::HUGEINT) // 4503599627370496::HUGEINT) // 4503599627370496::HUGEINT + ({low})::HUGEINT AS BIGINT)"
+
+
+@_add("fn_range_wide", f"SELECT o_orderkey AS trace_index, {_wide_sql('-9223372036854775808', '18446744073709551616')} AS whole, {_wide_sql('-5', (1 << 53) + 1)} AS part FROM orders")
+def _(spark, d):
+    wide = lambda low, high: samplers.range_int(low, high, _su(), _su(1))
+    return _roots(spark, d).select("trace_index", wide(-(1 << 63), (1 << 63) - 1).alias("whole"), wide(-5, (1 << 53) - 5).alias("part"))
+
+
 _sampler("fn_range_float", lambda: samplers.range_float(0.5, 2.0, _su()), f"0.5::DOUBLE + {_SU[0]} * 1.5::DOUBLE")
 _sampler("fn_weighted", lambda: samplers.weighted([(F.lit("often"), 6), (F.lit("never"), 0), (F.lit("some"), 3), (F.lit("rare"), 1)], _su()), f"CASE WHEN {_SU[0]} * 10 < 6 THEN 'often' WHEN {_SU[0]} * 10 < 9 THEN 'some' ELSE 'rare' END")
 _sampler("fn_normal", lambda: F.round(samplers.normal(10, 2, _su(), _su(1)), 6), f"round(10 + 2 * {_Z}, 6)")
@@ -509,17 +600,13 @@ w AS (SELECT max(events) AS longest, count(*) AS n FROM counts),
 anchors AS (SELECT trace_index, {NOW - OVER} + CAST(floor(({OVER} - longest * 100000) * (CAST(trace_index AS DOUBLE) / (n - 1))) AS BIGINT) AS anchor FROM counts, w)"""
 
 
-def _ended(spark, d) -> DataFrame:
-    return timeline.last_descendants(timeline.ordinals(_tree(spark, d)), [0, 1, 2, 3])
-
-
-def _anchored(spark, d, rows: DataFrame) -> DataFrame:
-    return timeline.anchored(rows, timeline.totals(_tree(spark, d)), _key(), NOW, OVER)
+def _slotted(spark, d) -> DataFrame:
+    return generate(_roots(spark, d), _TREE, SEED, NOW, OVER)
 
 
 @_add("time_anchor", f"WITH {_COUNTS} SELECT trace_index, anchor FROM anchors")
 def _(spark, d):
-    return _anchored(spark, d, _roots(spark, d)).select("trace_index", "anchor")
+    return _slotted(spark, d).where("ordinal = 0").select("trace_index", "anchor")
 
 
 _SLOTS = f"""{_COUNTS}, e AS (
@@ -532,10 +619,6 @@ l AS (SELECT *, CASE name WHEN 'root' THEN max(ordinal) OVER (PARTITION BY trace
 s AS (SELECT l.trace_index, name, CAST(ordinal AS INTEGER) AS ordinal, anchor + ordinal * 100000 AS start_micros, anchor + (last + 1) * 100000 AS end_micros FROM l JOIN anchors a ON a.trace_index = l.trace_index)"""
 
 
-def _slotted(spark, d) -> DataFrame:
-    return timeline.slots(_anchored(spark, d, _ended(spark, d)))
-
-
 @_add("time_slots", f"WITH {_SLOTS} SELECT trace_index, name, ordinal, start_micros, end_micros FROM s")
 def _(spark, d):
     return _slotted(spark, d).select("trace_index", "name", "ordinal", "start_micros", "end_micros")
@@ -543,12 +626,12 @@ def _(spark, d):
 
 @_add("time_created", f"WITH {_SLOTS} SELECT trace_index, ordinal, strftime(make_timestamp(start_micros), '%Y-%m-%dT%H:%M:%S.%fZ') AS created FROM s")
 def _(spark, d):
-    return _slotted(spark, d).select("trace_index", "ordinal", timeline.created(c("start_micros")).alias("created"))
+    return _slotted(spark, d).select("trace_index", "ordinal", "created")
 
 
 @_add("time_metrics", f"WITH {_SLOTS} SELECT trace_index, ordinal, start_micros / 1e6::DOUBLE AS start, end_micros / 1e6::DOUBLE AS \"end\" FROM s")
 def _(spark, d):
-    return _slotted(spark, d).select("trace_index", "ordinal", (c("start_micros") / 1e6).alias("start"), (c("end_micros") / 1e6).alias("end"))
+    return _slotted(spark, d).select("trace_index", "ordinal", *[c("metrics")[m].cast("double").alias(m) for m in ("start", "end")])
 
 
 # ---------------------------------------------------------------- whole traces
@@ -585,7 +668,7 @@ _TRACE = f"""WITH r AS (
   SELECT trace_index, [] :: INTEGER[] AS p, 'session' AS name, 'task' AS type, q AS input, a AS output, CAST(NULL AS DOUBLE) AS total, -1 AS parent_length FROM r
   UNION ALL SELECT trace_index, [0, CAST(i AS INTEGER), 0], 'think', 'task', q, NULL, NULL, 0 FROM t
   UNION ALL SELECT trace_index, [0, CAST(i AS INTEGER), 0, 0], 'reply', 'llm', q || ' / ' || (i + 1), NULL, 15 + floor({_u(_I, "'/turn#' || i || '/think/reply'", "'tokens'", "'0'")} * 51), 3 FROM t
-  UNION ALL SELECT trace_index, [1, 0], CASE way WHEN 0 THEN 'search' ELSE 'compute' END, CASE way WHEN 0 THEN 'tool' ELSE 'function' END, NULL, CASE way WHEN 0 THEN 'found' ELSE 'done' END, NULL, 0 FROM r
+  UNION ALL SELECT trace_index, [1, CAST(way AS INTEGER)], CASE way WHEN 0 THEN 'search' ELSE 'compute' END, CASE way WHEN 0 THEN 'tool' ELSE 'function' END, NULL, CASE way WHEN 0 THEN 'found' ELSE 'done' END, NULL, 0 FROM r
   UNION ALL SELECT trace_index, [2, 0], 'review', 'task', NULL, CASE floor({_u(_I, "'/aside/review'", "'output'", "'0'")} * 2) WHEN 0 THEN 'good' ELSE 'poor' END, NULL, 0 FROM r WHERE aside
   UNION ALL SELECT trace_index, [3], 'answer', 'llm', NULL, a, NULL, 0 FROM r
 ), o AS (SELECT *, row_number() OVER (PARTITION BY trace_index ORDER BY p) - 1 AS ordinal FROM e),
@@ -599,14 +682,15 @@ def _(spark, d):
     return trace_events(spark, d).select("trace_index", "ordinal", "name", "type", "input", "output", c("metrics")["total"].cast("double").alias("total"), "start_micros", "end_micros").withColumns({f: c(f).cast("string") for f in ("input", "output")})
 
 
-@_add("link_parents", _TRACE + """, k AS (SELECT trace_index, array_to_string(p, '.') AS at, array_to_string(p[1:parent_length], '.') AS above, parent_length, name FROM x)
-SELECT a.trace_index, a.name, b.name AS parent FROM k a JOIN k b ON a.trace_index = b.trace_index AND a.above = b.at WHERE a.parent_length >= 0""")
+def _span_id(place: str) -> str:
+    return _uuid_sql("'run'", "trace_index", place)
+
+
+# ids are functions of addresses: the SQL makes those of span, parent and root from the places of the tree
+@_add("link_parents", _TRACE + f""", k AS (SELECT trace_index, name, array_to_string(p, '.') AS own, array_to_string(p[1:greatest(parent_length, 0)], '.') AS above, parent_length FROM x)
+SELECT trace_index, name, {_span_id("own")} AS span_id, CASE WHEN parent_length >= 0 THEN {_span_id("above")} END AS parent, {_span_id("''")} AS root FROM k""")
 def _(spark, d):
-    # spans of a trace meet once; parents are looked up by span id among them
-    spans = trace_events(spark, d).groupBy("trace_index").agg(F.collect_list(F.struct("span_id", "name", F.get("span_parents", F.lit(0)).alias("above"))).alias("spans"))
-    names = F.map_from_entries(F.transform("spans", lambda x: F.struct(x["span_id"], x["name"])))
-    linked = spans.select("trace_index", names.alias("names"), F.explode(F.filter("spans", lambda x: x["above"].isNotNull())).alias("x"))
-    return linked.select("trace_index", "x.name", F.element_at("names", c("x.above")).alias("parent"))
+    return trace_events(spark, d).select("trace_index", "name", "span_id", F.get("span_parents", F.lit(0)).alias("parent"), c("root_span_id").alias("root"))
 
 
 @_add("agg_max_trace_len", _TRACE + " SELECT max(longest) AS longest, max(traces) AS traces FROM w")

@@ -13,15 +13,20 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions import objects
 from loomspan.functions.draws import draw
+from loomspan.functions.errors import fail
 from loomspan.functions.ids import uuid
 from loomspan.functions.strings import template
+from loomspan.functions.values import as_variant, plain_null, whole
 from loomspan.operators import timeline
+from loomspan.plans.recurrences import Circle, Recurrence, Value
 
 FIELDS = ["input", "output", "expected", "error"]
 KINDS = ["task", "llm", "tool", "function"]
@@ -38,6 +43,8 @@ class Span:
     NULL in the events, a null value (a Column of some type) a VARIANT null. ``metadata`` and
     ``metrics`` have one value a key, ``tags`` are texts or functions, and
     ``vars`` are values drawn once an instance, for this block and those below.
+    ``types`` declares types of values that read themselves in earlier
+    iterations, where that can't be told from what else they are made of.
     """
 
     kind: str
@@ -48,6 +55,7 @@ class Span:
     children: list = field(default_factory=list)
     metadata: dict[str, Slot] | None = None
     vars: dict[str, Slot] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -126,9 +134,10 @@ class _Node:
         return [*(self.above.chain() if self.above else []), self]
 
 
-def as_variant(x: Column) -> Column:
-    """Any value as VARIANT of its own kind; NULL as VARIANT null."""
-    return F.variant_get(F.to_variant_object(F.struct(x.alias("v"))), "$.v", "variant")
+def _built(build: Slot, context: Context) -> Column:
+    """A value; a plain null, which has no type, as VARIANT null."""
+    made = build(context)
+    return as_variant(None) if plain_null(made) else made if isinstance(made, Column) else F.lit(made)
 
 
 def _each(count: Column) -> Column:
@@ -136,10 +145,6 @@ def _each(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def _failed(message: str, kind: str = "bigint") -> Column:
-    return F.raise_error(F.lit(message)).cast(kind)
-
-
 def _text(parts: list[Column | str]) -> Column:
     """Concatenation, with neighbouring literals joined."""
     out: list[Column | str] = []
@@ -155,28 +160,73 @@ def _text(parts: list[Column | str]) -> Column:
 class _Shared:
     """Values of one shape that become columns of the roots, each after those it reads."""
 
-    def __init__(self, seed: int, prefix: str):
-        self.seed, self.prefix = seed, prefix
+    def __init__(self, seed: int, prefix: str, roots: DataFrame):
+        self.seed, self.prefix, self.roots = seed, prefix, roots
         self.names: dict[tuple, str] = {}
         self.layers: list[tuple[str, Column]] = []
         self.inlined: list[tuple] = []
         self.busy: set[tuple] = set()
+        self.readers: list[Callable[[Value, tuple[Column, ...]], Column | None]] = []
+
+    @contextmanager
+    def reading(self, reader: Callable[[Value, tuple[Column, ...]], Column | None]):
+        """Values are asked of ``reader`` first; what it doesn't know goes on."""
+        self.readers.append(reader)
+        try:
+            yield
+        finally:
+            self.readers.pop()
+
+    def read(self, value: Value, indices: tuple[Column, ...]) -> Column:
+        for reader in reversed(self.readers):
+            if (found := reader(value, indices)) is not None:
+                return found
+        out = F.col(self.column(value))
+        for i in indices:
+            out = F.get(out, i.cast("int"))
+        return out
+
+    def made(self, value: Value, indices: tuple[Column, ...]) -> Column:
+        return Context(self, value.node, indices, value.iterating).guarded(value.build)
+
+    def times(self, loop: _Node, bound: tuple[Column, ...]) -> Column:
+        return Context(self, loop, bound).times()
+
+    def each(self, loop: _Node, bound: tuple[Column, ...]) -> Column:
+        return _each(self.times(loop, bound))
 
-    def column(self, key: tuple, build: Slot, context: Context) -> str:
+    def nested(self, loops: list[_Node], bound: tuple[Column, ...], made: Callable[[tuple[Column, ...]], Column]) -> Column:
+        """What is made in each iteration of the loops beyond ``bound``, in arrays."""
+        if len(bound) == len(loops):
+            return made(bound)
+        return F.transform(self.each(loops[len(bound)], bound), lambda i: self.nested(loops, (*bound, i), made))
+
+    def frame(self) -> DataFrame:
+        """The roots with the columns so far."""
+        return _with_slots(self.roots, self.layers)
+
+    def column(self, value: Value) -> str:
+        key, made = value.key, None
+        if key in self.names:
+            return self.names[key]
         if key in self.busy:
-            raise ValueError(f"{context.block.name}: {key[-1]} refers to itself")
-        if key not in self.names:
-            self.busy.add(key)
-            node, loops = context.node, (context.node.outer, context.node.inner)[context.iterating]
-
-            def nested(bound: tuple[Column, ...]) -> Column:
-                if len(bound) < len(loops):
-                    repeat = Context(self, loops[len(bound)], bound)
-                    return F.transform(_each(repeat.times()), lambda i: nested((*bound, i)))
-                return Context(self, node, bound, context.iterating).guarded(build)
-
-            made = nested(())
+            raise Circle(key)
+        self.busy.add(key)
+        try:
+            made = self.nested(value.loops, (), lambda bound: self.made(value, bound))
+        except Circle as circle:
+            if circle.key != key:
+                raise
+        finally:
             self.busy.discard(key)
+        if key in self.names:  # a circle that it belongs to was solved meanwhile
+            return self.names[key]
+        if made is None:  # it reads itself, in earlier iterations
+            found = Recurrence(self, value)
+            name = f"{self.prefix}{len(self.names)}"
+            self.layers += found.layers(name)
+            self.names |= {k: f"{name}_{f}" for k, f in found.field.items()}
+        else:
             self.names[key] = f"{self.prefix}{len(self.names)}"
             self.layers.append((self.names[key], made))
         return self.names[key]
@@ -223,10 +273,7 @@ class Context:
 
     def value(self, slot: str, build: Slot) -> Column:
         """A value of this block, computed once for all that read it."""
-        out = F.col(self.shared.column((self.node.address, self.iterating, slot), build, self))
-        for i in self.indices:
-            out = F.get(out, i.cast("int"))
-        return out
+        return self.shared.read(Value((self.node.address, self.iterating, slot), build, self.node, self.iterating), self.indices)
 
     def own(self, slot: str, build: Slot) -> Column:
         """A value of this block for its own event: that of the column, if others have read it so far."""
@@ -234,7 +281,7 @@ class Context:
         if key in self.shared.names:
             return self.value(slot, build)
         self.shared.inlined.append(key)
-        return build(self)
+        return _built(build, self)
 
     def guarded(self, build: Slot) -> Column:
         """The value where every choice and maybe above lets the block be, else null."""
@@ -248,19 +295,33 @@ class Context:
             else:
                 continue
             whether = here if whether is None else whether & here
-        made = build(self)
+        made = _built(build, self)
         return made if whether is None else F.when(whether, made)
 
-    def field(self, name: str) -> Column:
-        """A field, metric or metadata key (``name`` or ``metrics.name``, ``metadata.name``) of this span."""
+    def field(self, name: str, *steps: str | int | slice | Column) -> Column:
+        """A field, a metric or metadata key (``name`` or ``metrics.name``, ``metadata.name``), or all ``metadata``, ``metrics`` or ``tags`` of this span.
+
+        ``steps`` are keys, indexes and slices to go on with inside the value,
+        each checked; the result is a VARIANT then, as whole objects are.
+        """
+        found = self._field(name)
+        return objects.drill(found, *steps) if steps else found
+
+    def _field(self, name: str) -> Column:
         self._must(Span, "fields")
         block = self.block
+        keyed = {"metrics": block.metrics, "metadata": block.metadata}
         where, _, key = name.partition(".")
         if not key and name in block.fields:
             return self.value(name, block.fields[name])
-        for kind, values in (("metrics", block.metrics), ("metadata", block.metadata or {})):
+        if name == "tags" and block.tags:
+            return F.array(*[F.lit(t) if isinstance(t, str) else template(self.value(f"tag:{i}", t)) for i, t in enumerate(block.tags)])
+        if name == "metadata" and block.metadata is not None or name == "metrics" and block.metrics:
+            held = [as_variant(self.value(f"{name}.{k}", f)).alias(k) for k, f in sorted(keyed[name].items())]
+            return F.to_variant_object(F.struct(*held)) if held else F.parse_json(F.lit("{}"))
+        for kind, values in keyed.items():
             found = key if where == kind else name
-            if (key == "" or where == kind) and found in values:
+            if (key == "" or where == kind) and found in (values or {}):
                 return self.value(f"{kind}.{found}", values[found])
         raise KeyError(f"{block.name} has no field {name}")
 
@@ -274,8 +335,8 @@ class Context:
     def times(self) -> Column:
         """How often this repeat runs; a negative count is an error."""
         def checked(x: Context) -> Column:
-            count = x.block.count(x).cast("bigint")
-            return F.when(count < 0, _failed("a count is negative")).otherwise(count)
+            count = whole(x.block.count(x), "NonIntegerRepeatCount")
+            return F.when(count < 0, fail("NegativeRepeatCount", "a count is negative", "bigint")).otherwise(count)
 
         return self.value("count", checked)
 
@@ -293,7 +354,7 @@ class Context:
         def taken(x: Context) -> Column:
             chance = x.block.chance
             p = chance(x) if callable(chance) else F.lit(float(chance))
-            return x.draw("chance") < F.when((p < 0) | (p > 1), _failed("a chance is not in 0..1", "double")).otherwise(p)
+            return x.draw("chance") < F.when((p < 0) | (p > 1), fail("ChanceOutOfRange", "a chance is not in 0..1", "double")).otherwise(p)
 
         return self.value("chance", taken)
 
@@ -339,8 +400,8 @@ class Context:
     def iteration(self, i: int | Column) -> Context:
         """One iteration of this repeat, from 0; beyond its count is an error."""
         self._collection()
-        index = (i if isinstance(i, Column) else F.lit(i)).cast("bigint")
-        checked = F.when((index >= 0) & (index < self.times()), index).otherwise(_failed("an iteration is out of bounds"))
+        index = whole(i, "NonIntegerIndex")
+        checked = F.when((index >= 0) & (index < self.times()), index).otherwise(fail("IndexOutOfBounds", "an iteration is out of bounds", "bigint"))
         return Context(self.shared, self.node, (*self.indices, checked), iterating=True, strict=True)
 
     def iterations(self, start: int | Column | None = None, end: int | Column | None = None) -> Slice:
@@ -350,8 +411,8 @@ class Context:
         def bound(x: int | Column | None, default: Column) -> Column:
             if x is None:
                 return default
-            at = (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
-            return F.when(at < 0, _failed("a slice bound is negative")).otherwise(F.least(at, self.times()))
+            at = whole(x, "NonIntegerSliceBound")
+            return F.when(at < 0, fail("NegativeSliceBound", "a slice bound is negative", "bigint")).otherwise(F.least(at, self.times()))
 
         low, high = bound(start, F.lit(0).cast("bigint")), bound(end, self.times())
         return Slice(F.transform(_each(high - low), lambda i: i + low), lambda i: Context(self.shared, self.node, (*self.indices, i), iterating=True, strict=True))
@@ -463,37 +524,60 @@ class Several:
     """Blocks of one name, of which a position known in each trace takes one."""
 
     def __init__(self, each: list[Context], position: Column):
-        self.each, self.position = each, position
+        self.each, self.position = each, whole(position, "NonIntegerIndex")
+
+    def field(self, name: str, *steps: str | int | slice | Column) -> Column:
+        """The field of the block taken; one that doesn't set it is an error where it is taken."""
+
+        def of(x: Context) -> Column:
+            try:
+                return x.field(name, *steps)
+            except KeyError:
+                return fail("AbsentRefField", f"{x.block.name} has no field {name}")
 
-    def field(self, name: str) -> Column:
-        picked = F.when(self.position == 0, self.each[0].field(name))
+        picked = F.when(self.position == 0, of(self.each[0]))
         for i, x in enumerate(self.each[1:], 1):
-            picked = picked.when(self.position == i, x.field(name))
-        return F.when((self.position >= 0) & (self.position < len(self.each)), picked).otherwise(F.raise_error(F.lit("a position is out of bounds")))
+            picked = picked.when(self.position == i, of(x))
+        return F.when((self.position >= 0) & (self.position < len(self.each)), picked).otherwise(fail("IndexOutOfBounds", "a position is out of bounds"))
 
 
 class Slice:
-    """Iterations of a repeat; what follows is read in each, into an array."""
+    """Iterations of a repeat; what follows is read in each, into an array.
 
-    def __init__(self, indices: Column, at: Callable[[Column], Context]):
+    A slice inside a slice gives an array of arrays, and so on.
+    """
+
+    def __init__(self, indices: Column, at: Callable[[Column], Context | Several | Slice]):
         self.indices, self.at = indices, at
 
+    def _each(self, read: Callable) -> Column:
+        return F.transform(self.indices, lambda i: read(self.at(i)))
+
     def child(self, name: str, kind: str | None = None, position: int | Column | None = None) -> Slice:
         return Slice(self.indices, lambda i: self.at(i).child(name, kind, position))
 
     def iteration(self, i: int | Column) -> Slice:
         return Slice(self.indices, lambda j: self.at(j).iteration(i))
 
-    def field(self, name: str) -> Column:
-        return F.transform(self.indices, lambda i: self.at(i).field(name))
+    def iterations(self, start: int | Column | None = None, end: int | Column | None = None) -> Slice:
+        return Slice(self.indices, lambda j: self.at(j).iterations(start, end))
+
+    def field(self, name: str, *steps: str | int | slice | Column) -> Column:
+        return self._each(lambda x: x.field(name, *steps))
+
+    def index(self, repeat: str | None = None) -> Column:
+        return self._each(lambda x: x.index(repeat))
+
+    def count(self, repeat: str | None = None) -> Column:
+        return self._each(lambda x: x.count(repeat))
 
     @property
     def chosen(self) -> Column:
-        return F.transform(self.indices, lambda i: self.at(i).chosen)
+        return self._each(lambda x: x.chosen)
 
     @property
     def included(self) -> Column:
-        return F.transform(self.indices, lambda i: self.at(i).included)
+        return self._each(lambda x: x.included)
 
 
 _UNSET = {f: "variant" for f in FIELDS} | {"place": "string", "parent": "string", "size": "bigint", "metadata": "map<string,variant>", "tags": "array<string>"}
@@ -510,7 +594,7 @@ class _Compiled:
     events: list[dict[str, Column | list[Column]]]
 
 
-def _compiled(shapes: Span | Sequence[Span], seed: int) -> _Compiled:
+def _compiled(roots: DataFrame, shapes: Span | Sequence[Span], seed: int) -> _Compiled:
     shapes = [shapes] if isinstance(shapes, Span) else list(shapes)
     nodes: list[_Node] = []
 
@@ -529,7 +613,7 @@ def _compiled(shapes: Span | Sequence[Span], seed: int) -> _Compiled:
         spans = [n for n in below(node) if isinstance(n.block, Span)]
         numbers = {n.address: len(out.spans) + i for i, n in enumerate(spans)}
 
-        shared = _Shared(seed, f"_slot_{t}_")
+        shared = _Shared(seed, f"_slot_{t}_", roots)
         top = Context(shared, node)
         layout, size = _joined(top.layout(numbers, depth), F.lit(None)), top.size()
 
@@ -585,7 +669,7 @@ def _exploded(traces: DataFrame, shape: _Compiled, keep: list[str], stamps: list
 
 def shape_events(roots: DataFrame, shapes: Span | Sequence[Span], seed: int) -> DataFrame:
     """Events of all traces with their pre-order ordinals and last descendants: one narrow pass, fit for streams."""
-    shape = _compiled(shapes, seed)
+    shape = _compiled(roots, shapes, seed)
     return _exploded(_with_slots(roots, shape.layers), shape, [])
 
 
@@ -597,7 +681,7 @@ def generate(roots: DataFrame, shapes: Span | Sequence[Span], seed: int, now_mic
     traces take one each in turn. Nothing is shuffled: a first pass over the
     counts and picks alone finds the longest trace, a second writes the events.
     """
-    shape = _compiled(shapes, seed)
+    shape = _compiled(roots, shapes, seed)
     traces = _with_slots(roots, shape.layers)
     whole = timeline.checked_totals(traces.select("trace_index", shape.size.alias("events")))
     placed = timeline.anchored(traces, whole, F.col("trace_index"), now_micros, over_micros, spread)

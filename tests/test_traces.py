@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import draws, ids, numbers, objects, samplers, strings
-from loomspan.operators import blocks, payloads, timeline
+from loomspan.operators import payloads, timeline
 from loomspan.plans.queries import NOW, OVER, SHAPE
 from loomspan.plans.shape import Choice, Maybe, Repeat, Span, generate, shape_events
 from loomspan.sources import inputs, sinks
@@ -77,13 +77,15 @@ def test_ids(spark):
 
 
 def test_repeat_of_zero_and_below(spark):
-    roots = inputs.trace_range(spark, 3)
-    assert blocks.repeat(roots, "r", 0, F.lit(0)).count() == 0
-    assert blocks.repeat(roots, "r", 0, F.col("trace_index")).count() == 3
-    with pytest.raises(Exception, match="negative"):
-        blocks.repeat(roots, "r", 0, F.lit(-1)).count()
-    with pytest.raises(Exception, match="not in 0..1"):
-        blocks.maybe(roots, "m", 0, 2.0, F.lit(0.5)).select("included_m").collect()
+    count = lambda n: shape_events(inputs.trace_range(spark, 3), Span("task", "root", children=[Repeat("r", n, [Span("llm", "a")])]), 1)
+    assert count(lambda x: F.lit(0)).where("name = 'a'").count() == 0
+    assert count(lambda x: F.col("trace_index")).where("name = 'a'").count() == 3
+    assert count(lambda x: F.parse_json(F.lit("2"))).where("name = 'a'").count() == 6
+    for wrong, kind in ((F.lit(-1), "NegativeRepeatCount"), (F.lit(2.0), "NonIntegerRepeatCount"), (F.parse_json(F.lit("2.5")), "NonIntegerRepeatCount"), (F.parse_json(F.lit('"2"')), "RefShapeMismatch")):
+        with pytest.raises(Exception, match=kind):
+            count(lambda x, wrong=wrong: wrong).count()
+    with pytest.raises(Exception, match="ChanceOutOfRange"):
+        shape_events(inputs.trace_range(spark, 3), Span("task", "root", children=[Maybe("m", [Span("llm", "a")], 2.0)]), 1).collect()
 
 
 def events(spark, shape=SHAPE, n=40, seed=3, **more):
@@ -213,7 +215,7 @@ def test_run_logs(spark, tmp_path):
 def test_streamed_events_equal_the_batch(spark, tmp_path):
     spark.range(20).write.parquet(str(tmp_path / "ticks"))
     ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "ticks"))
-    stream = shape_events(blocks.traces(ticks, "id"), SHAPE, 5).select("trace_index", "ordinal", "name", F.col("input").cast("string"), F.col("output").cast("string"))
+    stream = shape_events(ticks.select(F.col("id").cast("bigint").alias("trace_index")), SHAPE, 5).select("trace_index", "ordinal", "name", F.col("input").cast("string"), F.col("output").cast("string"))
     query = stream.writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "state")).start()
     query.processAllAvailable()
     query.stop()
@@ -385,7 +387,7 @@ def test_templates_take_turns_and_indices_must_be_dense(spark):
     rows = events(spark, shapes, n=5).orderBy("trace_index", "ordinal").collect()
     assert [(r.trace_index, r.name) for r in rows] == [(0, "a"), (1, "b"), (1, "c"), (2, "a"), (3, "b"), (3, "c"), (4, "a")]
     with pytest.raises(Exception, match="without a gap"):
-        generate(blocks.traces(spark.range(3, 9), "id"), shapes, 1, NOW, OVER).select("created").collect()
+        generate(spark.range(3, 9).select(F.col("id").alias("trace_index")), shapes, 1, NOW, OVER).select("created").collect()
 
 
 def test_a_chain_of_references_does_not_grow(spark):
