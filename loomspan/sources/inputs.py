@@ -16,8 +16,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.blocks import traces
-
 _UNITS = {"ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 LEVELS = ["error", "warn", "info", "debug", "trace"]
@@ -28,6 +26,11 @@ VERDICT_CHARS = 80
 DEFAULTS = {"log": {"level": "info", "keep_runs": 20}, "http": {"request_timeout": "30s", "write_concurrency": 8}}
 
 
+def traces(keys: DataFrame, key: str) -> DataFrame:
+    """Roots, one trace a row of ``keys``."""
+    return keys.select(F.col(key).cast("bigint").alias("trace_index"))
+
+
 def trace_range(spark: SparkSession, count: int) -> DataFrame:
     """Root instances 0..count-1."""
     if count < 1:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.operators.blocks import traces
 from loomspan.plans.shape import Span, shape_events
+from loomspan.sources.inputs import traces
 
 
 def streamed_events(spark: SparkSession, shape: Span, seed: int, rows_per_second: int = 10) -> DataFrame:
