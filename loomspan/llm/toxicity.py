@@ -28,8 +28,8 @@ from loomspan.llm.common import held_out, in_small_batches, staged, table, texts
 
 #: Most labelled rows that are read to learn, and most learned word beginnings.
 SAMPLE_ROWS, LEARNED = 16_384, 4096
-#: Clauses of one pattern up to which each adds to the score.
-MOST_CLAUSES = 8
+#: What a negated or reported pattern weighs of the plain one.
+MUTED = 0.1
 #: Words that one worker keeps the symbols of.
 MEMO_WORDS = 131_072
 
@@ -226,42 +226,66 @@ def learn_insults(sample: DataFrame, learned: int = LEARNED) -> list[str]:
     return sorted(kept)
 
 
-def prior_weights() -> np.ndarray:
-    """Built-in weights: what patterns count for where the labels say nothing of them.
+def _steps() -> np.ndarray:
+    """How the weights of the patterns are made of steps, which are not negative: a row a pattern.
 
-    A plain match is toxic by itself, more so if aimed or repeated; a negated
-    or reported one, and harm that nobody is to suffer, hardly count.
+    A kind has four steps: what it weighs plain, how much more aimed, repeated
+    and both. So plain never outweighs aimed nor aimed repeated, but repeated
+    harm that nobody is to suffer stands apart. What is negated or reported
+    weighs MUTED of its plain kind, however often and at whom.
     """
-    out = []
-    for p in PATTERNS:
-        if "-" in p or "'" in p or (p.startswith("HARM") and ">" not in p):
-            out.append(0.3)
-        else:
-            out.append(5.0 + 1.0 * (">" in p) + 1.0 * ("+" in p) + 1.0 * p.startswith("THREAT"))
-    return np.array([*out, -3.0])
+    out = np.zeros((len(PATTERNS), 4 * len(KINDS)))
+    for row, p in zip(out, PATTERNS):
+        kind = next(k for k in KINDS if p.startswith(k))
+        own = row[4 * KINDS.index(kind) :]
+        if "-" in p or "'" in p:
+            own[0] = MUTED
+            continue
+        own[0], own[1], own[2] = 1, ">" in p or ("+" in p and kind != "HARM"), "+" in p
+        own[3] = "+" in p and ">" in p
+    return out
+
+
+#: Built-in steps of each kind and the intercept: what counts where the labels say nothing.
+PRIOR_STEPS = {"INSULT": (5.0, 1.0, 0.0, 1.0), "THREAT": (6.0, 1.0, 0.0, 1.0), "HARM": (0.3, 5.7, 0.0, 1.0)}
+PRIOR_INTERCEPT = -3.0
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to the built-in weights; the last is the intercept.
+    """Weights of the patterns, the last is the intercept: logistic regression over the steps, drawn to the built-in ones.
 
-    Patterns that the labelled rows don't hold keep their built-in weights;
-    without both labels all do.
+    Newton steps over those that aren't held at zero. Patterns that the
+    labelled rows don't hold keep their built-in steps; without both labels
+    all do.
     """
-    prior = prior_weights()
+    steps = _steps()
+    prior = np.array([*(x for k in KINDS for x in PRIOR_STEPS[k]), PRIOR_INTERCEPT])
     if len(set(labels.tolist())) < 2:
-        return prior
-    x = np.hstack([np.minimum(features, MOST_CLAUSES), np.ones((len(features), 1))])
-    w = prior.copy()
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - labels) + penalty @ (w - prior)
-        bend = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
-        w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        return np.append(steps @ prior[:-1], prior[-1])
+    x = np.hstack([features @ steps, np.ones((len(features), 1))])
+    low = np.append(np.zeros(steps.shape[1]), -np.inf)
+    penalty = np.append(np.full(steps.shape[1], ridge), 1e-6)
+
+    def loss(s: np.ndarray) -> float:
+        z = x @ s
+        return float((np.logaddexp(0, z) - labels * z).sum() + 0.5 * (penalty * (s - prior) ** 2).sum())
+
+    s = prior.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ s, -30, 30)))
+        slope = x.T @ (p - labels) + penalty * (s - prior)
+        free = np.flatnonzero((s > low) | (slope < 0))
+        bend = (x[:, free] * (p * (1 - p))[:, None]).T @ x[:, free] + np.diag(penalty[free] + 1e-9)
+        move, length, before = np.zeros(len(s)), 1.0, loss(s)
+        move[free] = -np.linalg.solve(bend, slope[free])
+        while length > 1e-6 and loss(np.maximum(low, s + length * move)) > before:
+            length /= 2
+        after = np.maximum(low, s + length * move)
+        done = np.abs(after - s).max() < 1e-7
+        s = after
+        if done:
             break
-    return w
+    return np.append(steps @ s[:-1], s[-1])
 
 
 def _matched(docs: DataFrame, grammar: ClauseGrammar, weights: np.ndarray | None, keep: list[str]) -> DataFrame:
@@ -275,7 +299,7 @@ def _matched(docs: DataFrame, grammar: ClauseGrammar, weights: np.ndarray | None
             counts = [own.counts(t) for t in texts_of(batch.column(0))]
             columns = [*batch.columns[1:], pa.array(counts, pa.list_(pa.int64()))]
             if w is not None:
-                x = np.minimum(np.array(counts, float).reshape(-1, len(PATTERNS)), MOST_CLAUSES) @ w[:-1] + w[-1]
+                x = np.array(counts, float).reshape(-1, len(PATTERNS)) @ w[:-1] + w[-1]
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(x, -500, 500)))))
             yield pa.RecordBatch.from_arrays(columns, names=names)
         own.memo.clear()

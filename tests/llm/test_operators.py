@@ -170,6 +170,32 @@ def test_the_clause_decides_not_the_number_of_insults(spark):
     assert [got[i] for i in range(len(texts))] == [1, 0, 0, 1, 0, 0, 1]
 
 
+def test_labels_cannot_turn_the_order_of_patterns():
+    # labels that speak against the grammar: toxic rows hold negated insults, clean ones plain and repeated
+    number = {p: i for i, p in enumerate(toxicity.PATTERNS)}
+    rng, rows, labels = np.random.default_rng(3), [], []
+    for i in range(600):
+        row, toxic = np.zeros(len(number)), i % 2
+        for p in rng.choice(["INSULT-", "INSULT->", "THREAT'"] if toxic else ["INSULT", "INSULT+", "INSULT>", "HARM>"], 2):
+            row[number[p]] += 1
+        rows.append(row), labels.append(toxic)
+    for w in (toxicity.fit_weights(np.array(rows), np.array(labels, float)), toxicity.fit_weights(np.array(rows), 1 - np.array(labels, float)), toxicity.fit_weights(np.zeros((0, len(number))), np.zeros(0))):
+        at = lambda p: w[number[p]]
+        for k in toxicity.KINDS:
+            muted = [at(f"{k}{m}{n}{r}{t}") for m in ("", "+") for n in ("", "-") for r in ("", "'") for t in ("", ">") if n or r]
+            assert 0 <= min(muted) <= max(muted) <= at(k) <= at(f"{k}>") <= at(f"{k}+>") and at(k) <= at(f"{k}+") <= at(f"{k}+>")
+            assert at(k) == 0 or max(muted) < at(k)
+        assert at("INSULT>") <= at("INSULT+") and at("THREAT>") <= at("THREAT+")
+
+
+def test_negation_and_report_lower_a_learned_score(spark):
+    grammar, weights = toxicity.train(small(spark), small(spark, "labels"))
+    texts = ["This is stupid. That is stupid.", "This is not stupid. That is not stupid.", "They said this is stupid. They said that is stupid.", "fine words " * 5 + "stupid. " * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, grammar, weights, ["doc_id"]).collect()}
+    assert got[1] < got[0] and got[2] < got[0] and got[3] > got[0]  # each of many clauses counts
+
+
 def test_toxicity_learns_from_one_row_of_an_id(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
