@@ -24,8 +24,11 @@ def replace(s: Column, search: str, by: str) -> Column:
     return F.replace(s, F.lit(search), F.lit(by)) if search else s
 
 
-def split(s: Column, separator: str) -> Column:
-    """Parts between literal separators, empty parts included."""
+def split(s: Column, separator: str | Column) -> Column:
+    """Parts between literal separators, empty parts included; an empty separator is an error."""
+    if isinstance(separator, Column):
+        quoted = F.concat(F.lit("\\Q"), F.replace(separator, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        return F.split(s, F.when(separator == "", fail("EmptySplitSeparator", "split needs a separator", "string")).otherwise(quoted), -1)
     if not separator:
         raise ValueError("split needs a separator")
     return F.split(s, "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
