@@ -6,15 +6,17 @@ import math
 from collections.abc import Callable
 from decimal import Decimal
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions.draws import draw
 from loomspan.functions.errors import fail
+from loomspan.functions.values import once
 
 #: Means up to which a Poisson draw is inverted step by step in the JVM.
 POISSON_STEPS = 500
+#: Most attempts of a draw by rejection.
+TRIES = 64
 #: Most uniforms that a beta draw of whole parameters takes.
 BETA_DRAWS = 64
 
@@ -115,12 +117,35 @@ def chance(p: float, u: Column) -> Column:
     return u < p
 
 
-def poisson(mean: float, u: Column) -> Column:
-    """Count for means below 1e15: by inversion of u in the JVM up to POISSON_STEPS, on Arrow batches above."""
+def _tried(seed: Column | Callable[[int | Column], Column], draws: int, attempt: Callable[..., tuple[Column, Column]], last: Column) -> Column:
+    """The first accepted of at most TRIES attempts, each (value, whether accepted) of ``draws`` addressed draws.
+
+    Once a value is accepted no more is drawn. Attempts are refused seldom, so
+    ``last``, which stands in when all are, practically never does.
+    """
+    u = seed if callable(seed) else lambda i: draw(seed, i)
+
+    def tried(us: Column) -> Column:
+        value, accepted = attempt(*[us[i] for i in range(draws)])
+        return F.when(accepted, value)
+
+    def step(found: Column, k: Column) -> Column:
+        return F.when(found.isNotNull(), found).otherwise(once(F.array(*[u(k * draws + i) for i in range(draws)]), tried))
+
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), step), last)
+
+
+def poisson(mean: float, u: Column | Callable[[int | Column], Column]) -> Column:
+    """Count for means below 1e15: by inversion of one draw up to POISSON_STEPS, by transformed rejection above.
+
+    ``u`` is a draw, or gives draws by number; rejection goes on with draws
+    addressed by the first.
+    """
     if not 0 < mean < 1e15:
         raise ValueError("poisson needs 0 < mean < 1e15")
     if mean > POISSON_STEPS:
-        return _by_generator(u, "bigint", lambda g: int(g.poisson(mean)))
+        return _large_poisson(mean, u)
+    u = u(0) if callable(u) else u
     most = math.ceil(mean + 12 * math.sqrt(mean) + 20)
     start = F.struct(F.lit(math.exp(-mean)).alias("p"), F.lit(math.exp(-mean)).alias("sum"), F.lit(0).cast("bigint").alias("k"), u.alias("u"))  # u is drawn once
 
@@ -131,30 +156,54 @@ def poisson(mean: float, u: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"]
 
 
-def beta(a: float, b: float, u: Callable[[int], Column]) -> Column:
+def _large_poisson(mean: float, u: Column | Callable[[int | Column], Column]) -> Column:
+    """Hoermann's transformed rejection; the density is taken relative to its peak, so no digits are lost for large means."""
+    b = 0.931 + 2.53 * math.sqrt(mean)
+    a = -0.059 + 0.02483 * b
+    inverse, squeeze = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2)
+
+    def log_density(k: Column) -> Column:
+        x = (k - mean) / mean  # k log(mean / k) + k - mean is mean times x - (1 + x) log(1 + x)
+        series = sum((F.pow(x, F.lit(n)) * ((-1) ** (n + 1) / (n * (n - 1))) for n in range(2, 10)), F.lit(0.0))
+        rest = F.when(F.abs(x) < 0.01, series).otherwise(x - (1 + x) * F.log1p(x))
+        return mean * rest - 0.5 * F.log(2 * math.pi * k) - 1 / (12 * k)
+
+    def attempt(first: Column, second: Column) -> tuple[Column, Column]:
+        shifted, v = first - 0.5, 1 - second
+        us = 0.5 - F.abs(shifted)
+        k = F.floor((2 * a / us + b) * shifted + mean + 0.43).cast("double")
+        tail = (k < 1) | ((us < 0.013) & (v > us))
+        exact = F.log(v * inverse / (a / (us * us) + b)) <= log_density(k)
+        return k, F.when((us >= 0.07) & (v <= squeeze), True).when(tail | (us <= 0), False).otherwise(exact)
+
+    return _tried(u, 2, attempt, F.lit(float(math.floor(mean)))).cast("bigint")
+
+
+def _log_gamma(a: float, u: Callable[[int | Column], Column]) -> Column:
+    """Logarithm of a gamma draw, by Marsaglia and Tsang's rejection; a below 1 is lifted by one and brought back."""
+    d = (a if a >= 1 else a + 1) - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+
+    def attempt(first: Column, second: Column, third: Column) -> tuple[Column, Column]:
+        x = standard_normal(first, second)
+        v = F.pow(1 + c * x, F.lit(3.0))
+        fine = F.log(1 - third) < 0.5 * x * x + d - d * v + d * F.log(v)
+        return F.log(d * v), F.when(v > 0, fine).otherwise(False)
+
+    drawn = _tried(lambda i: u(i + 1), 3, attempt, F.lit(math.log(d)))
+    return drawn if a >= 1 else drawn + F.log(1 - u(0)) / a
+
+
+def beta(a: float, b: float, u: Callable[[int | Column], Column]) -> Column:
     """Draw in 0..1 from uniforms u(0), u(1), ...
 
-    For whole a and b it is the a-th least of a + b - 1 uniforms, in the JVM;
-    else it runs on Arrow batches.
+    For whole a and b it is the a-th least of a + b - 1 uniforms, else the
+    share of one gamma draw in two, taken in logarithms so that small
+    parameters don't vanish.
     """
     if a <= 0 or b <= 0:
         raise ValueError("beta needs positive parameters")
     if a == int(a) and b == int(b) and a + b <= BETA_DRAWS:
         return F.element_at(F.array_sort(F.array(*map(u, range(int(a + b) - 1)))), int(a))
-    return _by_generator(u(0), "double", lambda g: float(g.beta(a, b)))
-
-
-def _by_generator(u: Column, kind: str, drawn: Callable) -> Column:
-    """What ``drawn`` gets from a generator that each row's u seeds."""
-
-    @F.pandas_udf(kind)
-    def draw(us: pd.Series) -> pd.Series:
-        bits = np.random.Philox(key=0)
-        generator, state, out = np.random.Generator(bits), bits.state, []
-        for key in (us.to_numpy() * (1 << 52)).astype(np.uint64):
-            state["state"]["key"][0], state["state"]["counter"][:], state["buffer_pos"], state["has_uint32"] = key, 0, 4, 0
-            bits.state = state
-            out.append(drawn(generator))
-        return pd.Series(out, dtype="int64" if kind == "bigint" else "float64")
-
-    return draw(u)
+    first, second = _log_gamma(a, lambda i: u(2 * i)), _log_gamma(b, lambda i: u(2 * i + 1))
+    return 1 / (1 + F.exp(second - first))

@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import objects
-from loomspan.functions.draws import draw
+from loomspan.functions.draws import Pieces, draw
 from loomspan.functions.errors import fail
 from loomspan.functions.ids import uuid
 from loomspan.functions.strings import template
-from loomspan.functions.values import as_variant, plain_null, whole
+from loomspan.functions.values import as_variant, once, plain_null, whole
 from loomspan.operators import timeline
 from loomspan.plans.recurrences import Circle, Recurrence, Value
 
@@ -269,7 +269,7 @@ class Context:
     # ------------------------------------------------------------ values
 
     def draw(self, slot: str, call: int = 0) -> Column:
-        return draw(self.shared.seed, F.col("trace_index"), self.path, slot, call)
+        return draw(self.shared.seed, F.col("trace_index"), Pieces(self._pieces(lambda n: n.segment, "#")), slot, call)
 
     def value(self, slot: str, build: Slot) -> Column:
         """A value of this block, computed once for all that read it."""
@@ -643,22 +643,43 @@ def _with_slots(roots: DataFrame, layers: list[tuple[str, Column]]) -> DataFrame
     return roots
 
 
+#: Blocks whose values stand in one expression; more are looked up in a tree of such groups.
+GROUP_BLOCKS = 16
+
+
+def _by_block(found: list[tuple[int, Column]], rest: Column) -> Column:
+    """The value of the event's block, by rising block numbers, else ``rest``.
+
+    A tree finds the group of a block in a few comparisons. Groups are lambdas,
+    which stay out of the generated code: with the values of very many blocks
+    its methods would be too long for the JVM to compile.
+    """
+
+    def chain(part: list[tuple[int, Column]]) -> Column:
+        picked = F.when(F.col("_b") == part[0][0], part[0][1])
+        for b, value in part[1:]:
+            picked = picked.when(F.col("_b") == b, value)
+        return picked.otherwise(rest)
+
+    def tree(part: list[tuple[int, Column]]) -> Column:
+        if len(part) <= GROUP_BLOCKS:
+            return once(F.col("_b"), lambda _: chain(part))
+        middle = len(part) // 2
+        return F.when(F.col("_b") < part[middle][0], tree(part[:middle])).otherwise(tree(part[middle:]))
+
+    return rest if not found else chain(found) if len(found) <= GROUP_BLOCKS else tree(found)
+
+
 def _exploded(traces: DataFrame, shape: _Compiled, keep: list[str], stamps: list[Column] = ()) -> DataFrame:
     """The events of all traces, with the ``keep`` columns of their roots; ``stamps`` are keys and values that every event's metrics get."""
     rows = traces.select("*", F.posexplode(shape.layout).alias("ordinal", "_e")).select("*", "_e.*")
 
     def of_block(name: str) -> Column:
-        picked = None
-        for b, event in enumerate(shape.events):
-            if name in event:
-                here, value = F.col("_b") == b, event[name]
-                if name == "metrics":
-                    value = F.create_map(*value, *stamps).cast("map<string,variant>")
-                picked = F.when(here, value) if picked is None else picked.when(here, value)
+        found = [(b, event[name]) for b, event in enumerate(shape.events) if name in event]
+        rest = F.lit(None).cast(_UNSET[name]) if name != "metrics" else F.create_map(*stamps).cast("map<string,variant>") if stamps else _no_keys()
         if name == "metrics":
-            rest = F.create_map(*stamps).cast("map<string,variant>") if stamps else _no_keys()
-            return rest if picked is None else picked.otherwise(rest)
-        return F.lit(None).cast(_UNSET[name]) if picked is None else picked
+            found = [(b, F.create_map(*x, *stamps).cast("map<string,variant>")) for b, x in found]
+        return _by_block(found, rest)
 
     names, kinds = (F.get(F.array(*[F.lit(getattr(x, f)) for x in shape.spans]), F.col("_b")) for f in ("name", "kind"))
     rows = rows.withColumn("_size", of_block("size"))

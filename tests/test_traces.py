@@ -3,11 +3,13 @@ import re
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import draws, ids, numbers, objects, samplers, strings
 from loomspan.operators import payloads, timeline
+from loomspan.plans import shape
 from loomspan.plans.queries import NOW, OVER, SHAPE
 from loomspan.plans.shape import Choice, Maybe, Repeat, Span, generate, shape_events
 from loomspan.sources import inputs, sinks
@@ -42,9 +44,26 @@ def test_samplers_beyond_the_jvm(spark):
     for b in (x.whole, x.b):
         assert b.between(0, 1).all() and abs(b.mean() - 2 / 7) < 0.02 and abs(b.var() - 10 / 49 / 8) < 0.004
     assert abs(x.p.mean() - 900) < 5 and abs(x.p.var() - 900) < 150 and abs(x.large.mean() / 1e12 - 1) < 1e-6
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
     assert x.equals(made.repartition(5).orderBy("p", "b").toPandas().pipe(lambda y: y.set_index("b").loc[x.b].reset_index()[x.columns]))
 
 
+@pytest.mark.parametrize("a, b", [(0.5, 0.5), (0.05, 2.5), (3.7, 1.2), (40.5, 60.25)])
+def test_beta_has_its_distribution(spark, a, b):
+    x = np.sort(spark.range(6000).select(samplers.beta(a, b, lambda i: draws.draw("b", F.col("id"), i)).alias("x")).toPandas().x.to_numpy())
+    want = np.sort(np.random.default_rng(1).beta(a, b, 200_000))
+    assert abs(x.mean() - a / (a + b)) < 5 * np.sqrt(want.var() / 6000) and x.min() >= 0 and x.max() <= 1
+    assert max(abs(np.searchsorted(want, np.quantile(x, q)) / len(want) - q) for q in np.linspace(0.05, 0.95, 19)) < 0.025
+
+
+@pytest.mark.parametrize("mean", [501.0, 2500.5, 1e9])
+def test_large_poisson_has_its_distribution(spark, mean):
+    x = np.sort(spark.range(6000).select(samplers.poisson(mean, lambda i: draws.draw("p", F.col("id"), i)).alias("x")).toPandas().x.to_numpy())
+    want = np.sort(np.random.default_rng(2).poisson(mean, 200_000))
+    assert abs(x.mean() - mean) < 5 * np.sqrt(mean / 6000) and abs(x.var() / mean - 1) < 0.1
+    assert max(abs(np.searchsorted(want, np.quantile(x, q)) / len(want) - q) for q in np.linspace(0.05, 0.95, 19)) < 0.03
+
+
 @pytest.mark.parametrize("wrong", [lambda u: samplers.range_int(2, 1, u), lambda u: samplers.choice([], u), lambda u: samplers.weighted([(F.lit(1), 0)], u), lambda u: samplers.chance(1.5, u), lambda u: samplers.poisson(0, u), lambda u: samplers.pareto(0, 1, u), lambda u: samplers.exponential(0, u)])
 def test_samplers_refuse_wrong_parameters(spark, wrong):
     with pytest.raises(ValueError):
@@ -390,6 +409,15 @@ def test_templates_take_turns_and_indices_must_be_dense(spark):
         generate(spark.range(3, 9).select(F.col("id").alias("trace_index")), shapes, 1, NOW, OVER).select("created").collect()
 
 
+def test_groups_of_blocks_change_nothing(spark, monkeypatch):
+    many = Span("task", "root", {"input": lambda x: F.lit("r")}, children=[Span(("llm", "tool")[i % 2], f"b{i}", OUT if i % 3 else {}, {"n": lambda x, i=i: F.lit(i)} if i % 5 else {}) for i in range(70)])
+    plain = lambda: [tuple(map(str, r)) for r in events(spark, many, n=3).orderBy("trace_index", "ordinal").collect()]
+    want = plain()
+    for size in (1, 200):
+        monkeypatch.setattr(shape, "GROUP_BLOCKS", size)
+        assert plain() == want
+
+
 def test_a_chain_of_references_does_not_grow(spark):
     metrics = {"m0": lambda x: samplers.range_int(0, 3, x.draw("m0"))}
     for i in range(1, 30):
