@@ -57,8 +57,14 @@ def settings(path: str | Path) -> dict:
         for key, value in values.items():
             if key not in out.get(section, {}):
                 raise ValueError(f"unknown setting {section}.{key}")
+            if type(value) is not type(DEFAULTS[section][key]):
+                raise ValueError(f"setting {section}.{key} has to be of type {type(DEFAULTS[section][key]).__name__}")
             out[section][key] = value
     duration_micros(out["http"]["request_timeout"])
+    if out["log"]["level"].lower() not in LEVELS:
+        raise ValueError(f"no log level {out['log']['level']}")
+    if out["log"]["keep_runs"] < 1:
+        raise ValueError("keep_runs must be above 0")
     if out["http"]["write_concurrency"] < 1:
         raise ValueError("write_concurrency must be above 0")
     return out

@@ -6,7 +6,9 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -65,42 +67,71 @@ def write_files(events: DataFrame, folder: str) -> None:
     event_json(events).select("json").write.text(folder)
 
 
-def sent_payloads(events: DataFrame, url: str, key: str, workers: int = 8, timeout: float = 30.0, limit: int = PAYLOAD_LIMIT) -> DataFrame:
+def payloads_of(events: Iterator[bytes], limit: int = PAYLOAD_LIMIT) -> Iterator[list[bytes]]:
+    """Events in order, in payloads of at most ``limit`` bytes; an event that alone exceeds it is an error."""
+    held, used = [], ENVELOPE
+    for event in events:
+        if ENVELOPE + len(event) > limit:
+            raise ValueError(f"an event of {len(event)} bytes exceeds the payload limit")
+        if held and used + 1 + len(event) > limit:
+            yield held
+            held, used = [], ENVELOPE
+        used += len(event) + (1 if held else 0)
+        held.append(event)
+    if held:
+        yield held
+
+
+def in_order(send: Callable[[list[bytes]], int], payloads: Iterator[list[bytes]], in_flight: int) -> Iterator[int]:
+    """What ``send`` says of each payload, in their order, with at most ``in_flight`` of them under way.
+
+    The first that fails ends it: what is queued is cancelled, and no further
+    payload is taken.
+    """
+    if in_flight < 1:
+        raise ValueError("a payload has to be in flight")
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque = deque()
+        try:
+            for payload in payloads:
+                if len(waiting) == in_flight:
+                    yield waiting.popleft().result()
+                waiting.append(pool.submit(send, payload))
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for future in waiting:
+                future.cancel()
+
+
+def sorted_json(events: DataFrame, workers: int) -> DataFrame:
+    """Events as JSON in ``workers`` partitions, each a range of traces in order of trace and event."""
+    return event_json(events).repartitionByRange(workers, "trace_index").sortWithinPartitions("trace_index", "ordinal").select("json")
+
+
+def sent_payloads(events: DataFrame, url: str, key: str, workers: int = 8, timeout: float = 30.0, limit: int = PAYLOAD_LIMIT, in_flight: int = 1) -> DataFrame:
     """Sends the events when it is evaluated: (worker, payload, events), each payload as it is acknowledged.
 
     ``workers`` partitions send at a time, each its range of traces in order of
     trace and event, so that order by worker and payload is the order of
-    submission. The first payload that fails for good fails the job. Ids come
-    from addresses, so a task that runs again sends the same events.
+    submission. Of a partition's payloads ``in_flight`` may be under way at
+    once; they are reported in order all the same. The first payload that fails
+    for good fails the job. Ids come from addresses, so a task that runs again
+    sends the same events.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, used = 0, [], ENVELOPE
-
-        def send() -> pa.RecordBatch:
-            done = send_payload(url, key, held, timeout)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), number, done)], names=["worker", "payload", "events"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                event = text.encode()
-                if ENVELOPE + len(event) > limit:
-                    raise ValueError(f"an event of {len(event)} bytes exceeds the payload limit")
-                if held and used + 1 + len(event) > limit:
-                    yield send()
-                    number, held, used = number + 1, [], ENVELOPE
-                used += len(event) + (1 if held else 0)
-                held.append(event)
-        if held:
-            yield send()
-
-    rows = event_json(events).repartitionByRange(workers, "trace_index").sortWithinPartitions("trace_index", "ordinal").select("json")
-    return rows.mapInArrow(run, "worker bigint, payload bigint, events bigint")
-
-
-def write_http(events: DataFrame, url: str, key: str, workers: int = 8, timeout: float = 30.0, limit: int = PAYLOAD_LIMIT) -> int:
+        events = (text.encode() for batch in batches for text in batch.column(0).to_pylist())
+        worker = TaskContext.get().partitionId()
+        for number, done in enumerate(in_order(lambda payload: send_payload(url, key, payload, timeout), payloads_of(events, limit), in_flight)):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (worker, number, done)], names=["worker", "payload", "events"])
+
+    return sorted_json(events, workers).mapInArrow(run, "worker bigint, payload bigint, events bigint")
+
+
+def write_http(events: DataFrame, url: str, key: str, workers: int = 8, timeout: float = 30.0, limit: int = PAYLOAD_LIMIT, in_flight: int = 1) -> int:
     """Send events in payloads under ``limit``; returns rows written."""
-    return sent_payloads(events, url, key, workers, timeout, limit).agg(F.sum("events")).first()[0] or 0
+    return sent_payloads(events, url, key, workers, timeout, limit, in_flight).agg(F.sum("events")).first()[0] or 0
 
 
 def summary(events: DataFrame, seed: int, project: str | None = None, rows: int | None = None, millis: int | None = None, log: str | None = None) -> DataFrame:
