@@ -15,13 +15,13 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import byte_letters, in_small_batches, staged, texts_of
 
-#: Documents to expect in the sample that the broadcast table comes from, and its most entries.
-SAMPLE_DOCS, HEAD_ENTRIES = 12_288, 400_000
+#: Documents to expect in the sample that the broadcast table comes from, its most entries and bytes of text.
+SAMPLE_DOCS, HEAD_ENTRIES, HEAD_BYTES = 12_288, 400_000, 1 << 24
 
 # Texts of these characters only are split by the expression below just as the
 # library does; all others go through the library's own pre-tokenizer.
@@ -104,7 +104,7 @@ def _frequencies(docs: DataFrame, path: str, known: dict[str, int]) -> DataFrame
 
 
 def head_pieces(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entries: int = HEAD_ENTRIES) -> dict[str, int]:
-    """Piece counts of the most frequent pre-tokens of a bounded sample.
+    """Piece counts of the most frequent pre-tokens of a bounded sample, however long, HEAD_BYTES of them at most.
 
     Its content never changes a result: a pre-token that it lacks is counted
     in the distinct table.
@@ -120,7 +120,9 @@ def head_pieces(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entr
 
     share = min(1.0, sample_docs / max(1, docs.count()))
     sample = docs.select("text").sample(share, seed=0).mapInArrow(run, "token string, n long")
-    top = sample.groupBy("token").agg(F.sum("n").alias("n")).where("length(token) <= 64").orderBy(F.desc("n"), "token").limit(entries)
+    top = sample.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(entries)
+    sizes = F.sum(F.octet_length("token").cast("long")).over(Window.orderBy(F.desc("n"), "token"))  # at most ``entries`` rows
+    top = top.withColumn("size", sizes).where(F.col("size") <= HEAD_BYTES)
     return {r.token: r.pieces for r in _piece_counts(top.select("token"), path).collect()}
 
 

@@ -698,6 +698,19 @@ def test_token_counts_equal_the_library(spark):
     assert token_count.count_tokens(frame(spark, [])).count() == 0
 
 
+def test_long_common_pre_tokens_are_in_the_head_table(spark, monkeypatch):
+    rule = "=" * 500
+    docs = spark.createDataFrame([(i, f"word{i} {rule} " + "-" * (400 + i)) for i in range(300)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    head = token_count.head_pieces(docs, path)
+    assert any(rule in token for token in head)
+    want = {r.id: r.n_tokens for r in token_count.count_tokens(docs).collect()}
+    monkeypatch.setattr(token_count, "HEAD_BYTES", 2000)
+    few = token_count.head_pieces(docs, path)
+    assert 0 < sum(len(t.encode()) for t in few) <= 2000 and len(few) < len(head)
+    assert {r.id: r.n_tokens for r in token_count.count_tokens(docs).collect()} == want
+
+
 def test_head_table_changes_nothing(spark, monkeypatch):
     docs = small(spark).where("doc_id < 60")
     a = sorted(map(tuple, token_count.count_tokens(docs).collect()))
