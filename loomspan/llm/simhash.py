@@ -15,7 +15,6 @@ than all pairs, and components are joined on Spark.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -32,7 +31,7 @@ from loomspan.llm.common import connected_components, in_small_batches, staged,
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 TILE = 1024
 MOST = 8 * TILE  # rows of a bucket that are compared where they stream by; beyond, tile pairs are dealt out
-HELD = 1 << 27  # bytes of shingle hashes that a task holds in memory; beyond, they lie in a temporary file
+HELD = 1 << 27  # bytes of shingle hashes of a bucket that one task compares; of more, tiles of a quarter of that are cut
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -170,13 +169,6 @@ def _bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int, exact: Exac
             yield np.array(edges) + start
 
 
-def _on_disk(values: np.ndarray) -> np.ndarray:
-    with tempfile.TemporaryFile() as file:
-        file.write(values)
-        file.flush()
-        return np.memmap(file, values.dtype, "r")  # lives on without the file's name
-
-
 def _rows_of(batch: pa.RecordBatch, sets: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, nodes and prints of a batch; its shingle sets, if any, are added to ``sets``."""
     prints = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
@@ -184,8 +176,6 @@ def _rows_of(batch: pa.RecordBatch, sets: list[np.ndarray] | None) -> tuple[np.n
         values = [np.frombuffer(x, "<u8") for x in batch.column(3).to_pylist()]
         ends = np.cumsum([len(x) for x in values]).tolist()
         values = np.concatenate(values)
-        if 8 * (sum(map(len, sets)) + len(values)) > HELD:
-            values = _on_disk(values)
         sets += [values[a:b] for a, b in zip([0, *ends], ends)]
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), prints
 
@@ -195,7 +185,7 @@ def _linked(dealt: DataFrame, radius: int, similar: tuple[float, tuple[int, int]
 
     ``dealt`` has rows (bucket, node, print as array of longs). Buckets
     stream through their task, sorted by population count. One of at most MOST
-    rows is compared there; of a larger one only tiles are cut, and every pair
+    rows and HELD bytes is compared there; of a larger one only tiles are cut, and every pair
     of tiles in reach of their population counts becomes a group of two tiles,
     so that no task holds more however large a bucket is. With
     ``similar``, a similarity and its radii, rows also have sorted distinct
@@ -228,6 +218,17 @@ def _linked(dealt: DataFrame, radius: int, similar: tuple[float, tuple[int, int]
             nonlocal keys, nodes, prints, sets
             keys, nodes, prints, sets = keys[n:], nodes[n:], prints[n:], sets and sets[n:]
 
+        def full() -> bool:
+            return len(keys) >= MOST or bool(sets) and 8 * sum(map(len, sets)) > HELD
+
+        def of_tile(end: int) -> tuple[int, bool]:
+            """Rows of the next tile among the first ``end``, and whether it can take no more."""
+            n, room = min(end, TILE), HELD // 4
+            if sets:
+                room_for = int(np.searchsorted(8 * np.cumsum([len(x) for x in sets[:n]]), room, side="right"))
+                return max(1, min(n, room_for)), room_for < n or n == TILE
+            return n, n == TILE
+
         def tile(n: int) -> pa.RecordBatch:
             counts = np.bitwise_count(prints[:n]).sum(axis=1, dtype=np.int32)
             fixed = [pa.array(np.full(n, x, np.int32)) for x in (tiles, counts.min(), counts.max())]
@@ -241,22 +242,23 @@ def _linked(dealt: DataFrame, radius: int, similar: tuple[float, tuple[int, int]
                 if large is not None:
                     end = int(np.searchsorted(keys, large, side="right"))
                     over = last or end < len(keys)
-                    if end >= TILE or end and over:
-                        yield tile(min(end, TILE))
+                    n, whole_tile = of_tile(end) if end else (0, False)
+                    if whole_tile or end and over:
+                        yield tile(n)
                         tiles += 1
-                        cut(min(end, TILE))
+                        cut(n)
                         continue
                     if not over:
                         return
                     large = None
                 whole = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
-                if last and len(keys) >= MOST:
+                if last and full():
                     whole = int(np.searchsorted(keys, keys[-1]))
                 if whole:
                     exact = Exact(sets[:whole], *similar) if similar else None
                     yield from links(_bucket_links(keys[:whole], prints[:whole], radius, exact), nodes)
                     cut(whole)
-                elif len(keys) >= MOST:
+                elif full():
                     large, tiles = int(keys[0]), 0
                 else:
                     return
