@@ -142,10 +142,10 @@ def _(spark, d):
     return sinks.event_json(events).select("trace_index", F.regexp_replace("json", '"(start|end)":[-0-9.E]+', '"$1":0').alias("json"))
 
 
-_LANES, _LIMIT = 2, payloads.PAYLOAD_LIMIT
+_LANE_DOCS, _LIMIT = 2000, payloads.PAYLOAD_LIMIT  # lanes grow with the table
 _PACKED = f"""RECURSIVE src AS (
-  SELECT CAST(doc_id % {_LANES} AS BIGINT) AS lane, CAST(doc_id AS BIGINT) AS seq, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes,
-    row_number() OVER (PARTITION BY doc_id % {_LANES} ORDER BY doc_id) AS n FROM documents
+  SELECT CAST(doc_id // {_LANE_DOCS} AS BIGINT) AS lane, CAST(doc_id AS BIGINT) AS seq, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes,
+    row_number() OVER (PARTITION BY doc_id // {_LANE_DOCS} ORDER BY doc_id) AS n FROM documents
 ), walk AS (
   SELECT lane, seq, bytes, n, CAST(0 AS BIGINT) AS payload, bytes + 13 AS used FROM src WHERE n = 1
   UNION ALL
@@ -156,7 +156,7 @@ _PACKED = f"""RECURSIVE src AS (
 
 
 def _packed(spark, d):
-    docs = _table(spark, d, "documents").withColumn("lane", F.col("doc_id") % _LANES).withColumn("body", F.coalesce("text", F.lit("")))
+    docs = _table(spark, d, "documents").withColumn("lane", F.floor(F.col("doc_id") / _LANE_DOCS)).withColumn("body", F.coalesce("text", F.lit("")))
     return payloads.packed(docs, "lane", "doc_id", "body", _LIMIT)
 
 
