@@ -163,7 +163,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shards: int
     Score: inner product of the vectors floor(256 x). Candidates are rows:
     rows that repeat an id and a vector count as often as they are there, but
     rows of the query's own id are no candidates for it, nor are vectors of
-    another dimension. A query row that is given twice is asked once. Ties go
+    another dimension. A query row that is given twice is asked once; an id
+    with several different vectors is asked with each, and what it finds is
+    ranked together. Ties go
     to the smaller id. A query has fewer rows if fewer candidates exist; an
     empty table gives an empty result. A shard has about SHARD candidates.
     """
