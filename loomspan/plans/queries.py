@@ -117,6 +117,16 @@ def _(spark, d):
     return inputs.parsed(_table(spark, d, "events").select("event_id", F.col("props").alias("value")), "k bigint")
 
 
+# a log line from each event, as it is shown
+_LINE = """'{"timestamp":"2025-01-02T03:04:05.' || lpad(CAST(event_id % 1000000 AS VARCHAR), 6, '0') || 'Z","level":"' || upper(event_type) || '","fields":{"user":' || user_id || ',"message":"seen ' || event_id || '","half":0.5},"span":{"name":"write"},"spans":[{"name":"run"}]}'"""
+
+
+@_add("scan_log_text", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'no json ' || event_id ELSE '03:04:05.' || substr(lpad(CAST(event_id % 1000000 AS VARCHAR), 6, '0'), 1, 3) || '  ' || rpad(upper(event_type), CAST(greatest(5, length(event_type)) AS INTEGER), ' ') || ' [run/write] seen ' || event_id || ' half=0.5 user=' || user_id END AS text FROM events""")
+def _(spark, d):
+    line = F.when(c("event_id") % 3 == 0, F.concat(F.lit("no json "), c("event_id"))).otherwise(F.expr(_LINE.replace("AS VARCHAR", "AS STRING")))
+    return _table(spark, d, "events").select("event_id", inputs.rendered(line).alias("text"))
+
+
 # ---------------------------------------------------------------- sinks
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from loomspan.operators.payloads import PAYLOAD_LIMIT
-from loomspan.sources.sinks import in_order, payloads_of, send_payload
+from loomspan.sources.sinks import SendError, in_order, payloads_of, send_payload
 
 #: Indices of a batch of rows.
 BATCH = 1 << 16
@@ -139,7 +139,7 @@ class HttpWriter(DataSourceWriter):
     def commit(self, messages: list[Sent | None]) -> None:
         told = [m for m in messages if m is not None]
         if len(told) < len(messages) or any(m.events != m.acknowledged for m in told):
-            raise ValueError(f"{sum(m.events for m in told)} events sent, {sum(m.acknowledged for m in told)} acknowledged by {len(told)} of {len(messages)} tasks")
+            raise SendError("UnexpectedRowCount", f"{sum(m.events for m in told)} events sent, {sum(m.acknowledged for m in told)} acknowledged by {len(told)} of {len(messages)} tasks")
 
     def abort(self, messages: list[Sent | None]) -> None:
         pass  # what was acknowledged stays; ids come from addresses, so sending again replaces it

@@ -101,6 +101,30 @@ def run_logs(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(text.select("value", F.col("_metadata.file_name").alias("run"), F.col("_metadata.file_modification_time").alias("modified"), place.alias("line")))
 
 
+def rendered(text: F.Column) -> F.Column:
+    """A log's line of JSON as people read it: time, level, spans, message and the other fields by key; other text as it is."""
+    event = F.try_parse_json(text)
+    told = lambda path, kind="string": F.try_variant_get(event, path, kind)
+    time = F.substring(F.rtrim(F.coalesce(F.get(F.split(told("$.timestamp"), "T"), F.lit(1)), F.lit("")), F.lit("Z")), 1, 12)
+    level = F.coalesce(told("$.level"), F.lit("?"))
+    around = F.transform(F.coalesce(told("$.spans", "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda s: F.try_variant_get(s, "$.name", "string"))
+    spans = F.array_compact(F.concat(around, F.array(told("$.span.name"))))
+    fields = F.coalesce(told("$.fields", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    others = F.filter(F.array_sort(F.map_keys(fields)), lambda k: k != "message")
+    extra = F.array_join(F.transform(others, lambda k: F.concat(F.lit(" "), k, F.lit("="), F.to_json(F.element_at(fields, k)))), "")
+    context = F.when(F.size(spans) > 0, F.concat(F.lit("["), F.array_join(spans, "/"), F.lit("] "))).otherwise("")
+    padded = F.when(F.char_length(level) < 5, F.rpad(level, 5, " ")).otherwise(level)
+    line = F.concat(time, F.lit("  "), padded, F.lit(" "), context, F.coalesce(told("$.fields.message"), F.lit("")), extra)
+    return F.when(event.isNull(), text).otherwise(line)
+
+
+def log_text(spark: SparkSession, folder: str) -> DataFrame:
+    """(run, line, text) of all run logs, one readable line an event, in order of run and line."""
+    text = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return text.select(F.col("_metadata.file_name").alias("run"), place.alias("line"), rendered(F.col("value")).alias("text"))
+
+
 def verdicts(lines: DataFrame) -> DataFrame:
     """(run, verdict): ``failed: `` and the first line of the last error, cut at 80 characters with an ellipsis, else ``ok``."""
     message = F.coalesce("fields.error", "fields.message", F.lit("unknown error"))

@@ -27,24 +27,55 @@ def event_json(events: DataFrame) -> DataFrame:
     return events.select("trace_index", "ordinal", F.to_json(F.struct(*fields)).alias("json"))
 
 
+class SendError(ValueError):
+    """Why events could not be written: ``kind`` is one of KINDS, ``status`` that of a rejecting endpoint."""
+
+    #: The kinds of errors that a writing run can end in.
+    KINDS = ["EventTooLarge", "SendRequest", "Rejected", "DecodeResponse", "UnexpectedRowCount", "RetriesExhausted"]
+
+    def __init__(self, kind: str, message: str, status: int | None = None, retry_after: float | None = None):
+        super().__init__(f"{kind}: {message}")
+        self.kind, self.status, self.retry_after = kind, status, retry_after
+
+    def __reduce__(self):
+        return SendError, (self.kind, str(self).removeprefix(f"{self.kind}: "), self.status, self.retry_after)
+
+    @property
+    def passing(self) -> bool:
+        """Whether trying again may help: nothing came back, or 429 or 5xx did."""
+        return self.kind == "SendRequest" or self.kind == "Rejected" and (self.status == 429 or self.status >= 500)
+
+
+def _posted(url: str, key: str, body: bytes, timeout: float) -> int:
+    """One request; rows acknowledged."""
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            answer = reply.read()
+    except urllib.error.HTTPError as e:
+        pause = e.headers.get("Retry-After") or ""
+        raise SendError("Rejected", f"status {e.code}: {e.read(200).decode(errors='replace')}", e.code, float(pause) if pause.isdigit() else None) from e
+    except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+        raise SendError("SendRequest", str(e)) from e
+    try:
+        return len(json.loads(answer)["row_ids"])
+    except (ValueError, KeyError, TypeError) as e:
+        raise SendError("DecodeResponse", f"no row ids in {answer[:200]!r}") from e
+
+
 def _post(url: str, key: str, body: bytes, timeout: float) -> int:
     """Send one payload; timeouts, 429 and 5xx are tried again. Returns rows acknowledged."""
     wait = FIRST_WAIT
-    for attempt in range(ATTEMPTS):
-        request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+    for attempt in range(1, ATTEMPTS + 1):
         try:
-            with urllib.request.urlopen(request, timeout=timeout) as reply:
-                return len(json.loads(reply.read())["row_ids"])
-        except urllib.error.HTTPError as e:
-            if e.code != 429 and e.code < 500 or attempt == ATTEMPTS - 1:
-                raise
-            pause = float(e.headers.get("Retry-After") or wait)
-        except (urllib.error.URLError, TimeoutError):
-            if attempt == ATTEMPTS - 1:
+            return _posted(url, key, body, timeout)
+        except SendError as e:
+            if not e.passing:
                 raise
-            pause = wait
-        time.sleep(min(pause, LONGEST_WAIT))
-        wait = min(2 * wait, LONGEST_WAIT)
+            if attempt == ATTEMPTS:
+                raise SendError("RetriesExhausted", f"{attempt} attempts, the last: {e}", e.status) from e
+            time.sleep(min(wait if e.retry_after is None else e.retry_after, LONGEST_WAIT))
+            wait = min(2 * wait, LONGEST_WAIT)
     raise AssertionError("unreachable")
 
 
@@ -52,13 +83,13 @@ def send_payload(url: str, key: str, events: list[bytes], timeout: float) -> int
     """Send events; where the endpoint finds them too large, halves go in turn."""
     try:
         done = _post(url, key, b'{"events":[' + b",".join(events) + b"]}", timeout)
-    except urllib.error.HTTPError as e:
-        if e.code != 413 or len(events) == 1:
+    except SendError as e:
+        if e.status != 413 or len(events) == 1:
             raise
         half = len(events) // 2
         return send_payload(url, key, events[:half], timeout) + send_payload(url, key, events[half:], timeout)
     if done != len(events):
-        raise ValueError(f"{len(events)} events sent, {done} acknowledged")
+        raise SendError("UnexpectedRowCount", f"{len(events)} events sent, {done} acknowledged")
     return done
 
 
@@ -72,7 +103,7 @@ def payloads_of(events: Iterator[bytes], limit: int = PAYLOAD_LIMIT) -> Iterator
     held, used = [], ENVELOPE
     for event in events:
         if ENVELOPE + len(event) > limit:
-            raise ValueError(f"an event of {len(event)} bytes exceeds the payload limit")
+            raise SendError("EventTooLarge", f"an event of {len(event)} bytes exceeds the payload limit")
         if held and used + 1 + len(event) > limit:
             yield held
             held, used = [], ENVELOPE

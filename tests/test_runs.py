@@ -168,6 +168,32 @@ def test_phases_are_timed(spark):
         runs.timed(spark, SHAPE, 5, "1h", 0)
 
 
+def test_kinds_of_write_errors(server, monkeypatch):
+    monkeypatch.setattr(sinks, "FIRST_WAIT", 0.01)
+
+    def kind(events, url=server.url):
+        with pytest.raises(sinks.SendError) as e:
+            sinks.send_payload(url, "k", events, 5)
+        assert e.value.kind in sinks.SendError.KINDS and str(e.value).startswith(e.value.kind)
+        return e.value.kind, e.value.status
+
+    server.refuse = "bad"
+    assert kind([b'{"id": "bad"}']) == ("Rejected", 400)
+    server.refuse, server.short = None, 1
+    assert kind([b'{"id": "a"}', b'{"id": "b"}']) == ("UnexpectedRowCount", None)
+    assert kind([b'{"id": "a"}'], "http://127.0.0.1:9") == ("RetriesExhausted", None)
+    with pytest.raises(sinks.SendError, match="EventTooLarge"):
+        list(sinks.payloads_of(iter([b"x" * 100]), 50))
+    monkeypatch.setattr(sinks.urllib.request, "urlopen", lambda *a, **k: __import__("io").BytesIO(b"<html>"))
+    assert kind([b'{"id": "a"}']) == ("DecodeResponse", None)
+
+
+def test_logs_are_shown_a_line_an_event(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"timestamp":"2025-01-02T03:04:05.678901Z","level":"INFO","fields":{"message":"m","b":[1,"x"],"a":"y"},"spans":[{"name":"run"},{"id":3}],"span":{"name":"write"}}\nplain text\n{"fields":{}}\n{"level":"WARNING","fields":{"message":"w"}}\n')
+    got = [r.text for r in inputs.log_text(spark, str(tmp_path)).orderBy("run", "line").collect()]
+    assert got == ['03:04:05.678  INFO  [run/write] m a="y" b=[1,"x"]', "plain text", "  ?     ", "  WARNING w"]
+
+
 def test_settings_have_types(tmp_path):
     for i, text in enumerate(('[log]\nkeep_runs = "x"\n', '[log]\nlevel = "loud"\n', "[log]\nlevel = 3\n", "[log]\nkeep_runs = 0\n", "[http]\nwrite_concurrency = true\n", '[http]\nrequest_timeout = 5\n')):
         (tmp_path / f"{i}.toml").write_text(text)
