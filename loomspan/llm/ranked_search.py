@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import in_small_batches, staged, table, texts_of, unstaged
 
-#: Documents of a shard, to expect, and bytes of query texts that are searched in one pass.
-SHARD_DOCS, QUERY_BYTES = 8192, 1 << 22
+#: Documents and postings of a shard, to expect, and bytes of query texts that are searched in one pass.
+SHARD_DOCS, SHARD_POSTINGS, QUERY_BYTES = 8192, 1 << 22, 1 << 22
 #: Postings of a cell, between which block boundaries lie, most cells of a block, and a block's price in postings at its list's greatest impact.
 CELL, MOST_CELLS, PRICE = 8, 32, 4
 #: Stretches of greatest bound that a query scores first.
@@ -291,7 +291,7 @@ def _one_pass(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col:
     df = {r.term: r["count"] for r in matched.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}  # terms of the queries
     weight = {t: term_weight(df[i], whole.docs) for t, i in vocabulary.items() if i in df}
     queries = [(row, [(vocabulary[t], weight[t] * c) for t, c in counted.items() if t in weight]) for row, _, counted in items]
-    shards = max(1, -(-whole.docs // shard_docs))
+    shards = max(1, -(-whole.docs // shard_docs), -(-(whole.postings or 0) // SHARD_POSTINGS))
     found = _searched(matched, queries, whole.docs, max(1, whole.terms), k, shards)
     if shards > 64:  # an item's rows meet in groups of shards first
         found = _best(found.withColumn("group", F.pmod("shard", F.lit(math.isqrt(shards)))), k, "query", "group").drop("rank", "group")

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import staged, unstaged
 
-#: Numbers of a block that is factored at once, and factors that one task of the tree takes.
-BLOCK, FAN_IN = 1 << 18, 32
+#: Numbers of a block that is factored at once, and of vectors that a task takes up at once; factors that one task of the tree takes.
+BLOCK, SLICE, FAN_IN = 1 << 18, 1 << 21, 32
 
 
 def whole_vector(vector: Column, scale: int = 256) -> Column:
@@ -37,6 +37,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose vectors, in the first column, have SLICE numbers together, or of one row."""
+    for batch in batches:
+        ends, start = np.cumsum(np.asarray(pc.list_value_length(batch.column(0)))), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def by_dimension(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and matrix of the vectors of each dimension."""
     sizes = np.asarray(pc.list_value_length(column))
@@ -153,7 +163,7 @@ def _folded(fit: DataFrame, of: Callable[[int, np.ndarray], tuple[np.ndarray, st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for batch in batches:
+        for batch in in_slices(batches):
             for rows, x in by_dimension(batch.column(0)):
                 n, sums = held.get(x.shape[1], (0, 0))
                 held[x.shape[1]] = n + len(rows), sums + of(x.shape[1], x)
@@ -183,7 +193,7 @@ def fitted(fit: DataFrame) -> dict[int, Whitening]:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in in_slices(batches):
             for _, x in by_dimension(batch.column(0)):
                 dim = x.shape[1]
                 centre, step = Whitening(*known[dim], np.empty(0), np.empty(0)), max(dim, BLOCK // dim)
@@ -241,7 +251,7 @@ def whiten(vectors: DataFrame, fits: dict[int, Whitening], k: int, keep: list[st
     names = [*keep, "dim", "deviation", "whitened"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             for rows, x in by_dimension(batch.column(0)):
                 fit = shared.value[x.shape[1]]
                 w = fit.whitened(x, k)

@@ -83,6 +83,17 @@ def test_odd_rows(spark):
     assert whitening.whitened_components(frame(spark, [])).count() == 0 and whitening.whitened_components(frame(spark, odd)).count() == 0
 
 
+def test_slices_and_trees_of_tasks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.normal(size=(5, 3)[i % 4 == 0])]) for i in range(300)]
+    told = lambda: {(r.id, r.component): r for r in whitening.whitened_components(frame(spark, rows).repartition(9)).collect()}
+    want = told()
+    monkeypatch.setattr(whitening, "SLICE", 20), monkeypatch.setattr(whitening, "BLOCK", 8), monkeypatch.setattr(whitening, "FAN_IN", 2)
+    got = told()
+    assert got.keys() == want.keys() and len(got) == 75 * 3 + 225 * 4
+    assert all(got[k].deviation == r.deviation and abs(got[k].whitened - r.whitened) < 1e-11 and abs(got[k].explained - r.explained) < 1e-13 for k, r in want.items())
+
+
 def test_deviations_are_exact_beyond_doubles(spark):
     rows = [(i, [float(1 << 20) + i, float(i % 3)]) for i in range(50)]
     got = whitening.whitened_components(frame(spark, rows), k=1).collect()
