@@ -30,9 +30,9 @@ from loomspan.llm.common import in_small_batches, staged, table, texts_of, unsta
 #: Documents and postings of a shard, to expect, and bytes of query texts that are searched in one pass.
 SHARD_DOCS, SHARD_POSTINGS, QUERY_BYTES = 8192, 1 << 22, 1 << 22
 #: Postings of a cell, between which block boundaries lie, most cells of a block, and a block's price in postings at its list's greatest impact.
-CELL, MOST_CELLS, PRICE = 8, 32, 4
+CELL, MOST_CELLS, PRICE = 8, 32, 2
 #: Stretches of greatest bound that a query scores first.
-SEEDS = 32
+SEEDS = 12
 #: A-Z as a-z, other ASCII but digits and a-z as space.
 _FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
