@@ -14,7 +14,11 @@ ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 def uuid(*parts: Column | str | int) -> Column:
     """Version-4 UUID of an address."""
-    h = F.md5(address(*parts))
+    return uuid_of(F.md5(address(*parts)))
+
+
+def uuid_of(h: Column) -> Column:
+    """Version-4 UUID of a digest of 32 hex digits, which is read several times."""
     variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions.ids import uuid
+from loomspan.functions.draws import address
+from loomspan.functions.ids import uuid, uuid_of
+from loomspan.functions.values import once
 
 SLOT_MICROS = 100_000
 
@@ -57,8 +59,15 @@ def created(micros: Column) -> Column:
 def linked(events: DataFrame, salt: str) -> DataFrame:
     """Ids by address: the own and the parents' span ids, without a join.
 
-    ``place`` and ``parent`` are the addresses of the event's span and of the span above it.
+    ``place`` and ``parent`` are the addresses of the event's span and of the
+    span above it; ``root_span_id`` is the id of the root, whose address is empty.
     """
-    # a lambda also keeps the wide projection out of one generated method, which would be too long for the JVM to compile
-    parents = F.transform(F.array_compact(F.array("parent")), lambda x: uuid(salt, F.col("trace_index"), x))
-    return events.withColumns({"id": uuid(f"{salt}/event", F.col("trace_index"), F.col("place")), "span_id": uuid(salt, F.col("trace_index"), F.col("place")), "span_parents": parents})
+    # digests are columns of their own, as each piece of an id reads them; taking one in a lambda keeps
+    # the wide projection below out of one generated method, which would be too long for the JVM to compile
+    digest = lambda place: F.when(place != "", F.md5(address(salt, F.col("trace_index"), place)))
+    rows = events.withColumns({"_own": digest(F.col("place")), "_above": once(F.col("parent"), digest)})
+    root = F.col("root_span_id")
+    ids = {"span_id": F.when(F.col("place") == "", root).otherwise(uuid_of(F.col("_own"))), "_above": F.when(F.col("parent") == "", root).otherwise(uuid_of(F.col("_above")))}
+    parents = F.when(F.col("_above").isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array("_above"))
+    named = rows.withColumns({"id": uuid(f"{salt}/event", F.col("trace_index"), F.col("place"))} | ids)
+    return named.withColumn("span_parents", parents).drop("_own", "_above")

@@ -129,6 +129,15 @@ def test_events_are_linked_and_timed(spark):
     assert (first.set_index("trace_index").output == answers).all()
 
 
+def test_ids_of_spans_and_parents_take_one_digest_each(spark):
+    rows = spark.range(3).select(F.lit(5).cast("bigint").alias("trace_index"), F.element_at(F.array(F.lit(""), F.lit("0"), F.lit("0.1")), (F.col("id") + 1).cast("int")).alias("place"), F.element_at(F.array(F.lit(None), F.lit(""), F.lit("0")), (F.col("id") + 1).cast("int")).alias("parent"))
+    of = lambda place: ids.uuid("run", F.lit(5), F.lit(place))
+    made = timeline.linked(rows.withColumn("root_span_id", of("")), "run").select("place", "span_id", "span_parents")
+    root, first, second = spark.range(1).select(of(""), of("0"), of("0.1")).first()
+    assert sorted(map(tuple, made.collect())) == [("", root, []), ("0", first, [root]), ("0.1", second, [first])]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 2
+
+
 def test_same_seed_same_events_other_seed_others(spark):
     key = ["trace_index", "ordinal"]
     a, b, other = (events(spark, seed=s).select(*key, "name", "input", "output").orderBy(*key).collect() for s in (3, 3, 4))
